@@ -8,6 +8,7 @@ from encodings.aliases import aliases
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.text import as_column
 from ..functions.urls import normalize_url
@@ -25,29 +26,28 @@ DEFAULT_CHARSET = "utf-8"
 DEFAULT_TEXT_CHARSET = "iso-8859-1"  # for text/* without a charset
 
 
-def _charset_tables() -> tuple[dict[str, str], list[str]]:
-    """Every one-byte charset as the characters of bytes 1-255, and the names of all others."""
+def _charset_tables() -> tuple[list[str], dict[str, str], list[str]]:
+    """Codec names: those of UTF-8, one-byte charsets with their characters 1-255, all others."""
+    utf8: list[str] = []
     one_byte: dict[str, str] = {}
     wide: list[str] = []
     for name in sorted(set(aliases) | set(aliases.values())):
         try:
-            info = codecs.lookup(name)
-            table = bytes(range(1, 256)).decode(info.name, "replace")
-            alone = all(len(bytes([b]).decode(info.name, "replace")) == 1 for b in range(1, 256))
+            codec = codecs.lookup(name).name
+            table = bytes(range(1, 256)).decode(codec, "replace")
+            alone = all(len(bytes([b]).decode(codec, "replace")) == 1 for b in range(1, 256))
         except (LookupError, UnicodeError):
             continue
-        if info.name == "utf-8":
-            continue
-        # A one-byte charset gives one character a byte, whatever its neighbours are.
-        if len(table) == 255 and alone and "utf" not in info.name:
+        if codec == "utf-8":
+            utf8.append(name)
+        elif len(table) == 255 and alone and "utf" not in codec:
             one_byte[name] = table
         else:
             wide.append(name)
-    return one_byte, wide
+    return utf8, one_byte, wide
 
 
-_ONE_BYTE, _WIDE = _charset_tables()
-_UTF8 = sorted({n for n in set(aliases) | set(aliases.values()) if codecs.lookup(n).name == "utf-8"})
+_UTF8, _ONE_BYTE, _WIDE = _charset_tables()
 
 
 def allowed_content_type(content_type: Column | str) -> Column:
@@ -82,7 +82,7 @@ def known_charset(charset: Column) -> Column:
     return charset.isin(*_UTF8, *_ONE_BYTE, *_WIDE)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decode_wide(body: pd.Series, charset: pd.Series) -> pd.Series:
     """Multi-byte charsets Spark has no decoder for; every other row arrives as NULL."""
     return pd.Series(
