@@ -46,7 +46,10 @@ _ATTRIBUTE = r"""(?s)[^\s/>=][^\s/>=]*(?:\s*=+\s*(?:"[^"]*"|'[^']*'|(?!["'])[^>\
 _GAP = rf"(?<![{WHITESPACE_CLASS}])[{WHITESPACE_CLASS}]*+{_BREAK}[{_BREAK}{WHITESPACE_CLASS}]*+"
 
 # References that make up nearly all of those on real pages; looked up before the full table.
-_COMMON = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "nbsp": "\xa0", "apos": "'"}
+_COMMON = {
+    n: html5[n + ";"]
+    for n in ("amp", "lt", "gt", "quot", "nbsp", "copy", "middot", "laquo", "raquo", "ndash", "mdash", "hellip")
+}
 _LEGACY = sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)
 
 
@@ -84,8 +87,9 @@ def _code_point(reference: Column) -> Column:
 def _decode_references(text: Column, tokens: str, named) -> Column:
     """Split into references and the text between them, decode each reference once, join."""
     simple = text
-    for name in ("lt", "gt", "quot", "nbsp"):
-        simple = F.replace(simple, F.lit(f"&{name};"), F.lit(_COMMON[name]))
+    for name, character in _COMMON.items():
+        if name != "amp":
+            simple = F.replace(simple, F.lit(f"&{name};"), F.lit(character))
     decoded = F.array_join(
         F.transform(
             F.regexp_extract_all(simple, F.lit(tokens), F.lit(0)),
