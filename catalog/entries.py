@@ -235,7 +235,7 @@ def contacts_found(spark, sf_dir):
 
 def site_lists(spark, sf_dir):
     pages = contact_pages(spark, sf_dir).unionByName(doc_pages(spark, sf_dir))
-    lists = contacts.contact_lists(contacts.contacts_by_site(pages))
+    lists = contacts.site_contact_lists(pages)
     return lists.select("site_key", "part", F.array_join("emails", ",").alias("emails"), F.array_join("phones", ",").alias("phones"))
 
 

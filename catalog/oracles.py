@@ -209,7 +209,7 @@ WHERE view_rank = first_view OR view_rank = 1000""",
 
 _RUNS = f"""
 SELECT page_id || '/' || pos AS unit, page_id, raw, false AS whole FROM (SELECT page_id, unnest(range(len(runs))) AS pos, unnest(runs) AS raw FROM (SELECT page_id, regexp_extract_all(text, '{_RUN}', 0) AS runs FROM texts) AS r) AS u
-WHERE NOT regexp_matches(raw, '(?:[0-3]?\\d/[01]?\\d|[01]?\\d/[0-3]?\\d)/(?:[12]\\d)?\\d{{2}}') AND NOT regexp_matches(raw, '[12]\\d{{3}}[-/]?[01]\\d[-/]?[0-3]\\d +[0-2]\\d$')"""
+WHERE NOT regexp_matches(raw, '(?:[0-3]?\\d/[01]?\\d|[01]?\\d/[0-3]?\\d)/(?:[12]\\d)?\\d{{2}}') """
 _IDD = r"""
 SELECT page_id || '/i' || pos AS unit, page_id, regexp_replace(trim(raw), '^(00|011)', '+') AS raw, true AS whole
 FROM (SELECT page_id, unnest(range(len(found))) AS pos, unnest(found) AS raw FROM (SELECT page_id, regexp_extract_all(text, '(?:^|[^\d+])((?:00|011)[\s().-]*[1-9](?:[\s().-]*\d){6,})', 1) AS found FROM texts) AS f) AS u"""

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from reachmap.sources.tables import spread
+
 # One document a page; text escaped the way a page would write it.
 DOC_PAGES = """
 SELECT doc_id AS page_id,
@@ -96,7 +98,7 @@ TABLES = ("pages", "documents", "events")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

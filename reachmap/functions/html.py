@@ -12,38 +12,37 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WHITESPACE, WHITESPACE_CLASS, as_column, strip
+from .text import as_column, literal_map, strip
 
 _BREAK = "\ufdd0"  # a Unicode noncharacter marks the place of removed markup
 
 # The rest of a start tag; a quote counts only directly after "=".
 _TAG_REST = r"""(?:[^>=]|=(?!\s*["'])|=\s*"[^"]*"|=\s*'[^']*')*+"""
-_COMMENT = r"<!--.*?--\s*>"
-_CDATA = r"<!\[CDATA\[(.*?)\]\s*\]\s*>"
-_OTHER_TAG = rf"<[a-zA-Z]{_TAG_REST}>|<[!/?][^>]*>"
+# Every piece of markup starts with "<", which the patterns below factor out: a scan then
+# compares one character at most places.
+_COMMENT = r"!--.*?--\s*>"
+_CDATA = r"!\[CDATA\[.*?\]\s*\]\s*>"
+_CDATA_TEXT = _CDATA.replace(".*?", "(.*?)")
+_OTHER_TAG = rf"[a-zA-Z]{_TAG_REST}>|[!/?][^>]*>"
 
 
 def _raw_element(name: str, body: str = ".*?") -> str:
-    return rf"<{name}(?=[\s/>]){_TAG_REST}(?<!/)>{body}(?:</\s*{name}\s*>|\z)"
+    return rf"{name}(?=[\s/>]){_TAG_REST}(?<!/)>{body}(?:</\s*{name}\s*>|\z)"
 
 
 _STYLE = _raw_element("style")
 _SCRIPT = _raw_element("script")
 # Elements whose text is not part of the page text.
 _HIDDEN = "|".join(
-    rf"<{name}(?=[\s/>]){_TAG_REST}(?<!/)>.*?(?:</{name}(?=[\s/>])[^>]*>{end})"
+    rf"{name}(?=[\s/>]){_TAG_REST}(?<!/)>.*?(?:</{name}(?=[\s/>])[^>]*>{end})"
     for name, end in (("template", ""), ("rt", "|(?=</ruby[\\s>])"), ("rp", "|(?=</ruby[\\s>])"))
 )
-_MARKUP = rf"(?is){_COMMENT}|{_CDATA}|{_SCRIPT}|{_STYLE}|{_HIDDEN}|{_OTHER_TAG}"
+_MARKUP = rf"(?is)<(?:{_COMMENT}|{_CDATA_TEXT}|{_SCRIPT}|{_STYLE}|{_HIDDEN}|{_OTHER_TAG})"
 _LINK_TAGS = (
-    rf"(?is){_COMMENT}|{_CDATA.replace('(.*?)', '.*?')}|{_SCRIPT}|{_STYLE}"
-    rf"|(<a(?:rea)?(?=[\s/>]){_TAG_REST}>)|{_OTHER_TAG}"
-)
-_SCRIPT_BODIES = (
-    rf"(?is){_COMMENT}|{_CDATA.replace('(.*?)', '.*?')}|{_raw_element('script', '(.*?)')}|{_STYLE}|{_OTHER_TAG}"
+    rf"(?is)<(?:{_COMMENT}|{_CDATA}|{_SCRIPT}|{_STYLE}|(a(?:rea)?(?=[\s/>]){_TAG_REST}>)|{_OTHER_TAG})"
 )
+_SCRIPT_BODIES = rf"(?is)<(?:{_COMMENT}|{_CDATA}|{_raw_element('script', '(.*?)')}|{_STYLE}|{_OTHER_TAG})"
 _ATTRIBUTE = r"""(?s)[^\s/>=][^\s/>=]*(?:\s*=+\s*(?:"[^"]*"|'[^']*'|(?!["'])[^>\s]*))?"""
-_GAP = rf"(?<![{WHITESPACE_CLASS}])[{WHITESPACE_CLASS}]*+{_BREAK}[{_BREAK}{WHITESPACE_CLASS}]*+"
 
 # References that make up nearly all of those on real pages; looked up before the full table.
 _COMMON = {
@@ -53,21 +52,15 @@ _COMMON = {
 _LEGACY = sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)
 
 
-def _map_literal(table: dict[str, str]) -> Column:
-    """A constant map built from one string, which the optimizer folds to a literal."""
-    packed = "\x02".join(f"{k}\x03{v}" for k, v in table.items())
-    return F.str_to_map(F.lit(packed), F.lit("\x02"), F.lit("\x03"))
-
-
 def _lookup(name: Column) -> Column:
     full = {n.rstrip(";"): c for n, c in html5.items()}
     return F.coalesce(
-        F.try_element_at(_map_literal(_COMMON), name), F.try_element_at(_map_literal(full), name)
+        F.try_element_at(literal_map(_COMMON), name), F.try_element_at(literal_map(full), name)
     )
 
 
 def _lookup_legacy(name: Column) -> Column:
-    return F.try_element_at(_map_literal({n: html5[n] for n in _LEGACY}), name)
+    return F.try_element_at(literal_map({n: html5[n] for n in _LEGACY}), name)
 
 
 def _code_point(reference: Column) -> Column:
@@ -79,20 +72,16 @@ def _code_point(reference: Column) -> Column:
     bad = number.isNull() | (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
     return (
         F.when(bad, F.lit("\ufffd"))
-        .when(number.between(128, 159), F.try_element_at(_map_literal(windows), number.cast("string")))
+        .when(number.between(128, 159), F.try_element_at(literal_map(windows), number.cast("string")))
         .otherwise(F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
     )
 
 
 def _decode_references(text: Column, tokens: str, named) -> Column:
     """Split into references and the text between them, decode each reference once, join."""
-    simple = text
-    for name, character in _COMMON.items():
-        if name != "amp":
-            simple = F.replace(simple, F.lit(f"&{name};"), F.lit(character))
     decoded = F.array_join(
         F.transform(
-            F.regexp_extract_all(simple, F.lit(tokens), F.lit(0)),
+            F.regexp_extract_all(text, F.lit(tokens), F.lit(0)),
             lambda t: F.when(~t.startswith("&") | (F.length(t) == 1), t)
             .when(t == "&amp;", F.lit("&"))
             .when(t.startswith("&#"), _code_point(t))
@@ -102,7 +91,7 @@ def _decode_references(text: Column, tokens: str, named) -> Column:
     )
     return (
         F.when(~text.contains("&"), text)
-        .when(~simple.rlike("&(?!amp;)[a-zA-Z#]"), F.replace(simple, F.lit("&amp;"), F.lit("&")))
+        .when(~text.rlike("&(?!amp;)[a-zA-Z#]"), F.replace(text, F.lit("&amp;"), F.lit("&")))
         .otherwise(decoded)
     )
 
@@ -142,8 +131,8 @@ def html_unescape(text: Column | str) -> Column:
 def visible_text(html: Column | str) -> Column:
     """Text nodes of a page, stripped, blank ones dropped, joined by one space."""
     marked = F.regexp_replace(as_column(html), _MARKUP, f"{_BREAK}$1{_BREAK}")
-    joined = F.regexp_replace(unescape_text(marked), _GAP, " ")
-    return F.btrim(joined, F.lit(WHITESPACE + _BREAK))
+    nodes = F.transform(F.split(marked, _BREAK), lambda node: strip(unescape_text(node)))
+    return F.array_join(F.filter(nodes, lambda node: node != ""), " ")
 
 
 def _href_of(tag: Column) -> Column:
@@ -165,7 +154,7 @@ def page_links(html: Column | str) -> Column:
     links = F.transform(
         tags,
         lambda t: F.struct(
-            F.lower(F.regexp_extract(t, "(?i)^<(a(?:rea)?)", 1)).alias("tag"), _href_of(t).alias("href")
+            F.lower(F.regexp_extract(t, "(?i)^(a(?:rea)?)", 1)).alias("tag"), _href_of(t).alias("href")
         ),
     )
     return F.filter(links, lambda link: link["href"] != "")

@@ -14,11 +14,15 @@ from pyspark.sql import functions as F
 
 from .html import anchor_hrefs
 from .numbering import NUMBERING_PLAN, Region
-from .text import as_column, bind, split_list, strip, url_unquote
+from .text import as_column, bind, literal_map, split_list, strip, url_unquote
 from .urls import UNKNOWN_REGION, phone_region_of_url
 
+# Decimal digits: ASCII, full-width, Arabic-Indic and extended Arabic-Indic.
+_D = r"0-9\uff10-\uff19\u0660-\u0669\u06f0-\u06f9"
+_WIDE_DIGITS = "".join(chr(start + d) for start in (0xFF10, 0x0660, 0x06F0) for d in range(10))
+
 # Fixed value: numbers written with an international dialling prefix.
-IDD_PATTERN = r"(?:^|[^\d+])((?:00|011)[\s().-]*[1-9](?:[\s().-]*\d){6,})"
+IDD_PATTERN = rf"0(?<![{_D}+]0)(?:0|11)[\s\p{{Z}}().-]*+[1-9](?:[\s\p{{Z}}().-]*+[{_D}]){{6,}}+"
 
 _PLUS = r"+\uff0b"
 _LEAD = rf"[(\[\uff08\uff3b{_PLUS}]"
@@ -26,11 +30,16 @@ _PUNCT = (
     r"[-x\u2010-\u2015\u2212\u30fc\uff0d-\uff0f \u00a0\u00ad\u200b\u2060\u3000"
     r"()\uff08\uff09\uff3b\uff3d.\[\]/~\u2053\u223c]"
 )
-_RUN = rf"(?:{_LEAD}{_PUNCT}{{0,4}}){{0,2}}\p{{Nd}}{{1,20}}(?:{_PUNCT}{{0,4}}\p{{Nd}}{{1,20}}){{0,20}}+"
-# A letter, percent or currency sign that touches a run is kept with it and spoils it later.
-_SPOILER = r"[\p{IsLatin}%\p{Sc}]"
-_RUN_IN_CONTEXT = rf"(?:{_SPOILER}(?!{_LEAD}))?{_RUN}{_SPOILER}?"
-_ENOUGH_DIGITS = r"(?:\p{Nd}[^\p{Nd}]*){5}"
+_RUN = rf"(?:{_LEAD}{_PUNCT}{{0,4}}+){{0,2}}[{_D}]{{1,20}}+(?:{_PUNCT}{{0,4}}+[{_D}]{{1,20}}+){{0,20}}+"
+# A Latin letter, percent or currency sign that touches a number makes it something else.
+_SPOILER = r"\p{IsLatin}%\p{Sc}"
+# Digits right behind such a character are skipped; the character behind a run is read along.
+# The look-ahead comes first: at most places of a text it fails after one comparison.
+_RUN_IN_CONTEXT = (
+    rf"(?s)(?=[{_D}(\[\uff08\uff3b{_PLUS}])"
+    rf"(?:(?:(?<![{_SPOILER}])|(?={_LEAD}))({_RUN}[^(\[\uff08\uff3b{_PLUS}{_D}]?)|[{_D}]{{1,20}}+)"
+)
+_ENOUGH_DIGITS = rf"(?:[{_D}][^{_D}]*){{5}}"
 
 _OPEN, _CLOSE = r"[(\[\uff08\uff3b]", r"[)\]\uff09\uff3d]"
 _INSIDE = r"[^()\[\]\uff08\uff09\uff3b\uff3d]"
@@ -39,24 +48,18 @@ _BRACKETS_MATCH = (
 )
 _PUBLICATION_PAGES = r"\d{1,5}-+\d{1,5}\s{0,4}\(\d{1,4}"
 _DATE = r"(?:[0-3]?\d/[01]?\d|[01]?\d/[0-3]?\d)/(?:[12]\d)?\d{2}"
-_TIMESTAMP = r"[12]\d{3}[-/]?[01]\d[-/]?[0-3]\d +[0-2]\d$"
+_TIMESTAMP = r"[12]\d{3}[-/]?[01]\d[-/]?[0-3]\d +[0-2]\d:$"
 _EXTENSION = r"(?i)(?:[ \u00a0]*(?:x|#|ext\.?)[ \u00a0.]*\d{1,7})$"
-_LEADING_JUNK = rf"^[^\p{{Nd}}\p{{L}}%\p{{Sc}}{_PLUS}(\[\uff08\uff3b]+"
-_TRAILING_JUNK = r"[^\p{Nd}\p{L}%\p{Sc}]+$"
+_LEADING_JUNK = rf"^(?:[^{_D}{_SPOILER}{_PLUS}(\[\uff08\uff3b]+|[{_SPOILER}](?={_LEAD}))"
+_TRAILING_JUNK = rf"[^{_D}{_SPOILER}]+$"
 # Where a run that is no number as a whole is cut, in the order tried.
 _CUTS = (r"/+", r"(?=\()", r"\s-|-\s", r"[\u2012-\u2015\uff0d]\s*", r"\.+\s*", r"\s+")
 
-_WIDE_DIGITS = "".join(chr(start + d) for start in (0xFF10, 0x0660, 0x06F0) for d in range(10))
-
 
 def _none() -> Column:
     return F.array().cast("array<string>")
 
 
-def _literal_map(pairs) -> Column:
-    return F.create_map(*[F.lit(x) for pair in pairs for x in pair])
-
-
 def normalize_regions(regions: Column | str) -> Column:
     """Region codes: trimmed, upper-cased, blanks and ``ZZ`` dropped, distinct, in order."""
     cleaned = F.transform(as_column(regions), lambda r: F.upper(strip(r)))
@@ -113,7 +116,20 @@ def ascii_digits(raw: Column) -> Column:
 
 
 def written_with_plus(raw: Column) -> Column:
-    return raw.rlike(rf"^[^\p{{Nd}}{_PLUS}]*[{_PLUS}]")
+    return raw.rlike(rf"^[^{_D}{_PLUS}]*[{_PLUS}]")
+
+
+def _plan_columns(plan: tuple[Region, ...]) -> tuple[dict[str, str], ...]:
+    """Per region: calling code, international prefix, trunk prefix, whether text must show it.
+
+    Trunk prefixes are one character; several alternatives are written as a set of them.
+    """
+    return (
+        {r.region: r.calling_code for r in plan},
+        {r.region: r.idd for r in plan},
+        {r.region: r.trunk.strip("[]") for r in plan},
+        {r.region: "yes" if r.trunk_required else "no" for r in plan},
+    )
 
 
 def parse_phone(
@@ -138,16 +154,14 @@ def parse_phone(
     def readings(digits: Column) -> Column:
         if region is None:
             return F.when(written_with_plus(raw), abroad(digits))
-        code = F.try_element_at(_literal_map((r.region, r.calling_code) for r in plan), region)
-        idd = F.try_element_at(_literal_map((r.region, r.idd) for r in plan), region)
-        # Trunk prefixes are one character; several alternatives are written as a set.
-        trunk = F.try_element_at(_literal_map((r.region, r.trunk.strip("[]")) for r in plan), region)
+        code, idd, trunk, required = (
+            F.try_element_at(literal_map(column), region) for column in _plan_columns(tuple(plan))
+        )
         rest = F.substring(digits, F.lit(2), F.length(digits))
         behind_trunk = F.when((trunk != "") & F.contains(trunk, F.substring(digits, 1, 1)), F.concat(code, rest))
         bare = F.concat(code, digits)
         if in_text:
-            required = [r.region for r in plan if r.trunk_required]
-            bare = F.when(~F.coalesce(region.isin(*required), F.lit(False)), bare) if required else bare
+            bare = F.when(required == "no", bare)
         local = F.array(behind_trunk, bare, F.when(digits.startswith(code), digits))
         dialled = F.when(
             digits.startswith(idd),
@@ -184,7 +198,7 @@ def normalize_idd_prefix(raw: Column | str) -> Column:
 
 def phone_runs(text: Column | str) -> Column:
     """Maximal runs of digits and phone punctuation; the same for every region."""
-    runs = F.regexp_extract_all(as_column(text), F.lit(_RUN_IN_CONTEXT), F.lit(0))
+    runs = F.regexp_extract_all(as_column(text), F.lit(_RUN_IN_CONTEXT), F.lit(1))
     return F.filter(runs, lambda r: r.rlike(_ENOUGH_DIGITS))
 
 
@@ -204,7 +218,7 @@ def _levels(run: Column) -> Column:
                 ),
             ),
             lambda p: p.rlike(_ENOUGH_DIGITS)
-            & ~p.rlike(r"^[\p{L}%\p{Sc}]|[\p{L}%\p{Sc}]$")
+            & ~p.rlike(rf"^[{_SPOILER}]|[{_SPOILER}]$")
             & p.rlike(_BRACKETS_MATCH)
             & ~p.rlike(_PUBLICATION_PAGES),
         ),
@@ -273,7 +287,7 @@ def phones_of_candidates(
 
 def idd_candidates(text: Column | str) -> Column:
     """Numbers written with ``00`` or ``011``, rewritten to start with ``+``."""
-    found = F.regexp_extract_all(as_column(text), F.lit("(?U)" + IDD_PATTERN), F.lit(1))
+    found = F.regexp_extract_all(as_column(text), F.lit(IDD_PATTERN), F.lit(0))
     return F.transform(found, normalize_idd_prefix)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import as_column
+from .text import as_column, lookup_weight
 from .urls import url_path, url_query
 
 # Weight of a word in the path or query.
@@ -32,10 +32,6 @@ HOME_PATHS = ("/", "/index.html", "/index.htm")
 HOME_WEIGHT = -5
 
 
-def _weights(table: dict[str, int]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-
-
 def url_priority_score(url: Column | str) -> Column:
     """Integer score of a URL; lower is fetched earlier."""
     url = as_column(url)
@@ -45,16 +41,13 @@ def url_priority_score(url: Column | str) -> Column:
     words = F.array_distinct(
         F.regexp_extract_all(F.concat(path, F.lit("?"), query), F.lit("[a-z0-9]+"), F.lit(0))
     )
-    keywords = _weights(KEYWORD_WEIGHTS)
-    word_score = F.aggregate(
-        words, F.lit(0), lambda total, w: total + F.coalesce(F.try_element_at(keywords, w), F.lit(0))
-    )
+    word_score = F.aggregate(words, F.lit(0), lambda total, w: total + lookup_weight(KEYWORD_WEIGHTS, w))
     depth = F.size(F.filter(F.split(path, "/"), lambda s: s != ""))
     extension = F.regexp_extract(path, r"[^/.][^/]*\.([^/.]*)$", 1)
     return (
         word_score
         + F.when(query != "", F.lit(QUERY_WEIGHT)).otherwise(F.lit(0))
         + F.least(depth, F.lit(MAX_DEPTH_WEIGHT))
-        + F.coalesce(F.try_element_at(_weights(EXTENSION_WEIGHTS), extension), F.lit(0))
+        + lookup_weight(EXTENSION_WEIGHTS, extension)
         + F.when(path.isin(*HOME_PATHS), F.lit(HOME_WEIGHT)).otherwise(F.lit(0))
     ).cast("int")

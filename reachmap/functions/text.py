@@ -46,3 +46,15 @@ def string_array(*items: str) -> Column:
 def split_list(value: Column | str) -> Column:
     """Split an option written as one string on commas and semicolons."""
     return F.split(as_column(value), "[,;]")
+
+
+def literal_map(table: dict[str, str]) -> Column:
+    """A constant MAP<STRING,STRING>, written as one literal which the optimizer folds."""
+    packed = "\x02".join(f"{k}\x03{v}" for k, v in table.items())
+    return F.str_to_map(F.lit(packed), F.lit("\x02"), F.lit("\x03"))
+
+
+def lookup_weight(table: dict[str, int], key: Column) -> Column:
+    """The integer of a key in a constant table, 0 for other keys."""
+    found = F.try_element_at(literal_map({k: str(v) for k, v in table.items()}), key)
+    return F.coalesce(found.cast("int"), F.lit(0))

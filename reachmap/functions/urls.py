@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import as_column, bind, strip
+from .text import as_column, bind, literal_map, strip
 
 # Country-code top-level domains with a known phone region.
 TLD_REGIONS = {
@@ -102,9 +102,8 @@ def is_same_site(url: Column | str, base_key: Column | str) -> Column:
 
 def phone_region_of_url(url: Column | str) -> Column:
     """Phone region suggested by the top-level domain; ``ZZ`` if it suggests none."""
-    table = F.create_map(*[F.lit(x) for pair in TLD_REGIONS.items() for x in pair])
     label = F.substring_index(F.btrim(url_host(url), F.lit(".")), ".", -1)
-    return F.coalesce(F.try_element_at(table, label), F.lit(UNKNOWN_REGION))
+    return F.coalesce(F.try_element_at(literal_map(TLD_REGIONS), label), F.lit(UNKNOWN_REGION))
 
 
 def is_page_href(href: Column | str) -> Column:

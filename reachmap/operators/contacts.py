@@ -12,6 +12,7 @@ from ..functions.html import page_links, visible_text
 from ..functions.numbering import NUMBERING_PLAN, Region
 from ..functions.phones import effective_regions, idd_candidates, phone_runs, phones_of_candidates, tel_candidates
 from ..functions.urls import normalize_url, site_key
+from ..sources.workspace import Workspace
 
 EMAIL, PHONE = "email", "phone"
 NO_STRINGS = "array<string>"
@@ -125,7 +126,8 @@ def contact_lists(distinct_contacts: DataFrame, key: str = "site_key", part_size
 
     Nearly every site has one part (``part`` 0 of ``parts`` 1). A site with more than
     ``part_size`` contacts gets several rows, its contacts spread over them by hash, so no
-    task ever holds an unbounded list and nothing is cut off.
+    task ever holds an unbounded list and nothing is cut off. The input is read twice (count,
+    then lists): give a written table, not an extraction still to run.
     """
     counts = distinct_contacts.groupBy(key).agg(
         F.ceil(F.count(F.lit(1)) / F.lit(part_size)).cast("int").alias("parts")
@@ -142,6 +144,13 @@ def contact_lists(distinct_contacts: DataFrame, key: str = "site_key", part_size
     )
 
 
+def site_contact_lists(pages: DataFrame, part_size: int = 100_000, **options) -> DataFrame:
+    """Contact lists of every site of a page table, extracting once into a written table."""
+    work = Workspace(pages.sparkSession, "lists")
+    stored = work.write(contacts_by_site(pages, **options).drop("n_pages"), "contacts")
+    return contact_lists(stored, part_size=part_size)
+
+
 def contacts_by_site(pages: DataFrame, **options) -> DataFrame:
     """Distinct contacts of every site of a page table: site_key, kind, contact, n_pages."""
     keyed = pages.withColumn("site_key", site_key(normalize_url("url")))

@@ -21,7 +21,16 @@ def scan_pages(spark: SparkSession, path: str, format: str = "parquet") -> DataF
     pages = reader.load(path)
     if "final_url" not in pages.columns:
         pages = pages.withColumn("final_url", F.col("url"))
-    return pages.select("page_id", "url", F.coalesce("final_url", "url").alias("final_url"), "html")
+    return spread(pages.select("page_id", "url", F.coalesce("final_url", "url").alias("final_url"), "html"))
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """Use all cores for a table stored in fewer pieces than there are cores.
+
+    Such a table is small; one with more pieces keeps its scan partitions and isn't shuffled.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
 
 
 def scan_responses(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
