@@ -118,10 +118,10 @@ def html_unescape(text: Column | str) -> Column:
         name = F.regexp_replace(token, "^&|;$", "")
         prefix = F.regexp_extract(token, "^&(" + "|".join(_LEGACY) + ")", 1)
         tail = F.substring(token, F.length(prefix) + F.lit(2), F.length(token))
-        return (
-            F.when(token.endswith(";") & _lookup(name).isNotNull(), _lookup(name))
-            .when(prefix != "", F.concat(_lookup_legacy(prefix), tail))
-            .otherwise(token)
+        return F.coalesce(
+            F.when(token.endswith(";"), _lookup(name)),
+            F.when(prefix != "", F.concat(_lookup_legacy(prefix), tail)),
+            token,
         )
 
     tokens = r"(?s)&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[^\t\n\f <&#;]{1,32};?|[^&]++|&"
