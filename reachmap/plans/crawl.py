@@ -59,26 +59,28 @@ def _own_form(url_q: Column, include_query: Column) -> Column:
     return F.when(include_query, url_q).otherwise(drop_query(url_q))
 
 
-def _seed_pages(pages: DataFrame, requests: DataFrame) -> DataFrame:
-    """Requests with their seed page (the one of least id among copies), base key and regions."""
-    narrow = _narrow(pages)
-    starts = requests.select("site_id", "include_query", F.col("start").alias("url"))
-    # Both forms of a page's URL are join keys; a page without a query has one.
-    keyed = narrow.select(
-        "page_id", "final_url", "reason",
-        F.explode(
-            F.array(
-                F.struct(F.lit(False).alias("include_query"), drop_query("url_q").alias("url")),
-                F.struct(F.lit(True).alias("include_query"), F.col("url_q").alias("url")),
-            )
-        ).alias("key"),
-    ).select("page_id", "final_url", "reason", "key.include_query", "key.url")
+def _keyed(narrow: DataFrame, forms: list[bool]) -> DataFrame:
+    """Pages under the URL forms in use: without query, with query, or both."""
+    structs = [
+        F.struct(F.lit(form).alias("include_query"), (F.col("url_q") if form else drop_query("url_q")).alias("url"))
+        for form in forms
+    ]
+    keyed = narrow.withColumn("key", F.explode(F.array(*structs))).drop("url_q")
+    return keyed.select("*", "key.include_query", "key.url").drop("key")
+
+
+def _seed_pages(pages: DataFrame, requests: DataFrame, forms: list[bool]) -> DataFrame:
+    """Requests with their seed page (the one of least id among copies), base key and regions.
+
+    Few seeds prune the scan; copies of a page are combined map-side before the join.
+    """
     found = (
-        keyed.join(starts, ["include_query", "url"])
-        .groupBy("site_id")
+        keep_matching(_keyed(_narrow(pages), forms), requests.select(F.col("start").alias("url")), "url")
+        .groupBy("include_query", "url")
         .agg(F.min(F.struct("page_id", "final_url", "reason")).alias("seed"))
+        .withColumnRenamed("url", "start")
     )
-    joined = requests.join(found, "site_id", "left")
+    joined = requests.join(found, ["include_query", "start"], "left")
     usable = F.col("seed.reason") == OK
     final = F.when(usable, normalize_url(F.col("seed.final_url"), F.col("include_query")))
     return (
@@ -108,18 +110,9 @@ def _relevant(pages: DataFrame, sites: DataFrame, work: Workspace, deep: bool) -
 
 def _index(pages: DataFrame, forms: list[bool]) -> DataFrame:
     """(include_query, url) -> page of least id; copies of a URL meet in the partial aggregate."""
-    structs = [
-        F.struct(
-            F.lit(form).alias("include_query"),
-            (F.col("url_q") if form else drop_query("url_q")).alias("url"),
-        )
-        for form in forms
-    ]
-    keyed = _narrow(pages).select(
-        "page_id", "reason", F.explode(F.array(*structs)).alias("key")
-    ).select("page_id", "reason", "key.include_query", "key.url")
     return (
-        keyed.groupBy("include_query", "url")
+        _keyed(_narrow(pages).drop("final_url"), forms)
+        .groupBy("include_query", "url")
         .agg(F.min(F.struct("page_id", "reason")).alias("page"))
         .select("include_query", "url", "page.page_id", "page.reason")
     )
@@ -227,14 +220,15 @@ def crawl(
     started = requests.withColumn("start", normalize_url("start_url", F.col("include_query")))
     rejected = started.where(F.col("start").isNull()).select("site_id", "start_url")
     starts = work.write(started.where(F.col("start").isNotNull()), "requests")
-    sites = work.write(_seed_pages(pages, starts), "sites")
 
     # One small row: the bounds of the loop and the URL forms in use.
-    bounds = sites.agg(
+    bounds = starts.agg(
         F.max("max_depth").alias("depth"), F.max("max_pages").alias("pages"),
         F.collect_set("include_query").alias("forms"),
     ).first()
     max_depth, page_budget = bounds["depth"] or 0, bounds["pages"] or 1
+    forms = sorted(bounds["forms"]) or [False]
+    sites = work.write(_seed_pages(pages, starts, forms), "sites")
     deep = max_depth > 0
 
     relevant = _relevant(pages, sites, work, deep)
@@ -247,7 +241,7 @@ def crawl(
     )
     waves = [work.write(seeds, "wave-0")]
     if deep:
-        index = work.write(_index(relevant, sorted(bounds["forms"])), "index")
+        index = work.write(_index(relevant, forms), "index")
         for depth in range(1, max_depth + 1):
             visited = _union(waves).where("admitted")
             candidates = _expand(waves[-1].where("admitted"), facts, visited)

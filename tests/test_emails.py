@@ -1,3 +1,7 @@
+import random
+import re
+import time
+
 from pyspark.sql import functions as F
 
 from reachmap.functions import emails, html
@@ -29,6 +33,20 @@ def test_candidates(value):
     assert value(emails.email_candidates("x"), list(cases)) == list(cases.values())
 
 
+def test_candidates_are_the_matches_of_the_pattern(value):
+    rng = random.Random(3)
+    parts = ["a", "b1", "_", ".", "-", "+", "%", "@", "@x.com", "@y.co", " ", "é", "€", ",", "9", "..", "Z.org", "@q"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(4000)]
+    expected = [[m.strip(emails.EDGE_PUNCTUATION) for m in re.findall(emails.EMAIL_PATTERN, t)] for t in texts]
+    assert value(emails.email_candidates("x"), texts) == expected
+
+
+def test_long_runs_take_linear_time(value):
+    started = time.monotonic()
+    assert value(emails.email_candidates("x"), ["%D0%BF" * 200_000 + " a@b.com"]) == [["a@b.com"]]
+    assert time.monotonic() - started < 30
+
+
 def test_mailto(value):
     rows = ["mailto:Sales%40b.com?subject=a@b", "MAILTO: a@b.com , c@d.com", "mailto:a+b%zz@c.com", "mailto:?to=x", "mailto:,a@b.com"]
     assert value(emails.mailto_address("x"), rows) == ["Sales@b.com", "a@b.com", "a+b%zz@c.com", "", ""]
