@@ -37,8 +37,16 @@ _PATH = r"(?s)^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)"
 _QUERY = r"(?s)^[^?#]*\?([^#]*)"
 
 
+# URLs that are their own normal form, but for a query that may have to go.
+_PLAIN = r"^https?://[a-z0-9.-]+/[^?#\x00-\x1f]*+(?:\?[^#\x00-\x1f]++)?$"
+# Hrefs from the root of the host, without fragment, dot segments and characters to clean.
+_ROOTED = r"^(?!.*/\.{1,2}(?:[/?]|$))/(?!/)[^?#\x00-\x20]*+(?:\?[^#\x00-\x20]++)?$"
+
+
 def _clean(url: Column) -> Column:
-    return F.ltrim(F.translate(url, "\t\r\n", ""), F.lit(_CONTROL_OR_SPACE))
+    """Drop tabs and line ends anywhere, control characters and blanks in front."""
+    cleaned = F.ltrim(F.translate(url, "\t\r\n", ""), F.lit(_CONTROL_OR_SPACE))
+    return F.when(url.rlike(r"^[\x00-\x20]|[\t\r\n]"), cleaned).otherwise(url)
 
 
 def normalize_url(url: Column | str, include_query: Column | bool = False) -> Column:
@@ -48,9 +56,15 @@ def normalize_url(url: Column | str, include_query: Column | bool = False) -> Co
     path becomes ``/``. Path and query keep their case and encoding. The query is kept only
     if ``include_query`` is true (a Python bool or a boolean column).
     """
-    pieces = F.split(
-        F.regexp_replace(_clean(as_column(url)), _HTTP_URL, _SEP.join("$%d" % i for i in range(1, 6))), _SEP
-    )
+    url = as_column(url)
+    keep_query = F.lit(include_query) if isinstance(include_query, bool) else include_query
+    return F.when(
+        url.rlike(_PLAIN), F.when(keep_query, url).otherwise(drop_query(url))
+    ).otherwise(_normalize(_clean(url), keep_query))
+
+
+def _normalize(url: Column, keep_query: Column) -> Column:
+    pieces = F.split(F.regexp_replace(url, _HTTP_URL, _SEP.join("$%d" % i for i in range(1, 6))), _SEP)
 
     def assemble(part: Column) -> Column:
         scheme = F.lower(part[0])
@@ -60,7 +74,6 @@ def normalize_url(url: Column | str, include_query: Column | bool = False) -> Co
             F.concat(F.lit(":"), port.cast("string"))
         )
         path = F.when(part[3] == "", F.lit("/")).otherwise(part[3])
-        keep_query = F.lit(include_query) if isinstance(include_query, bool) else include_query
         query = F.when(keep_query & (part[4] != ""), F.concat(F.lit("?"), part[4])).otherwise(F.lit(""))
         usable = (F.size(part) == 5) & (F.length(part[2]) <= 30) & (port.isNull() | (port <= 65535))
         return F.when(usable, F.concat(scheme, F.lit("://"), F.lower(part[1]), port_text, path, query))
@@ -88,6 +101,12 @@ def site_key(url: Column | str) -> Column:
     return strip_www(url_host(url))
 
 
+def normalized_site_key(url: Column | str) -> Column:
+    """``site_key`` of a URL known to be in normal form, read off in one match."""
+    key = F.regexp_extract(as_column(url), r"^https?://(?:www\.)?([^/:?#]+)", 1)
+    return F.when(key != "", key)
+
+
 def origin(url: Column | str) -> Column:
     """``scheme://host[:port]`` of an absolute URL, else NULL."""
     text = _clean(as_column(url))
@@ -138,33 +157,55 @@ def resolve_href(base: Column | str, href: Column | str, include_query: Column |
 
     ``base`` must be a normalised URL. NULL if the target is not an http(s) page.
     """
-    base = as_column(base)
-    text = _clean(as_column(href))
+    base, href = as_column(base), as_column(href)
+    keep_query = F.lit(include_query) if isinstance(include_query, bool) else include_query
+    rooted = F.concat(_root(base), href)
+    return F.when(
+        href.rlike(_ROOTED), F.when(keep_query, rooted).otherwise(drop_query(rooted))
+    ).otherwise(
+        bind(
+            bind(_clean(href), lambda text: _join(base, text)), lambda url: normalize_url(url, keep_query)
+        )
+    )
+
+
+def _root(base: Column) -> Column:
+    return F.regexp_extract(base, r"(?s)^([a-z]+://[^/?#]*)", 1)
+
+
+def _join(base: Column, text: Column) -> Column:
+    """The absolute URL of any cleaned reference."""
     base_scheme = F.substring_index(base, ":", 1)
     scheme = F.lower(F.regexp_extract(text, r"(?s)^([a-zA-Z][a-zA-Z0-9+.-]*):", 1))
     foreign = (scheme != "") & (scheme != base_scheme)
     rest = F.when(scheme != "", F.regexp_replace(text, r"(?s)^[^:]*:", "")).otherwise(text)
-    rest = F.regexp_replace(rest, r"(?s)^//(?=[/?#]|$)", "")
+    return F.when(foreign, text).otherwise(
+        bind(
+            F.regexp_replace(rest, r"(?s)^//(?=[/?#]|$)", ""),
+            lambda r: F.when(r.startswith("//"), F.concat(base_scheme, F.lit(":"), r)).otherwise(
+                F.concat(_root(base), _join_path(base, r))
+            ),
+        )
+    )
 
-    base_root = F.regexp_extract(base, r"(?s)^([a-z]+://[^/?#]*)", 1)
-    base_path = F.regexp_extract(base, _PATH, 1)
-    base_query = F.regexp_extract(base, _QUERY, 1)
-    path = F.regexp_extract(rest, r"(?s)^([^?#]*)", 1)
-    query = F.regexp_extract(rest, _QUERY, 1)
 
-    directory = F.regexp_replace(base_path, r"[^/]*$", "")
+def _join_path(base: Column, reference: Column) -> Column:
+    """Path and query of a reference without scheme and host."""
+    path = F.regexp_extract(reference, r"(?s)^([^?#]*)", 1)
+    query = F.regexp_extract(reference, _QUERY, 1)
+    base_path = F.regexp_extract(base, _PATH, 1)
     merged = F.when(path.startswith("/"), path).otherwise(
-        F.regexp_replace(F.concat(directory, path), "/{2,}", "/")
+        F.regexp_replace(F.concat(F.regexp_replace(base_path, r"[^/]*$", ""), path), "/{2,}", "/")
     )
-    resolved = F.when(merged.rlike(r"(?:^|/)\.{1,2}(?:/|$)"), _remove_dot_segments(merged)).otherwise(merged)
-    target_path = F.when(path == "", base_path).otherwise(resolved)
-    target_query = F.when((path == "") & (query == ""), base_query).otherwise(query)
-    absolute = (
-        F.when(foreign, text)
-        .when(rest.startswith("//"), F.concat(base_scheme, F.lit(":"), rest))
-        .otherwise(F.concat(base_root, target_path, F.lit("?"), target_query))
+    resolved = bind(
+        merged, lambda p: F.when(p.rlike(r"(?:^|/)\.{1,2}(?:/|$)"), _remove_dot_segments(p)).otherwise(p)
     )
-    return normalize_url(absolute, include_query)
+    return F.when(
+        path == "",
+        F.concat(
+            base_path, F.lit("?"), F.when(query == "", F.regexp_extract(base, _QUERY, 1)).otherwise(query)
+        ),
+    ).otherwise(F.concat(resolved, F.lit("?"), query))
 
 
 def url_path(url: Column | str) -> Column:

@@ -11,7 +11,7 @@ from ..functions.emails import cloaked_candidates, domain_allowed, email_candida
 from ..functions.html import page_links, visible_text
 from ..functions.numbering import NUMBERING_PLAN, Region
 from ..functions.phones import effective_regions, idd_candidates, phone_runs, phones_of_candidates, tel_candidates
-from ..functions.urls import normalize_url, site_key
+from ..functions.urls import normalize_url, normalized_site_key
 from ..sources.workspace import Workspace
 
 EMAIL, PHONE = "email", "phone"
@@ -153,6 +153,6 @@ def site_contact_lists(pages: DataFrame, part_size: int = 100_000, **options) ->
 
 def contacts_by_site(pages: DataFrame, **options) -> DataFrame:
     """Distinct contacts of every site of a page table: site_key, kind, contact, n_pages."""
-    keyed = pages.withColumn("site_key", site_key(normalize_url("url")))
+    keyed = pages.withColumn("site_key", normalized_site_key(normalize_url("url")))
     contacts = page_contacts(keyed, **options).where(F.col("site_key").isNotNull())
     return site_contacts(contact_rows(contacts))

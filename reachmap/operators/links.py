@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.html import page_links
 from ..functions.scoring import url_priority_score
-from ..functions.urls import is_page_href, resolve_href, site_key
+from ..functions.urls import is_page_href, normalized_site_key, resolve_href, site_key
 
 
 def link_rows(pages: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def resolved_links(links: DataFrame, include_query: bool = True) -> DataFrame:
     )
     return (
         targets.where(F.col("dst_url").isNotNull())
-        .withColumn("dst_key", site_key("dst_url"))
+        .withColumn("dst_key", normalized_site_key("dst_url"))
         .withColumn("same_site", F.col("dst_key") == site_key("final_url"))
     )
 

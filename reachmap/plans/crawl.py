@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..functions.numbering import NUMBERING_PLAN, Region
 from ..functions.phones import effective_regions
 from ..functions.scoring import url_priority_score
-from ..functions.urls import drop_query, is_page_href, normalize_url, origin, resolve_href, site_key
+from ..functions.urls import drop_query, is_page_href, normalize_url, normalized_site_key, origin, resolve_href
 from ..operators.contacts import contact_rows, no_strings, page_candidates, read_candidates
 from ..operators.responses import OK
 from ..sources.workspace import Workspace, keep_matching
@@ -85,7 +85,7 @@ def _seed_pages(pages: DataFrame, requests: DataFrame, forms: list[bool]) -> Dat
     final = F.when(usable, normalize_url(F.col("seed.final_url"), F.col("include_query")))
     return (
         joined.withColumn("effective_start", F.coalesce(final, F.col("start")))
-        .withColumn("base_key", site_key("effective_start"))
+        .withColumn("base_key", normalized_site_key("effective_start"))
         .withColumn("regions", effective_regions("phone_regions", "effective_start"))
         .withColumn("seed_page_id", F.col("seed.page_id"))
         .withColumn("seed_reason", F.coalesce(F.col("seed.reason"), F.lit(NOT_IN_TABLE)))
@@ -102,9 +102,9 @@ def _relevant(pages: DataFrame, sites: DataFrame, work: Workspace, deep: bool) -
         )
         return keep_matching(pages, ids, "page_id")
     keys = work.write(
-        sites.select(F.explode(F.array("base_key", site_key("start"))).alias("page_key")).distinct(), "site_keys"
+        sites.select(F.explode(F.array("base_key", normalized_site_key("start"))).alias("page_key")).distinct(), "site_keys"
     )
-    keyed = pages.withColumn("page_key", site_key(normalize_url("url")))
+    keyed = pages.withColumn("page_key", normalized_site_key(normalize_url("url")))
     return keep_matching(keyed, keys, "page_key").drop("page_key")
 
 
@@ -127,7 +127,7 @@ def _facts(pages: DataFrame) -> DataFrame:
     candidates = page_candidates(
         pages.select("page_id", "url", "final_url", "html").withColumn("final_url", normalize_url("final_url", True))
     )
-    own = F.array_compact(F.array(site_key(normalize_url("url")), site_key("final_url")))
+    own = F.array_compact(F.array(normalized_site_key(normalize_url("url")), normalized_site_key("final_url")))
     positioned = F.transform(
         "links",
         lambda link, i: F.struct(
@@ -139,7 +139,7 @@ def _facts(pages: DataFrame) -> DataFrame:
         own.alias("own"), positioned.alias("targets"),
     )
     keyed = F.transform(
-        "targets", lambda t: F.struct(t["pos"].alias("pos"), t["url"].alias("url"), site_key(t["url"]).alias("key"))
+        "targets", lambda t: F.struct(t["pos"].alias("pos"), t["url"].alias("url"), normalized_site_key(t["url"]).alias("key"))
     )
     return staged.select(
         "page_id", "parsed", "emails", "runs", "dialled", "tel", "n_links",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.urls import normalize_url, site_key
+from ..functions.urls import normalize_url, normalized_site_key
 from ..operators.contacts import contact_rows, page_contacts
 from ..operators.responses import OK, classify_responses
 from ..sources.tables import PAGES_SCHEMA, RESPONSES_SCHEMA
@@ -27,7 +27,7 @@ def stream_responses(spark: SparkSession, path: str, format: str = "parquet", fi
 def with_site_key(pages: DataFrame) -> DataFrame:
     """Key pages by site and normalised URL; pages with unusable URLs are dropped."""
     keyed = pages.withColumn("url", normalize_url("url", True)).where(F.col("url").isNotNull())
-    return keyed.withColumn("site_key", site_key("url"))
+    return keyed.withColumn("site_key", normalized_site_key("url"))
 
 
 def dedupe_pages(pages: DataFrame, delay: str = "1 day") -> DataFrame:
