@@ -129,11 +129,14 @@ def contact_lists(distinct_contacts: DataFrame, key: str = "site_key", part_size
     task ever holds an unbounded list and nothing is cut off. The input is read twice (count,
     then lists): give a written table, not an extraction still to run.
     """
+    # The join on the site is salted: a huge site's rows go to many tasks.
+    salts = 32
     counts = distinct_contacts.groupBy(key).agg(
         F.ceil(F.count(F.lit(1)) / F.lit(part_size)).cast("int").alias("parts")
-    )
-    spread = distinct_contacts.join(counts, key).withColumn(
-        "part", F.pmod(F.xxhash64("contact"), F.col("parts")).cast("int")
+    ).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = distinct_contacts.withColumn("salt", F.pmod(F.xxhash64("contact"), F.lit(salts)).cast("int"))
+    spread = salted.join(counts, [key, "salt"]).withColumn(
+        "part", F.pmod(F.hash("contact"), F.col("parts"))
     )
 
     def sorted_list(kind: str) -> Column:

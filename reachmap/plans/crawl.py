@@ -147,6 +147,23 @@ def _facts(pages: DataFrame) -> DataFrame:
     )
 
 
+def _place(fetch_rank: Column, score: Column, pos: Column) -> Column:
+    """(parent's fetch order, score, place on the page) as one sortable number.
+
+    A page budget is at most 5,000, scores stay within a thousand of zero, and no page has 16
+    million links; a number, unlike a struct, can be combined in a hash aggregate.
+    """
+    return (
+        F.shiftleft(fetch_rank.cast("bigint"), 40)
+        + F.shiftleft((score + 32768).cast("bigint"), 24)
+        + pos.cast("bigint")
+    )
+
+
+def _score_of(place: Column) -> Column:
+    return F.shiftright(place, 24).bitwiseAND(F.lit(0xFFFF)) - 32768
+
+
 def _expand(frontier: DataFrame, facts: DataFrame, visited: DataFrame) -> DataFrame:
     """New URLs of the pages of a wave, each with the place that decides its admission."""
     # The budget bounds the frontier; the optimizer sees its size and picks the join.
@@ -163,10 +180,10 @@ def _expand(frontier: DataFrame, facts: DataFrame, visited: DataFrame) -> DataFr
     scored = links.withColumn(
         "score", F.when(F.col("focused_crawling"), url_priority_score("url")).otherwise(F.lit(0))
     )
-    # One row a new URL: its first place in (parent's fetch order, score, place on the page).
+    # One row a new URL, at its first place. The other columns are the same for a whole site.
     once = scored.groupBy("site_id", "url").agg(
-        F.min(F.struct("fetch_rank", "score", "t.pos")).alias("place"),
-        F.first(F.struct("depth", "base_key", "discovered", *_SITE_OPTIONS)).alias("site"),
+        F.min(_place(F.col("fetch_rank"), F.col("score"), F.col("t.pos"))).alias("place"),
+        *[F.first(name).alias(name) for name in ("depth", "discovered", *_SITE_OPTIONS)],
     )
     return once.join(visited.select("site_id", "url"), ["site_id", "url"], "left_anti")
 
@@ -181,21 +198,22 @@ def _admit(candidates: DataFrame, page_budget: int) -> DataFrame:
     ranked = candidates.withColumn("admission", F.row_number().over(by_place)).where(
         F.col("admission") <= page_budget + 1
     )
-    room = F.col("site.max_pages") - F.col("site.discovered")
+    room = F.col("max_pages") - F.col("discovered")
     kept = ranked.where(F.col("admission") <= F.greatest(room, F.lit(0)) + 1).withColumn(
         "admitted", F.col("admission") <= room
     )
-    by_score = Window.partitionBy("site_id").orderBy(F.desc("admitted"), "place.score", "admission")
+    by_score = Window.partitionBy("site_id").orderBy(F.desc("admitted"), _score_of(F.col("place")), "admission")
     whole_site = Window.partitionBy("site_id")
     return kept.select(
         "site_id",
-        (F.col("site.depth") + 1).alias("depth"),
+        (F.col("depth") + 1).alias("depth"),
         "url",
         "admitted",
         F.row_number().over(by_score).cast("bigint").alias("fetch_rank"),
-        F.col("site.base_key").alias("base_key"),
-        (F.col("site.discovered") + F.count_if("admitted").over(whole_site)).alias("discovered"),
-        *[F.col(f"site.{name}").alias(name) for name in _SITE_OPTIONS],
+        # Only links to the base host are followed, so every admitted URL has its key.
+        normalized_site_key("url").alias("base_key"),
+        (F.col("discovered") + F.count_if("admitted").over(whole_site)).alias("discovered"),
+        *_SITE_OPTIONS,
     )
 
 
@@ -239,24 +257,28 @@ def crawl(
         F.lit(1).cast("bigint").alias("fetch_rank"), "base_key", F.lit(1).cast("bigint").alias("discovered"),
         *_SITE_OPTIONS, F.col("seed_page_id").alias("page_id"), F.col("seed_reason").alias("reason"),
     )
-    waves = [work.write(seeds, "wave-0")]
+    wave = work.write(seeds, "wave-0")
+    names = ["wave-0"]
     if deep:
         index = work.write(_index(relevant, forms), "index")
         for depth in range(1, max_depth + 1):
-            visited = _union(waves).where("admitted")
-            candidates = _expand(waves[-1].where("admitted"), facts, visited)
+            visited = work.read(names, wave).where("admitted")
+            candidates = _expand(wave.where("admitted"), facts, visited)
             admitted = work.write(_admit(candidates, page_budget), f"admitted-{depth}")
-            wave = _fetch(admitted, index).select(*waves[0].columns)
-            waves.append(work.write(wave, f"wave-{depth}"))
-            if waves[-1].where("admitted").isEmpty():
+            wave = work.write(_fetch(admitted, index).select(*wave.columns), f"wave-{depth}")
+            names.append(f"wave-{depth}")
+            if wave.where("admitted").isEmpty():
                 break
 
-    everything = _union(waves)
+    everything = work.read(names, wave)
     visited = everything.where("admitted").drop("admitted", "discovered", "base_key")
     capped = everything.where(~F.col("admitted")).select("site_id").distinct()
 
     narrow_facts = facts.select("page_id", "parsed", "n_links", "emails", "runs", "dialled", "tel")
-    fetched = visited.join(narrow_facts, "page_id", "left").join(
+    # URLs outside the table have no page; as NULL keys of a join they would all meet in one task.
+    stored = visited.where(F.col("page_id").isNotNull()).join(narrow_facts, "page_id", "left")
+    missing = visited.where(F.col("page_id").isNull())
+    fetched = stored.unionByName(missing, allowMissingColumns=True).join(
         sites.select("site_id", "regions", "email_domain_allowlist"), "site_id"
     )
     processed = (F.col("reason") == OK) & F.coalesce("parsed", F.lit(False))
@@ -280,13 +302,6 @@ def crawl(
     return Crawl(rejected, sites, done.drop("emails", "phones"), capped, contacts)
 
 
-def _union(waves: list[DataFrame]) -> DataFrame:
-    result = waves[0]
-    for wave in waves[1:]:
-        result = result.unionByName(wave)
-    return result
-
-
 def site_origin(sites: DataFrame) -> DataFrame:
     """site_id and the origin shown in results: that of the seed's final URL."""
     return sites.select("site_id", origin("effective_start").alias("url"))

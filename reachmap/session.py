@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -26,10 +27,16 @@ def local_session(master: str = "local[*]", name: str = "reachmap", **extra: str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see, named by ``spark.checkpoint.dir``."""
+    """The folder all executors see, named by ``spark.checkpoint.dir``.
+
+    Where the setting is missing a local session gets a temporary folder; a cluster must name one.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+        folder = tempfile.mkdtemp(prefix="reachmap-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 

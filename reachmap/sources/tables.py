@@ -24,13 +24,18 @@ def scan_pages(spark: SparkSession, path: str, format: str = "parquet") -> DataF
     return spread(pages.select("page_id", "url", F.coalesce("final_url", "url").alias("final_url"), "html"))
 
 
+# A scan of at most this many pieces (2 GB at the default split size) counts as small.
+SMALL_SCAN_PIECES = 16
+
+
 def spread(table: DataFrame) -> DataFrame:
-    """Use all cores for a table stored in fewer pieces than there are cores.
+    """Use all cores for a small table stored in fewer pieces than there are cores.
 
-    Such a table is small; one with more pieces keeps its scan partitions and isn't shuffled.
+    Larger tables keep their scan partitions and aren't shuffled.
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+    pieces = table.rdd.getNumPartitions()
+    return table.repartition(cores) if pieces < min(cores, SMALL_SCAN_PIECES) else table
 
 
 def scan_responses(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:

@@ -26,6 +26,10 @@ class Workspace:
         # The schema is known: reading it back needs no job and no footer look-up.
         return self.spark.read.schema(table.schema).parquet(path)
 
+    def read(self, names: list[str], like: DataFrame) -> DataFrame:
+        """Several written tables of one schema as a single scan."""
+        return self.spark.read.schema(like.schema).parquet(*[f"{self.folder}/{name}" for name in names])
+
 
 def keep_matching(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows of a wide table whose ``key`` is in a written key table, if that saves work.

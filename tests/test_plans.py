@@ -42,13 +42,11 @@ def test_url_work_reads_no_html(pages):
 
 
 def test_ranking_cuts_groups_before_the_shuffle(spark):
-    site = F.struct(F.lit(0).alias("depth"), F.lit("k").alias("base_key"), F.lit(1).cast("bigint").alias("discovered"),
-                    F.lit(5).alias("max_pages"), F.lit(1).alias("max_depth"), F.lit(9).alias("max_links_per_page"),
-                    F.lit(False).alias("include_query"), F.lit(True).alias("focused_crawling"))
     candidates = spark.range(1000).select(
-        (F.col("id") % 3).alias("site_id"), F.col("id").cast("string").alias("url"),
-        F.struct(F.lit(1).cast("bigint").alias("fetch_rank"), F.col("id").cast("int").alias("score"), F.lit(0).alias("pos")).alias("place"),
-        site.alias("site"),
+        (F.col("id") % 3).alias("site_id"), F.concat(F.lit("http://k.com/"), F.col("id").cast("string")).alias("url"),
+        crawl_plan._place(F.lit(1), F.col("id").cast("int") - 500, F.lit(0)).alias("place"),
+        F.lit(0).alias("depth"), F.lit(1).cast("bigint").alias("discovered"), F.lit(5).alias("max_pages"), F.lit(1).alias("max_depth"),
+        F.lit(9).alias("max_links_per_page"), F.lit(False).alias("include_query"), F.lit(True).alias("focused_crawling"),
     )
     admitted = crawl_plan._admit(candidates, 5)
     plan = plan_of(admitted)
@@ -56,6 +54,14 @@ def test_ranking_cuts_groups_before_the_shuffle(spark):
     assert admitted.where("admitted").count() == 3 * 4 and admitted.count() == 3 * 5
 
 
+def test_place_keeps_order_and_score(spark):
+    rows = spark.createDataFrame([(r, s, p) for r in (1, 2, 5001) for s in (-700, -1, 0, 1, 900) for p in (0, 7, 5000)], "r int, s int, p int")
+    placed = rows.select("*", crawl_plan._place(F.col("r"), F.col("s"), F.col("p")).alias("place")).withColumn("back", crawl_plan._score_of(F.col("place")))
+    found = placed.orderBy("place").collect()
+    assert [(x.r, x.s, x.p) for x in found] == sorted((x.r, x.s, x.p) for x in found)
+    assert all(x.back == x.s for x in found)
+
+
 @pytest.mark.parametrize("name", ["url_resolve", "email_all", "phone_all", "site_contacts", "options_typed", "log_latest"])
 def test_no_cross_joins(spark, name):
     plan = plan_of(entries.QUERIES[name](spark, DATA))
