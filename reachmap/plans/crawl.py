@@ -4,7 +4,7 @@ The crawl is a loop of waves, one per link depth, over three narrow tables writt
 
 * ``sites``  one row a valid request, with its seed page and base site key;
 * ``index``  (include_query, url) -> page; copies of a URL are combined map-side;
-* ``facts``  page -> links and contact candidates, from the only pass over the HTML.
+* ``facts``  page -> outcome, links, contact candidates, from the only pass over the HTML.
 
 A wave joins its frontier, which the page budget bounds, with ``facts`` by page and with
 ``index`` by URL. Neither key is the site, so a site with a third of all pages is spread like
@@ -47,11 +47,16 @@ class Crawl(NamedTuple):
     contacts: DataFrame  # site_id, kind, contact: distinct
 
 
-def _narrow(pages: DataFrame) -> DataFrame:
+def _reason(pages: DataFrame) -> Column:
     reason = F.col("reason") if "reason" in pages.columns else F.lit(OK)
-    return pages.select("page_id", "url", "final_url", reason.alias("reason")).withColumn(
-        "url_q", normalize_url("url", True)
-    ).where(F.col("url_q").isNotNull()).drop("url")
+    return reason.alias("reason")
+
+
+def _narrow(pages: DataFrame) -> DataFrame:
+    """The columns crawling needs without reading any HTML; pages without a usable URL are out."""
+    return pages.select(
+        "page_id", "final_url", _reason(pages), normalize_url("url", True).alias("url_q")
+    ).where(F.col("url_q").isNotNull())
 
 
 def _own_form(url_q: Column, include_query: Column) -> Column:
@@ -88,7 +93,6 @@ def _seed_pages(pages: DataFrame, requests: DataFrame, forms: list[bool]) -> Dat
         .withColumn("base_key", normalized_site_key("effective_start"))
         .withColumn("regions", effective_regions("phone_regions", "effective_start"))
         .withColumn("seed_page_id", F.col("seed.page_id"))
-        .withColumn("seed_reason", F.coalesce(F.col("seed.reason"), F.lit(NOT_IN_TABLE)))
         .drop("seed")
     )
 
@@ -111,21 +115,20 @@ def _relevant(pages: DataFrame, sites: DataFrame, work: Workspace, deep: bool) -
 def _index(pages: DataFrame, forms: list[bool]) -> DataFrame:
     """(include_query, url) -> page of least id; copies of a URL meet in the partial aggregate."""
     return (
-        _keyed(_narrow(pages).drop("final_url"), forms)
+        _keyed(_narrow(pages).drop("final_url", "reason"), forms)
         .groupBy("include_query", "url")
-        .agg(F.min(F.struct("page_id", "reason")).alias("page"))
-        .select("include_query", "url", "page.page_id", "page.reason")
+        .agg(F.min("page_id").alias("page_id"))
     )
 
 
 def _facts(pages: DataFrame) -> DataFrame:
-    """Links and contact candidates per page, from one pass over the HTML.
+    """Outcome, links and contact candidates per page, from one pass over the HTML.
 
     Of the links only those to the page's own or final host can be followed; their number
     before that filter is kept. ``pos`` is the place among all links of the page.
     """
     candidates = page_candidates(
-        pages.select("page_id", "url", "final_url", "html").withColumn("final_url", normalize_url("final_url", True))
+        pages.select("page_id", "url", normalize_url("final_url", True).alias("final_url"), _reason(pages), "html")
     )
     own = F.array_compact(F.array(normalized_site_key(normalize_url("url")), normalized_site_key("final_url")))
     positioned = F.transform(
@@ -135,14 +138,14 @@ def _facts(pages: DataFrame) -> DataFrame:
         ),
     )
     staged = candidates.select(
-        "page_id", "parsed", "emails", "runs", "dialled", "tel", F.size("links").alias("n_links"),
+        "page_id", "reason", "parsed", "emails", "runs", "dialled", "tel", F.size("links").alias("n_links"),
         own.alias("own"), positioned.alias("targets"),
     )
     keyed = F.transform(
         "targets", lambda t: F.struct(t["pos"].alias("pos"), t["url"].alias("url"), normalized_site_key(t["url"]).alias("key"))
     )
     return staged.select(
-        "page_id", "parsed", "emails", "runs", "dialled", "tel", "n_links",
+        "page_id", "reason", "parsed", "emails", "runs", "dialled", "tel", "n_links",
         F.filter(keyed, lambda t: t["url"].isNotNull() & F.array_contains(F.col("own"), t["key"])).alias("targets"),
     )
 
@@ -167,9 +170,10 @@ def _score_of(place: Column) -> Column:
 def _expand(frontier: DataFrame, facts: DataFrame, visited: DataFrame) -> DataFrame:
     """New URLs of the pages of a wave, each with the place that decides its admission."""
     # The budget bounds the frontier; the optimizer sees its size and picks the join.
-    parents = frontier.where((F.col("reason") == OK) & (F.col("depth") < F.col("max_depth")))
+    parents = frontier.where(F.col("depth") < F.col("max_depth"))
+    readable = facts.where(F.col("parsed") & (F.col("reason") == OK))
     links = (
-        parents.join(facts.where("parsed").select("page_id", "targets"), "page_id")
+        parents.join(readable.select("page_id", "targets"), "page_id")
         .select(
             "site_id", "depth", "fetch_rank", "base_key", "discovered", *_SITE_OPTIONS,
             F.explode("targets").alias("t"),
@@ -218,9 +222,8 @@ def _admit(candidates: DataFrame, page_budget: int) -> DataFrame:
 
 
 def _fetch(admitted: DataFrame, index: DataFrame) -> DataFrame:
-    """Find the page of each admitted URL; URLs outside the table fail as ``not_in_table``."""
-    found = admitted.join(index, ["include_query", "url"], "left")
-    return found.withColumn("reason", F.coalesce("reason", F.lit(NOT_IN_TABLE)))
+    """Find the page of each admitted URL; a URL outside the table has none."""
+    return admitted.join(index, ["include_query", "url"], "left")
 
 
 def crawl(
@@ -255,7 +258,7 @@ def crawl(
     seeds = sites.select(
         "site_id", F.lit(0).alias("depth"), F.col("start").alias("url"), F.lit(True).alias("admitted"),
         F.lit(1).cast("bigint").alias("fetch_rank"), "base_key", F.lit(1).cast("bigint").alias("discovered"),
-        *_SITE_OPTIONS, F.col("seed_page_id").alias("page_id"), F.col("seed_reason").alias("reason"),
+        *_SITE_OPTIONS, F.col("seed_page_id").alias("page_id"),
     )
     wave = work.write(seeds, "wave-0")
     names = ["wave-0"]
@@ -274,18 +277,19 @@ def crawl(
     visited = everything.where("admitted").drop("admitted", "discovered", "base_key")
     capped = everything.where(~F.col("admitted")).select("site_id").distinct()
 
-    narrow_facts = facts.select("page_id", "parsed", "n_links", "emails", "runs", "dialled", "tel")
+    narrow_facts = facts.select("page_id", "reason", "parsed", "n_links", "emails", "runs", "dialled", "tel")
     # URLs outside the table have no page; as NULL keys of a join they would all meet in one task.
     stored = visited.where(F.col("page_id").isNotNull()).join(narrow_facts, "page_id", "left")
     missing = visited.where(F.col("page_id").isNull())
     fetched = stored.unionByName(missing, allowMissingColumns=True).join(
         sites.select("site_id", "regions", "email_domain_allowlist"), "site_id"
     )
-    processed = (F.col("reason") == OK) & F.coalesce("parsed", F.lit(False))
+    reason = F.coalesce("reason", F.lit(NOT_IN_TABLE))
+    processed = (reason == OK) & F.coalesce("parsed", F.lit(False))
     follows = processed & (F.col("depth") < F.col("max_depth"))
     read = read_candidates(
         fetched.select(
-            "site_id", "depth", "fetch_rank", "url", "page_id", "reason",
+            "site_id", "depth", "fetch_rank", "url", "page_id", reason.alias("reason"),
             processed.alias("processed"),
             F.when(follows, F.least("n_links", "max_links_per_page")).otherwise(F.lit(0)).alias("links_examined"),
             F.when(processed, F.col("emails")).alias("emails"),
