@@ -1,6 +1,7 @@
 """The numbering plan: which national numbers exist in which region.
 
-Rows approximate the public national numbering plans. Callers can pass their own, fuller rows
+Rows approximate the public national numbering plans: in detail for the regions a top-level
+domain suggests, by leading digits and length for the others. Callers can pass their own, fuller rows
 to the phone expressions; the list is code-sized configuration, never data that grows.
 """
 
@@ -81,4 +82,82 @@ NUMBERING_PLAN = (
     Region("JP", "81", r"(?:1[1-9]|2[2-6]|3[1-9]|4[2-9]|5[2-8]|6[1-9]|7[2-9]|8[2-9]|9[2-9])\d{7}|[7-9]0[1-9]\d{7}|50[1-9]\d{7}|120\d{6}|800\d{7}", "0", True, "010"),
     Region("CN", "86", r"(?:10|2[0-57-9])\d{8}|(?:3(?:1[0-9]|35|7[0-9]|9[1-8])|4(?:1[0-9]|2[179]|3[3-5]|5[1-9]|6[4-9]|7[0-9]|8[23])|5(?:[13]\d|2[37]|4[36]|5\d|6[1-6]|7[0-9]|80|9[1-6])|6(?:3[1-5]|6[0-9]|9[12])|7(?:01|[17]\d|2[248]|3[014-9]|4[3-6]|5[0-9]|6[023689]|9[0-9])|8(?:1[236-8]|2[5-7]|3\d|5[1-9]|7[02-9]|8[36-8]|9[1-7])|9(?:0[1-3689]|1[1-79]|3\d|4[13]|5[1-5]|7[0-79]|9[0-35-9]))\d{7,8}|1[3-9]\d{9}|800\d{7}|400\d{7}", "0"),
     Region("IN", "91", r"[6-9]\d{9}|(?:11|2[02]|33|4[04]|79|80)[2-7]\d{7}|(?:1[2-9]|2[1-9]|3[1-9]|4[1-9]|5[1-9]|6[1-9]|7[1-8]|8[1-9])\d[2-7]\d{6}|1800\d{4,8}", "0"),
+    # Regions no top-level domain above suggests: their numbers are met with "+" or by choice.
+    Region("DO", "1", r"8(?:[04]9|29)[2-9]\d{6}", "1", idd="011"),
+    Region("PR", "1", r"(?:787|939)[2-9]\d{6}", "1", idd="011"),
+    Region("JM", "1", r"(?:658|876)[2-9]\d{6}", "1", idd="011"),
+    Region("TT", "1", r"868[2-9]\d{6}", "1", idd="011"),
+    Region("BS", "1", r"242[2-9]\d{6}", "1", idd="011"),
+    Region("BB", "1", r"246[2-9]\d{6}", "1", idd="011"),
+    Region("BM", "1", r"441[2-9]\d{6}", "1", idd="011"),
+    Region("KY", "1", r"345[2-9]\d{6}", "1", idd="011"),
+    Region("EG", "20", r"1[0-25]\d{8}|(?:2\d|3)\d{7}|[4-9]\d{7,8}", "0"),
+    Region("MA", "212", r"[5-8]\d{8}", "0"),
+    Region("DZ", "213", r"[5-7]\d{8}|[1-4]\d{7}", "0"),
+    Region("TN", "216", r"[2-57-9]\d{7}"),
+    Region("NG", "234", r"[7-9][01]\d{8}|[1-9]\d{6,7}", "0"),
+    Region("GH", "233", r"[235]\d{8}", "0"),
+    Region("KE", "254", r"(?:7\d\d|1[01]\d)\d{6}|[2-6]\d{5,8}", "0"),
+    Region("ZA", "27", r"[1-8]\d{8}", "0"),
+    Region("GR", "30", r"2\d{9}|69\d{8}|800\d{7}"),
+    Region("HU", "36", r"(?:[2357]0|31)\d{7}|[1-9]\d{7}"),
+    Region("LU", "352", r"6[2689]1\d{6}|[2-9]\d{5,10}"),
+    Region("IS", "354", r"[4-8]\d{6}"),
+    Region("AL", "355", r"6[6-9]\d{7}|[2-58]\d{6,7}", "0"),
+    Region("MT", "356", r"[279]\d{7}"),
+    Region("CY", "357", r"[29]\d{7}"),
+    Region("BG", "359", r"8[789]\d{7}|[2-9]\d{6,7}", "0"),
+    Region("TJ", "992", r"[0-57-9]\d{8}"),
+    Region("TM", "993", r"6[1-9]\d{6}|[1-5]\d{7}", "8", idd="810"),
+    Region("RS", "381", r"6\d{7,8}|[1-3]\d{7,8}", "0"),
+    Region("ME", "382", r"[2-6]\d{7}", "0"),
+    Region("HR", "385", r"9[1-9]\d{6,7}|[1-5]\d{7}", "0"),
+    Region("SI", "386", r"[1-7]\d{7}", "0"),
+    Region("BA", "387", r"6\d{7,8}|[3-5]\d{7}", "0"),
+    Region("MK", "389", r"[237]\d{7}", "0"),
+    Region("RO", "40", r"[237]\d{8}|80[01]\d{6}", "0"),
+    Region("CZ", "420", r"[2-9]\d{8}"),
+    Region("SK", "421", r"[2-59]\d{8}", "0"),
+    Region("PE", "51", r"9\d{8}|1\d{7}|[4-8]\d{7}", "0"),
+    Region("MX", "52", r"[2-9]\d{9}"),
+    Region("AR", "54", r"9?(?:11\d{8}|[23]\d{9})", "0"),
+    Region("BR", "55", r"(?:[14689][1-9]|2[12478]|3[1-578]|5[13-5]|7[13-579])(?:9\d{8}|[2-5]\d{7})|800\d{6,7}", "0"),
+    Region("CL", "56", r"[2-79]\d{8}"),
+    Region("CO", "57", r"3\d{9}|60[1-8]\d{7}"),
+    Region("VE", "58", r"(?:2\d\d|4(?:1[24-8]|2[46]))\d{7}", "0"),
+    Region("BO", "591", r"[2-467]\d{7}"),
+    Region("EC", "593", r"9\d{8}|[2-7]\d{7}", "0"),
+    Region("PY", "595", r"9\d{8}|[2-8]\d{6,8}", "0"),
+    Region("UY", "598", r"[249]\d{7}", "0"),
+    Region("GT", "502", r"[2-7]\d{7}"),
+    Region("CR", "506", r"[24-8]\d{7}"),
+    Region("PA", "507", r"6\d{7}|[2-9]\d{6}"),
+    Region("MY", "60", r"1\d{8,9}|[3-9]\d{7,8}", "0"),
+    Region("ID", "62", r"8\d{8,11}|[2-79]\d{6,10}", "0"),
+    Region("PH", "63", r"9\d{9}|[2-8]\d{7,9}", "0"),
+    Region("SG", "65", r"[3689]\d{7}|1800\d{7}"),
+    Region("TH", "66", r"[689]\d{8}|[2-7]\d{7}", "0"),
+    Region("KR", "82", r"1\d{8,9}|2\d{7,8}|[3-6][1-5]\d{6,8}|70\d{8}", "0"),
+    Region("VN", "84", r"[35789]\d{8}|2\d{9}", "0"),
+    Region("HK", "852", r"[235-9]\d{7}"),
+    Region("MO", "853", r"[268]\d{7}"),
+    Region("KH", "855", r"[1-9]\d{7,8}", "0"),
+    Region("BD", "880", r"1[3-9]\d{8}|[2-9]\d{5,9}", "0"),
+    Region("TW", "886", r"9\d{8}|[2-8]\d{7,8}", "0"),
+    Region("TR", "90", r"[2-5]\d{9}|800\d{7}", "0"),
+    Region("PK", "92", r"3\d{9}|[2-9]\d{8,9}", "0"),
+    Region("LK", "94", r"[1-9]\d{8}", "0"),
+    Region("IR", "98", r"[1-9]\d{9}", "0"),
+    Region("LB", "961", r"[1-9]\d{6}|[378]\d{7}", "0"),
+    Region("JO", "962", r"7[789]\d{7}|[2356]\d{7}", "0"),
+    Region("IQ", "964", r"7\d{9}|[1-6]\d{7,8}", "0"),
+    Region("KW", "965", r"[2569]\d{7}|1\d{6}"),
+    Region("SA", "966", r"1[1-7]\d{7}|5\d{8}|920\d{6}|800\d{7}", "0"),
+    Region("OM", "968", r"[279]\d{7}"),
+    Region("AE", "971", r"[2-4679]\d{7}|5[024-68]\d{7}|800\d{2,9}", "0"),
+    Region("IL", "972", r"[2-489]\d{7}|[57]\d{8}", "0"),
+    Region("BH", "973", r"[136]\d{7}"),
+    Region("QA", "974", r"[3-7]\d{7}"),
+    Region("MN", "976", r"[5-9]\d{7}"),
+    Region("NP", "977", r"9[678]\d{8}|[1-9]\d{6,7}", "0"),
 )

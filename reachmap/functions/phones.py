@@ -187,6 +187,11 @@ def _keep(numbers: Column, regions: Column, plan: Sequence[Region]) -> Column:
     return F.filter(numbers, lambda d: d.isNotNull() & region_allowed(d, regions, plan))
 
 
+def spans_overlap(first_start: Column, first_end: Column, second_start: Column, second_end: Column) -> Column:
+    """True if two half-open spans share a place; for callers who bring spans of their own."""
+    return (first_start < second_end) & (second_start < first_end)
+
+
 def format_e164(digits: Column) -> Column:
     return F.concat(F.lit("+"), digits)
 

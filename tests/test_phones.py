@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from reachmap.functions import html, phones
 from reachmap.functions.numbering import NUMBERING_PLAN, Region
+from reachmap.functions.urls import TLD_REGIONS
 
 
 def regions(*codes):
@@ -86,12 +87,29 @@ def test_every_region_of_the_plan(value):
         "AT": "436641234567", "SE": "46701234567", "NO": "4741234567", "FI": "358401234567", "DK": "4531234567", "IE": "353861234567",
         "GB": "447912345678", "AU": "61412345678", "NZ": "64211234567", "JP": "81312345678", "CN": "8613812345678", "IN": "919876543210",
     }
-    assert set(samples) == {r.region for r in NUMBERING_PLAN}
+    assert set(samples) == set(TLD_REGIONS.values())
+    samples |= {
+        "BR": "5511912345678", "MX": "525512345678", "TR": "905321234567", "IL": "972501234567", "ZA": "27821234567",
+        "KR": "821012345678", "SG": "6581234567", "GR": "306912345678", "CZ": "420601123456", "DO": "18092345678",
+    }
     rows = list(samples.values())
     assert value(phones.number_region(F.col("x")), rows) == list(samples)
     assert value(phones.parse_phone(F.concat(F.lit("+"), "x")), rows) == rows
 
 
+def test_plan_is_well_formed():
+    regions_ = [r.region for r in NUMBERING_PLAN]
+    assert len(set(regions_)) == len(regions_) < 200
+    codes = {r.calling_code for r in NUMBERING_PLAN}
+    assert not [c for c in codes for d in codes if c != d and d.startswith(c)]  # no code begins another
+    assert all(len(r.trunk.strip("[]")) <= 2 for r in NUMBERING_PLAN)
+
+
+def test_spans(value):
+    first = phones.spans_overlap(F.lit(0), F.lit(5), F.col("a"), F.col("b"))
+    assert value(first, [(5, 9), (4, 9), (-3, 0), (-3, 1), (1, 2)], "a int, b int") == [False, True, False, True, True]
+
+
 def test_own_plan(value):
     plan = (Region("XX", "999", r"[1-9]\d{3}", "0"),)
     assert value(phones.phones_of_text("x", regions("XX"), plan), ["0 1234 or +999 5678"]) == [["+9991234", "+9995678"]]
