@@ -34,9 +34,9 @@ _RUN = rf"(?:{_LEAD}{_PUNCT}{{0,4}}+){{0,2}}[{_D}]{{1,20}}+(?:{_PUNCT}{{0,4}}+[{
 # A Latin letter, percent or currency sign that touches a number makes it something else.
 _SPOILER = r"\p{IsLatin}%\p{Sc}"
 # Digits right behind such a character are skipped; the character behind a run is read along.
-# The look-ahead comes first: at most places of a text it fails after one comparison.
+# The look-aheads come first: at most places of a text the plain one fails after one look-up.
 _RUN_IN_CONTEXT = (
-    rf"(?s)(?=[{_D}(\[\uff08\uff3b{_PLUS}])"
+    rf"(?s)(?![a-zA-Z ,.])(?=[{_D}(\[\uff08\uff3b{_PLUS}])"
     rf"(?:(?:(?<![{_SPOILER}])|(?={_LEAD}))({_RUN}[^(\[\uff08\uff3b{_PLUS}{_D}]?)|[{_D}]{{1,20}}+)"
 )
 _ENOUGH_DIGITS = rf"(?:[{_D}][^{_D}]*){{5}}"

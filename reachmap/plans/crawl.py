@@ -26,7 +26,7 @@ from ..functions.phones import effective_regions
 from ..functions.scoring import url_priority_score
 from ..functions.urls import drop_query, is_page_href, normalize_url, normalized_site_key, origin, resolve_href
 from ..operators.contacts import contact_rows, no_strings, page_candidates, read_candidates
-from ..operators.responses import OK
+from ..operators.responses import OK, URL_NORMALIZE
 from ..sources.workspace import Workspace, keep_matching
 
 NOT_IN_TABLE = "not_in_table"
@@ -48,8 +48,10 @@ class Crawl(NamedTuple):
 
 
 def _reason(pages: DataFrame) -> Column:
+    """Stored outcome of a page; a final URL that can't be normalised makes it a failure."""
     reason = F.col("reason") if "reason" in pages.columns else F.lit(OK)
-    return reason.alias("reason")
+    unusable = (reason == OK) & normalize_url("final_url").isNull()
+    return F.when(unusable, F.lit(URL_NORMALIZE)).otherwise(reason).alias("reason")
 
 
 def _narrow(pages: DataFrame) -> DataFrame:

@@ -33,6 +33,9 @@ PAGES = [
     ("http://query.com/", None, '<a href="?a=1">1</a><a href="/?a=2">2</a>'),
     ("http://query.com/?a=1", None, "one@query.com"),
     ("http://query.com/?a=2", None, "two@query.com"),
+    # A page that was redirected to something which is no page.
+    ("http://lost.com/", None, '<a href="/gone">g</a>'),
+    ("http://lost.com/gone", "ftp://lost.com/", "x@lost.com"),
 ]
 REQUESTS = {
     1: ("http://one.com/", {"max_pages": "10", "max_depth": "3", "phone_regions": "RU,US"}),
@@ -47,6 +50,7 @@ REQUESTS = {
     10: ("http://query.com/?a=1", {"max_depth": "1"}),
     11: ("http://nowhere.com/", {"max_depth": "1"}),
     12: ("http://one.com/", {"phone_regions": "US"}),
+    13: ("http://lost.com/", {"max_depth": "1"}),
 }
 
 
@@ -124,6 +128,11 @@ def test_missing_seed(found, visits):
     assert (found[11].emails, found[11].phones, found[11].diagnostics.counters.failed_pages) == ([], [], 1)
 
 
+def test_unusable_final_url(found, visits):
+    assert visits[13] == [(0, "/", "ok"), (1, "/gone", "url_normalize")]
+    assert found[13].emails == [] and found[13].diagnostics.failure_reasons == {"url_normalize": 1}
+
+
 def test_default_depth_reads_one_page(found, visits):
     assert visits[12] == [(0, "/", "ok")]
     # Seen from the US, the part in front of the 8 is a toll-free number.
