@@ -10,6 +10,7 @@ from reachmap.operators import contacts, links, log, options, responses
 from reachmap.plans import results
 from reachmap.plans.crawl import Crawl, crawl
 from reachmap.session import new_run_folder
+from reachmap.sources.workspace import Workspace
 from reachmap.streaming import tables as streams
 
 from . import views
@@ -257,7 +258,9 @@ def site_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _crawl(spark, sf_dir) -> Crawl:
-    return crawl(linked_pages(spark, sf_dir), options.site_options(site_requests(spark, sf_dir)))
+    # Callers keep their requests in a table, so the view is stored before it is read.
+    asked = Workspace(spark, "requests").write(site_requests(spark, sf_dir), "asked")
+    return crawl(linked_pages(spark, sf_dir), options.site_options(asked))
 
 
 def crawl_reach(spark, sf_dir):
