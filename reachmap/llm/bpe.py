@@ -233,10 +233,10 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return encode_blocks(docs, Vocabulary(path), pattern, docs.columns, f"named_struct({columns}, '{ids}', ids)")
 
 
-def encoding_report(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Per document: doc_id, n_tokens and the digests of its ids and of what they decode to."""
-    report = """
-    named_struct(
+def encoding_report(docs: DataFrame, path: str, pattern: str, ids: bool = False) -> DataFrame:
+    """Per document: doc_id, n_tokens, the digests of its ids and of what they decode to; on request the ids."""
+    report = f"""
+    named_struct({"'ids', ids," if ids else ""}
       'doc_id', d.doc_id,
       'n_tokens', bigint(size(ids)),
       'ids_sha256', sha2(unhex(array_join(transform(ids, i -> numbers[i]), '')), 256),

@@ -204,6 +204,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, all_docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents scored 0.5 or more, with all their columns."""
-    return docs.where(scorer(train(all_docs, labels))(F.col("text").cast("string")) >= 0.5)
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents scored 0.5 or more, with all their columns; the labels are of these documents."""
+    return docs.where(scorer(train(docs, labels))(F.col("text").cast("string")) >= 0.5)
