@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact, neardup, quality
+from ..session import new_run_folder
+from . import bpe, decontaminate, exact, neardup, quality, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +23,11 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), size=4)
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_run_folder(spark, "tokens")
+    return token_files.token_report(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.encoding_report(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -38,6 +44,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op5_minhash": op5_minhash,
+    "op6_token_files": op6_token_files,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_quality_cnn": op8_quality_cnn,
     "op10_exact_dedup": op10_exact_dedup,
