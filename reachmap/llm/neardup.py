@@ -10,11 +10,11 @@ Candidates come in three rounds, and each round only asks about pairs that no li
 1. each class with the bucket centre (least id of a bucket) it shares most buckets with,
 2. each class with all its other centres: a star per bucket instead of all its pairs,
 3. in buckets that still hold several components, the classes outside the bucket's largest
-   component with the members of other components.
+   component with the members of other components whose sizes allow the similarity.
 
 Every candidate is confirmed on the full sets. Round 3 makes the answer independent of which
 member was a centre: no pair of a common bucket that could join two components stays untested. A
-pair at the threshold misses all buckets with probability (1 - 0.8**6)**40, about 5e-6.
+pair at the threshold misses all buckets with probability (1 - 0.8**8)**64, about 8e-6.
 
 Defined results: null, empty and word-less texts have no shingles and are linked with nothing; a
 text shorter than a shingle is one shingle; rows that share an id are one document; a row without
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from ..sources.workspace import Workspace
 from .words import Words, byte_view, find_words, free_name, mix, slices, word_table
 
-ROWS, BANDS = 6, 40
+ROWS, BANDS = 8, 64
 PERCENT = 80
 SEPARATORS = b" \t\n\x0b\x0c\r"  # fixed value: words are [^\x20\x09-\x0D]+
 
@@ -182,9 +182,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, rows
     classes = signed.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("fingerprint").agg(F.min("doc_id").alias("id"))
     classes = work.write(classes, "classes")
     members = signed.join(classes, "fingerprint").where(F.col("doc_id") == F.col("id"))
-    filed = members.select("id", F.explode("keys").alias("key"))
+    filed = members.select("id", "n_shingles", F.explode("keys").alias("key"))
     shared = filed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("centre")).where("n > 1").select("key", "centre")
-    filed = work.write(filed.join(shared, "key"), "filed")  # id, key, centre: only buckets of several classes
+    filed = work.write(filed.join(shared, "key"), "filed")  # id, n_shingles, key, centre: only buckets of several classes
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     texts = work.write(texts.join(filed.select("id").distinct(), "id", "left_semi"), "texts")
 
@@ -201,7 +201,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, rows
     links = links.union(work.write(confirm(pairs, texts, size, percent), "links-2"))
     found = components(links, work, "components-2")
 
-    pairs = work.write(_strays(filed, found, work).join(tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "round-3")
+    pairs = work.write(_strays(filed, found, work, percent).join(tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "round-3")
     links = links.union(work.write(confirm(pairs, texts, size, percent), "links-3"))
     found = work.write(components(links, work, "components-3"), "components")
 
@@ -219,17 +219,20 @@ def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return pairs.join(a, "a", "left").join(b, "b", "left").where(apart).select("a", "b")
 
 
-def _strays(filed: DataFrame, found: DataFrame, work: Workspace) -> DataFrame:
-    """Pairs of a bucket in different components, one end outside the bucket's largest component."""
-    placed = filed.join(found, "id", "left").select("id", "key", F.coalesce("component", "id").alias("component"))
+def _strays(filed: DataFrame, found: DataFrame, work: Workspace, percent: int) -> DataFrame:
+    """Pairs of a bucket in different components, one end outside the bucket's largest component.
+
+    Sets whose sizes differ too much can't be alike enough and aren't paired.
+    """
+    placed = filed.join(found, "id", "left").select("id", "n_shingles", "key", F.coalesce("component", "id").alias("component"))
     parts = work.write(placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")), "parts")
     order = F.struct("n", "component")
     mixed = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(order).alias("largest")).where("parts > 1")
     mixed = work.write(mixed.select("key", F.col("largest.component").alias("largest")), "mixed")
     inside = work.write(placed.join(mixed, "key"), "inside")
-    stray = inside.where("component <> largest").select("key", F.col("id").alias("a"), F.col("component").alias("component_a"))
-    other = inside.select("key", F.col("id").alias("b"), F.col("component").alias("component_b"))
-    met = stray.join(other, "key").where("component_a <> component_b")
+    stray = inside.where("component <> largest").select("key", F.col("id").alias("a"), F.col("component").alias("component_a"), F.col("n_shingles").alias("n_a"))
+    other = inside.select("key", F.col("id").alias("b"), F.col("component").alias("component_b"), F.col("n_shingles").alias("n_b"))
+    met = stray.join(other, "key").where("component_a <> component_b").where(F.greatest("n_a", "n_b") * percent <= F.least("n_a", "n_b") * 100)
     return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
