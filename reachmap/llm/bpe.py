@@ -1,14 +1,16 @@
 """Byte-level BPE: higher-order functions fold ranked merges over the distinct words of a block.
 
-Texts are split by the tokenizer's pattern in the JVM. Words are then numbered once for each block
-of documents (about ``BLOCK_BYTES`` of text, all within one task), so that each distinct word of a
-block is merged once: ``aggregate`` folds over its byte pieces, looks up adjacent pairs in a literal
-rank map and joins the pair of least rank, leftmost first, until no pair has a rank. Documents are
-word numbers mapped to ids; decoding concatenates the ids' binary pieces. There is no shuffle, and
-memory is bounded by a block and the vocabulary.
-
-A word of more than ``FOLD_BYTES`` bytes (a run without spaces) would take the fold quadratic time;
-such words are merged exactly with a heap while the words are numbered.
+Words are numbered once for each block of documents (about ``BLOCK_BYTES`` of text, all within one
+task), so that each distinct word of a block is split off and merged once. ``aggregate`` folds over
+a word's byte array: it looks up the ranks of adjacent pairs in a literal rank map, joins the pair
+of least rank, leftmost first, and stops changing when no pair has a rank. Documents are rows of
+word numbers; decoding concatenates the ids' binary pieces. There is no shuffle, and memory is
+bounded by a block and the vocabulary.
+
+A piece's rank is its id, so the map goes from a pair of ids to the id of their concatenation.
+Vocabularies may have up to ``MAX_IDS`` pieces. A word of more than ``FOLD_BYTES`` bytes (a run
+without spaces) would take the fold quadratic time; such words are merged exactly with a heap while
+the words are numbered.
 
 Defined results: null and empty texts have no ids and decode to nothing; repeated rows are encoded
 alike; extra columns pass through ``encode`` untouched, a clashing ``ids`` gives way to ``ids_``.
@@ -23,43 +25,43 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import free_name
+from .words import byte_view, free_name, split_pieces
 
 BLOCK_BYTES = 32 << 20
 FOLD_BYTES = 64
-BUCKETS = 1 << 15
+MAX_IDS = 52_000
+BUCKETS = 1 << 16
+SPREAD = 40_503  # spreads pairs over the buckets; SPREAD * MAX_IDS stays below 2**31
 NO_RANK = 2**31 - 1
 
-# Letters and numbers by Unicode 16 that older Java versions don't know yet, as hexadecimal ranges.
-NEW_LETTERS = """
-870-887 889-88e 8b5 8c8-8c9 c5d cdd 170d 171f 1b4c 1c89-1c8a 2c2f 2c5f 9ffd-9fff a7c0-a7c1 a7cb-a7cd a7d0-a7d1 a7d3
-a7d5-a7dc a7f2-a7f4 10570-1057a 1057c-1058a 1058c-10592 10594-10595 10597-105a1 105a3-105b1 105b3-105b9 105bb-105bc
-105c0-105f3 10780-10785 10787-107b0 107b2-107ba 10d4a-10d65 10d6f-10d85 10ec2-10ec4 10f70-10f81 11071-11072 11075
-1123f-11240 11380-11389 1138b 1138e 11390-113b5 113b7 113d1 113d3 11740-11746 11ab0-11abf 11bc0-11be0 11f02 11f04-11f10
-11f12-11f33 12f90-12ff0 1342f 13441-13446 13460-143fa 16100-1611d 16a70-16abe 16d40-16d6c 18cff 1aff0-1aff3 1aff5-1affb
-1affd-1affe 1b11f-1b122 1b132 1b155 1df00-1df1e 1df25-1df2a 1e030-1e06d 1e290-1e2ad 1e4d0-1e4eb 1e5d0-1e5ed 1e5f0
-1e7e0-1e7e6 1e7e8-1e7eb 1e7ed-1e7ee 1e7f0-1e7fe 2a6de-2a6df 2b735-2b739 2ebf0-2ee5d 31350-323af
+# Letters and numbers newer than Unicode 16, which the tokenizer's pattern doesn't know as such.
+NEWER_LETTERS = """
+558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7
+10ed9-10eee 11b0a 11db0-11ddb 11df1 16ea0-16eb8 16ebb-16ed3 16ff2-16ff3 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2
+18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2
+1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f
 """
-NEW_NUMBERS = "10d40-10d49 116d0-116e3 11bf0-11bf9 11f50-11f59 16130-16139 16ac0-16ac9 16d70-16d79 1ccf0-1ccf9 1d2c0-1d2d3 1e4f0-1e4f9 1e5f1-1e5fa"
-WHITE_SPACE = r"\x09-\x0d\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+NEWER_NUMBERS = "11de0-11de9 1246f 12475-1247f 12550-12686 16ff4-16ff6"
 
 
-def _class(ranges: str) -> str:
-    return "".join("-".join(rf"\x{{{end}}}" for end in part.split("-")) for part in ranges.split())
+def _ranges(text: str) -> str:
+    return "".join("-".join(rf"\U{int(end, 16):08x}" for end in part.split("-")) for part in text.split())
 
 
-def java_pattern(pattern: str) -> str:
-    """The tokenizer's pattern with its character classes spelled out, so that Java reads it alike."""
-    letters, numbers = rf"\p{{L}}{_class(NEW_LETTERS)}", rf"\p{{N}}{_class(NEW_NUMBERS)}"
-    for plain, spelled in ((r"[^\s\p{L}\p{N}]", f"[^{WHITE_SPACE}{letters}{numbers}]"), (r"\p{L}", f"[{letters}]"), (r"\p{N}", f"[{numbers}]"), (r"\s", f"[{WHITE_SPACE}]"), (r"\S", f"[^{WHITE_SPACE}]")):
-        pattern = pattern.replace(plain, spelled)
-    return pattern
+def word_pattern(pattern: str) -> regex.Pattern:
+    """The tokenizer's pattern, its classes of letters and numbers as of Unicode 16."""
+    newer = {r"\p{L}": _ranges(NEWER_LETTERS), r"\p{N}": _ranges(NEWER_NUMBERS)}
+    other = r"[^\s\p{L}\p{N}]"
+    known = {c: rf"[{c}--[{n}]]" for c, n in newer.items()}
+    parts = pattern.split(other)
+    for c in known:
+        parts = [p.replace(c, known[c]) for p in parts]
+    return regex.compile(rf"[^\s{known[chr(92) + 'p{L}']}{known[chr(92) + 'p{N}']}]".join(parts), regex.V1)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -69,7 +71,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one long word: ranked merges with a heap over a linked list of pieces."""
-    piece = [word[i : i + 1] for i in range(len(word))]
+    piece: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
     before, after = list(range(-1, len(word) - 1)), [*range(1, len(word)), -1]
     heap = [(ranks[word[i : i + 2]], i, word[i : i + 2]) for i in range(len(word) - 1) if word[i : i + 2] in ranks]
     heapq.heapify(heap)
@@ -89,102 +91,31 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in piece if p is not None]
 
 
-def _number_words(path: str, names: list[str], block_bytes: int):
-    """Rows become blocks: each document's word numbers, and the block's distinct words."""
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks: dict[bytes, int] = {}
-        waiting: list[pa.RecordBatch] = []
-        size = 0
-
-        def block() -> pa.RecordBatch:
-            rows = pa.Table.from_batches(waiting).combine_chunks()
-            words = rows.column("_words").combine_chunks()
-            words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
-            known = words.flatten().dictionary_encode()
-            distinct = known.dictionary.cast(pa.large_binary()).to_pylist() if len(known) else []
-            long = [i for i, w in enumerate(distinct) if len(w) > FOLD_BYTES]
-            if long and not ranks:
-                ranks.update(read_ranks(path))
-            ready = [None] * len(distinct)
-            for i in long:
-                ready[i] = merge_long(distinct[i], ranks)
-            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))])
-            codes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), known.indices.cast(pa.int32()))
-            docs = pa.StructArray.from_arrays([*(rows.column(n).combine_chunks() for n in names), codes], [*names, "_codes"])
-            table = pa.StructArray.from_arrays([pa.array(distinct, pa.binary()), pa.array(ready, pa.list_(pa.int32()))], ["word", "ids"])
-            one = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (docs, table)]
-            return pa.RecordBatch.from_arrays(one, ["docs", "words"])
-
-        for batch in batches:
-            row = 0
-            lengths = pc.fill_null(pc.list_value_length(batch.column("_words")), 0).to_numpy(zero_copy_only=False)
-            bytes_in = batch.column("_words").nbytes / max(1, lengths.sum())
-            totals = np.cumsum(lengths * bytes_in + 16)
-            while row < len(batch):
-                start = totals[row - 1] if row else 0
-                end = max(row + 1, int(np.searchsorted(totals, start + block_bytes - size, side="right")))
-                waiting.append(batch.slice(row, end - row))
-                size += totals[min(end, len(batch)) - 1] - start
-                row = end
-                if size >= block_bytes or row < len(batch):
-                    yield block()
-                    waiting.clear()
-                    size = 0
-        if waiting:
-            yield block()
-
-    return number
-
-
-# Ids of the word ``w``; ``ranks`` is an array of maps, addressed by the hash of the bytes.
-_RANK = f"element_at(ranks[int(pmod(xxhash64({{0}}), {BUCKETS}L))], {{0}})"
-
-
-def _rank(piece: str) -> str:
-    return f"transform(array({piece}), b -> {_RANK.format('b')})[0]"
-
-
-_STEP = f"""
-transform(array(int(array_position(s.r, array_min(s.r)))), i ->
-  transform(array(concat(s.p[i - 1], s.p[i])), x -> named_struct(
-    'p', concat(slice(s.p, 1, i - 1), array(x), slice(s.p, i + 2, size(s.p))),
-    'r', concat(
-      slice(s.r, 1, greatest(i - 2, 0)),
-      if(i > 1, array(coalesce({_rank("concat(s.p[i - 2], x)")}, {NO_RANK})), slice(s.r, 1, 0)),
-      if(i < size(s.r), array(coalesce({_rank("concat(x, s.p[i + 1])")}, {NO_RANK})), slice(s.r, 1, 0)),
-      slice(s.r, i + 2, size(s.r))
-    )))[0])[0]
-"""
-_FOLD = f"""
-if({_RANK.format("w.word")} IS NOT NULL, array({_RANK.format("w.word")}),
-  aggregate(
-    sequence(1, length(w.word) - 1),
-    named_struct(
-      'p', transform(sequence(1, length(w.word)), i -> substring(w.word, i, 1)),
-      'r', transform(sequence(1, length(w.word) - 1), i -> coalesce({_rank("substring(w.word, i, 2)")}, {NO_RANK}))),
-    (s, turn) -> if(coalesce(array_min(s.r), {NO_RANK}) = {NO_RANK}, s, {_STEP}),
-    s -> transform(s.p, b -> {_RANK.format("b")})))
-"""
-
-
 class Vocabulary:
-    """The rank file as literals: an array of maps by hash, and the pieces by id."""
+    """The rank file as SQL literals."""
 
     def __init__(self, path: str) -> None:
         self.path = path
         ranks = read_ranks(path)
-        buckets: list[list[dict]] = [[] for _ in range(BUCKETS)]
-        for piece, rank in ranks.items():
-            buckets[xxhash.xxh64_intdigest(piece, seed=42) % BUCKETS].append({"p": base64.b64encode(piece).decode(), "r": rank})
-        pieces = [b""] * (max(ranks.values()) + 1)
+        size = max(ranks.values()) + 1
+        if size > MAX_IDS or any(bytes([b]) not in ranks for b in range(256)):
+            raise ValueError(f"a vocabulary of all bytes and of at most {MAX_IDS} pieces is needed")
+        self.none = size  # stands before the first and after the last piece of a word
+        pieces = [b""] * size
         for piece, rank in ranks.items():
             pieces[rank] = piece
-        self.ranks = json.dumps(buckets, separators=(",", ":"))
         self.pieces = [p.hex() for p in pieces]
+        self.pairs: list[list[list[int]]] = [[] for _ in range(BUCKETS)]
+        for piece, rank in ranks.items():
+            for cut in range(1, len(piece)):
+                a, b = ranks.get(piece[:cut]), ranks.get(piece[cut:])
+                if a is not None and b is not None:
+                    self.pairs[(a * SPREAD + b) % BUCKETS].append([a << 16 | b, rank])
 
     def rank_maps(self) -> str:
-        return f"transform(from_json('{self.ranks}', 'array<array<struct<p: binary, r: int>>>'), bucket -> map_from_entries(bucket))"
+        """SQL of the rank map: by bucket, pair of ids -> rank."""
+        text = json.dumps([[{"k": k - (1 << 32) if k >> 31 else k, "r": r} for k, r in bucket] for bucket in self.pairs], separators=(",", ":"))
+        return f"transform(from_json('{text}', 'array<array<struct<k: int, r: int>>>'), bucket -> map_from_entries(bucket))"
 
     def piece_texts(self) -> str:
         """SQL of the array of pieces by id, in hexadecimal."""
@@ -199,47 +130,133 @@ class Vocabulary:
         pieces = F.expr(self.piece_texts())
         return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
 
+    def fold(self) -> str:
+        """SQL of the ids of the word ``w``, whose bytes are given as their ids in ``w.bytes``."""
+
+        def rank(a: str, b: str) -> str:
+            return f"coalesce(element_at(ranks[({a} * {SPREAD} + {b}) & {BUCKETS - 1}], shiftleft({a}, 16) | {b}), {NO_RANK})"
+
+        # p: the pieces' ids, none at both ends; r: the ranks of adjacent pairs; the rank of a pair is the id it becomes.
+        joined = f"""
+        named_struct(
+          'p', concat(slice(s.p, 1, i - 1), array(m), slice(s.p, i + 2, size(s.p))),
+          'r', concat(slice(s.r, 1, i - 2), array({rank("s.p[i - 2]", "m")}, {rank("m", "s.p[i + 1]")}), slice(s.r, i + 2, size(s.r))))
+        """
+        step = f"""
+        transform(array(array_min(s.r)), m -> if(m = {NO_RANK}, s,
+          transform(array(int(array_position(s.r, m))), i -> {joined})[0]))[0]
+        """
+        ends = f"concat(array({self.none}), w.bytes, array({self.none}))"
+        return f"""
+        aggregate(
+          sequence(1, size(w.bytes)),
+          transform(array({ends}), p -> named_struct('p', p, 'r', zip_with(slice(p, 1, size(p) - 1), slice(p, 2, size(p)), (a, b) -> {rank("a", "b")})))[0],
+          (s, turn) -> {step},
+          s -> slice(s.p, 2, size(s.p) - 2))
+        """
+
+
+def _number_words(path: str, pattern: str, names: list[str], block_bytes: int):
+    """Rows become blocks: each document's word numbers, and the block's distinct words."""
+
+    def block(rows: pa.Table, split: regex.Pattern, ranks: dict[bytes, int]) -> pa.RecordBatch:
+        columns = [rows.column(n).combine_chunks() for n in names]
+        columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
+        data, offsets = byte_view(rows.column("_text").cast(pa.large_string()))
+        starts, numbered = split_pieces(data, offsets)
+        # Only distinct pieces are split by the pattern; then a document is the words of its pieces.
+        found = [split.findall(piece) for piece in numbered.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        words = pa.array([w for piece in found for w in piece], pa.large_string()).dictionary_encode()
+        firsts, flat = np.cumsum(sizes) - sizes, words.indices.to_numpy(zero_copy_only=False)
+        pieces = numbered.indices.to_numpy(zero_copy_only=False)
+        lengths = sizes[pieces] if len(pieces) else np.empty(0, dtype=np.int64)
+        ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        codes = flat[np.arange(ends[-1]) - np.repeat(ends[:-1] - firsts[pieces], lengths)] if len(pieces) else flat
+        code_lists = pa.ListArray.from_arrays(pa.array(ends[np.searchsorted(starts, offsets)], pa.int32()), pa.array(codes, pa.int32()))
+        docs = pa.StructArray.from_arrays([*columns, code_lists], [*names, "_codes"])
+
+        raw, at = byte_view(words.dictionary)
+        id_of_byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+        long = np.flatnonzero(np.diff(at) > FOLD_BYTES)
+        ready: list[list[int] | None] = [None] * (len(at) - 1)
+        for i in long.tolist():
+            ready[i] = merge_long(raw[at[i] : at[i + 1]].tobytes(), ranks)
+        byte_ids = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(id_of_byte[raw], pa.int32()))
+        table = pa.StructArray.from_arrays([byte_ids, pa.array(ready, pa.list_(pa.int32()))], ["bytes", "ids"])
+        one = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (docs, table)]
+        return pa.RecordBatch.from_arrays(one, ["docs", "words"])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, ranks = word_pattern(pattern), read_ranks(path)
+        waiting: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            _, offsets = byte_view(batch.column("_text"))
+            row = 0
+            while row < len(batch):
+                end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + block_bytes - size, side="right")) - 1)
+                end = min(end, len(batch))
+                waiting.append(batch.slice(row, end - row))
+                size += int(offsets[end] - offsets[row])
+                row = end
+                if size >= block_bytes or row < len(batch):
+                    yield block(pa.Table.from_batches(waiting), split, ranks)
+                    waiting, size = [], 0
+        if waiting:
+            yield block(pa.Table.from_batches(waiting), split, ranks)
+
+    return number
+
 
 def encode_blocks(docs: DataFrame, vocabulary: Vocabulary, pattern: str, names: list[str], per_document: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: the struct that SQL ``per_document`` makes of d (columns ``names``) and ids.
+    """One row per document: the struct that SQL ``per_document`` makes of d (columns ``names``) and of ``known``.
 
-    ``pieces`` and ``numbers``, the vocabulary's arrays of hexadecimal texts, are at its hand.
+    ``known`` has for each word number its ``ids``, and their ``numbers`` and ``pieces`` in hexadecimal.
     """
-    split = F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
-    rows = docs.select(*names, split.alias("_words"))
+    rows = docs.select(*names, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
     schema = T.StructType(
         [
             T.StructField("docs", T.ArrayType(T.StructType([*docs.select(*names).schema.fields, T.StructField("_codes", T.ArrayType(T.IntegerType()))]))),
-            T.StructField("words", T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]))),
+            T.StructField("words", T.ArrayType(T.StructType([T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("bytes", "ids")]))),
         ]
     )
-    blocks = rows.mapInArrow(_number_words(vocabulary.path, names, block_bytes), schema)
+    blocks = rows.mapInArrow(_number_words(vocabulary.path, pattern, names, block_bytes), schema)
     # transform(array(x), name -> ...)[0] names a value, so that it is made once for a block.
+    word = """
+    named_struct('ids', ids,
+      'numbers', array_join(transform(ids, i -> numbers[i]), ''),
+      'pieces', array_join(transform(ids, i -> pieces[i]), ''))
+    """
     done = f"""
     transform(array({vocabulary.rank_maps()}), ranks ->
       transform(array({vocabulary.piece_texts()}), pieces ->
         transform(array({vocabulary.number_texts()}), numbers ->
-          transform(array(transform(words, w -> coalesce(w.ids, {_FOLD}))), known ->
-            transform(docs, d -> transform(array(flatten(transform(d._codes, c -> known[c]))), ids -> {per_document})[0])
+          transform(array(transform(words, w -> transform(array(coalesce(w.ids, {vocabulary.fold()})), ids -> {word})[0])), known ->
+            transform(docs, d -> {per_document})
           )[0])[0])[0])[0]
     """
     return blocks.select(F.explode(F.expr(done)).alias("d")).select("d.*")
 
 
+_IDS = "flatten(transform(d._codes, c -> known[c].ids))"
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """The documents with one more column: their token ids."""
     ids = free_name(docs.columns, "ids")
     columns = ", ".join(f"'{c}', d.`{c}`" for c in docs.columns)
-    return encode_blocks(docs, Vocabulary(path), pattern, docs.columns, f"named_struct({columns}, '{ids}', ids)")
+    return encode_blocks(docs, Vocabulary(path), pattern, docs.columns, f"named_struct({columns}, '{ids}', {_IDS})")
 
 
 def encoding_report(docs: DataFrame, path: str, pattern: str, ids: bool = False) -> DataFrame:
     """Per document: doc_id, n_tokens, the digests of its ids and of what they decode to; on request the ids."""
     report = f"""
-    named_struct({"'ids', ids," if ids else ""}
+    transform(array(unhex(array_join(transform(d._codes, c -> known[c].numbers), ''))), numbers -> named_struct(
       'doc_id', d.doc_id,
-      'n_tokens', bigint(size(ids)),
-      'ids_sha256', sha2(unhex(array_join(transform(ids, i -> numbers[i]), '')), 256),
-      'decoded_sha256', sha2(unhex(array_join(transform(ids, i -> pieces[i]), '')), 256))
+      'n_tokens', bigint(length(numbers) div 4),
+      {f"'ids', {_IDS}," if ids else ""}
+      'ids_sha256', sha2(numbers, 256),
+      'decoded_sha256', sha2(unhex(array_join(transform(d._codes, c -> known[c].pieces), '')), 256)))[0]
     """
     return encode_blocks(docs, Vocabulary(path), pattern, ["doc_id"], report)

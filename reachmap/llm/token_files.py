@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .words import byte_view, slices
+from .words import byte_view, slices, split_pieces
 
 MAGIC = b"TIDS"
 BLOCK_BYTES = 1 << 20
@@ -59,31 +59,10 @@ def load_tokenizer(path: str):
     return tokenizer
 
 
-def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where pieces begin: at each text, and at each single space between two characters that surely aren't white space.
-
-    Surely means ASCII above the space, or a two-byte character that begins with C3.
-    """
-    plain = (data > 0x20) & (data < 0x7F)
-    begins = np.zeros(len(data) + 1, dtype=bool)
-    before, after = plain.copy(), plain.copy()
-    before[1:] |= data[:-1] == 0xC3
-    after |= data == 0xC3
-    begins[1 : len(data) - 1] = (data[1:-1] == 0x20) & before[:-2] & after[2:] if len(data) > 2 else False
-    inner = offsets[1:-1]
-    begins[inner[inner > 0] - 1] = False  # the space ends its text
-    begins[offsets] = True
-    begins[len(data)] = False
-    return np.flatnonzero(begins)
-
-
 def encode_texts(path: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids, offsets into ids) of the texts, the end id after each."""
     n = len(offsets) - 1
-    starts = _cuts(data, offsets)
-    bounds = pa.array(np.append(starts, len(data)), pa.int64())
-    pieces = pa.LargeBinaryArray.from_buffers(pa.large_utf8(), len(starts), [None, bounds.buffers()[1], pa.py_buffer(np.ascontiguousarray(data))])
-    numbered = pieces.dictionary_encode()
+    starts, numbered = split_pieces(data, offsets)
     encoded = load_tokenizer(path).encode_batch_fast(numbered.dictionary.to_pylist(), add_special_tokens=False)
     lists = [e.ids for e in encoded]
     sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
