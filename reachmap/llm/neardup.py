@@ -9,11 +9,11 @@ Candidates come in three rounds, and each round only asks about pairs that no li
 
 1. each class with the bucket centre (least id of a bucket) it shares most buckets with,
 2. each class with all its other centres: a star per bucket instead of all its pairs,
-3. in buckets that still hold several components, the classes outside the bucket's largest
-   component with the members of other components whose sizes allow the similarity.
+3. the members of buckets that still hold several components, with members of other components:
+   those pairs that an exact bound (common shingles among the rarest of both) doesn't rule out.
 
 Every candidate is confirmed on the full sets. Round 3 makes the answer independent of which
-member was a centre: no pair of a common bucket that could join two components stays untested. A
+member was a centre: no pair of a common bucket that could join two components goes unseen. A
 pair at the threshold misses all buckets with probability (1 - 0.8**8)**64, about 8e-6.
 
 Defined results: null, empty and word-less texts have no shingles and are linked with nothing; a
@@ -37,6 +37,7 @@ from .words import Words, byte_view, find_words, free_name, mix, slices, word_ta
 
 ROWS, BANDS = 8, 64
 PERCENT = 80
+SLOTS = 1 << 17  # of the counts by which round 3 orders shingles
 SEPARATORS = b" \t\n\x0b\x0c\r"  # fixed value: words are [^\x20\x09-\x0D]+
 
 
@@ -182,9 +183,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, rows
     classes = signed.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("fingerprint").agg(F.min("doc_id").alias("id"))
     classes = work.write(classes, "classes")
     members = signed.join(classes, "fingerprint").where(F.col("doc_id") == F.col("id"))
-    filed = members.select("id", "n_shingles", F.explode("keys").alias("key"))
+    filed = members.select("id", F.explode("keys").alias("key"))
     shared = filed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("centre")).where("n > 1").select("key", "centre")
-    filed = work.write(filed.join(shared, "key"), "filed")  # id, n_shingles, key, centre: only buckets of several classes
+    filed = work.write(filed.join(shared, "key"), "filed")  # id, key, centre: only buckets of several classes
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     texts = work.write(texts.join(filed.select("id").distinct(), "id", "left_semi"), "texts")
 
@@ -201,7 +202,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, rows
     links = links.union(work.write(confirm(pairs, texts, size, percent), "links-2"))
     found = components(links, work, "components-2")
 
-    pairs = work.write(_strays(filed, found, work, percent).join(tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "round-3")
+    mixed = _mixed_ids(filed, found, work)
+    mixed_texts = texts.join(mixed.select("id").distinct(), "id", "left_semi")
+    pairs = _prefix_pairs(mixed_texts, mixed, size, percent).join(tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
+    pairs = work.write(pairs, "round-3")
     links = links.union(work.write(confirm(pairs, texts, size, percent), "links-3"))
     found = work.write(components(links, work, "components-3"), "components")
 
@@ -219,21 +223,61 @@ def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return pairs.join(a, "a", "left").join(b, "b", "left").where(apart).select("a", "b")
 
 
-def _strays(filed: DataFrame, found: DataFrame, work: Workspace, percent: int) -> DataFrame:
-    """Pairs of a bucket in different components, one end outside the bucket's largest component.
+def _mixed_ids(filed: DataFrame, found: DataFrame, work: Workspace) -> DataFrame:
+    """(id, component) of the classes in buckets that hold several components."""
+    placed = filed.join(found, "id", "left").select("id", "key", F.coalesce("component", "id").alias("component"))
+    keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    return work.write(placed.join(keys, "key", "left_semi").select("id", "component").distinct(), "mixed")
 
-    Sets whose sizes differ too much can't be alike enough and aren't paired.
+
+def _prefix_pairs(texts: DataFrame, mixed: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs of different components whose sets can be alike enough, by the prefix and position of common shingles.
+
+    Shingles are put in one order for all sets, rarer ones first. Sets that are alike enough have a
+    common shingle among the first ``n - ceil(percent% of n) + 1`` of each, and what follows the first
+    common one bounds their overlap; a pair that fails either test can't be a link. Among near
+    copies of one text this leaves those at the threshold, not all pairs. The order rests on counts
+    in ``SLOTS`` slots of the shingles' hashes: any order is right, this one is short.
     """
-    placed = filed.join(found, "id", "left").select("id", "n_shingles", "key", F.coalesce("component", "id").alias("component"))
-    parts = work.write(placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")), "parts")
-    order = F.struct("n", "component")
-    mixed = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(order).alias("largest")).where("parts > 1")
-    mixed = work.write(mixed.select("key", F.col("largest.component").alias("largest")), "mixed")
-    inside = work.write(placed.join(mixed, "key"), "inside")
-    stray = inside.where("component <> largest").select("key", F.col("id").alias("a"), F.col("component").alias("component_a"), F.col("n_shingles").alias("n_a"))
-    other = inside.select("key", F.col("id").alias("b"), F.col("component").alias("component_b"), F.col("n_shingles").alias("n_b"))
-    met = stray.join(other, "key").where("component_a <> component_b").where(F.greatest("n_a", "n_b") * percent <= F.least("n_a", "n_b") * 100)
-    return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, dtype=np.int64)
+        for batch in batches:
+            for values in sets_of(batch.column(1), size):
+                np.add.at(total, (values % np.uint64(SLOTS)).astype(np.int64), 1)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["slot", "n"])
+
+    counts = np.zeros(SLOTS, dtype=np.int64)
+    for row in texts.mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # SLOTS rows at most
+        counts[row.slot] = row.n
+    common = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, tokens, places, sizes = [], [], [], []
+            for doc_id, values in zip(batch.column(0).to_pylist(), sets_of(batch.column(1), size), strict=True):
+                n = len(values)
+                take = n - -(-percent * n // 100) + 1
+                order = np.lexsort((values, common.value[(values % np.uint64(SLOTS)).astype(np.int64)]))[:take]
+                ids.append(np.full(take, doc_id))
+                tokens.append(values[order].view(np.int64))
+                places.append(np.arange(1, take + 1))
+                sizes.append(np.full(take, n))
+            columns = [pa.array(np.concatenate(c) if c else [], pa.int64()) for c in (ids, tokens, places, sizes)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "token", "place", "n"])
+
+    rows = texts.mapInArrow(prefixes, "id long, token long, place long, n long").join(mixed, "id")
+    a = rows.select("token", *[F.col(c).alias(f"{c}_a") for c in ("id", "component", "place", "n")])
+    b = rows.select("token", *[F.col(c).alias(f"{c}_b") for c in ("id", "component", "place", "n")])
+    overlap = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) + 1
+    likely = (
+        (F.col("id_a") > F.col("id_b"))
+        & (F.col("component_a") != F.col("component_b"))
+        & (F.greatest("n_a", "n_b") * percent <= F.least("n_a", "n_b") * 100)
+        & (overlap * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
+    )
+    return a.join(b, (a["token"] == b["token"]) & likely).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame, size: int = 5) -> DataFrame:
