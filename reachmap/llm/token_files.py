@@ -33,6 +33,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -42,10 +43,10 @@ from .words import byte_view, slices, split_pieces
 
 MAGIC = b"TIDS"
 BLOCK_BYTES = 1 << 20
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 16 << 20
 SAMPLE_ROWS, SAMPLE_CHARS = 1_000, 32_768
 DICTIONARY_BYTES = 64 << 10
-LEVEL = 3
+LEVEL = 1
 END_ID = 0
 
 
@@ -59,24 +60,51 @@ def load_tokenizer(path: str):
     return tokenizer
 
 
+# Pieces that a line end on either side leaves alone: an optional space, then ASCII or Latin letters and signs.
+_SAFE = r"^ ?[!-~\x{C0}-\x{FF}]+$"
+PIECES_PER_CALL = 200
+
+
+def _encode_pieces(path: str, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all pieces, number of ids of each). Safe pieces are encoded as the lines of longer strings."""
+    tokenizer = load_tokenizer(path)
+    safe = pc.match_substring_regex(pieces, _SAFE).to_numpy(zero_copy_only=False).astype(bool)
+    line_end = tokenizer.encode("\n", add_special_tokens=False).ids
+    if len(line_end) != 1:
+        safe[:] = False
+    lines, others = pieces.filter(pa.array(safe)).to_pylist(), pieces.filter(pa.array(~safe)).to_pylist()
+    strings = ["\n".join([*lines[i : i + PIECES_PER_CALL], ""]) for i in range(0, len(lines), PIECES_PER_CALL)]
+    found = [np.array(e.ids, dtype=np.uint32) for e in tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+    ids = np.concatenate([np.empty(0, dtype=np.uint32), *found])
+    ends = np.flatnonzero(ids == line_end[0]) if lines else np.empty(0, dtype=np.int64)
+    ids = ids[ids != line_end[0]] if lines else ids
+    line_sizes = np.diff(ends, prepend=-1) - 1
+    rest = [np.array(e.ids, dtype=np.uint32) for e in tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+    sizes = np.empty(len(pieces), dtype=np.int64)
+    sizes[safe], sizes[~safe] = line_sizes, [len(r) for r in rest]
+    flat = np.empty(int(sizes.sum()), dtype=np.uint32)
+    of_line = np.repeat(safe, sizes)
+    flat[of_line], flat[~of_line] = ids, np.concatenate([np.empty(0, dtype=np.uint32), *rest])
+    return flat, sizes
+
+
 def encode_texts(path: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids, offsets into ids) of the texts, the end id after each."""
     n = len(offsets) - 1
     starts, numbered = split_pieces(data, offsets)
-    encoded = load_tokenizer(path).encode_batch_fast(numbered.dictionary.to_pylist(), add_special_tokens=False)
-    lists = [e.ids for e in encoded]
-    sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-    flat = np.fromiter((i for ids in lists for i in ids), dtype=np.uint32, count=int(sizes.sum()))
+    flat, sizes = _encode_pieces(path, numbered.dictionary)
     firsts = np.cumsum(sizes) - sizes
     codes = numbered.indices.to_numpy(zero_copy_only=False)
     lengths = sizes[codes]
     ends = np.concatenate([[0], np.cumsum(lengths)])
-    text_ends = ends[np.searchsorted(starts, offsets)]  # ids before each text
-    total = int(ends[-1])
-    at = np.arange(total) - np.repeat(ends[:-1] - firsts[codes], lengths)
-    texts = np.repeat(np.arange(n), np.diff(text_ends))
-    ids = np.full(total + n, END_ID, dtype=np.uint32)
-    ids[np.arange(total) + texts] = flat[at]
+    first_piece = np.searchsorted(starts, offsets)
+    text_ends = ends[first_piece]  # ids before each text
+    ids = np.full(int(ends[-1]) + n, END_ID, dtype=np.uint32)
+    for a, b in slices(data, offsets):  # the arrays of places are several times as large as the ids
+        p, q = first_piece[a], first_piece[b]
+        at = np.arange(ends[p], ends[q]) - np.repeat(ends[p:q] - firsts[codes[p:q]], lengths[p:q])
+        texts = np.repeat(np.arange(a, b), np.diff(text_ends[a : b + 1]))
+        ids[np.arange(ends[p], ends[q]) + texts] = flat[at]
     return ids, text_ends + np.arange(n + 1)
 
 
