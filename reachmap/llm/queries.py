@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import new_run_folder
-from . import bpe, decontaminate, exact, neardup, quality, token_files
+from . import bpe, decontaminate, exact, neardup, quality, shards, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op8_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard_documents(_table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.find_copies(_table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_files": op6_token_files,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_quality_cnn": op8_quality_cnn,
+    "op9_shards": op9_shards,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
