@@ -153,17 +153,17 @@ class Block:
 def _writer(path: str, dictionary: bytes, width: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor, hashed = _compressor(dictionary), dictionary_hash(dictionary)
-        part, number = TaskContext.get().partitionId(), 0
+        part, number, before = TaskContext.get().partitionId(), 0, 0
         doc_ids: list[int | None] = []
         counts: list[int] = []
         frames: list[bytes] = []
 
         def block() -> pa.RecordBatch:
             columns = [
-                pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([doc_ids], pa.list_(pa.int64())),
+                pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([before], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())),
                 pa.array([counts], pa.list_(pa.int64())), pa.array([make_block(frames, width, hashed)], pa.binary()),
             ]
-            return pa.RecordBatch.from_arrays(columns, ["part", "number", "doc_ids", "counts", "block"])
+            return pa.RecordBatch.from_arrays(columns, ["part", "number", "before", "doc_ids", "counts", "block"])
 
         held = 0
         for batch in batches:
@@ -179,7 +179,7 @@ def _writer(path: str, dictionary: bytes, width: int):
                     held += len(frames[-1])
                     if held >= BLOCK_BYTES:
                         yield block()
-                        number, held = number + 1, 0
+                        number, before, held = number + 1, before + sum(counts), 0
                         doc_ids.clear(), counts.clear(), frames.clear()
         if frames:
             yield block()
@@ -205,7 +205,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str) -> None:
     dictionary = train_dictionary(_sample(docs, path, width))
     spark.createDataFrame([(bytearray(dictionary_hash(dictionary)), bytearray(dictionary))], "hash binary, dictionary binary").write.parquet(f"{folder}/dictionary")
     ordered = docs.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    blocks = ordered.select("doc_id", "text").mapInArrow(_writer(path, dictionary, width), "part int, number int, doc_ids array<long>, counts array<long>, block binary")
+    blocks = ordered.select("doc_id", "text").mapInArrow(_writer(path, dictionary, width), "part int, number int, before long, doc_ids array<long>, counts array<long>, block binary")
     blocks.write.option("compression", "none").parquet(f"{folder}/blocks")
 
 
@@ -222,21 +222,17 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                 sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
                 if len(counts) != block.size or (sizes != counts).any():
                     raise ValueError("a block doesn't hold the ids it is said to hold")
-                same = [pa.array([batch.column(c)[row].as_py()] * block.size, pa.int32()) for c in ("part", "number")]
-                before = pa.array(np.cumsum(sizes) - sizes, pa.int64())
-                yield pa.RecordBatch.from_arrays([*same, doc_ids, before, pa.array(sizes), pa.array(ids, pa.binary())], ["part", "number", "doc_id", "before", "n_tokens", "ids"])
+                part = pa.array([batch.column("part")[row].as_py()] * block.size, pa.int32())
+                before = pa.array(np.cumsum(sizes) - sizes + batch.column("before")[row].as_py(), pa.int64())
+                yield pa.RecordBatch.from_arrays([part, doc_ids, before, pa.array(sizes), pa.array(ids, pa.binary())], ["part", "doc_id", "before", "n_tokens", "ids"])
 
     blocks = spark.read.parquet(f"{folder}/blocks")
-    rows = blocks.mapInArrow(read, "part int, number int, doc_id long, before long, n_tokens long, ids binary")
-    sizes = blocks.select("part", "number", F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n).alias("n"))
-    # Running totals in two steps: over the parts, one row each, and over the blocks of a part.
-    parts = sizes.groupBy("part").agg(F.sum("n").alias("n"))
+    rows = blocks.mapInArrow(read, "part int, doc_id long, before long, n_tokens long, ids binary")
+    # A block knows the ids before it in its part; the parts, one row for each task that wrote, are added up here.
+    parts = blocks.select("part", F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n).alias("n")).groupBy("part").agg(F.sum("n").alias("n"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("part_start"))
-    inside = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("block_start", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(parts, "part")
-    starts = starts.select("part", "number", (F.col("part_start") + F.col("block_start")).alias("block_start"))
-    return rows.join(starts, ["part", "number"]).select("doc_id", (F.col("block_start") + F.col("before")).alias("start"), "n_tokens", "ids")
+    return rows.join(parts, "part").select("doc_id", (F.col("part_start") + F.col("before")).alias("start"), "n_tokens", "ids")
 
 
 def token_report(docs: DataFrame, path: str, folder: str) -> DataFrame:
