@@ -33,3 +33,13 @@ def jaccard_components(rows, size, percent=80):
                 a, b = sorted((root(d), root(e)))
                 parent[b] = a
     return {d: (len(s), root(d)) for d, s in sets.items()}
+
+
+def base_secrets(text):
+    """[(start, rank, end, kind)] of the fixed shapes."""
+    text = text or ""
+    assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+    out = [(m.start(), 0, m.end(), "assign") for m in assign.finditer(text) if len(m[2]) >= 12]
+    out += [(m.start(), 1, m.end(), "access") for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [(m.start(), 2, m.end(), "hex") for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(out)
