@@ -32,12 +32,11 @@ from pyspark.sql import types as T
 
 from .words import byte_view, free_name, split_pieces
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 FOLD_BYTES = 64
-MAX_IDS = 52_000
+MAX_IDS = 65_000
 BUCKETS = 1 << 16
-SPREAD = 40_503  # spreads pairs over the buckets; SPREAD * MAX_IDS stays below 2**31
-NO_RANK = 2**31 - 1
+PIECE = 1 << 20
 
 # Letters and numbers newer than Unicode 16, which the tokenizer's pattern doesn't know as such.
 NEWER_LETTERS = """
@@ -110,7 +109,8 @@ class Vocabulary:
             for cut in range(1, len(piece)):
                 a, b = ranks.get(piece[:cut]), ranks.get(piece[cut:])
                 if a is not None and b is not None:
-                    self.pairs[(a * SPREAD + b) % BUCKETS].append([a << 16 | b, rank])
+                    a, b = a + PIECE, b + PIECE
+                    self.pairs[(a << 4 ^ b) % BUCKETS].append([(a << 16 ^ b) % (1 << 32), rank])
 
     def rank_maps(self) -> str:
         """SQL of the rank map: by bucket, pair of ids -> rank."""
@@ -134,25 +134,26 @@ class Vocabulary:
         """SQL of the ids of the word ``w``, whose bytes are given as their ids in ``w.bytes``."""
 
         def rank(a: str, b: str) -> str:
-            return f"coalesce(element_at(ranks[({a} * {SPREAD} + {b}) & {BUCKETS - 1}], shiftleft({a}, 16) | {b}), {NO_RANK})"
+            return f"element_at(ranks[(shiftleft({a}, 4) ^ {b}) & {BUCKETS - 1}], shiftleft({a}, 16) ^ {b})"
 
-        # p: the pieces' ids, none at both ends; r: the ranks of adjacent pairs; the rank of a pair is the id it becomes.
-        joined = f"""
-        named_struct(
-          'p', concat(slice(s.p, 1, i - 1), array(m), slice(s.p, i + 2, size(s.p))),
-          'r', concat(slice(s.r, 1, i - 2), array({rank("s.p[i - 2]", "m")}, {rank("m", "s.p[i + 1]")}), slice(s.r, i + 2, size(s.r))))
-        """
+        # z has pieces and ranks by turns: piece, rank of the pair, piece, ... with ``none`` at both ends. Pieces are
+        # their ids plus PIECE, more than any rank, and a pair without rank is null; so the least of z is the next merge,
+        # and the rank of a pair is the id it becomes.
         step = f"""
-        transform(array(array_min(s.r)), m -> if(m = {NO_RANK}, s,
-          transform(array(int(array_position(s.r, m))), i -> {joined})[0]))[0]
+        transform(array(array_min(z)), m -> if(m >= {PIECE}, z,
+          transform(array(int(array_position(z, m))), k -> concat(
+            slice(z, 1, k - 3),
+            array({rank("z[k - 4]", f"(m + {PIECE})")}, m + {PIECE}, {rank(f"(m + {PIECE})", "z[k + 2]")}),
+            slice(z, k + 3, size(z))))[0]))[0]
         """
-        ends = f"concat(array({self.none}), w.bytes, array({self.none}))"
+        none = self.none + PIECE
+        pairs = f"zip_with(w.bytes, slice(w.bytes, 2, size(w.bytes)), (a, b) -> array(a, {rank('a', 'b')}))"
         return f"""
         aggregate(
-          sequence(1, size(w.bytes)),
-          transform(array({ends}), p -> named_struct('p', p, 'r', zip_with(slice(p, 1, size(p) - 1), slice(p, 2, size(p)), (a, b) -> {rank("a", "b")})))[0],
-          (s, turn) -> {step},
-          s -> slice(s.p, 2, size(s.p) - 2))
+          sequence(2, size(w.bytes)),
+          concat(array({none}, null), flatten({pairs}), array({none})),
+          (z, turn) -> {step},
+          z -> transform(filter(slice(z, 3, size(z) - 4), v -> v >= {PIECE}), v -> v - {PIECE}))
         """
 
 
@@ -177,7 +178,7 @@ def _number_words(path: str, pattern: str, names: list[str], block_bytes: int):
         docs = pa.StructArray.from_arrays([*columns, code_lists], [*names, "_codes"])
 
         raw, at = byte_view(words.dictionary)
-        id_of_byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+        id_of_byte = np.array([ranks[bytes([b])] + PIECE for b in range(256)], dtype=np.int32)
         long = np.flatnonzero(np.diff(at) > FOLD_BYTES)
         ready: list[list[int] | None] = [None] * (len(at) - 1)
         for i in long.tolist():
@@ -250,12 +251,15 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def encoding_report(docs: DataFrame, path: str, pattern: str, ids: bool = False) -> DataFrame:
-    """Per document: doc_id, n_tokens, the digests of its ids and of what they decode to; on request the ids."""
+    """Per document: doc_id, n_tokens, the digests of its ids and of what they decode to.
+
+    On request also the ids, as little-endian unsigned 32-bit integers.
+    """
     report = f"""
     transform(array(unhex(array_join(transform(d._codes, c -> known[c].numbers), ''))), numbers -> named_struct(
       'doc_id', d.doc_id,
       'n_tokens', bigint(length(numbers) div 4),
-      {f"'ids', {_IDS}," if ids else ""}
+      {"'ids', numbers," if ids else ""}
       'ids_sha256', sha2(numbers, 256),
       'decoded_sha256', sha2(unhex(array_join(transform(d._codes, c -> known[c].pieces), '')), 256)))[0]
     """
