@@ -41,7 +41,8 @@ def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def _sized(base: int, need: int) -> tuple[np.ndarray, np.ndarray]:
+def powers_of(base: int, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``need + 1`` powers of an odd number and of its inverse."""
     size = 1 << max(16, (need + 1).bit_length())
     if size <= 2 * SLICE_BYTES:
         return _powers(base, size)
@@ -59,7 +60,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def _range_hash(values: np.ndarray, base: int, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of values[first:end] for each pair of positions."""
-    power, inverse = _sized(base, len(values))
+    power, inverse = powers_of(base, len(values))
     total = np.empty(len(values) + 1, dtype=np.uint64)
     total[0] = 0
     np.cumsum(values * power[: len(values)], out=total[1:])

@@ -43,3 +43,24 @@ def base_secrets(text):
     out += [(m.start(), 1, m.end(), "access") for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
     out += [(m.start(), 2, m.end(), "hex") for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
     return sorted(out)
+
+
+def dropped_lines(rows, min_words=9):
+    """doc_id -> numbers of the lines with an earlier copy. rows: (doc_id, text), ids distinct."""
+    lines = [(d, k, line.encode().split()) for d, text in sorted(rows) for k, line in enumerate((text or "").split("\n"))]
+
+    def near(a, b):
+        if a == b:
+            return True
+        if min(len(a), len(b)) < min_words or abs(len(a) - len(b)) > 1:
+            return False
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+        short, long = sorted((a, b), key=len)
+        return any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
+
+    out = {d: [] for d, _ in rows}
+    for i, (d, k, words) in enumerate(lines):
+        if words and any(near(words, other) for _, _, other in lines[:i]):
+            out[d].append(k)
+    return out
