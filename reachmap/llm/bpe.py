@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from .words import byte_view, free_name, split_pieces
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 FOLD_BYTES = 64
 MAX_IDS = 65_000
 BUCKETS = 1 << 16
