@@ -109,37 +109,41 @@ def _place(doc_id: Column, line: Column) -> Column:
     return (doc_id.cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + line).cast("decimal(38,0)")
 
 
-def _variants(chosen: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of the chosen lines (doc_id, line, at): key, at, place; place is the word left out, -1 for the whole line."""
+def _line_texts(chosen: DataFrame, docs: DataFrame) -> DataFrame:
+    """(at, words) of the chosen lines (doc_id, line, at).
+
+    The texts are always shuffled for this join, at any size: the chosen lines grow with the table.
+    """
+    by_doc = chosen.groupBy("doc_id").agg(F.collect_list(F.struct("line", "at")).alias("picks"))  # at most the lines of a document
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    picked = F.transform(
+        F.array(F.split("text", "\n", -1)), lambda lines: F.transform("picks", lambda p: F.struct(p["at"].alias("at"), F.get(lines, p["line"]).alias("words")))
+    )[0]
+    rows = texts.join(by_doc.hint("merge"), "doc_id").select(F.explode(picked).alias("p")).select("p.*")
+    return rows.where("words IS NOT NULL")  # a line of another text with this id
+
+
+def _variants(line_texts: DataFrame) -> DataFrame:
+    """Of each line: key, at, place; place is the word left out, -1 for the whole line."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.column(1).to_pylist()
-            data, offsets = byte_view(batch.column(0))
+            ats = batch.column(0).to_numpy(zero_copy_only=False)
+            data, offsets = byte_view(batch.column(1))
             for a, b in slices(data, offsets):
-                words, text, number, _ = _lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                words = find_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], _table())
                 sums, _, inverse = _prefix_sums(words)
-                back = inverse[1]
-                begins = np.searchsorted(text, np.arange(b - a))
-                keys, ats, places = [], [], []
-                for row in range(a, b):
-                    for pick in wanted[row]:
-                        k = int(begins[row - a]) + pick["line"]
-                        if k >= len(text) or text[k] != row - a:
-                            continue  # a line of another text with this id
-                        i, j = int(words.bounds[k]), int(words.bounds[k + 1])
-                        drop = np.arange(i, j)
-                        less = (sums[drop] - sums[i] + (sums[j] - sums[drop + 1]) * back) * inverse[i]
-                        whole = (sums[j : j + 1] - sums[i]) * inverse[i]
-                        keys.append(mix(np.append(less, whole) + mix(np.append(np.full(j - i, j - i - 1), j - i).astype(np.uint64))).view(np.int64))
-                        ats.append(np.full(j - i + 1, pick["at"]))
-                        places.append(np.append(drop - i, -1))
-                columns = [np.concatenate(c) if c else np.empty(0, np.int64) for c in (keys, ats, places)]
+                first, last = words.bounds[:-1], words.bounds[1:]
+                n = last - first
+                drop = np.arange(len(words.hashes))
+                row = np.repeat(np.arange(b - a), n)
+                less = (sums[drop] - sums[first[row]] + (sums[last[row]] - sums[drop + 1]) * inverse[1]) * inverse[first[row]]
+                whole = (sums[last] - sums[first]) * inverse[first]
+                keys = mix(np.concatenate([less, whole]) + mix(np.concatenate([n[row] - 1, n]).astype(np.uint64))).view(np.int64)
+                columns = [keys, ats[a:b][np.concatenate([row, np.arange(b - a)])], np.concatenate([drop - first[row], np.full(b - a, -1)])]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["key", "at", "place"])
 
-    by_doc = chosen.groupBy("doc_id").agg(F.collect_list(F.struct("line", "at")).alias("picks"))  # at most the lines of a document
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(by_doc, "doc_id").select("text", "picks").mapInArrow(emit, "key long, at long, place int")
+    return line_texts.mapInArrow(emit, "key long, at long, place int")
 
 
 def _later_of_pairs(variants: DataFrame) -> DataFrame:
@@ -167,7 +171,7 @@ def one_edit(a: list[bytes], b: list[bytes]) -> bool:
     return short[head + (len(short) == len(long)) :] == long[head + 1 :]
 
 
-def _verified(pairs: DataFrame, chosen: DataFrame, docs: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, line_texts: DataFrame) -> DataFrame:
     """The lines (at) of pairs that are within one edit by their words."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,14 +180,8 @@ def _verified(pairs: DataFrame, chosen: DataFrame, docs: DataFrame) -> DataFrame
             good = [k for k, a, b in zip(at, left, right, strict=True) if one_edit(a.encode().split(), b.encode().split())]
             yield pa.RecordBatch.from_arrays([pa.array(good, pa.int64())], ["at"])
 
-    ends = pairs.select("at").union(pairs.select("earlier")).distinct()
-    needed = chosen.join(ends, "at")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    by_doc = needed.groupBy("doc_id").agg(F.collect_list(F.struct("line", "at")).alias("picks"))
-    lines = texts.join(by_doc, "doc_id").select(F.split("text", "\n").alias("lines"), F.explode("picks").alias("pick"))
-    lines = lines.select(F.col("pick.at").alias("at"), F.get("lines", "pick.line").alias("words")).where("words IS NOT NULL")
-    lines = Workspace(docs.sparkSession, "line-texts").write(lines, "lines")
-    joined = pairs.join(lines, "at").join(lines.select(F.col("at").alias("earlier"), F.col("words").alias("earlier_words")), "earlier")
+    earlier = line_texts.select(F.col("at").alias("earlier"), F.col("words").alias("earlier_words"))
+    joined = pairs.join(line_texts, "at").join(earlier, "earlier")
     return joined.select("at", "words", "earlier_words").mapInArrow(compare, "at long").distinct()
 
 
@@ -204,9 +202,10 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     ordered = earliest.repartitionByRange("place").sortWithinPartitions("place").withColumn("at", F.monotonically_increasing_id())
     line = (F.col("place") - doc_id.cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)")).cast("int")
     ordered = work.write(ordered.select("at", doc_id.alias("doc_id"), line.alias("line"), *same), "chosen")
-    variants = work.write(_variants(ordered.select("doc_id", "line", "at"), docs), "variants")
+    line_texts = work.write(_line_texts(ordered.select("doc_id", "line", "at"), docs), "texts")
+    variants = work.write(_variants(line_texts), "variants")
     pairs = work.write(_later_of_pairs(variants), "pairs")
-    gone = work.write(ordered.join(_verified(pairs, ordered.select("doc_id", "line", "at"), docs), "at", "left_semi").select("doc_id", "line"), "gone")
+    gone = work.write(ordered.join(_verified(pairs, line_texts), "at", "left_semi").select("doc_id", "line"), "gone")
     # A later place of a line goes; the earliest goes if the line has an earlier copy.
     places = rows.select("doc_id", "line", *same).join(distinct, same)
     repeats = places.where(_place(F.col("doc_id"), F.col("line")) > F.col("place")).select("doc_id", "line")
