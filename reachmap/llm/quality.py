@@ -32,7 +32,7 @@ CHUNK = BLOCK * BLOCKS_PER_CHUNK
 LEVELS = 6
 TRAIN_ROWS, TRAIN_CHARS = 2_000, 32_768
 EPOCHS, BATCH, RATE = 12, 64, 0.02
-SLICE = 1 << 19
+SLICE = 1 << 18
 _SPACES = b" \t\n\x0b\x0c\r"
 
 

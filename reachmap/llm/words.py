@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20  # rows are taken together up to this many bytes of text; one longer row stands alone
+SLICE_BYTES = 1 << 18  # rows are taken together up to this many bytes of text; one longer row stands alone
 _BYTE_BASE = 0x9E3779B97F4A7C15 | 1
 _WORD_BASE = 0xC2B2AE3D27D4EB4F | 1
 
