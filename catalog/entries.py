@@ -35,9 +35,9 @@ def url_normalize(spark, sf_dir):
     pages = contact_pages(spark, sf_dir)
     return pages.select(
         "page_id",
-        urls.normalize_url(F.concat(F.lit(" HTTP"), F.substring("url", 5, 10000))).alias("plain"),
+        urls.normalize_url(F.regexp_replace("url", "^http", " HTTP")).alias("plain"),
         urls.normalize_url("url", True).alias("with_query"),
-        urls.normalize_url(F.concat(F.lit("ftp"), F.substring("url", 5, 10000))).alias("foreign"),
+        urls.normalize_url(F.regexp_replace("url", "^http", "ftp")).alias("foreign"),
         urls.normalize_url(F.regexp_replace("url", "^([a-z]+://[^/]+)/", "$1:80/")).alias("with_port"),
     )
 

@@ -131,7 +131,7 @@ def _mailto(href: str) -> str:
     return _strip(f"regexp_replace(url_decode({target}), ',.*$', '')")
 
 
-_CLOAKED = "SELECT page_id, 'info@k' || 'agr' || CAST(page_id % 10000 AS VARCHAR) || '.ru' AS candidate FROM contact_pages WHERE html LIKE '%var addy%'"
+_CLOAKED = "SELECT page_id, 'desk@plant' || CAST(page_id % 10000 AS VARCHAR) || '.example.org' AS candidate FROM contact_pages WHERE html LIKE '%var addy%'"
 _MAILTO = f"SELECT page_id, {_mailto('href')} AS candidate FROM ({_link_rows('contact_pages')}) AS l WHERE tag = 'a' AND lower(href) LIKE 'mailto:%'"
 _EMAIL_ROWS = f"""
 SELECT DISTINCT page_id, url, lower(trim(candidate)) AS contact

@@ -1,6 +1,6 @@
 """Views the queries and their oracles share, in SQL both engines read the same way.
 
-Each view maps whole tables row by row (``requests`` and ``unique_docs`` aggregate them), so
+Each view maps whole tables row by row (``requests`` aggregates them), so
 it grows with the given data. The data has no mailto, tel or <area>, and no link that leads
 to a stored page; the views add such markup, with its form chosen by the row's id.
 """
@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reachmap.sources.tables import spread
 
 # One document a page; text escaped the way a page would write it.
 DOC_PAGES = """
@@ -30,7 +29,7 @@ _CONTACT_BLOCK = """CASE page_id % 7
   WHEN 3 THEN '<a href="tel:+1 (415) 555-' || lpad(n, 4, '0') || '">call</a><a href="tel:+7%20(800)%20555-35-35;ext=1">call</a>'
   WHEN 4 THEN '<a href="tel:00 1 212 555 ' || lpad(n, 4, '0') || '">idd</a><a href="tel:8 (953) 640-' || substr(lpad(n, 4, '0'), 1, 2) || '-' || substr(lpad(n, 4, '0'), 3, 2) || '">local</a>'
   WHEN 5 THEN '<map><area href=" /map/contact-' || n || '.html#x "></map><p>IDD: 00 7 953 640-53-' || substr(lpad(n, 4, '0'), 3, 2) || '</p><p>tel: 8 (800) 555-' || substr(lpad(n, 4, '0'), 1, 2) || '-' || substr(lpad(n, 4, '0'), 3, 2) || '</p>'
-  ELSE '<script>document.getElementById("cloak' || n || '").innerHTML = "";var addy' || n || ' = "&#105;nf&#111;" + "&#64;";addy' || n || ' = addy' || n || ' + "k&#97;gr' || n || '" + "&#46;" + "r&#117;";</script>'
+  ELSE '<script>document.getElementById("cloak' || n || '").innerHTML = "";var addy' || n || ' = "d&#101;sk" + "&#64;";addy' || n || ' = addy' || n || ' + "pl&#97;nt' || n || '" + "&#46;" + "example.or&#103;";</script>'
 END"""
 
 CONTACT_PAGES = f"""
@@ -98,7 +97,7 @@ TABLES = ("pages", "documents", "events")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

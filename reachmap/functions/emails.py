@@ -37,6 +37,8 @@ CLOAK_ASSIGNMENT = r"^(?:var\s+)?(addy_text[a-z0-9]+|addy[a-z0-9]+)\s*=\s*(.+)"
 CLOAK_TOKEN = (
     r"'([^'\\]*(?:\\\\.[^'\\]*)*)'|\"([^\"\\]*(?:\\\\.[^\"\\]*)*)\"|([A-Za-z_][A-Za-z0-9_]*)"
 )
+# The same tokens, found without giving characters back: a long literal needs no deep recursion.
+_FIND_TOKEN = CLOAK_TOKEN.replace(")*)", ")*+)").replace("]*(?:", "]*+(?:").replace("]*)*+", "]*+)*+")
 _STATEMENT = r"""(?s)(?:[^;'"]|'(?:[^'\\]|\\.)*+(?:'|\z)|"(?:[^"\\]|\\.)*+(?:"|\z))++"""
 
 
@@ -70,7 +72,7 @@ def split_js_statements(script: Column | str) -> Column:
 
 def eval_js_concat(expression: Column, variables: Column) -> Column:
     """Value of a concatenation of string literals and known variables (unknown ones are empty)."""
-    tokens = F.regexp_extract_all(expression, F.lit(CLOAK_TOKEN), F.lit(0))
+    tokens = F.regexp_extract_all(expression, F.lit(_FIND_TOKEN), F.lit(0))
 
     def value(token: Column) -> Column:
         literal = F.substring(token, F.lit(2), F.length(token) - 2)

@@ -16,14 +16,17 @@ from .text import as_column, literal_map, strip
 
 _BREAK = "\ufdd0"  # a Unicode noncharacter marks the place of removed markup
 
+# Whatever is opened and never closed goes to the end of the page as one piece. So a page is read
+# once, whatever it holds: no opener scans ahead in vain for the next one to scan ahead again.
+
 # The rest of a start tag; a quote counts only directly after "=".
-_TAG_REST = r"""(?:[^>=]|=(?!\s*["'])|=\s*"[^"]*"|=\s*'[^']*')*+"""
+_TAG_REST = r"""(?:[^>=]|=(?!\s*["'])|=\s*"[^"]*+(?:"|\z)|=\s*'[^']*+(?:'|\z))*+"""
 # Every piece of markup starts with "<", which the patterns below factor out: a scan then
 # compares one character at most places.
-_COMMENT = r"!--.*?--\s*>"
-_CDATA = r"!\[CDATA\[.*?\]\s*\]\s*>"
+_COMMENT = r"!--.*?(?:--\s*>|\z)"
+_CDATA = r"!\[CDATA\[.*?(?:\]\s*\]\s*>|\z)"
 _CDATA_TEXT = _CDATA.replace(".*?", "(.*?)")
-_OTHER_TAG = rf"[a-zA-Z]{_TAG_REST}>|[!/?][^>]*>"
+_OTHER_TAG = rf"[a-zA-Z]{_TAG_REST}(?:>|\z)|[!/?][^>]*+(?:>|\z)"
 
 
 def _raw_element(name: str, body: str = ".*?") -> str:
@@ -34,7 +37,7 @@ _STYLE = _raw_element("style")
 _SCRIPT = _raw_element("script")
 # Elements whose text is not part of the page text.
 _HIDDEN = "|".join(
-    rf"{name}(?=[\s/>]){_TAG_REST}(?<!/)>.*?(?:</{name}(?=[\s/>])[^>]*>{end})"
+    rf"{name}(?=[\s/>]){_TAG_REST}(?<!/)>.*?(?:</{name}(?=[\s/>])[^>]*+(?:>|\z){end}|\z)"
     for name, end in (("template", ""), ("rt", "|(?=</ruby[\\s>])"), ("rp", "|(?=</ruby[\\s>])"))
 )
 _MARKUP = rf"(?is)<(?:{_COMMENT}|{_CDATA_TEXT}|{_SCRIPT}|{_STYLE}|{_HIDDEN}|{_OTHER_TAG})"

@@ -49,18 +49,39 @@ def _mask(value: Column, kind: T.DataType) -> Column:
         inner = kind.valueType
         if isinstance(inner, T.StringType):
             return mask_map(value)
-        return F.transform_values(value, lambda _, v: _mask(v, inner))
+        if isinstance(inner, (T.StructType, T.MapType)):
+            return F.transform_values(value, lambda k, v: F.when(is_sensitive_key(k), _hide(v, inner)).otherwise(_mask(v, inner)))
+        # A mask is text, so numbers, arrays and the like become text in a map that may have secret keys.
+        return F.transform_values(
+            value,
+            lambda k, v: F.when(is_sensitive_key(k), mask_value(_as_text(v, inner))).otherwise(_as_text(_mask(v, inner), inner).cast("string")),
+        )
     if isinstance(kind, T.ArrayType):
         return F.transform(value, lambda v: _mask(v, kind.elementType))
     return value
 
 
+def _hide(value: Column, kind: T.DataType) -> Column:
+    """Mask all text below a secret key; what isn't text is taken out."""
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[_hide(value[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, v: _hide(v, kind.valueType))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda v: _hide(v, kind.elementType))
+    return mask_value(value) if isinstance(kind, T.StringType) else F.lit(None).cast(kind)
+
+
 def _as_text(value: Column, kind: T.DataType) -> Column:
     return F.to_json(value) if isinstance(kind, (T.StructType, T.MapType, T.ArrayType)) else value
 
 
 def mask_columns(table: DataFrame) -> DataFrame:
-    """Mask sensitive columns of a table and sensitive parts of its nested columns."""
+    """Mask sensitive columns of a table and sensitive parts of its nested columns, whatever their types.
+
+    Maps of numbers or arrays become ``MAP<STRING,STRING>``; below a secret key of a map of maps or
+    structs all text is masked and the rest is taken out.
+    """
     return table.select(
         *[
             (mask_value(_as_text(F.col(f.name), f.dataType)) if _sensitive_name(f.name) else _mask(F.col(f.name), f.dataType)).alias(f.name)

@@ -50,6 +50,9 @@ _PUBLICATION_PAGES = r"\d{1,5}-+\d{1,5}\s{0,4}\(\d{1,4}"
 _DATE = r"(?:[0-3]?\d/[01]?\d|[01]?\d/[0-3]?\d)/(?:[12]\d)?\d{2}"
 _TIMESTAMP = r"[12]\d{3}[-/]?[01]\d[-/]?[0-3]\d +[0-2]\d:$"
 _EXTENSION = r"(?i)(?:[ \u00a0]*(?:x|#|ext\.?)[ \u00a0.]*\d{1,7})$"
+# Letters of a number that has at least three stand for the digits of their keys.
+_SPELLED = r"(?s)^(?:[^A-Za-z]*[A-Za-z]){3}"
+_KEYS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "22233344455566677778889999")
 _LEADING_JUNK = rf"^(?:[^{_D}{_SPOILER}{_PLUS}(\[\uff08\uff3b]+|[{_SPOILER}](?={_LEAD}))"
 _TRAILING_JUNK = rf"[^{_D}{_SPOILER}]+$"
 # Where a run that is no number as a whole is cut, in the order tried.
@@ -188,7 +191,7 @@ def _keep(numbers: Column, regions: Column, plan: Sequence[Region]) -> Column:
 
 
 def spans_overlap(first_start: Column, first_end: Column, second_start: Column, second_end: Column) -> Column:
-    """True if two half-open spans share a place; for callers who bring spans of their own."""
+    """True if two half-open spans share a place."""
     return (first_start < second_end) & (second_start < first_end)
 
 
@@ -207,28 +210,49 @@ def phone_runs(text: Column | str) -> Column:
     return F.filter(runs, lambda r: r.rlike(_ENOUGH_DIGITS))
 
 
+_SPANS = "array<struct<text:string,start:int,end:int>>"
+
+
+def _placed(run: Column, pieces: Column) -> Column:
+    """Pieces of a run, in order, with their spans; those that can be numbers.
+
+    No digit stands between two pieces, so the next occurrence of a piece is the piece itself.
+    """
+    begin = F.struct(F.lit(1).alias("at"), F.array().cast(_SPANS).alias("spans"))
+
+    def add(state: Column, text: Column) -> Column:
+        def at(start: Column) -> Column:
+            end = start + F.length(text)
+            return F.struct(end.alias("at"), F.concat(state["spans"], F.array(F.struct(text.alias("text"), start.alias("start"), end.alias("end")))).alias("spans"))
+
+        return bind(F.position(text, run, state["at"]), at)
+
+    spans = F.aggregate(pieces, begin, add, lambda state: state["spans"])
+    plain = F.transform(spans, lambda s: F.struct(F.regexp_replace(s["text"], _EXTENSION, "").alias("text"), s["start"].alias("start"), s["end"].alias("end")))
+    return F.filter(
+        plain,
+        lambda s: s["text"].rlike(_ENOUGH_DIGITS)
+        & ~s["text"].rlike(rf"^[{_SPOILER}]|[{_SPOILER}]$")
+        & s["text"].rlike(_BRACKETS_MATCH)
+        & ~s["text"].rlike(_PUBLICATION_PAGES),
+    )
+
+
 def _levels(run: Column) -> Column:
-    """The run as a whole, then its pieces under each way to cut it: array<array<string>>."""
+    """The run as a whole, then its pieces under each way to cut it: array<array<struct<text, start, end>>>."""
     usable = ~run.rlike(_DATE) & ~run.rlike(_TIMESTAMP)
     whole = F.array(run)
     cuts = [F.when(run.rlike(cut), F.split(run, cut)).otherwise(_none()) for cut in _CUTS]
     levels = F.when(usable, F.array(whole, *cuts)).otherwise(F.array().cast("array<array<string>>"))
-    return F.transform(
+    trimmed = F.transform(
         levels,
         lambda pieces: F.filter(
-            F.transform(
-                pieces,
-                lambda p: F.regexp_replace(
-                    F.regexp_replace(p, f"{_LEADING_JUNK}|{_TRAILING_JUNK}", ""), _EXTENSION, ""
-                ),
-            ),
-            lambda p: p.rlike(_ENOUGH_DIGITS)
-            & ~p.rlike(rf"^[{_SPOILER}]|[{_SPOILER}]$")
-            & p.rlike(_BRACKETS_MATCH)
-            & ~p.rlike(_PUBLICATION_PAGES),
+            F.transform(pieces, lambda p: F.regexp_replace(p, f"{_LEADING_JUNK}|{_TRAILING_JUNK}", "")), lambda p: p != ""
         ),
     )
 
+    return F.transform(trimmed, lambda pieces: _placed(run, pieces))
+
 
 def phones_of_text(
     text: Column | str, regions: Column | str, plan: Sequence[Region] = NUMBERING_PLAN
@@ -248,9 +272,9 @@ def phones_of_candidates(
     """Distinct E.164 numbers of a page's candidates: digit runs, dialled numbers, tel links.
 
     The candidates don't depend on the region, so they can be stored and read again later.
-    A run is read from each region in turn and the first that gives an allowed number decides;
-    on its own it is also read as an international number. If a run is no number as a whole,
-    its pieces are tried.
+    A run is read from each region in turn; numbers whose spans overlap those of earlier regions
+    are skipped. On its own it is also read as an international number. If a run is no number as
+    a whole, its pieces are tried.
     """
     regions = as_column(regions)
     # The empty region stands for "international only" and comes last.
@@ -260,19 +284,30 @@ def phones_of_candidates(
         numbers = F.transform(
             levels,
             lambda pieces: F.filter(
-                F.transform(pieces, lambda p: parse_phone(p, region, plan, in_text=True)),
-                lambda d: d.isNotNull(),
+                F.transform(
+                    pieces,
+                    lambda p: F.struct(
+                        parse_phone(p["text"], region, plan, in_text=True).alias("digits"), p["start"].alias("start"), p["end"].alias("end")
+                    ),
+                ),
+                lambda n: n["digits"].isNotNull(),
             ),
         )
         hit = F.try_element_at(F.filter(numbers, lambda n: F.size(n) > 0), F.lit(1))
-        return _keep(F.coalesce(hit, _none()), regions, plan)
+        return F.filter(F.coalesce(hit, nothing), lambda n: region_allowed(n["digits"], regions, plan))
+
+    nothing = F.array().cast("array<struct<digits:string,start:int,end:int>>")
+
+    def free(taken: Column, found: Column) -> Column:
+        def clear(n: Column) -> Column:
+            return ~F.exists(taken, lambda t: spans_overlap(t["start"], t["end"], n["start"], n["end"]))
+
+        return F.concat(taken, F.filter(found, clear))
 
     def of_run(run: Column) -> Column:
         def pick(views: Column) -> Column:
-            regional = F.filter(F.slice(views, F.lit(1), F.size(regions)), lambda n: F.size(n) > 0)
-            return F.concat(
-                F.coalesce(F.try_element_at(regional, F.lit(1)), _none()), F.element_at(views, -1)
-            )
+            regional = F.aggregate(F.slice(views, F.lit(1), F.size(regions)), nothing, free)
+            return F.transform(F.concat(regional, F.element_at(views, -1)), lambda n: n["digits"])
 
         return bind(
             _levels(run),
@@ -297,9 +332,15 @@ def idd_candidates(text: Column | str) -> Column:
 
 
 def tel_number(href: Column | str) -> Column:
-    """The number of a tel href: no query, no parameters, percent-decoded, trimmed."""
+    """The number of a tel href: no query, no parameters, percent-decoded, trimmed.
+
+    An extension is left out; letters of a spelled-out number become digits.
+    """
     target = F.regexp_replace(as_column(href), r"(?s)^[^:]*:", "")
-    return strip(url_unquote(F.substring_index(F.substring_index(target, "?", 1), ";", 1)))
+    number = strip(url_unquote(F.substring_index(F.substring_index(target, "?", 1), ";", 1)))
+    number = F.regexp_replace(number, _EXTENSION, "")
+    letters, digits = _KEYS
+    return F.when(number.rlike(_SPELLED), F.translate(number, letters + letters.lower(), digits * 2)).otherwise(number)
 
 
 def tel_candidates(links: Column | str) -> Column:

@@ -44,8 +44,10 @@ def string_array(*items: str) -> Column:
 
 
 def split_list(value: Column | str) -> Column:
-    """Split an option written as one string on commas and semicolons."""
-    return F.split(as_column(value), "[,;]")
+    """An option written as one string: a JSON array of strings, or parts between commas and semicolons."""
+    value = as_column(value)
+    listed = F.from_json(value, "array<string>")
+    return F.when(strip(value).startswith("["), F.coalesce(listed, F.split(value, "[,;]"))).otherwise(F.split(value, "[,;]"))
 
 
 def literal_map(table: dict[str, str]) -> Column:

@@ -39,8 +39,8 @@ _QUERY = r"(?s)^[^?#]*\?([^#]*)"
 
 # URLs that are their own normal form, but for a query that may have to go.
 _PLAIN = r"^https?://[a-z0-9.-]+/[^?#\x00-\x1f]*+(?:\?[^#\x00-\x1f]++)?$"
-# Hrefs from the root of the host, without fragment, dot segments and characters to clean.
-_ROOTED = r"^(?!.*/\.{1,2}(?:[/?]|$))/(?!/)[^?#\x00-\x20]*+(?:\?[^#\x00-\x20]++)?$"
+# Hrefs from the root of the host, without fragment, dot segments, empty parameters and characters to clean.
+_ROOTED = r"^(?!.*/\.{1,2}(?:[/?;]|$))(?![^?]*;(?:\?|$))/(?!/)[^?#\x00-\x20]*+(?:\?[^#\x00-\x20]++)?$"
 
 
 def _clean(url: Column) -> Column:
@@ -68,14 +68,15 @@ def _normalize(url: Column, keep_query: Column) -> Column:
 
     def assemble(part: Column) -> Column:
         scheme = F.lower(part[0])
-        port = F.when(part[2] != "", part[2].cast("decimal(38,0)"))
+        digits = F.regexp_replace(part[2], "^0+(?=[0-9])", "")
+        port = F.when(F.length(digits).between(1, 5), digits.cast("int"))
         default_port = F.when(scheme == "http", F.lit(80)).otherwise(F.lit(443))
         port_text = F.when(port.isNull() | (port == default_port), F.lit("")).otherwise(
             F.concat(F.lit(":"), port.cast("string"))
         )
         path = F.when(part[3] == "", F.lit("/")).otherwise(part[3])
         query = F.when(keep_query & (part[4] != ""), F.concat(F.lit("?"), part[4])).otherwise(F.lit(""))
-        usable = (F.size(part) == 5) & (F.length(part[2]) <= 30) & (port.isNull() | (port <= 65535))
+        usable = (F.size(part) == 5) & (F.length(digits) <= 5) & (port.isNull() | (port <= 65535))
         return F.when(usable, F.concat(scheme, F.lit("://"), F.lower(part[1]), port_text, path, query))
 
     return bind(pieces, assemble)
@@ -182,7 +183,10 @@ def _join(base: Column, text: Column) -> Column:
     return F.when(foreign, text).otherwise(
         bind(
             F.regexp_replace(rest, r"(?s)^//(?=[/?#]|$)", ""),
-            lambda r: F.when(r.startswith("//"), F.concat(base_scheme, F.lit(":"), r)).otherwise(
+            lambda r: F.when(
+                r.startswith("//"),
+                F.concat(base_scheme, F.lit(":"), F.regexp_replace(r, r"(?s)^((?:[^?#]*/)?[^;/?#]*);(?=[?#]|$)", "$1")),
+            ).otherwise(
                 F.concat(_root(base), _join_path(base, r))
             ),
         )
@@ -194,8 +198,11 @@ def _join_path(base: Column, reference: Column) -> Column:
     path = F.regexp_extract(reference, r"(?s)^([^?#]*)", 1)
     query = F.regexp_extract(reference, _QUERY, 1)
     base_path = F.regexp_extract(base, _PATH, 1)
-    merged = F.when(path.startswith("/"), path).otherwise(
-        F.regexp_replace(F.concat(F.regexp_replace(base_path, r"[^/]*$", ""), path), "/{2,}", "/")
+    # Parameters of the last segment (from its first semicolon on) take no part in dot segments; empty ones go.
+    parameters = F.regexp_extract(path, r"(?s)(;[^/]+)$", 1)
+    bare = F.regexp_replace(path, r"(?s);[^/]*$", "")
+    merged = F.when(bare.startswith("/"), bare).otherwise(
+        F.regexp_replace(F.concat(F.regexp_replace(base_path, r"[^/]*$", ""), bare), "/{2,}", "/")
     )
     resolved = bind(
         merged, lambda p: F.when(p.rlike(r"(?:^|/)\.{1,2}(?:/|$)"), _remove_dot_segments(p)).otherwise(p)
@@ -205,7 +212,7 @@ def _join_path(base: Column, reference: Column) -> Column:
         F.concat(
             base_path, F.lit("?"), F.when(query == "", F.regexp_extract(base, _QUERY, 1)).otherwise(query)
         ),
-    ).otherwise(F.concat(resolved, F.lit("?"), query))
+    ).otherwise(F.concat(resolved, parameters, F.lit("?"), query))
 
 
 def url_path(url: Column | str) -> Column:

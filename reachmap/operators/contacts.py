@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.emails import cloaked_candidates, domain_allowed, email_candidates, mailto_candidates, valid_emails
@@ -122,29 +122,31 @@ def contacts_found(distinct_contacts: DataFrame, key: str = "site_key") -> DataF
 
 
 def contact_lists(distinct_contacts: DataFrame, key: str = "site_key", part_size: int = 100_000) -> DataFrame:
-    """Sorted lists of each site's distinct contacts, in parts of bounded length.
+    """Sorted lists of each site's distinct contacts, cut in sort order into numbered parts.
 
-    Nearly every site has one part (``part`` 0 of ``parts`` 1). A site with more than
-    ``part_size`` contacts gets several rows, its contacts spread over them by hash, so no
-    task ever holds an unbounded list and nothing is cut off. The input is read twice (count,
-    then lists): give a written table, not an extraction still to run.
+    Every row says which ``part`` (from 0) of how many ``parts`` it is. A part has at most
+    ``part_size`` addresses and as many phones; part after part they are the site's sorted
+    lists. Ranks come from a range-sorted written table, so a site of any size is spread over
+    tasks and no task holds an unbounded list.
     """
-    # The join on the site is salted: a huge site's rows go to many tasks.
-    salts = 32
-    counts = distinct_contacts.groupBy(key).agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(part_size)).cast("int").alias("parts")
-    ).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = distinct_contacts.withColumn("salt", F.pmod(F.xxhash64("contact"), F.lit(salts)).cast("int"))
-    spread = salted.join(counts, [key, "salt"]).withColumn(
-        "part", F.pmod(F.hash("contact"), F.col("parts"))
-    )
+    work = Workspace(distinct_contacts.sparkSession, "lists")
+    order = [F.col(key), F.col("kind"), F.col("contact")]
+    lined = distinct_contacts.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    lined = work.write(lined.withColumn("at", F.monotonically_increasing_id()), "lined")
+    piece = F.shiftright("at", 33).alias("piece")  # the task that wrote the row; below it, the row's place there
+    pieces = lined.groupBy(key, "kind", piece).agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy(key, "kind").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    last = ((F.col("before") + F.col("n") - 1) / F.lit(part_size)).cast("int")
+    parts = pieces.groupBy(key).agg((F.max(last) + 1).alias("parts"))
+    ranked = lined.withColumn("piece", piece).join(pieces.drop("n"), [key, "kind", "piece"])
+    numbered = ranked.withColumn("part", ((F.col("at") - F.col("first") + F.col("before")) / F.lit(part_size)).cast("int"))
 
     def sorted_list(kind: str) -> Column:
         return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("contact"))))
 
-    return spread.groupBy(key, "parts", "part").agg(
-        sorted_list(EMAIL).alias("emails"), sorted_list(PHONE).alias("phones")
-    )
+    lists = numbered.groupBy(key, "part").agg(sorted_list(EMAIL).alias("emails"), sorted_list(PHONE).alias("phones"))
+    return lists.join(parts, key).select(key, "parts", "part", "emails", "phones")
 
 
 def site_contact_lists(pages: DataFrame, part_size: int = 100_000, **options) -> DataFrame:

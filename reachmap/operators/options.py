@@ -45,6 +45,7 @@ SETTINGS = {
     "retry_backoff_factor": Setting("double", "0.5", 0.0, 10.0),
     "log_level": Setting("level", "INFO"),
 }
+# Words for yes and no, and the log levels.
 TRUE_WORDS = ("1", "true", "yes", "y", "on")
 FALSE_WORDS = ("0", "false", "no", "n", "off")
 LOG_LEVELS = ("DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL")
@@ -68,7 +69,8 @@ def coerce_int(value: Column | str) -> Column:
 
 
 def coerce_double(value: Column | str) -> Column:
-    return strip(value).try_cast("double")
+    text = strip(value)
+    return F.when(text.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$|^[+-]?(?i:nan|inf|infinity)$"), text.try_cast("double"))
 
 
 def option_value(name: str, value: Column) -> Column:

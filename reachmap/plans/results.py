@@ -79,14 +79,15 @@ def site_diagnostics(crawl: Crawl) -> DataFrame:
 def result_rows(crawl: Crawl, diagnostics: bool = False) -> DataFrame:
     """site_id, url, sorted e-mails and phones and, on request, diagnostics, for every site.
 
-    A site without contacts has empty lists. ``part`` is 0 but for sites with very many
-    contacts, whose lists are spread over several rows.
+    A site without contacts has empty lists. Every row is ``part`` (from 0) of ``parts``: the
+    lists of a site with very many contacts are cut in sort order into several rows.
     """
     lists = contact_lists(crawl.contacts, "site_id")
     rows = site_origin(crawl.sites).join(lists, "site_id", "left").select(
         "site_id",
         "url",
         F.coalesce("part", F.lit(0)).alias("part"),
+        F.coalesce("parts", F.lit(1)).alias("parts"),
         F.coalesce("emails", no_strings()).alias("emails"),
         F.coalesce("phones", no_strings()).alias("phones"),
     )

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PAGES_SCHEMA = "page_id BIGINT, url STRING, final_url STRING, html STRING"
+# Kept where a page table has them: why a page wasn't fetched, and when it was.
+OPTIONAL_PAGE_COLUMNS = ("reason", "crawled_at")
 RESPONSES_SCHEMA = (
     "page_id BIGINT, url STRING, final_url STRING, status INT, content_type STRING, body BINARY, error STRING"
 )
@@ -13,29 +15,20 @@ REQUESTS_SCHEMA = "site_id BIGINT, start_url STRING, options MAP<STRING,STRING>"
 LOG_SCHEMA = "id BIGINT, ts TIMESTAMP, level STRING, logger STRING, message STRING"
 
 
-def scan_pages(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
-    """Stored pages; ``final_url`` is the requested URL where the table doesn't have it."""
+def scan_pages(spark: SparkSession, path: str, format: str = "parquet", schema: str = PAGES_SCHEMA) -> DataFrame:
+    """Stored pages; ``final_url`` is the requested URL where the table doesn't have it.
+
+    The optional columns ``reason`` and ``crawled_at`` are kept; for a format without a schema of its
+    own they must be named in ``schema``.
+    """
     reader = spark.read.format(format)
     if format != "parquet":
-        reader = reader.schema(PAGES_SCHEMA)
+        reader = reader.schema(schema)
     pages = reader.load(path)
     if "final_url" not in pages.columns:
         pages = pages.withColumn("final_url", F.col("url"))
-    return spread(pages.select("page_id", "url", F.coalesce("final_url", "url").alias("final_url"), "html"))
-
-
-# A scan of at most this many pieces (2 GB at the default split size) counts as small.
-SMALL_SCAN_PIECES = 16
-
-
-def spread(table: DataFrame) -> DataFrame:
-    """Use all cores for a small table stored in fewer pieces than there are cores.
-
-    Larger tables keep their scan partitions and aren't shuffled.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    pieces = table.rdd.getNumPartitions()
-    return table.repartition(cores) if pieces < min(cores, SMALL_SCAN_PIECES) else table
+    kept = [c for c in OPTIONAL_PAGE_COLUMNS if c in pages.columns]
+    return pages.select("page_id", "url", F.coalesce("final_url", "url").alias("final_url"), "html", *kept)
 
 
 def scan_responses(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
@@ -53,25 +46,23 @@ def read_requests(spark: SparkSession, path: str, format: str = "json") -> DataF
 def read_option_file(spark: SparkSession, path: str) -> DataFrame:
     """One JSON object of options, as a one-row table with a map column ``options``.
 
-    A TOML-like section ``parser`` may hold the options; otherwise the object itself does.
+    Values that aren't text, arrays too, are kept as their JSON text.
     """
     text = spark.read.text(path, wholetext=True)
-    return text.select(
-        F.coalesce(
-            F.from_json(F.get_json_object("value", "$.parser"), "map<string,string>"),
-            F.from_json("value", "map<string,string>"),
-        ).alias("options")
-    )
+    return text.select(F.from_json("value", "map<string,string>").alias("options"))
+
+
+_RESULT_COLUMNS = ("site_id", "url", "part", "parts", "emails", "phones", "diagnostics")
 
 
 def result_json(results: DataFrame, pretty: bool = False) -> DataFrame:
     """Result rows as JSON text, one object a site; characters stay as they are (no escapes)."""
-    names = [c for c in ("url", "emails", "phones", "diagnostics") if c in results.columns]
+    names = [c for c in _RESULT_COLUMNS if c in results.columns]
     options = {"pretty": "true"} if pretty else {}
     return results.select(F.to_json(F.struct(*names), options).alias("value"))
 
 
 def write_results(results: DataFrame, path: str, format: str = "json") -> None:
     """Write result rows as JSON lines or parquet, one part file a task."""
-    names = [c for c in ("url", "emails", "phones", "diagnostics") if c in results.columns]
+    names = [c for c in _RESULT_COLUMNS if c in results.columns]
     results.select(*names).write.format(format).mode("errorifexists").save(path)

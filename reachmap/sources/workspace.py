@@ -7,14 +7,9 @@ real size, so joins with it are broadcast only when it is small.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..session import new_run_folder
 
-# A key set is broadcast up to this many characters of keys (about 64 MB with overhead).
-BROADCAST_KEY_CHARS = 16_000_000
-
-
 class Workspace:
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
@@ -32,13 +27,8 @@ class Workspace:
 
 
 def keep_matching(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Rows of a wide table whose ``key`` is in a written key table, if that saves work.
+    """Rows of a wide table whose ``key`` is in a written key table.
 
-    With a key set of proven size this is a broadcast semi-join in the scan stage. A larger
-    set would force the wide rows through a shuffle; then all rows are kept, and the narrow
-    joins that follow in any case drop the rest.
+    The optimizer knows the keys' true size: few are broadcast into the scan, many are joined by shuffle.
     """
-    chars = keys.agg(F.sum(F.length(F.col(key).cast("string")) + F.lit(8))).first()[0] or 0
-    if chars > BROADCAST_KEY_CHARS:
-        return table
-    return table.join(F.broadcast(keys.select(key)), key, "left_semi")
+    return table.join(keys.select(key), key, "left_semi")

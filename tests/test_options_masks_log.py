@@ -56,8 +56,11 @@ def test_later_layer_wins(spark):
 
 def test_option_file(spark, tmp_path):
     path = tmp_path / "o.json"
-    path.write_text('{"parser": {"max_pages": 7}}')
-    assert tables.read_option_file(spark, str(path)).first().options == {"max_pages": "7"}
+    path.write_text('{"phone_regions": ["ru", "BY"], "email_domain_allowlist": ["@a.com", ".b.org"]}')
+    given = tables.read_option_file(spark, str(path))
+    assert given.first().options == {"phone_regions": '["ru","BY"]', "email_domain_allowlist": '["@a.com",".b.org"]'}
+    typed = given.select(*options.typed_options("options")).first()
+    assert (list(typed.phone_regions), list(typed.email_domain_allowlist)) == (["RU", "BY"], ["a.com", "b.org"])
     path.write_text('{"max_pages": 8,\n "include_query": true}')
     assert tables.read_option_file(spark, str(path)).first().options == {"max_pages": "8", "include_query": "true"}
 
@@ -82,6 +85,18 @@ def test_mask_nested(spark):
     assert row.names[0].name == "tok-1234567" and row.deep["a"]["secret"] == "abc***gh"
 
 
+def test_mask_maps_of_other_values(spark):
+    maps = spark.sql("""SELECT map('cookie', array('abcdefghij'), 'list', array('x')) AS a, map('token', 123456789, 'n', 5) AS b,
+        map('password', named_struct('v', 'abcdefgh', 'n', 7), 'p', named_struct('v', 'shown', 'n', 8)) AS c""")
+    row = masking.mask_columns(maps).first()
+    assert row.a == {"cookie": '["a***"]', "list": '["x"]'} and row.b == {"token": "123***89", "n": "5"}
+    assert (row.c["password"].v, row.c["password"].n, row.c["p"].v, row.c["p"].n) == ("abc***gh", None, "shown", 8)
+
+
+def test_numbers_are_strict(value):
+    assert value(options.coerce_double("x"), ["30", "30d", "1f", " 1.5e1 ", ".5", "1_0", "inf"]) == [30.0, None, None, 15.0, 0.5, None, float("inf")]
+
+
 def test_log(spark):
     rows = [(i, datetime.datetime(2024, 1, 1), "INFO", "x", f"m{i}") for i in range(1, 1501)]
     table = spark.createDataFrame(rows, tables.LOG_SCHEMA)

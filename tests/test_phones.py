@@ -70,6 +70,19 @@ def test_tel(value):
     assert value(found, [page]) == [["+442081234567", "+14155552671"]]
 
 
+def test_tel_extensions_and_letters(value):
+    page = "<a href='tel:+1-415-555-2671x123'>a</a><a href='tel:+1 415 555 2672 ext. 5'>b</a><a href='tel:1-800-FLOWERS'>c</a><a href='tel:+1-415-555-2673#9'>d</a>"
+    found = phones.phones_of_tel(phones.tel_candidates(html.page_links("x")), regions("US"))
+    assert value(found, [page]) == [["+14155552671", "+14155552672", "+18003569377", "+14155552673"]]
+
+
+def test_several_regions_in_one_run(value):
+    texts = ["8 (953) 640-53-68 / (212) 555-2671", "8 (953) 640-53-68, (212) 555-2671", "(212) 555-2671 / 8 (953) 640-53-68"]
+    both = ["+79536405368", "+12125552671"]
+    assert [sorted(v) for v in value(phones.phones_of_text("x", regions("RU", "US")), texts)] == [sorted(both)] * 3
+    assert [sorted(v) for v in value(phones.phones_of_text("x", regions("US")), texts)] == [[both[1]]] * 3
+
+
 def test_regions(value):
     assert value(phones.parse_regions("x"), ["ru; BY,zz,,ru", "ZZ", None]) == [["RU", "BY"], None, None]
     configured = F.when(F.col("x") == "cfg", F.array(F.lit("zz"), F.lit("us"))).when(F.col("x") == "zz", F.array(F.lit("ZZ")))

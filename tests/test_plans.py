@@ -72,20 +72,23 @@ def test_latest_rows_are_a_top_k(spark):
     assert "TakeOrderedAndProject" in plan_of(entries.log_latest(spark, DATA))
 
 
-def test_small_key_sets_only_are_broadcast(spark, pages, monkeypatch):
+def test_key_sets_prune_by_semi_join_without_hints(spark, pages):
     from reachmap.sources import workspace
 
-    keys = pages.select("page_id").limit(3)
-    assert "BroadcastHashJoin" in plan_of(workspace.keep_matching(pages, keys, "page_id"))
-    monkeypatch.setattr(workspace, "BROADCAST_KEY_CHARS", 1)
-    assert workspace.keep_matching(pages, keys, "page_id") is pages
+    plan = plan_of(workspace.keep_matching(pages, pages.select("page_id").limit(3), "page_id"))
+    assert "LeftSemi" in plan and "rightHint" not in plan and "leftHint" not in plan
 
 
-def test_lists_of_a_huge_site_come_in_parts(spark):
+@pytest.mark.parametrize("part_size", [7, 100, 5000])
+def test_lists_come_in_parts_of_the_sort_order(spark, part_size):
     rows = spark.range(1000).select(F.lit("s").alias("site_key"), F.lit("email").alias("kind"), F.concat(F.col("id").cast("string"), F.lit("@x.com")).alias("contact"))
-    parts = contacts.contact_lists(rows, part_size=100).collect()
-    assert len(parts) == 10 and max(len(p.emails) for p in parts) < 200
-    assert sorted(e for p in parts for e in p.emails) == sorted(r.contact for r in rows.collect())
+    rows = rows.union(spark.range(9).selectExpr("'t'", "'phone'", "'+1' || id")).union(spark.range(250).selectExpr("'s'", "'phone'", "'+' || id"))
+    for site in ("s", "t"):
+        parts = sorted((r for r in contacts.contact_lists(rows, part_size=part_size).collect() if r.site_key == site), key=lambda r: r.part)
+        wanted = [sorted(r.contact for r in rows.where(F.col("site_key") == site).where(F.col("kind") == kind).collect()) for kind in ("email", "phone")]
+        assert [r.part for r in parts] == list(range(parts[0].parts))
+        assert [[c for p in parts for c in p.emails], [c for p in parts for c in p.phones]] == wanted
+        assert all(len(p.emails) <= part_size and len(p.phones) <= part_size for p in parts)
 
 
 def test_hot_page_copies_are_combined_before_the_shuffle(pages):
@@ -98,4 +101,6 @@ def test_scan_of_pages(spark, tmp_path, pages):
     back = tables.scan_pages(spark, str(tmp_path / "p"), "json")
     assert back.columns == ["page_id", "url", "final_url", "html"] and back.count() == pages.count()
     assert back.where("final_url != url").count() == 0
+    pages.withColumn("reason", F.lit("http_404")).write.parquet(str(tmp_path / "r"))
+    assert tables.scan_pages(spark, str(tmp_path / "r")).where("reason = 'http_404'").count() == pages.count()
     assert options.SETTINGS["max_pages"].default == "200"

@@ -74,7 +74,7 @@ def _expected(base, href, query=False):
 def test_resolve_against_urllib(value):
     rng = random.Random(7)
     bases = ["http://a.com/", "http://a.com/b/c/d", "https://a.com:8443/b/c/", "http://a.com/b?x=1", "http://a.com//p//q"]
-    pieces = ["..", ".", "a", "b.html", "", "x y", "%2F", "...", "é"]
+    pieces = ["..", ".", "a", "..;x", ";p", "a;b;c", ".;", "b.html", "", "x y", "%2F", "...", "é"]
     hrefs = ["", "#f", "?q=2", "?", "//h.org/p", "///p", "http:c", "HTTP://H.org:80", "https:c", "http://", "ftp://x/", "/", "a:b", "1:2", "//", "?x#y", "/a//b/../c", "/../../x", "../../../g", "a//b", "./", "..", "."]
     for _ in range(600):
         path = "/".join(rng.choice(pieces) for _ in range(rng.randint(1, 6)))
