@@ -39,6 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.workspace import Workspace
 from .words import byte_view, slices, split_pieces
 
 MAGIC = b"TIDS"
@@ -232,6 +233,8 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     parts = blocks.select("part", F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n).alias("n")).groupBy("part").agg(F.sum("n").alias("n"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("part_start"))
+    # Written, so that its size is known and the join doesn't shuffle the ids while the parts are few.
+    parts = Workspace(spark, "token-parts").write(parts, "parts")
     return rows.join(parts, "part").select("doc_id", (F.col("part_start") + F.col("before")).alias("start"), "n_tokens", "ids")
 
 

@@ -139,11 +139,16 @@ def free_name(columns: list[str], wanted: str) -> str:
     return wanted
 
 
+_LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
+_MARK = np.array([32 < b < 127 and not chr(b).isalnum() and b != 0x27 for b in range(256)])
+
+
 def split_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.DictionaryArray]:
     """Cut texts where no token of a byte-level BPE crosses: (where each piece begins, the pieces numbered).
 
     That is at each single space between two characters that surely aren't white space: ASCII above
-    the space, or a two-byte character that begins with C3. Pieces are mostly words, so few are distinct.
+    the space, or a two-byte character that begins with C3; and between an ASCII letter and ASCII
+    punctuation other than the apostrophe. Pieces are mostly words, so few are distinct.
     """
     plain = (data > 0x20) & (data < 0x7F)
     begins = np.zeros(len(data) + 1, dtype=bool)
@@ -151,8 +156,9 @@ def split_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.
         ends_well, goes_on = plain[:-2].copy(), plain[2:] | (data[2:] == 0xC3)
         ends_well[1:] |= data[:-3] == 0xC3
         begins[1 : len(data) - 1] = (data[1:-1] == 0x20) & ends_well & goes_on
+        begins[1 : len(data)] |= _MARK[data[1:]] & _LETTER[data[:-1]]
     inner = offsets[1:-1]
-    begins[inner[inner > 0] - 1] = False  # this space ends its text
+    begins[inner[inner > 0] - 1] &= data[inner[inner > 0] - 1] != 0x20  # a space that ends its text
     begins[offsets] = True
     begins[len(data)] = False
     starts = np.flatnonzero(begins)
