@@ -359,6 +359,34 @@ def mask_map(spark, sf_dir):
     )
 
 
+def mask_types(spark, sf_dir):
+    documents = views.table(spark, sf_dir, "documents")
+    data = documents.select(
+        "doc_id",
+        F.create_map(F.lit("token"), F.col("doc_id") + 1_000_000, F.lit("n"), F.col("n_chars")).alias("counts"),
+        F.create_map(F.lit("Cookie"), F.array("source", "lang"), F.lit("tags"), F.array("lang")).alias("lists"),
+        F.create_map(F.lit("password"), F.struct(F.col("source").alias("v")), F.lit("open"), F.struct(F.col("lang").alias("v"))).alias("nested"),
+    )
+    masked = masking.mask_columns(data)
+    return masked.select(
+        "doc_id", F.col("counts")["token"].alias("token"), F.col("counts")["n"].alias("n"), F.col("lists")["Cookie"].alias("cookie"),
+        F.col("lists")["tags"].alias("tags"), F.col("nested")["password"]["v"].alias("password"), F.col("nested")["open"]["v"].alias("open"),
+    )
+
+
+def option_lists(spark, sf_dir):
+    pages = views.table(spark, sf_dir, "pages")
+    region = F.when(F.col("page_id") % 2 == 0, F.lit("ru")).otherwise(F.lit("By"))
+    given = F.create_map(
+        F.lit("phone_regions"), F.concat(F.lit('["'), region, F.lit('", " de ","ZZ"]')),
+        F.lit("email_domain_allowlist"), F.concat(F.lit('["@Site'), F.col("page_id").cast("string"), F.lit('.org", ".b.com"]')),
+    )
+    typed = pages.select("page_id", *options.typed_options(given))
+    return typed.select(
+        "page_id", F.array_join("phone_regions", ",").alias("regions"), F.array_join("email_domain_allowlist", ",").alias("domains"), "max_pages"
+    )
+
+
 def log_tail(spark, sf_dir):
     return log.tail_after(crawl_log(spark, sf_dir), after=100, limit=5000).select("id", "level", "logger", "message")
 
@@ -419,7 +447,7 @@ QUERIES = {
         phone_intl, phone_idd, phone_tel, phone_regional, phone_region_filter, phone_all,
         site_contacts, contacts_found, site_lists, crawl_frontier, crawl_cap, crawl_reach, crawl_counters,
         failure_reasons, site_results, site_diagnostics, options_validate, options_typed, options_merge,
-        mask_map, log_tail, log_latest, stream_pages_dedupe, stream_contacts, stream_site_contacts,
+        mask_map, mask_types, option_lists, log_tail, log_latest, stream_pages_dedupe, stream_contacts, stream_site_contacts,
         stream_failures,
     )
 }

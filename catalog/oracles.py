@@ -131,7 +131,7 @@ def _mailto(href: str) -> str:
     return _strip(f"regexp_replace(url_decode({target}), ',.*$', '')")
 
 
-_CLOAKED = "SELECT page_id, 'desk@plant' || CAST(page_id % 10000 AS VARCHAR) || '.example.org' AS candidate FROM contact_pages WHERE html LIKE '%var addy%'"
+_CLOAKED = "SELECT page_id, 'office@plant' || CAST(page_id % 10000 AS VARCHAR) || '.example.org' AS candidate FROM contact_pages WHERE html LIKE '%var addy%'"
 _MAILTO = f"SELECT page_id, {_mailto('href')} AS candidate FROM ({_link_rows('contact_pages')}) AS l WHERE tag = 'a' AND lower(href) LIKE 'mailto:%'"
 _EMAIL_ROWS = f"""
 SELECT DISTINCT page_id, url, lower(trim(candidate)) AS contact
@@ -427,6 +427,13 @@ LEFT JOIN lists AS l ON l.site_id = s.site_id"""),
 SELECT page_id, 'focused_crawling,' || CASE WHEN page_id % 5 = 3 THEN '' ELSE 'log_level,' END || 'max_depth,max_pages,phone_regions,retry_total' AS names,
        CAST(page_id AS VARCHAR) AS max_pages, '4' AS retry_total FROM pages""",
     "mask_map": f"SELECT doc_id, {_masked('text')} AS api_key, {_masked('lang')} AS token, source FROM documents",
+    "mask_types": f"""
+SELECT doc_id, {_masked('CAST(doc_id + 1000000 AS VARCHAR)')} AS token, CAST(n_chars AS VARCHAR) AS n,
+       {_masked("('[\"' || source || '\",\"' || lang || '\"]')")} AS cookie, '["' || lang || '"]' AS tags, {_masked('source')} AS password, lang AS open
+FROM documents""",
+    "option_lists": """
+SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'RU,DE' ELSE 'BY,DE' END AS regions,
+       'site' || page_id || '.org,b.com' AS domains, CAST(200 AS INTEGER) AS max_pages FROM pages""",
     "log_tail": _with("crawl_log") + "SELECT id, level, logger, message FROM crawl_log WHERE id > 100 ORDER BY id LIMIT 1000",
     "log_latest": _with("crawl_log") + "SELECT id, level, logger, message FROM crawl_log ORDER BY id DESC LIMIT 3000",
     "stream_pages_dedupe": _with("contact_pages") + f"SELECT min(page_id) AS page_id, {_normal('url', True)} AS url, {_key('url')} AS site_key FROM contact_pages GROUP BY 2, 3",

@@ -29,7 +29,7 @@ _CONTACT_BLOCK = """CASE page_id % 7
   WHEN 3 THEN '<a href="tel:+1 (415) 555-' || lpad(n, 4, '0') || '">call</a><a href="tel:+7%20(800)%20555-35-35;ext=1">call</a>'
   WHEN 4 THEN '<a href="tel:00 1 212 555 ' || lpad(n, 4, '0') || '">idd</a><a href="tel:8 (953) 640-' || substr(lpad(n, 4, '0'), 1, 2) || '-' || substr(lpad(n, 4, '0'), 3, 2) || '">local</a>'
   WHEN 5 THEN '<map><area href=" /map/contact-' || n || '.html#x "></map><p>IDD: 00 7 953 640-53-' || substr(lpad(n, 4, '0'), 3, 2) || '</p><p>tel: 8 (800) 555-' || substr(lpad(n, 4, '0'), 1, 2) || '-' || substr(lpad(n, 4, '0'), 3, 2) || '</p>'
-  ELSE '<script>document.getElementById("cloak' || n || '").innerHTML = "";var addy' || n || ' = "d&#101;sk" + "&#64;";addy' || n || ' = addy' || n || ' + "pl&#97;nt' || n || '" + "&#46;" + "example.or&#103;";</script>'
+  ELSE '<script>document.getElementById("cloak' || n || '").innerHTML = "";var addy' || n || ' = "&#111;ff&#105;ce" + "&#64;";addy' || n || ' = addy' || n || ' + "pl&#97;nt' || n || '" + "&#46;" + "example.&#111;rg";</script>'
 END"""
 
 CONTACT_PAGES = f"""

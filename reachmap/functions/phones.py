@@ -6,7 +6,6 @@ no join. The plan is code-sized, so its patterns are literals which Spark compil
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -95,15 +94,16 @@ def is_valid_number(digits: Column, plan: Sequence[Region] = NUMBERING_PLAN) ->
 
 def number_region(digits: Column, plan: Sequence[Region] = NUMBERING_PLAN) -> Column:
     """Region of a full international number given as digits; NULL if it is not a valid number."""
-    rows = json.dumps([{"region": r.region, "code": r.calling_code, "pattern": r.pattern} for r in plan])
-    table = F.from_json(F.lit(rows), "array<struct<region:string,code:string,pattern:string>>")
+    by_code: dict[str, list[Region]] = {}
+    for row in plan:
+        by_code.setdefault(row.calling_code, []).append(row)
 
-    def fits(row: Column) -> Column:
-        return digits.startswith(row["code"]) & F.rlike(
-            digits, F.concat(F.lit("^"), row["code"], F.lit("(?:"), row["pattern"], F.lit(")$"))
-        )
+    def of_code(code: str, rows: list[Region]) -> Column:
+        regions = [F.when(digits.rlike(f"^{code}(?:{r.pattern})$"), F.lit(r.region)) for r in rows]
+        return F.when(digits.startswith(code), F.coalesce(*regions) if len(regions) > 1 else regions[0])
 
-    return F.try_element_at(F.filter(table, fits), F.lit(1))["region"]
+    # Literal patterns are compiled once a task; no calling code begins another.
+    return F.coalesce(*[of_code(code, rows) for code, rows in by_code.items()], F.lit(None).cast("string"))
 
 
 def _drop_inner_trunk(digits: Column, plan: Sequence[Region]) -> Column:

@@ -24,6 +24,11 @@ def stream_responses(spark: SparkSession, path: str, format: str = "parquet", fi
     return reader.format(format).load(path)
 
 
+# The trigger of the runners below unless they are given one: all files present, then stop. With
+# another, such as ``{"processingTime": "1 minute"}``, a runner returns when its query is stopped.
+ALL_PRESENT = {"availableNow": True}
+
+
 def with_site_key(pages: DataFrame) -> DataFrame:
     """Key pages by site and normalised URL; pages with unusable URLs are dropped."""
     keyed = pages.withColumn("url", normalize_url("url", True)).where(F.col("url").isNotNull())
@@ -31,9 +36,19 @@ def with_site_key(pages: DataFrame) -> DataFrame:
 
 
 def dedupe_pages(pages: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Each normalised URL once, as far as the watermark reaches back; state stays bounded."""
-    keyed = with_site_key(pages).withWatermark("crawled_at", delay)
-    return keyed.dropDuplicatesWithinWatermark(["site_key", "url"])
+    """Each normalised URL once, as far as the watermark reaches back; state stays bounded.
+
+    The page itself (``html``) is left out: only narrow rows are shuffled and kept in state. Join
+    or extract before, as ``contacts_once`` does.
+    """
+    narrow = with_site_key(pages.drop("html") if "html" in pages.columns else pages)
+    return narrow.withWatermark("crawled_at", delay).dropDuplicatesWithinWatermark(["site_key", "url"])
+
+
+def contacts_once(pages: DataFrame, delay: str = "1 day", **options) -> DataFrame:
+    """Contact rows of each normalised URL once: contacts are read first, then narrow rows deduped."""
+    found = page_contacts(with_site_key(pages), **options).withWatermark("crawled_at", delay)
+    return contact_rows(found.dropDuplicatesWithinWatermark(["site_key", "url"]))
 
 
 def contacts_stream(pages: DataFrame, **options) -> DataFrame:
@@ -50,20 +65,20 @@ def failure_counts(responses: DataFrame, window: str = "1 hour", delay: str = "2
     )
 
 
-def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
+def run_to_table(stream: DataFrame, folder: str, trigger: dict | None = None) -> DataFrame:
     """Run an append stream over all files present and read what it stored."""
     query = (
         stream.writeStream.format("parquet")
         .option("checkpointLocation", f"{folder}/checkpoint")
         .outputMode("append")
-        .trigger(availableNow=True)
+        .trigger(**(trigger or ALL_PRESENT))
         .start(f"{folder}/rows")
     )
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-def run_site_contacts(contact_stream: DataFrame, folder: str) -> DataFrame:
+def run_site_contacts(contact_stream: DataFrame, folder: str, trigger: dict | None = None) -> DataFrame:
     """Keep the distinct contacts of each site in a growing table of batches.
 
     Each micro-batch is reduced to its distinct contacts and those not stored before, then
@@ -84,14 +99,14 @@ def run_site_contacts(contact_stream: DataFrame, folder: str) -> DataFrame:
     query = (
         contact_stream.writeStream.foreachBatch(upsert)
         .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
+        .trigger(**(trigger or ALL_PRESENT))
         .start()
     )
     query.awaitTermination()
     return spark.read.schema(schema).parquet(rows)
 
 
-def run_counts(counts: DataFrame, keys: list[str], folder: str) -> DataFrame:
+def run_counts(counts: DataFrame, keys: list[str], folder: str, trigger: dict | None = None) -> DataFrame:
     """Run an aggregating stream in update mode; the latest row of each key is the result."""
     rows = f"{folder}/rows"
     spark = counts.sparkSession
@@ -103,7 +118,7 @@ def run_counts(counts: DataFrame, keys: list[str], folder: str) -> DataFrame:
         counts.writeStream.foreachBatch(store)
         .outputMode("update")
         .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
+        .trigger(**(trigger or ALL_PRESENT))
         .start()
     )
     query.awaitTermination()

@@ -149,4 +149,5 @@ def test_result_files(spark, done, tmp_path):
     back = {r.url: r for r in spark.read.json(str(tmp_path / "json")).collect()}
     assert back["http://www.new.ru"].phones == ["+78005553535"]
     line = tables.result_json(rows.where("site_id = 2")).first().value
-    assert line == '{"url":"http://two.com","emails":["a@example.com"],"phones":[]}'
+    assert back["http://www.new.ru"].site_id is not None and (back["http://www.new.ru"].part, back["http://www.new.ru"].parts) == (0, 1)
+    assert line == '{"site_id":2,"url":"http://two.com","part":0,"parts":1,"emails":["a@example.com"],"phones":[]}'

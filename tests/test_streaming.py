@@ -37,6 +37,14 @@ def test_pages_once(spark, stored):
     assert sorted((r.site_key, r.url) for r in rows) == [("a.ru", "http://a.ru/"), ("a.ru", "http://a.ru/2"), ("b.com", "http://www.b.com/")]
 
 
+def test_contacts_of_pages_once(spark, stored):
+    found = streams.contacts_once(streams.stream_pages(spark, stored, files_per_batch=1))
+    rows = streams.run_to_table(found, new_run_folder(spark, "test-out"), trigger={"availableNow": True}).collect()
+    urls = [r.url for r in rows if r.contact == "a@x.com"]
+    assert sorted(urls) == ["http://a.ru/", "http://a.ru/2", "http://www.b.com/"]
+    assert "html" not in streams.dedupe_pages(streams.stream_pages(spark, stored)).columns
+
+
 def test_contacts_equal_batch(spark, stored):
     found = streams.contacts_stream(streams.stream_pages(spark, stored, files_per_batch=1))
     rows = streams.run_to_table(found, new_run_folder(spark, "test-out"))
