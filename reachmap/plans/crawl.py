@@ -4,7 +4,9 @@ The crawl is a loop of waves, one per link depth, over three narrow tables writt
 
 * ``sites``  one row a valid request, with its seed page and base site key;
 * ``index``  (include_query, url) -> page; copies of a URL are combined map-side;
-* ``facts``  page -> outcome, links, contact candidates, from the only pass over the HTML.
+* ``facts``  page -> outcome and links.
+
+Contacts are read afterwards, in a second scan pruned to the visited pages.
 
 A wave joins its frontier, which the page budget bounds, with ``facts`` by page and with
 ``index`` by URL. Neither key is the site, so a site with a third of all pages is spread like
@@ -25,7 +27,7 @@ from ..functions.numbering import NUMBERING_PLAN, Region
 from ..functions.phones import effective_regions
 from ..functions.scoring import url_priority_score
 from ..functions.urls import drop_query, is_page_href, normalize_url, normalized_site_key, origin, resolve_href
-from ..operators.contacts import contact_rows, no_strings, page_candidates, read_candidates
+from ..operators.contacts import contact_rows, no_strings, page_candidates, page_projections, read_candidates
 from ..operators.responses import OK, URL_NORMALIZE
 from ..sources.workspace import Workspace, keep_matching
 
@@ -124,12 +126,12 @@ def _index(pages: DataFrame, forms: list[bool]) -> DataFrame:
 
 
 def _facts(pages: DataFrame) -> DataFrame:
-    """Outcome, links and contact candidates per page, from one pass over the HTML.
+    """Outcome and links per page; neither its text nor its contacts are read here.
 
     Of the links only those to the page's own or final host can be followed; their number
     before that filter is kept. ``pos`` is the place among all links of the page.
     """
-    candidates = page_candidates(
+    projected = page_projections(
         pages.select("page_id", "url", normalize_url("final_url", True).alias("final_url"), _reason(pages), "html")
     )
     own = F.array_compact(F.array(normalized_site_key(normalize_url("url")), normalized_site_key("final_url")))
@@ -139,15 +141,15 @@ def _facts(pages: DataFrame) -> DataFrame:
             i.alias("pos"), F.when(is_page_href(link["href"]), resolve_href(F.col("final_url"), link["href"], True)).alias("url")
         ),
     )
-    staged = candidates.select(
-        "page_id", "reason", "parsed", "emails", "runs", "dialled", "tel", F.size("links").alias("n_links"),
+    staged = projected.select(
+        "page_id", "reason", "parsed", F.size("links").alias("n_links"),
         own.alias("own"), positioned.alias("targets"),
     )
     keyed = F.transform(
         "targets", lambda t: F.struct(t["pos"].alias("pos"), t["url"].alias("url"), normalized_site_key(t["url"]).alias("key"))
     )
     return staged.select(
-        "page_id", "reason", "parsed", "emails", "runs", "dialled", "tel", "n_links",
+        "page_id", "reason", "parsed", "n_links",
         F.filter(keyed, lambda t: t["url"].isNotNull() & F.array_contains(F.col("own"), t["key"])).alias("targets"),
     )
 
@@ -279,9 +281,12 @@ def crawl(
     visited = everything.where("admitted").drop("admitted", "discovered", "base_key")
     capped = everything.where(~F.col("admitted")).select("site_id").distinct()
 
-    narrow_facts = facts.select("page_id", "reason", "parsed", "n_links", "emails", "runs", "dialled", "tel")
     # URLs outside the table have no page; as NULL keys of a join they would all meet in one task.
-    stored = visited.where(F.col("page_id").isNotNull()).join(narrow_facts, "page_id", "left")
+    of_pages = visited.where(F.col("page_id").isNotNull())
+    ids = work.write(of_pages.select("page_id").distinct(), "visited_ids")
+    seen = page_candidates(keep_matching(pages, ids, "page_id").select("page_id", "final_url", "html"))
+    candidates = work.write(seen.select("page_id", "emails", "runs", "dialled", "tel"), "candidates")
+    stored = of_pages.join(facts.select("page_id", "reason", "parsed", "n_links"), "page_id", "left").join(candidates, "page_id", "left")
     missing = visited.where(F.col("page_id").isNull())
     fetched = stored.unionByName(missing, allowMissingColumns=True).join(
         sites.select("site_id", "regions", "email_domain_allowlist"), "site_id"

@@ -91,6 +91,11 @@ def test_lists_come_in_parts_of_the_sort_order(spark, part_size):
         assert all(len(p.emails) <= part_size and len(p.phones) <= part_size for p in parts)
 
 
+def test_waves_read_links_only(pages):
+    assert "@[a-zA-Z0-9" not in plan_of(crawl_plan._facts(pages))
+    assert "@[a-zA-Z0-9" in plan_of(contacts.page_candidates(pages))
+
+
 def test_hot_page_copies_are_combined_before_the_shuffle(pages):
     plan = plan_of(crawl_plan._index(pages, [False]))
     assert "partial_min" in plan and "SortAggregate" not in plan
