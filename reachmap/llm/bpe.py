@@ -30,9 +30,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import byte_view, free_name, split_pieces
+from .words import byte_view, free_name, give_back, split_pieces
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 FOLD_BYTES = 64
 MAX_IDS = 65_000
 BUCKETS = 1 << 16
@@ -189,6 +189,7 @@ def _number_words(path: str, pattern: str, names: list[str], block_bytes: int):
         return pa.RecordBatch.from_arrays(one, ["docs", "words"])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         split, ranks = word_pattern(pattern), read_ranks(path)
         waiting: list[pa.RecordBatch] = []
         size = 0
@@ -204,16 +205,18 @@ def _number_words(path: str, pattern: str, names: list[str], block_bytes: int):
                 if size >= block_bytes or row < len(batch):
                     yield block(pa.Table.from_batches(waiting), split, ranks)
                     waiting, size = [], 0
+                    give_back()
         if waiting:
             yield block(pa.Table.from_batches(waiting), split, ranks)
 
     return number
 
 
-def encode_blocks(docs: DataFrame, vocabulary: Vocabulary, pattern: str, names: list[str], per_document: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def encode_blocks(docs: DataFrame, vocabulary: Vocabulary, pattern: str, names: list[str], per_document: str, block_bytes: int = BLOCK_BYTES, arrays: bool = False) -> DataFrame:
     """One row per document: the struct that SQL ``per_document`` makes of d (columns ``names``) and of ``known``.
 
-    ``known`` has for each word number its ``ids``, and their ``numbers`` and ``pieces`` in hexadecimal.
+    ``known`` has for each word number, in hexadecimal, the ``numbers`` of its ids and their ``pieces``;
+    with ``arrays`` also the ``ids`` themselves.
     """
     rows = docs.select(*names, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
     schema = T.StructType(
@@ -224,8 +227,8 @@ def encode_blocks(docs: DataFrame, vocabulary: Vocabulary, pattern: str, names:
     )
     blocks = rows.mapInArrow(_number_words(vocabulary.path, pattern, names, block_bytes), schema)
     # transform(array(x), name -> ...)[0] names a value, so that it is made once for a block.
-    word = """
-    named_struct('ids', ids,
+    word = f"""
+    named_struct({"'ids', ids," if arrays else ""}
       'numbers', array_join(transform(ids, i -> numbers[i]), ''),
       'pieces', array_join(transform(ids, i -> pieces[i]), ''))
     """
@@ -247,7 +250,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """The documents with one more column: their token ids."""
     ids = free_name(docs.columns, "ids")
     columns = ", ".join(f"'{c}', d.`{c}`" for c in docs.columns)
-    return encode_blocks(docs, Vocabulary(path), pattern, docs.columns, f"named_struct({columns}, '{ids}', {_IDS})")
+    return encode_blocks(docs, Vocabulary(path), pattern, docs.columns, f"named_struct({columns}, '{ids}', {_IDS})", arrays=True)
 
 
 def encoding_report(docs: DataFrame, path: str, pattern: str, ids: bool = False) -> DataFrame:

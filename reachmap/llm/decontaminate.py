@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.workspace import Workspace
-from .words import byte_view, find_words, free_name, slices, word_table
+from .words import byte_view, find_words, free_name, give_back, slices, word_table
 
 WINDOW_WORDS = 13
 BLOCK_WINDOWS = 200_000
@@ -112,6 +112,7 @@ def _scanner(phrases, names: list[str], name: str):
                 words = find_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], table)
                 out += _hits(words, offsets[a : b + 1] - offsets[a], known, filters, before[a:b])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(out, _HITS_ARROW)], [*names, name])
+            give_back()
 
     return scan
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.workspace import Workspace
-from .words import Words, byte_view, find_words, free_name, mix, slices, word_table
+from .words import Words, byte_view, find_words, free_name, give_back, mix, slices, word_table
 
 ROWS, BANDS = 8, 64
 PERCENT = 80
@@ -118,6 +118,7 @@ def signatures(docs: DataFrame, size: int, rows: int = ROWS, bands: int = BANDS)
                 counts.append(len(values))
                 prints.append(hashlib.blake2b(values.tobytes(), digest_size=16).digest() if len(values) else None)
                 keys.append(band_keys(signature(values, rows * bands), rows, bands) if len(values) else None)
+            give_back()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                 ["doc_id", "n_shingles", "fingerprint", "keys"],

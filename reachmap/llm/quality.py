@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import byte_view, find_words, slices, word_table
+from .words import byte_view, find_words, give_back, slices, word_table
 
 FILTERS, WIDTH = 8, 5
 BLOCK, BLOCKS_PER_CHUNK, BLOCKS_PER_STEP = 64, 8, 7  # chunks of 512 bytes that overlap by 64
@@ -192,7 +192,9 @@ def scorer(model: Model):
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array(scores(model, texts), pa.float64())
+        found = pa.array(scores(model, texts), pa.float64())
+        give_back()
+        return found
 
     return score
 

@@ -8,6 +8,8 @@ cumulative sum, so the work is linear in the bytes whatever the words look like.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -131,6 +133,13 @@ def slices(data: np.ndarray, offsets: np.ndarray, limit: int = SLICE_BYTES) -> I
         row = end
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker serves many tasks and would keep the most it ever needed."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def free_name(columns: list[str], wanted: str) -> str:
     """``wanted``, lengthened until no column bears it (Spark compares names without case)."""
     taken = {c.lower() for c in columns}

@@ -43,7 +43,7 @@ def test_bpe_round_trip(docs, odd):
 
 def test_small_blocks(docs, library):
     rows = [(i, f"block {i} of words " * (i % 5)) for i in range(40)]
-    made = bpe.encode_blocks(docs(rows), bpe.Vocabulary(RANKS), public_tokenizers.PATTERN, ["doc_id"], f"named_struct('doc_id', d.doc_id, 'ids', {bpe._IDS})", block_bytes=100)
+    made = bpe.encode_blocks(docs(rows), bpe.Vocabulary(RANKS), public_tokenizers.PATTERN, ["doc_id"], f"named_struct('doc_id', d.doc_id, 'ids', {bpe._IDS})", block_bytes=100, arrays=True)
     assert {r.doc_id: list(r["ids"]) for r in made.collect()} == {i: library.encode_ordinary(t) for i, t in rows}
 
 
