@@ -21,7 +21,9 @@ _D = r"0-9\uff10-\uff19\u0660-\u0669\u06f0-\u06f9"
 _WIDE_DIGITS = "".join(chr(start + d) for start in (0xFF10, 0x0660, 0x06F0) for d in range(10))
 
 # Fixed value: numbers written with an international dialling prefix.
-IDD_PATTERN = rf"0(?<![{_D}+]0)(?:0|11)[\s\p{{Z}}().-]*+[1-9](?:[\s\p{{Z}}().-]*+[{_D}]){{6,}}+"
+IDD_PATTERN = r"(?:^|[^\d+])((?:00|011)[\s().-]*[1-9](?:[\s().-]*\d){6,})"
+# The same numbers found from their first digit on, without giving characters back.
+_FIND_IDD = rf"0(?<![{_D}+]0)(?:0|11)[\s\p{{Z}}().-]*+[1-9](?:[\s\p{{Z}}().-]*+[{_D}]){{6,}}+"
 
 _PLUS = r"+\uff0b"
 _LEAD = rf"[(\[\uff08\uff3b{_PLUS}]"
@@ -327,7 +329,7 @@ def phones_of_candidates(
 
 def idd_candidates(text: Column | str) -> Column:
     """Numbers written with ``00`` or ``011``, rewritten to start with ``+``."""
-    found = F.regexp_extract_all(as_column(text), F.lit(IDD_PATTERN), F.lit(0))
+    found = F.regexp_extract_all(as_column(text), F.lit(_FIND_IDD), F.lit(0))
     return F.transform(found, normalize_idd_prefix)
 
 

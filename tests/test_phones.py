@@ -1,3 +1,6 @@
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from reachmap.functions import html, phones
@@ -83,6 +86,13 @@ def test_several_regions_in_one_run(value):
     assert [sorted(v) for v in value(phones.phones_of_text("x", regions("US")), texts)] == [[both[1]]] * 3
 
 
+def test_fast_idd_pattern_finds_what_the_plain_one_does(value):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["00", "011", "0", "1", "7", "555", " ", "-", "(", ")", "+", "x", ".", "640"]) for _ in range(rng.randint(4, 18))) for _ in range(1500)]
+    wanted = [[re.sub("^(?:00|011)", "+", m.strip()) for m in re.findall(phones.IDD_PATTERN, t)] for t in texts]
+    assert value(phones.idd_candidates("x"), texts) == wanted and sum(map(len, wanted)) > 100
+
+
 def test_regions(value):
     assert value(phones.parse_regions("x"), ["ru; BY,zz,,ru", "ZZ", None]) == [["RU", "BY"], None, None]
     configured = F.when(F.col("x") == "cfg", F.array(F.lit("zz"), F.lit("us"))).when(F.col("x") == "zz", F.array(F.lit("ZZ")))
