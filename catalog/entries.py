@@ -10,6 +10,7 @@ from reachmap.operators import contacts, links, log, options, responses
 from reachmap.plans import results
 from reachmap.plans.crawl import Crawl, crawl
 from reachmap.session import new_run_folder
+from reachmap.sources import tables
 from reachmap.sources.workspace import Workspace
 from reachmap.streaming import tables as streams
 
@@ -359,6 +360,29 @@ def mask_map(spark, sf_dir):
     )
 
 
+def scan_reasons(spark, sf_dir):
+    reason = F.when(F.col("page_id") % 5 == 0, "http_404").when(F.col("page_id") % 7 == 0, "network_error").otherwise("ok")
+    folder = new_run_folder(spark, "pages")
+    views.table(spark, sf_dir, "pages").withColumn("reason", reason).write.parquet(folder)
+    stored = tables.scan_pages(spark, folder)
+    return stored.groupBy("reason").agg(F.count(F.lit(1)).alias("n_pages"), F.count_if(F.col("final_url") == F.col("url")).alias("n_final"))
+
+
+def body_decode(spark, sf_dir):
+    documents = views.table(spark, sf_dir, "documents")
+    wide = F.col("text").rlike(r"[^\x00-\x7f\xa0-\xff]")
+    kind = F.col("doc_id") % 4
+    kind = F.when(wide & kind.isin(1, 2), F.lit(0)).otherwise(kind)  # one byte a character isn't enough
+    charset = F.element_at(F.array(*map(F.lit, ("utf_8", "iso_8859_1", "cp1252", "utf_16_be"))), (kind + 1).cast("int"))
+    body = (
+        F.when(kind == 0, F.encode("text", "UTF-8"))
+        .when(kind == 3, F.encode("text", "UTF-16BE"))
+        .otherwise(F.encode(F.when(~wide, F.col("text")), "ISO-8859-1"))
+    )
+    decoded = documents.select("doc_id", responses.decode_body(body, charset).alias("text"))
+    return decoded.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 def mask_types(spark, sf_dir):
     documents = views.table(spark, sf_dir, "documents")
     data = documents.select(
@@ -447,7 +471,7 @@ QUERIES = {
         phone_intl, phone_idd, phone_tel, phone_regional, phone_region_filter, phone_all,
         site_contacts, contacts_found, site_lists, crawl_frontier, crawl_cap, crawl_reach, crawl_counters,
         failure_reasons, site_results, site_diagnostics, options_validate, options_typed, options_merge,
-        mask_map, mask_types, option_lists, log_tail, log_latest, stream_pages_dedupe, stream_contacts, stream_site_contacts,
+        mask_map, mask_types, option_lists, scan_reasons, body_decode, log_tail, log_latest, stream_pages_dedupe, stream_contacts, stream_site_contacts,
         stream_failures,
     )
 }

@@ -427,6 +427,10 @@ LEFT JOIN lists AS l ON l.site_id = s.site_id"""),
 SELECT page_id, 'focused_crawling,' || CASE WHEN page_id % 5 = 3 THEN '' ELSE 'log_level,' END || 'max_depth,max_pages,phone_regions,retry_total' AS names,
        CAST(page_id AS VARCHAR) AS max_pages, '4' AS retry_total FROM pages""",
     "mask_map": f"SELECT doc_id, {_masked('text')} AS api_key, {_masked('lang')} AS token, source FROM documents",
+    "scan_reasons": """
+SELECT reason, count(*) AS n_pages, count(*) AS n_final
+FROM (SELECT CASE WHEN page_id % 5 = 0 THEN 'http_404' WHEN page_id % 7 = 0 THEN 'network_error' ELSE 'ok' END AS reason FROM pages) AS p GROUP BY reason""",
+    "body_decode": "SELECT doc_id, md5(text) AS digest FROM documents",
     "mask_types": f"""
 SELECT doc_id, {_masked('CAST(doc_id + 1000000 AS VARCHAR)')} AS token, CAST(n_chars AS VARCHAR) AS n,
        {_masked("('[\"' || source || '\",\"' || lang || '\"]')")} AS cookie, '["' || lang || '"]' AS tags, {_masked('source')} AS password, lang AS open
