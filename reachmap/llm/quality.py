@@ -184,7 +184,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int
     picked = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(rows).select("id", "y") for y in (0, 1)]
     sample = short.join(F.broadcast(picked[0].union(picked[1])), "id")  # at most 2 * rows keys
     found = sorted(sample.groupBy("id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.min("y").alias("y")).collect())
-    return fit([r.text for r in found], [int(r.y) for r in found])
+    model = fit([r.text for r in found], [int(r.y) for r in found])
+    del found
+    give_back()  # the driver's memory is needed for what follows
+    return model
 
 
 def scorer(model: Model):
