@@ -2,6 +2,8 @@
 
 import collections
 import hashlib
+import random
+import string
 import time
 import zlib
 
@@ -52,6 +54,26 @@ def test_secrets_battery(docs):
     assert spans == {1: f"random:4:{4 + len(key)}", 2: "", 3: "hex:0:40", 4: "hex:0:50"} or spans[1] == f"random:4:{4 + len(key)}" and spans[2] == ""
 
 
+def test_secrets_recall(docs):
+    r = random.Random(4)
+    kinds = {"base62": string.ascii_letters + string.digits, "base32": string.ascii_uppercase + "234567", "hex": "0123456789ABCDEF"}
+    words = "some people would rather answer another question about their international understanding than nothing".split()
+    keys, ordinary = {}, {}
+    for i, (kind, n) in enumerate([("base62", 20), ("base62", 32), ("base62", 40), ("base32", 32), ("base32", 40), ("hex", 40)] * 40):
+        keys[i] = "".join(r.choice(kinds[kind]) for _ in range(n))
+    for i in range(1000, 1240):
+        run = r.choice(["", "_", "-", "/"]).join(r.choice([str.lower, str.upper, str.capitalize])(" ".join(r.choices(words, k=5))).split())
+        ordinary[i] = run.ljust(20, "a")
+    ordinary |= {1300: "12345678901234567890123", 1301: "-" * 40, 1302: string.ascii_letters + string.digits, 1303: "usr/share/doc/python3-numpy/README"}
+    rows = [(i, f"{' '.join(r.choices(words, k=30))} {run} end") for i, run in (keys | ordinary).items()]
+    rows += [(2000 + i, " ".join(r.choices(words, k=30))) for i in range(100)]
+    found = {row.doc_id: row.spans for row in secrets.secret_report(docs(rows)).collect()}
+    taken = collections.Counter((len(keys[i]), "random" in found[i]) for i in keys)
+    assert all(taken[n, True] >= 0.95 * (taken[n, True] + taken[n, False]) for n, _ in taken), taken
+    wrong = [ordinary[i] for i in ordinary if "random" in found[i]]
+    assert len(wrong) <= 0.02 * len(keys), wrong
+
+
 @pytest.mark.parametrize("rows", [ODD, [(i, "hot") for i in range(40)] + [(100 + i, f"t{i}") for i in range(43)] + ODD, []])
 def test_shards(docs, rows):
     found = shards.shard_documents(docs(rows)).collect()
