@@ -12,8 +12,9 @@ notices, adverts, forms, comments and footers around or within an article. Train
 seconds on the driver and is the same in every run.
 
 Text is decoded (character references), its white space becomes single spaces within a block, and
-main blocks are joined by a line end in page order. Comments, scripts, styles and other elements
-without visible text are no text. A comment or raw element that never ends goes to the end of the page.
+main blocks are joined by a line end in page order. Comments, scripts, styles, templates, frames and
+what stands for missing scripts are no text and end no block. A comment or one of these that never ends goes to the end of the page.
+Formulas are text within their block; media, drawings and embedded objects are elements like others, so the field judges what they hold.
 
 Defined results: a null or empty page, and one without main blocks, has the empty text; repeated
 rows are read alike; extra columns are ignored.
@@ -34,10 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Elements of HTML by their role in the tree.
-RAW = frozenset("script style noscript template svg math iframe object canvas audio video".split())
+RAW = frozenset("script style noscript template iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup "
+    "msup mtable mtd mtext mtr munder munderover semantics annotation annotation-xml".split()
 )
 CLOSES = {  # a start tag ends an open element of these names, unless one of the bounds is nearer
     "li": ("li", "ul ol menu"), "p": ("p", "article aside section div main td th li body"), "tr": ("tr", "table"), "td": ("td th", "tr table"),
@@ -147,16 +150,17 @@ def leaf_blocks(page: str) -> list[Block]:
             elif tag not in VOID:
                 stack.append((tag, _labels(attributes)))
             continue
+        if tag in RAW and not attributes.endswith("/"):  # neither its text nor its tags end a block
+            if not closing:
+                found = _raw_end(tag).search(page, at)
+                at = found.end() if found else size
+            continue
         flush()
         if closing:
             if any(open_tag == tag for open_tag, _ in stack):
                 while stack.pop()[0] != tag:
                     pass
             continue
-        if tag in RAW and not attributes.endswith("/"):
-            found = _raw_end(tag).search(page, at)
-            at = found.end() if found else size
-            continue
         if tag in ENDS_P:
             close(*CLOSES["p"])
         if tag in CLOSES:

@@ -108,6 +108,18 @@ def test_pages(spark):
     assert all(r.n_chars == len(r.text) for r in found)
 
 
+def test_pages_with_formulas_and_media():
+    def texts(page):
+        return [b.text for b in html_text.leaf_blocks(page)]
+
+    assert texts("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be</p>") == ["Let x=2 be"]
+    assert texts("<p>One <script>var a='</p>';</script>line <style>p{}</style>only</p><p>Next</p>") == ["One line only", "Next"]
+    for tag in "object audio video canvas svg".split():
+        assert texts(f"<article><p>First</p><{tag}>Shown instead</{tag}><p>Last</p></article>") == ["First", "Shown instead", "Last"]
+        page = f"<html><body><article><p>First of it.</p><{tag} class=x><p>The rest of the article.</p></article></body></html>"
+        assert html_text.main_text(page, html_text.trained()) == "First of it.\nThe rest of the article."
+
+
 def test_pages_of_unseen_layouts():
     chain = html_text.trained()
     wrong = total = 0
