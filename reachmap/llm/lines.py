@@ -1,7 +1,7 @@
 """Near-duplicate lines by a deletion-neighbourhood join: variants as hashed keys, edits verified, earliest kept.
 
 The symbols of a line are its words (runs without white space). Two lines are copies if they have
-the same words, or, for lines of at least ``MIN_WORDS`` words, if their edit distance is at most one
+the same words, or, for lines of at least ``min_words`` words, if their edit distance is at most one
 word inserted, deleted or replaced. A line goes if any copy of it is earlier, by document id and
 then line number; so the answer doesn't depend on the order of work. Lines without words stay.
 
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ..sources.workspace import Workspace
 from .words import Words, byte_view, find_words, free_name, mix, powers_of, slices
 
-MIN_WORDS = 9
+MIN_WORDS = 9  # unless the caller names another bound
 _LOWER = np.arange(256, dtype=np.uint8)  # bytes as they are: upper and lower case are different words
 _BASE = 0xA0761D6478BD642F | 1
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -70,7 +70,7 @@ def _digest(sums: np.ndarray, inverse: np.ndarray, a: np.ndarray, b: np.ndarray,
     return mix((sums[b] - sums[a]) * inverse[a] + mix(np.asarray(salt, dtype=np.uint64) + np.uint64(77))).view(np.int64)
 
 
-def line_rows(docs: DataFrame) -> DataFrame:
+def line_rows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Each line with words: doc_id, line, hash, n_words, n_bytes, halves (keys of its halves; none for short lines)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +83,7 @@ def line_rows(docs: DataFrame) -> DataFrame:
                 size = np.diff(words.bounds)
                 some = np.flatnonzero(size > 0)
                 first, last, n = words.bounds[:-1][some], words.bounds[1:][some], size[some]
-                long = n >= MIN_WORDS
+                long = n >= min_words
                 keys = []
                 for half in ((n - 1) // 2, (n - 2) // 2):  # as the shorter or equal line of a pair, and as the longer one
                     half = np.where(long, half, 0)
@@ -185,10 +185,10 @@ def _verified(pairs: DataFrame, line_texts: DataFrame) -> DataFrame:
     return joined.select("at", "words", "earlier_words").mapInArrow(compare, "at long").distinct()
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The lines that go: doc_id, line."""
     work = Workspace(docs.sparkSession, "lines")
-    rows = work.write(line_rows(docs), "lines")
+    rows = work.write(line_rows(docs, min_words), "lines")
     same = ["hash", "n_words", "n_bytes"]
     distinct = rows.groupBy(*same).agg(F.min(_place(F.col("doc_id"), F.col("line"))).alias("place"))
     distinct = work.write(distinct, "distinct")
@@ -212,19 +212,19 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return repeats.union(gone).distinct()
 
 
-def line_report(docs: DataFrame) -> DataFrame:
+def line_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Per document: doc_id, n_lines, n_dropped, dropped (numbers of the lines that go, from 0)."""
-    gone = repeated_lines(docs).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("dropped"))
+    gone = repeated_lines(docs, min_words).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("dropped"))
     counts = docs.select("doc_id", F.size(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1)).cast("long").alias("n_lines"))
     dropped = F.filter(F.coalesce("dropped", F.array().cast("array<int>")), lambda k: k < F.col("n_lines"))
     out = counts.join(gone, "doc_id", "left").withColumn("dropped", dropped)
     return out.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), "dropped")
 
 
-def remove_lines(docs: DataFrame) -> DataFrame:
+def remove_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with all their columns, their texts without the lines that go."""
     key, gone = free_name(docs.columns, "key"), free_name(docs.columns, "gone")
-    lines = repeated_lines(docs).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line").alias(gone))
+    lines = repeated_lines(docs, min_words).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("line").alias(gone))
     kept = F.filter(F.split(F.col("text"), "\n", -1), lambda line, k: ~F.array_contains(F.col(gone), k))
     joined = docs.join(lines, docs["doc_id"].cast("long") == F.col(key), "left")
     return joined.withColumn("text", F.when(F.col(gone).isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text"))).select(*docs.columns)

@@ -28,7 +28,7 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.line_report(_table(spark, sf_dir, "documents"))
+    return lines.line_report(_table(spark, sf_dir, "documents"), min_words=4)
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 from reachmap.llm import lines
+from reachmap.llm.queries import op4_lines
 
 from .brute import dropped_lines
 from .conftest import ODD
@@ -30,6 +31,17 @@ def test_lines(docs):
     assert found == dropped_lines(rows)
 
 
+def test_short_lines(docs, spark):
+    rows = [*make_rows(3), (600, "Le lechaux dans encen anetion de euxque.\nCopyright 2019 by them"), (601, "Le lechaux dans un anetion de euxque.\nCopyright 2020 by them\nby them")]
+    found = {r.doc_id: list(r.dropped) for r in lines.line_report(docs(rows), min_words=4).collect()}
+    assert found == dropped_lines(rows, min_words=4) and found[601] == [0, 1]
+    # The registered query asks for the same bound.
+    data = "/root/testdata/sf0.001"
+    table = spark.read.parquet(f"{data}/documents.parquet")
+    wanted = {(r.doc_id, tuple(r.dropped)) for r in lines.line_report(table, min_words=4).collect()}
+    assert {(r.doc_id, tuple(r.dropped)) for r in op4_lines(spark, data).collect()} == wanted
+
+
 def test_removal(odd, docs):
     kept = lines.remove_lines(odd)
     assert kept.columns == odd.columns and kept.count() == len(ODD)
