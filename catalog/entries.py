@@ -258,9 +258,14 @@ def site_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.select("site_id", "start_url", given.alias("options"))
 
 
-def _crawl(spark, sf_dir) -> Crawl:
+def _crawl(spark, sf_dir, whole: bool = False) -> Crawl:
+    asked = site_requests(spark, sf_dir)
+    if whole:  # the largest depth and page budget that requests may ask for
+        kept = F.map_filter("options", lambda name, _: ~name.isin("max_depth", "max_pages"))
+        largest = F.create_map(F.lit("max_depth"), F.lit("50"), F.lit("max_pages"), F.lit("5000"))
+        asked = asked.withColumn("options", F.map_concat(kept, largest))
     # Callers keep their requests in a table, so the view is stored before it is read.
-    asked = Workspace(spark, "requests").write(site_requests(spark, sf_dir), "asked")
+    asked = Workspace(spark, "requests").write(asked, "asked")
     return crawl(linked_pages(spark, sf_dir), options.site_options(asked))
 
 
@@ -268,6 +273,11 @@ def crawl_reach(spark, sf_dir):
     return _crawl(spark, sf_dir).visited.select("site_id", "depth", "fetch_rank", "url", "page_id", "reason")
 
 
+def crawl_whole(spark, sf_dir):
+    """Every page of each site that links lead to, however deep."""
+    return _crawl(spark, sf_dir, whole=True).visited.select("site_id", "url", "page_id", "reason")
+
+
 def crawl_frontier(spark, sf_dir):
     visited = _crawl(spark, sf_dir).visited
     return visited.groupBy("site_id", "depth").agg(F.count(F.lit(1)).alias("n_urls"), F.sum("links_examined").alias("links_examined"))
@@ -291,6 +301,11 @@ def site_results(spark, sf_dir):
     return rows.select("site_id", "url", "part", F.array_join("emails", ",").alias("emails"), F.array_join("phones", ",").alias("phones"))
 
 
+def site_results_whole(spark, sf_dir):
+    rows = results.result_rows(_crawl(spark, sf_dir, whole=True))
+    return rows.select("site_id", "url", "part", F.array_join("emails", ",").alias("emails"), F.array_join("phones", ",").alias("phones"))
+
+
 def site_diagnostics(spark, sf_dir):
     found = results.site_diagnostics(_crawl(spark, sf_dir))
     return found.select(
@@ -469,8 +484,8 @@ QUERIES = {
         response_reason, body_truncate, page_text, doc_text, page_links, anchor_mailto, anchor_tel,
         html_unescape, email_text, email_mailto, email_cloaked, email_valid, email_allowlist, email_all,
         phone_intl, phone_idd, phone_tel, phone_regional, phone_region_filter, phone_all,
-        site_contacts, contacts_found, site_lists, crawl_frontier, crawl_cap, crawl_reach, crawl_counters,
-        failure_reasons, site_results, site_diagnostics, options_validate, options_typed, options_merge,
+        site_contacts, contacts_found, site_lists, crawl_frontier, crawl_cap, crawl_reach, crawl_whole, crawl_counters,
+        failure_reasons, site_results, site_results_whole, site_diagnostics, options_validate, options_typed, options_merge,
         mask_map, mask_types, option_lists, scan_reasons, body_decode, log_tail, log_latest, stream_pages_dedupe, stream_contacts, stream_site_contacts,
         stream_failures,
     )

@@ -338,6 +338,23 @@ def _crawl_contacts(out: str) -> str:
     return _with("linked_pages", "requests", **_crawl_contact_ctes()) + out
 
 
+def _crawl_whole(out: str) -> str:
+    """The same without bounds: all that links lead to, as a recursive set."""
+    reach = f"""
+SELECT site_id, url, base_key FROM wave0
+UNION
+SELECT r.site_id, e.dst, r.base_key FROM reach AS r JOIN linked_pages AS p ON p.url = r.url JOIN edges AS e ON e.page_id = p.page_id
+WHERE p.reason = 'ok' AND e.pos < 200 AND {_key('e.dst')} = r.base_key"""
+    more = {
+        "reach": reach,
+        "arrived": "SELECT r.site_id, r.url, p.page_id, coalesce(p.reason, 'not_in_table') AS reason FROM reach AS r LEFT JOIN linked_pages AS p ON p.url = r.url",
+    }
+    ctes = {**_crawl_ctes(), **more, **_crawl_contact_ctes(), "reached": "SELECT site_id, page_id FROM arrived WHERE reason = 'ok'"}
+    return _with("linked_pages", "requests", **ctes).replace("WITH", "WITH RECURSIVE", 1) + out
+
+
+_SITE_LISTS = "SELECT s.site_id, regexp_extract(s.effective_start, '^(https?://[^/]+)', 1) AS url, CAST(0 AS INTEGER) AS part, coalesce(l.emails, '') AS emails, coalesce(l.phones, '') AS phones FROM sites AS s LEFT JOIN lists AS l ON l.site_id = s.site_id"
+
 _ERRORS = r"""
 list_filter([
   CASE WHEN page_id % 4 = 2 THEN 'focused_crawling: invalid boolean value: maybe' END,
@@ -403,6 +420,8 @@ FROM (SELECT page_id, regexp_extract(html, '<script>(document[.]get[^<]*)</scrip
     "site_lists": _with("contact_pages", "doc_pages", **_site_contact_ctes())
     + "SELECT site_key, CAST(0 AS INTEGER) AS part, coalesce(string_agg(contact, ',' ORDER BY contact) FILTER (kind = 'email'), '') AS emails, coalesce(string_agg(contact, ',' ORDER BY contact) FILTER (kind = 'phone'), '') AS phones FROM site_contacts GROUP BY 1",
     "crawl_reach": _crawl("SELECT site_id, depth, fetch_rank, url, page_id, reason FROM done"),
+    "crawl_whole": _crawl_whole("SELECT site_id, url, page_id, reason FROM arrived"),
+    "site_results_whole": _crawl_whole(_SITE_LISTS),
     "crawl_frontier": _crawl("SELECT site_id, depth, count(*) AS n_urls, CAST(sum(links_examined) AS BIGINT) AS links_examined FROM done GROUP BY 1, 2"),
     "crawl_cap": _crawl("SELECT site_id, CASE WHEN site_id IN (SELECT site_id FROM capped) THEN 'max_pages' ELSE 'completed' END AS stop_reason FROM sites"),
     "crawl_counters": _crawl("""

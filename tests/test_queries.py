@@ -37,5 +37,10 @@ def test_query(spark, duck, name):
     assert found == expected and found
 
 
+def test_whole_crawl_goes_on_to_the_end(spark):
+    """Two waves reach at most seven pages of each of the 20 sites."""
+    assert QUERIES["crawl_whole"](spark, "/root/testdata/sf0.01").where("reason <> 'not_in_table'").count() > 7 * 20
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["site_key", "kind", "contact", "n_pages"]
