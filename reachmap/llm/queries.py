@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import new_run_folder
-from . import bpe, decontaminate, exact, html_text, lines, neardup, quality, secrets, shards, token_files
+from . import bpe, decontaminate, exact, html_text, lines, neardup, phrases, quality, runs, secrets, shards, token_counts, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.find_copies(_table(spark, sf_dir, "documents"))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_report(_table(spark, sf_dir, "documents"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_report(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_secrets": op2_secrets,
@@ -68,6 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_cnn": op8_quality_cnn,
     "op9_shards": op9_shards,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_runs": op11_runs,
+    "op12_token_counts": op12_token_counts,
+    "op13_phrases": op13_phrases,
 }
 
 ORACLES: dict[str, str] = {
@@ -99,5 +114,31 @@ ranked AS (
   SELECT *, first_value(doc_id) OVER (PARTITION BY form ORDER BY n_chars DESC, doc_id) AS keep_id,
          count(*) OVER (PARTITION BY form) AS group_size FROM forms)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(form) AS text_sha256 FROM ranked
+""",
+    "op13_phrases": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM words GROUP BY lang),
+counts AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, CAST(count(*) AS HUGEINT) AS f
+  FROM words, unnest(range(1, 6)) AS s(k), unnest(range(1, greatest(len(w) - k + 2, 1))) AS t(i)
+  GROUP BY ALL HAVING count(*) >= 100),
+candidates AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS p FROM counts WHERE k > 1),
+inside AS (
+  SELECT DISTINCT c.lang, array_to_string(c.p[i:i + s.k - 1], ' ') AS phrase, c.a
+  FROM candidates c, unnest(range(2, 5)) AS s(k), unnest(range(1, greatest(c.k - s.k + 2, 1))) AS t(i) WHERE s.k < c.k),
+kept AS (SELECT * FROM candidates c WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = c.lang AND i.phrase = c.phrase AND i.a >= c.a)),
+cuts AS (
+  SELECT kept.lang, kept.phrase, a, j, l.f AS l, r.f AS r, n, 1000 * a * n // (l.f * r.f) AS score
+  FROM kept JOIN totals USING (lang), unnest(range(1, k)) AS t(j)
+  JOIN counts l ON l.lang = kept.lang AND l.phrase = array_to_string(p[1:j], ' ')
+  JOIN counts r ON r.lang = kept.lang AND r.phrase = array_to_string(p[j + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked WHERE rank <= 2000
 """,
 }

@@ -17,11 +17,13 @@ COLUMNS = {
     "op8": "doc_id held_out score predicted",
     "op9": "doc_id size text_crc32 law shard slot grown_shard",
     "op10": "doc_id keep_id group_size kept text_sha256",
+    "op11": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
+    "op12": "doc_id n_bytes n_tokens over_limit",
 }
 
 
 def test_registered():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert {*QUERIES, "pipeline"} <= set(entry.queries())
 
 
@@ -35,6 +37,7 @@ def test_sql(spark, name):
     answer = duck.execute(ORACLES[name])
     names = [d[0] for d in answer.description]
     places = [names.index(c) for c in columns]
+    assert names != [] and sorted(names) == columns
     assert sorted(tuple(r[c] for c in columns) for r in result.collect()) == sorted(tuple(r[i] for i in places) for r in answer.fetchall())
 
 
