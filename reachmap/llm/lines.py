@@ -14,7 +14,8 @@ then line number; so the answer doesn't depend on the order of work. Lines witho
    earliest such line, never with all of them.
 4. These pairs are verified on the words, and the later line of a pair goes.
 
-Distinct lines are told apart by a 64-bit hash with their counts of words and bytes.
+Equal lines are those with two equal 61-bit hashes of their words and equal counts of words and bytes. Both
+are polynomials modulo a prime over keyed hashes of the words, so no pattern of words makes lines meet.
 
 Defined results: null and empty texts have one line without words; rows that share an id are one
 document; a row without id keeps all its lines and is no copy; extra columns pass through untouched.
@@ -30,11 +31,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.workspace import Workspace
-from .words import Words, byte_view, find_words, free_name, mix, powers_of, slices
+from .words import PRIME, Words, byte_view, find_words, free_name, mix, modular_powers, modular_sums, modulo_prime, multiply, slices
 
 MIN_WORDS = 9  # unless the caller names another bound
 _LOWER = np.arange(256, dtype=np.uint8)  # bytes as they are: upper and lower case are different words
-_BASE = 0xA0761D6478BD642F | 1
+_BASE, _CHECK_BASE = 0xA0761D6478BD642F % int(PRIME), 0xE7037ED1A0B428DB % int(PRIME)
 _SPACE = b" \t\n\x0b\x0c\r"
 
 
@@ -59,19 +60,22 @@ def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray, np
     return words, text, np.arange(len(text)) - first[text], begins
 
 
-def _prefix_sums(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(running sums of hash * base**k, powers, inverse powers) over all words."""
-    powers, inverse = powers_of(_BASE, len(words.hashes) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.hashes * powers[: len(words.hashes)])])
-    return sums, powers, inverse
+def _prefix_sums(words: Words, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
+    """(running sums of hash * base**k, inverse powers) over all words, modulo the prime."""
+    powers, inverse = modular_powers(base, len(words.hashes) + 1)
+    return modular_sums(words.hashes, powers), inverse
+
+
+def _between(sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return modulo_prime(sums[b] + (PRIME - sums[a]))
 
 
 def _digest(sums: np.ndarray, inverse: np.ndarray, a: np.ndarray, b: np.ndarray, salt: np.ndarray | int) -> np.ndarray:
-    return mix((sums[b] - sums[a]) * inverse[a] + mix(np.asarray(salt, dtype=np.uint64) + np.uint64(77))).view(np.int64)
+    return mix(multiply(_between(sums, a, b), inverse[a]) ^ mix(np.asarray(salt, dtype=np.uint64) + np.uint64(77))).view(np.int64)
 
 
 def line_rows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Each line with words: doc_id, line, hash, n_words, n_bytes, halves (keys of its halves; none for short lines)."""
+    """Each line with words: doc_id, line, hash, second (hash), n_words, n_bytes, halves (keys of its halves; none for short lines)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,7 +83,8 @@ def line_rows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             data, offsets = byte_view(batch.column(1))
             for a, b in slices(data, offsets):
                 words, text, number, _ = _lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                sums, _, inverse = _prefix_sums(words)
+                sums, inverse = _prefix_sums(words)
+                second = _prefix_sums(words, _CHECK_BASE)
                 size = np.diff(words.bounds)
                 some = np.flatnonzero(size > 0)
                 first, last, n = words.bounds[:-1][some], words.bounds[1:][some], size[some]
@@ -95,13 +100,13 @@ def line_rows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 n_bytes = (words.end - words.start).astype(np.int64)
                 total = np.concatenate([[0], np.cumsum(n_bytes)])
                 columns = [
-                    pa.array(ids[a + text[some]], pa.int64()), pa.array(number[some], pa.int32()), pa.array(_digest(sums, inverse, first, last, 4 * n + 2)),
+                    pa.array(ids[a + text[some]], pa.int64()), pa.array(number[some], pa.int32()), pa.array(_digest(sums, inverse, first, last, 4 * n + 2)), pa.array(_digest(*second, first, last, 3)),
                     pa.array(n, pa.int32()), pa.array(total[last] - total[first], pa.int64()), lists,
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line", "hash", "n_words", "n_bytes", "halves"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line", "hash", "second", "n_words", "n_bytes", "halves"])
 
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(cut, "doc_id long, line int, hash long, n_words int, n_bytes long, halves array<long>")
+    return rows.mapInArrow(cut, "doc_id long, line int, hash long, second long, n_words int, n_bytes long, halves array<long>")
 
 
 def _place(doc_id: Column, line: Column) -> Column:
@@ -132,14 +137,15 @@ def _variants(line_texts: DataFrame) -> DataFrame:
             data, offsets = byte_view(batch.column(1))
             for a, b in slices(data, offsets):
                 words = find_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], _table())
-                sums, _, inverse = _prefix_sums(words)
+                sums, inverse = _prefix_sums(words)
                 first, last = words.bounds[:-1], words.bounds[1:]
                 n = last - first
                 drop = np.arange(len(words.hashes))
                 row = np.repeat(np.arange(b - a), n)
-                less = (sums[drop] - sums[first[row]] + (sums[last[row]] - sums[drop + 1]) * inverse[1]) * inverse[first[row]]
-                whole = (sums[last] - sums[first]) * inverse[first]
-                keys = mix(np.concatenate([less, whole]) + mix(np.concatenate([n[row] - 1, n]).astype(np.uint64))).view(np.int64)
+                after = multiply(_between(sums, drop + 1, last[row]), inverse[1])
+                less = multiply(modulo_prime(_between(sums, first[row], drop) + after), inverse[first[row]])
+                whole = multiply(_between(sums, first, last), inverse[first])
+                keys = mix(np.concatenate([less, whole]) ^ mix(np.concatenate([n[row] - 1, n]).astype(np.uint64))).view(np.int64)
                 columns = [keys, ats[a:b][np.concatenate([row, np.arange(b - a)])], np.concatenate([drop - first[row], np.full(b - a, -1)])]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["key", "at", "place"])
 
@@ -189,7 +195,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The lines that go: doc_id, line."""
     work = Workspace(docs.sparkSession, "lines")
     rows = work.write(line_rows(docs, min_words), "lines")
-    same = ["hash", "n_words", "n_bytes"]
+    same = ["hash", "second", "n_words", "n_bytes"]
     distinct = rows.groupBy(*same).agg(F.min(_place(F.col("doc_id"), F.col("line"))).alias("place"))
     distinct = work.write(distinct, "distinct")
     # Halves that several distinct lines have; equal lines have the same halves, so each line's are filed once.

@@ -1,9 +1,10 @@
 """Words and word windows of many texts at once, as numpy arrays over Arrow buffers.
 
 Texts are read as UTF-8 bytes. Every separator used here is a single ASCII byte and every byte
-of a longer character counts as part of a word, so words can be told byte by byte. A word or a
-window is known by a 64-bit polynomial hash; hashes of all words of a slice come from one
-cumulative sum, so the work is linear in the bytes whatever the words look like.
+of a longer character counts as part of a word, so words can be told byte by byte. A word is known
+by a keyed 64-bit hash of its bytes (SipHash), made once for each distinct word of a slice; a window
+of a few words by a polynomial of these. Long sequences of words are hashed modulo a prime
+(``modular_powers``): modulo 2**64 there are sequences of two words that collide for every base.
 """
 
 from __future__ import annotations
@@ -15,11 +16,11 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 18  # rows are taken together up to this many bytes of text; one longer row stands alone
-_BYTE_BASE = 0x9E3779B97F4A7C15 | 1
 _WORD_BASE = 0xC2B2AE3D27D4EB4F | 1
 
 
@@ -60,6 +61,52 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+PRIME = np.uint64((1 << 61) - 1)
+
+
+def modulo_prime(x: np.ndarray) -> np.ndarray:
+    x = (x >> np.uint64(61)) + (x & PRIME)
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def multiply(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo 2**61 - 1 of numbers below it, without leaving 64 bits."""
+    half, low31, low30 = np.uint64(31), np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+    a_high, a_low, b_high, b_low = a >> half, a & low31, b >> half, b & low31
+    middle = a_low * b_high + a_high * b_low
+    return modulo_prime(a_high * b_high * np.uint64(2) + (middle >> np.uint64(30)) + ((middle & low30) << half) + a_low * b_low)
+
+
+@lru_cache(maxsize=8)
+def _modular_powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for b in (base, pow(base, -1, int(PRIME))):
+        p = np.ones(size, dtype=np.uint64)
+        done = 1
+        while done < size:
+            take = min(done, size - done)
+            p[done : done + take] = multiply(p[:take], np.uint64(pow(b, done, int(PRIME))))
+            done += take
+        out.append(p)
+    return out[0], out[1]
+
+
+def modular_powers(base: int, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``need + 1`` powers of ``base`` and of its inverse, modulo 2**61 - 1."""
+    size = 1 << max(16, (need + 1).bit_length())
+    return _modular_powers(base, size) if size <= 2 * SLICE_BYTES else _modular_powers.__wrapped__(base, need + 1)
+
+
+def modular_sums(values: np.ndarray, powers: np.ndarray) -> np.ndarray:
+    """Running sums of value * power, modulo 2**61 - 1, from 0."""
+    terms = multiply(modulo_prime(values), powers[: len(values)])
+    out = np.zeros(len(values) + 1, dtype=np.uint64)
+    high = np.cumsum(terms >> np.uint64(32)) % PRIME  # below 2**61 for fewer than 2**32 values
+    low = np.cumsum(terms & np.uint64(0xFFFFFFFF)) % PRIME
+    out[1:] = modulo_prime(multiply(high, np.uint64(1 << 32)) + low)
+    return out
+
+
 def _range_hash(values: np.ndarray, base: int, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of values[first:end] for each pair of positions."""
     power, inverse = powers_of(base, len(values))
@@ -105,8 +152,17 @@ def find_words(data: np.ndarray, offsets: np.ndarray, table: tuple[np.ndarray, n
     last[ends] = inside[ends]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     bounds = np.searchsorted(start, offsets)
-    hashes = _range_hash(lower.astype(np.uint64) + np.uint64(1), _BYTE_BASE, start, end)
-    return Words(lower, start, end, bounds, hashes)
+    return Words(lower, start, end, bounds, _word_hashes(lower[inside], end - start))
+
+
+def _word_hashes(letters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A keyed hash of each word; ``letters`` holds the words' bytes one after the other."""
+    if not len(sizes):
+        return np.empty(0, dtype=np.uint64)
+    at = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int64())
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, at.buffers()[1], pa.py_buffer(letters)]).dictionary_encode()
+    distinct = pd.util.hash_array(words.dictionary.to_numpy(zero_copy_only=False), categorize=False)
+    return distinct[words.indices.to_numpy(zero_copy_only=False)]
 
 
 def byte_view(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -55,6 +55,16 @@ def test_near(docs):
     assert len({c for _, c in wanted.values()}) < len(rows) - 40
 
 
+def test_words_in_patterns_stay_apart(docs):
+    """Two words of 2,048 characters that meet under a polynomial modulo 2**64."""
+    pattern = "a"
+    for _ in range(11):
+        pattern += pattern.translate(str.maketrans("ab", "ba"))
+    rows = [(1, pattern), (2, pattern.translate(str.maketrans("ab", "ba"))), (3, pattern + " and more words to follow"), (4, pattern)]
+    found = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs(rows), 4).collect()}
+    assert found == {1: 1, 2: 2, 3: 3, 4: 1}
+
+
 def test_near_removal(odd, docs):
     kept = neardup.keep_one(odd)
     assert kept.columns == odd.columns

@@ -42,6 +42,17 @@ def test_short_lines(docs, spark):
     assert {(r.doc_id, tuple(r.dropped)) for r in op4_lines(spark, data).collect()} == wanted
 
 
+def test_lines_of_two_words_in_patterns(docs):
+    """Long lines that meet under a polynomial modulo 2**64, whatever its base, stay apart."""
+    pattern = ["up"]
+    for _ in range(11):
+        pattern += ["down" if w == "up" else "up" for w in pattern]
+    other = ["down" if w == "up" else "up" for w in pattern]
+    rows = [(1, " ".join(pattern)), (2, " ".join(other)), (3, " ".join(pattern)), (4, " ".join(pattern[:1024])), (5, " ".join(other[:1024]))]
+    found = {r.doc_id: list(r.dropped) for r in lines.line_report(docs(rows)).collect()}
+    assert found == {1: [], 2: [], 3: [0], 4: [], 5: []}
+
+
 def test_removal(odd, docs):
     kept = lines.remove_lines(odd)
     assert kept.columns == odd.columns and kept.count() == len(ODD)
