@@ -49,6 +49,7 @@ CLOSES = {  # a start tag ends an open element of these names, unless one of the
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol pre section table ul".split())
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_COMMENT_END = re.compile(r"(?<=<!--)-?>|--!?>")  # ``<!-->`` and ``<!--->`` are whole comments
 _STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORDS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
@@ -120,8 +121,8 @@ def leaf_blocks(page: str) -> list[Block]:
         add(page[at:start])
         at = start + 1
         if page.startswith("!--", at):
-            end = page.find("-->", at + 3)
-            at = size if end < 0 else end + 3
+            found = _COMMENT_END.search(page, at + 3)
+            at = found.end() if found else size
             continue
         if at < size and page[at] in "!?":
             end = page.find(">", at)
@@ -165,7 +166,7 @@ def leaf_blocks(page: str) -> list[Block]:
             close(*CLOSES["p"])
         if tag in CLOSES:
             close(*CLOSES[tag])
-        if tag not in VOID and not attributes.endswith("/"):
+        if tag not in VOID:  # a slash at its end doesn't close an element
             stack.append((tag, _labels(attributes)))
     flush()
     return out
