@@ -37,6 +37,7 @@ FOLD_BYTES = 64
 MAX_IDS = 65_000
 BUCKETS = 1 << 16
 PIECE = 1 << 20
+CODES = "_codes"  # of a document: its word numbers
 
 # Letters and numbers newer than Unicode 16, which the tokenizer's pattern doesn't know as such.
 NEWER_LETTERS = """
@@ -157,13 +158,13 @@ class Vocabulary:
         """
 
 
-def _number_words(path: str, pattern: str, names: list[str], block_bytes: int):
+def _number_words(path: str, pattern: str, names: list[str], text: str, codes_name: str, block_bytes: int):
     """Rows become blocks: each document's word numbers, and the block's distinct words."""
 
     def block(rows: pa.Table, split: regex.Pattern, ranks: dict[bytes, int]) -> pa.RecordBatch:
         columns = [rows.column(n).combine_chunks() for n in names]
         columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
-        data, offsets = byte_view(rows.column("_text").cast(pa.large_string()))
+        data, offsets = byte_view(rows.column(text).cast(pa.large_string()))
         starts, numbered = split_pieces(data, offsets)
         # Only distinct pieces are split by the pattern; then a document is the words of its pieces.
         found = [split.findall(piece) for piece in numbered.dictionary.to_pylist()]
@@ -175,7 +176,7 @@ def _number_words(path: str, pattern: str, names: list[str], block_bytes: int):
         ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
         codes = flat[np.arange(ends[-1]) - np.repeat(ends[:-1] - firsts[pieces], lengths)] if len(pieces) else flat
         code_lists = pa.ListArray.from_arrays(pa.array(ends[np.searchsorted(starts, offsets)], pa.int32()), pa.array(codes, pa.int32()))
-        docs = pa.StructArray.from_arrays([*columns, code_lists], [*names, "_codes"])
+        docs = pa.StructArray.from_arrays([*columns, code_lists], [*names, codes_name])
 
         raw, at = byte_view(words.dictionary)
         id_of_byte = np.array([ranks[bytes([b])] + PIECE for b in range(256)], dtype=np.int32)
@@ -194,7 +195,7 @@ def _number_words(path: str, pattern: str, names: list[str], block_bytes: int):
         waiting: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
-            _, offsets = byte_view(batch.column("_text"))
+            _, offsets = byte_view(batch.column(text))
             row = 0
             while row < len(batch):
                 end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + block_bytes - size, side="right")) - 1)
@@ -218,14 +219,15 @@ def encode_blocks(docs: DataFrame, vocabulary: Vocabulary, pattern: str, names:
     ``known`` has for each word number, in hexadecimal, the ``numbers`` of its ids and their ``pieces``;
     with ``arrays`` also the ``ids`` themselves.
     """
-    rows = docs.select(*names, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    text, codes = free_name(names, "_text"), free_name(names, CODES)
+    rows = docs.select(*names, F.coalesce(F.col("text").cast("string"), F.lit("")).alias(text))
     schema = T.StructType(
         [
-            T.StructField("docs", T.ArrayType(T.StructType([*docs.select(*names).schema.fields, T.StructField("_codes", T.ArrayType(T.IntegerType()))]))),
+            T.StructField("docs", T.ArrayType(T.StructType([*docs.select(*names).schema.fields, T.StructField(codes, T.ArrayType(T.IntegerType()))]))),
             T.StructField("words", T.ArrayType(T.StructType([T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("bytes", "ids")]))),
         ]
     )
-    blocks = rows.mapInArrow(_number_words(vocabulary.path, pattern, names, block_bytes), schema)
+    blocks = rows.mapInArrow(_number_words(vocabulary.path, pattern, names, text, codes, block_bytes), schema)
     # transform(array(x), name -> ...)[0] names a value, so that it is made once for a block.
     word = f"""
     named_struct({"'ids', ids," if arrays else ""}
@@ -243,14 +245,16 @@ def encode_blocks(docs: DataFrame, vocabulary: Vocabulary, pattern: str, names:
     return blocks.select(F.explode(F.expr(done)).alias("d")).select("d.*")
 
 
-_IDS = "flatten(transform(d._codes, c -> known[c].ids))"
+
+_IDS = f"flatten(transform(d.{CODES}, c -> known[c].ids))"
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """The documents with one more column: their token ids."""
     ids = free_name(docs.columns, "ids")
     columns = ", ".join(f"'{c}', d.`{c}`" for c in docs.columns)
-    return encode_blocks(docs, Vocabulary(path), pattern, docs.columns, f"named_struct({columns}, '{ids}', {_IDS})", arrays=True)
+    found = _IDS.replace(CODES, free_name(docs.columns, CODES))
+    return encode_blocks(docs, Vocabulary(path), pattern, docs.columns, f"named_struct({columns}, '{ids}', {found})", arrays=True)
 
 
 def encoding_report(docs: DataFrame, path: str, pattern: str, ids: bool = False) -> DataFrame:

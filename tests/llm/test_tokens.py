@@ -72,3 +72,10 @@ def test_block_access():
     with pytest.raises(ValueError):
         token_files.Block(raw, b"another dictionary")
     assert zstandard.ZstdDecompressor is not None
+
+
+def test_columns_of_the_same_names(docs, library):
+    table = docs([(1, "some words"), (2, None)]).withColumnRenamed("hits", "_text").withColumnRenamed("hash", "_codes")
+    made = bpe.encode(table, RANKS, public_tokenizers.PATTERN)
+    assert made.columns == [*table.columns, "ids_"]
+    assert {r.doc_id: list(r.ids_) for r in made.collect()} == {1: library.encode_ordinary("some words"), 2: []}
