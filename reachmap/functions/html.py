@@ -23,7 +23,8 @@ _BREAK = "\ufdd0"  # a Unicode noncharacter marks the place of removed markup
 _TAG_REST = r"""(?:[^>=]|=(?!\s*["'])|=\s*"[^"]*+(?:"|\z)|=\s*'[^']*+(?:'|\z))*+"""
 # Every piece of markup starts with "<", which the patterns below factor out: a scan then
 # compares one character at most places.
-_COMMENT = r"!--.*?(?:--\s*>|\z)"
+# ``<!-->`` and ``<!--->`` are whole comments, and ``--!>`` ends one too.
+_COMMENT = r"!--(?:-?>|.*?(?:--!?\s*>|\z))"
 _CDATA = r"!\[CDATA\[.*?(?:\]\s*\]\s*>|\z)"
 _CDATA_TEXT = _CDATA.replace(".*?", "(.*?)")
 _OTHER_TAG = rf"[a-zA-Z]{_TAG_REST}(?:>|\z)|[!/?][^>]*+(?:>|\z)"

@@ -118,7 +118,7 @@ def test_missing_page(value):
     assert value(html.visible_text("x"), [None, ""]) == [None, ""]
 
 
-@pytest.mark.parametrize("opener", ["<!-- ", "<a ", "<template>", '<a href="x ', "<a b='", "<![CDATA[ ", "<rt>", "<script>", "</template ", "<!x ", "</x "])
+@pytest.mark.parametrize("opener", ["<!-- ", "<!--", "<!-->", "<a ", "<template>", '<a href="x ', "<a b='", "<![CDATA[ ", "<rt>", "<script>", "</template ", "<!x ", "</x "])
 def test_open_markup_takes_linear_time(value, opener):
     def seconds(n):
         started = time.perf_counter()
@@ -129,6 +129,16 @@ def test_open_markup_takes_linear_time(value, opener):
     assert seconds(200_000) < 4 * seconds(50_000) + 2
 
 
+def test_comments_that_end_abruptly(value):
+    pages = [
+        "<p>a</p><!--><p>info@b.com</p><a href='/x'>", "a<!--->b<a href=/x>", "a<!-- <a href=/no>n --!>b<a href=/x>", "a<!---->b<a href=/x>",
+        "a<!-- - -> <a href=/no> -->b<a href=/x>", "a<!----!>b<a href=/x>", "<!--><script>var addy = '<!-->'</script>b<a href=/x>",
+    ]
+    assert value(html.visible_text("x"), pages) == ["a info@b.com", *["a b"] * 5, "b"]
+    assert [[link.href for link in row] for row in value(html.page_links("x"), pages)] == [["/x"]] * 7
+    assert value(html.script_bodies("x"), pages[-1:]) == [["var addy = '<!-->'"]]
+
+
 def test_open_markup_goes_to_the_end(value):
     pages = ["a <b>b</b> <!-- c <p>d", "a <a href='x'>b</a> <a href=\"y <p>c", "a <template><p>b", "a <p c='d' e"]
     assert value(html.visible_text("x"), pages) == ["a b", "a b", "a", "a"]
