@@ -64,6 +64,46 @@ def test_site_contacts_over_batches(spark, stored):
     assert state.select("batch").distinct().count() == 2
 
 
+def test_known_contacts_are_state(spark, stored, capsys):
+    """A batch reads its own pages only; what was stored before is looked up in the state."""
+    found = streams.contacts_stream(streams.stream_pages(spark, stored, files_per_batch=1))
+    folder = new_run_folder(spark, "test-state")
+    query = streams.start_site_contacts(found, folder)
+    query.awaitTermination()
+    progress = query.recentProgress
+    assert [sum(s["numInputRows"] for s in p["sources"]) for p in progress if p["sources"][0]["numInputRows"]] == [2, 3]
+    assert progress[-1]["stateOperators"][0]["operatorName"] == "dedupe"
+    assert any("rocksdb" in name.lower() for name in progress[-1]["stateOperators"][0]["customMetrics"])
+    query.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("FileScan") == 1 and "StreamingDeduplicate" in plan
+    # A run that goes on from its checkpoint keeps the state: pages sent again bring nothing.
+    spark.read.parquet(stored).coalesce(1).write.mode("append").parquet(stored)
+    again = streams.run_site_contacts(found, folder)
+    assert again.count() == 5 and again.where("batch > 1").count() == 0
+
+
+def test_contact_counts(spark, stored):
+    counted = streams.contact_counts(streams.contacts_stream(streams.stream_pages(spark, stored, files_per_batch=1)))
+    rows = streams.run_counts(counted, ["site_key", "kind", "contact"], new_run_folder(spark, "test-out")).collect()
+    found = {(r.site_key, r.contact): (r.n_pages, r.first_seen.minute, r.last_seen.minute) for r in rows}
+    assert found["a.ru", "a@x.com"] == (3, 0, 5) and found["b.com", "a@x.com"] == (1, 6, 6) and len(rows) == 5
+
+
+def test_late_rows_are_kept_aside(spark):
+    folder = new_run_folder(spark, "test-late")
+    schema = "page_id bigint, url string, final_url string, html string, crawled_at timestamp"
+    minutes = [[0, 10], [100, 5], [-30, 60, 99], [95, None, 35, 34]]
+    for number, batch in enumerate(minutes):
+        rows = [(100 * number + k, "http://a.com/", None, None, None if m is None else START + datetime.timedelta(minutes=m)) for k, m in enumerate(batch)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    out = new_run_folder(spark, "test-out")
+    split = streams.run_split_late(streams.stream_pages(spark, folder, files_per_batch=1), out, "65 minutes")
+    assert sorted(r.page_id for r in split.late.collect()) == [200, 303]  # the newest time before them is minute 100
+    assert sorted(r.page_id for r in split.kept.collect()) == [0, 1, 100, 101, 201, 202, 300, 301, 302]
+    assert {r.batch for r in split.late.collect()} == {2, 3}
+
+
 def test_failure_counts(spark):
     folder = new_run_folder(spark, "test-responses")
     rows = [
