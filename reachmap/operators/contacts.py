@@ -11,6 +11,7 @@ from ..functions.emails import cloaked_candidates, domain_allowed, email_candida
 from ..functions.html import page_links, visible_text
 from ..functions.numbering import NUMBERING_PLAN, Region
 from ..functions.phones import effective_regions, idd_candidates, phone_runs, phones_of_candidates, tel_candidates
+from ..functions.text import strip
 from ..functions.urls import normalize_url, normalized_site_key
 from ..sources.workspace import Workspace
 
@@ -113,6 +114,53 @@ def site_contacts(rows: DataFrame, key: str = "site_key") -> DataFrame:
     return rows.groupBy(key, "kind", "contact").agg(F.count(F.lit(1)).alias("n_pages"))
 
 
+def allowed_contacts(rows: DataFrame, allowed: DataFrame, key: str = "site_key") -> DataFrame:
+    """Contact rows whose address is in, or below, a domain listed for its site; for lists of any length.
+
+    ``allowed``: ``key`` and ``suffix``, one row a listed domain, written as in ``normalize_allowlist``. Sites
+    without a list keep all addresses; phones always stay. Each distinct domain of a site gives its own
+    suffixes (``a.b.org``: ``a.b.org``, ``b.org``, ``org``), which meet the lists in an equi-join: the work follows the
+    number of domains and list entries, not their product, and neither is held in one place.
+    """
+    domain = F.substring_index("contact", "@", -1)
+    listed = allowed.select(key, F.ltrim(F.ltrim(F.lower(strip("suffix")), F.lit("@")), F.lit(".")).alias("suffix"))
+    listed = listed.where(F.col("suffix") != "")
+    found = rows.where(F.col("kind") == EMAIL).select(key, domain.alias("domain")).distinct()
+    labels = F.split("domain", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    below = found.withColumn("suffix", F.explode(suffixes)).join(listed, [key, "suffix"], "left_semi").select(key, "domain").distinct()
+    unlisted = found.join(listed.select(key).distinct(), key, "left_anti")
+    work = Workspace(rows.sparkSession, "allowed")
+    passing = work.write(below.unionByName(unlisted), "domains")
+    emails = rows.where(F.col("kind") == EMAIL).withColumn("domain", domain)
+    return emails.join(passing, [key, "domain"], "left_semi").select(*rows.columns).unionByName(rows.where(F.col("kind") != EMAIL))
+
+
+def contact_sketches(rows: DataFrame, key: str = "site_key", log_size: int = 12) -> DataFrame:
+    """One HyperLogLog sketch of the contacts of each site and kind; rows needn't be distinct.
+
+    A sketch has at most ``2 ** log_size`` registers whatever it has seen, and those of several parts or
+    batches merge into that of the whole (``merge_sketches``), so history needn't be read again.
+    """
+    return rows.groupBy(key, "kind").agg(F.hll_sketch_agg("contact", log_size).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, key: str = "site_key") -> DataFrame:
+    return sketches.groupBy(key, "kind").agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def contacts_estimated(sketches: DataFrame, key: str = "site_key") -> DataFrame:
+    """About how many distinct e-mails and phones each site has; the standard error is 1.04 / sqrt(2 ** log_size).
+
+    A sketch joined with itself is estimated by its registers alone, so it doesn't matter how it was merged.
+    """
+    estimate = F.hll_sketch_estimate(F.hll_union("sketch", "sketch"))
+    return sketches.groupBy(key).agg(
+        F.coalesce(F.max(F.when(F.col("kind") == EMAIL, estimate)), F.lit(0)).alias("n_emails"),
+        F.coalesce(F.max(F.when(F.col("kind") == PHONE, estimate)), F.lit(0)).alias("n_phones"),
+    )
+
+
 def contacts_found(distinct_contacts: DataFrame, key: str = "site_key") -> DataFrame:
     """Number of distinct e-mails and phones of each site."""
     return distinct_contacts.groupBy(key).agg(

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.text import as_column
-from ..functions.urls import normalize_url
+from ..functions.urls import normalize_url, normalized_site_key
+from ..sources.workspace import Workspace
 
 # Outcome of a stored response, and the content types that count as pages.
 OK = "ok"
@@ -145,9 +146,33 @@ def classify_responses(responses: DataFrame) -> DataFrame:
 def pages_of_responses(
     responses: DataFrame, max_body_bytes: Column | int = DEFAULT_MAX_BODY_BYTES, wide: bool = True
 ) -> DataFrame:
-    """Responses as pages: ``reason`` for all rows, ``html`` for the usable ones."""
+    """Responses as pages: ``reason`` for all rows, ``html`` for the usable ones.
+
+    Rows in a multi-byte Asian charset take a branch of their own; all others are decoded in the JVM and
+    meet no Python stage. ``wide=False`` leaves that branch, and its scan, out: such rows have no ``html``.
+    """
     classified = classify_responses(responses)
+    charset = header_charset("content_type")
     body = F.when(F.col("reason") == OK, truncate_body("body", max_body_bytes))
-    html = decode_body(body, header_charset("content_type"), wide)
     kept = [c for c in responses.columns if c not in ("body", "html")]
-    return classified.select(*kept, "reason", html.alias("html"))
+    if not wide:
+        return classified.select(*kept, "reason", decode_body(body, charset, wide=False).alias("html"))
+    needs_python = (F.col("reason") == OK) & charset.isin(*_WIDE)
+    plain = classified.where(~needs_python).select(*kept, "reason", decode_body(body, charset, wide=False).alias("html"))
+    other = classified.where(needs_python).select(*kept, "reason", _decode_wide(body, charset).alias("html"))
+    return plain.unionByName(other)
+
+
+def with_body_budgets(responses: DataFrame, requests: DataFrame, default: int = DEFAULT_MAX_BODY_BYTES) -> DataFrame:
+    """Responses with ``max_body_bytes``: what the requests for their host allow, the largest of several.
+
+    ``requests``: start_url and typed option columns. Only hosts with a budget of their own are joined, from a
+    written table of two narrow columns; while that is small, bodies stay where they are.
+    """
+    own = requests.where(F.col("max_body_bytes") != default).select(normalized_site_key(normalize_url("start_url")).alias("budget_key")).distinct()
+    asked = requests.select(normalized_site_key(normalize_url("start_url")).alias("budget_key"), "max_body_bytes")
+    largest = asked.join(own, "budget_key", "left_semi").groupBy("budget_key").agg(F.max("max_body_bytes").alias("max_body_bytes"))
+    largest = Workspace(responses.sparkSession, "budgets").write(largest.where(F.col("budget_key").isNotNull()), "budgets")
+    keyed = responses.withColumn("budget_key", normalized_site_key(normalize_url("url")))
+    joined = keyed.join(largest, "budget_key", "left").drop("budget_key")
+    return joined.withColumn("max_body_bytes", F.coalesce("max_body_bytes", F.lit(default)))

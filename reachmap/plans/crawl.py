@@ -9,10 +9,12 @@ The crawl is a loop of waves, one per link depth, over three narrow tables writt
 Contacts are read afterwards, in a second scan pruned to the visited pages.
 
 A wave joins its frontier, which the page budget bounds, with ``facts`` by page and with
-``index`` by URL. Neither key is the site, so a site with a third of all pages is spread like
-any other. Ranking inside a site is a top-k window: each task passes on at most the page
-budget of a site. Every wave is written to the shared folder, so plans stay short and finished
-work survives lost executors.
+``index`` by URL. Both are written in buckets of these keys, so a wave shuffles its frontier and
+never the tables. Neither key is the site, so a site with a third of all pages is spread like
+any other. Ranking inside a site has two levels: the candidates of a site are dealt over ``PARTS``
+parts by URL, each part passes on at most the site's page budget, and those heads are ranked.
+Every wave is written to the shared folder, so plans stay short and finished work survives lost
+executors.
 """
 
 from __future__ import annotations
@@ -28,11 +30,12 @@ from ..functions.phones import effective_regions
 from ..functions.scoring import url_priority_score
 from ..functions.urls import drop_query, is_page_href, normalize_url, normalized_site_key, origin, resolve_href
 from ..operators.contacts import contact_rows, no_strings, page_candidates, page_projections, read_candidates
-from ..operators.responses import OK, URL_NORMALIZE
+from ..operators.responses import OK, URL_NORMALIZE, pages_of_responses, with_body_budgets
 from ..sources.workspace import Workspace, keep_matching
 
 NOT_IN_TABLE = "not_in_table"
 COMPLETED, MAX_PAGES = "completed", "max_pages"
+PARTS = 64  # over which the candidates of one site are ranked first
 
 _SITE_OPTIONS = (
     "max_pages", "max_depth", "max_links_per_page", "include_query", "focused_crawling",
@@ -196,14 +199,25 @@ def _expand(frontier: DataFrame, facts: DataFrame, visited: DataFrame) -> DataFr
     return once.join(visited.select("site_id", "url"), ["site_id", "url"], "left_anti")
 
 
+def _heads(candidates: DataFrame, bound: int, parts: int = PARTS) -> DataFrame:
+    """The first ``bound`` candidates of every part of a site; the first ``bound`` of the site are among them.
+
+    The literal bound lets the window drop rows before the shuffle, which deals them by part.
+    """
+    part = F.pmod(F.xxhash64("url"), F.lit(parts))
+    by_part = Window.partitionBy("site_id", "part").orderBy("place", "url")
+    ranked = candidates.withColumn("part", part).withColumn("head", F.row_number().over(by_part))
+    return ranked.where(F.col("head") <= bound).drop("part", "head")
+
+
 def _admit(candidates: DataFrame, page_budget: int) -> DataFrame:
     """Admit candidates in order until a site's page budget is used up; rank them for fetching.
 
-    The literal bound lets the window drop rows before the shuffle. One row past the budget is
-    kept as the mark of a site that was cut short.
+    One row past the budget is kept as the mark of a site that was cut short. However many
+    candidates a site has, the task that ranks it gets its heads only: at most ``PARTS`` budgets.
     """
     by_place = Window.partitionBy("site_id").orderBy("place", "url")
-    ranked = candidates.withColumn("admission", F.row_number().over(by_place)).where(
+    ranked = _heads(candidates, page_budget + 1).withColumn("admission", F.row_number().over(by_place)).where(
         F.col("admission") <= page_budget + 1
     )
     room = F.col("max_pages") - F.col("discovered")
@@ -257,7 +271,7 @@ def crawl(
     deep = max_depth > 0
 
     relevant = _relevant(pages, sites, work, deep)
-    facts = work.write(_facts(relevant), "facts")
+    facts = work.write_buckets(_facts(relevant), "facts", ["page_id"])
 
     seeds = sites.select(
         "site_id", F.lit(0).alias("depth"), F.col("start").alias("url"), F.lit(True).alias("admitted"),
@@ -267,7 +281,7 @@ def crawl(
     wave = work.write(seeds, "wave-0")
     names = ["wave-0"]
     if deep:
-        index = work.write(_index(relevant, forms), "index")
+        index = work.write_buckets(_index(relevant, forms), "index", ["include_query", "url"])
         for depth in range(1, max_depth + 1):
             visited = work.read(names, wave).where("admitted")
             candidates = _expand(wave.where("admitted"), facts, visited)
@@ -309,10 +323,17 @@ def crawl(
         plan=plan,
     )
     done = work.write(read.drop("regions", "email_domain_allowlist"), "visited")
+    work.forget()  # what is returned reads plain written tables
     contacts = contact_rows(done.select("site_id", "emails", "phones")).distinct()
     return Crawl(rejected, sites, done.drop("emails", "phones"), capped, contacts)
 
 
+def crawl_responses(responses: DataFrame, requests: DataFrame, plan: Sequence[Region] = NUMBERING_PLAN, wide: bool = True) -> Crawl:
+    """Crawl stored responses: bodies are cut at the budget of their site, then decoded where a page is read."""
+    pages = pages_of_responses(with_body_budgets(responses, requests), F.col("max_body_bytes"), wide)
+    return crawl(pages.drop("max_body_bytes"), requests, plan)
+
+
 def site_origin(sites: DataFrame) -> DataFrame:
     """site_id and the origin shown in results: that of the seed's final URL."""
     return sites.select("site_id", origin("effective_start").alias("url"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,3 +69,60 @@ def write_results(results: DataFrame, path: str, format: str = "json") -> None:
     """Write result rows as JSON lines or parquet, one part file a task."""
     names = [c for c in _RESULT_COLUMNS if c in results.columns]
     results.select(*names).write.format(format).mode("errorifexists").save(path)
+
+
+_STORED_RESULTS = "site_id BIGINT, value STRING, run STRING"
+_MANIFEST = "run STRING, number BIGINT"
+
+
+def _manifest(spark: SparkSession, folder: str) -> DataFrame:
+    try:
+        return spark.read.schema(_MANIFEST).json(f"{folder}/manifest")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _MANIFEST)
+
+
+def stage_results(results: DataFrame, folder: str) -> str:
+    """Write the results of a run, as JSON text, where nobody reads them yet; gives the run's name."""
+    run = uuid.uuid4().hex
+    rows = results.select("site_id", F.to_json(F.struct(*[c for c in _RESULT_COLUMNS if c in results.columns])).alias("value"))
+    rows.write.parquet(f"{folder}/rows/run={run}")
+    return run
+
+
+def commit_run(spark: SparkSession, folder: str, run: str) -> None:
+    """Make a staged run the valid one for its sites; committing it again changes nothing.
+
+    A commit is one line more in the manifest, in a file that Spark renames into place when it is whole.
+    """
+    manifest = _manifest(spark, folder)
+    if manifest.where(F.col("run") == run).isEmpty():
+        number = (manifest.agg(F.max("number")).first()[0] or 0) + 1
+        spark.createDataFrame([(run, number)], _MANIFEST).coalesce(1).write.mode("append").json(f"{folder}/manifest")
+
+
+def commit_results(results: DataFrame, folder: str) -> str:
+    """Store results so that a run may be repeated, or break, at any point.
+
+    A run replaces the results of its own sites, all of them at once, and leaves other sites alone. A run
+    that breaks before its commit leaves what was stored before; the next one needn't clean up.
+    """
+    run = stage_results(results, folder)
+    commit_run(results.sparkSession, folder, run)
+    return run
+
+
+def read_results(spark: SparkSession, folder: str) -> DataFrame:
+    """site_id and JSON ``value`` of the last committed run of each site; several rows for a site of several parts."""
+    manifest = _manifest(spark, folder)
+    try:
+        rows = spark.read.schema(_STORED_RESULTS).parquet(f"{folder}/rows")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], _STORED_RESULTS)
+    committed = rows.join(manifest, "run")
+    newest = committed.groupBy("site_id").agg(F.max(F.struct("number", "run")).alias("newest")).select("site_id", "newest.run")
+    return committed.join(newest, ["site_id", "run"]).select("site_id", "value")
