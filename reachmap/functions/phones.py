@@ -7,6 +7,7 @@ no join. The plan is code-sized, so its patterns are literals which Spark compil
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -64,6 +65,23 @@ def _none() -> Column:
     return F.array().cast("array<string>")
 
 
+class KnownNumbers(NamedTuple):
+    """A plan whose valid numbers were looked up beforehand: those a row may need, with their regions.
+
+    ``regions`` says how numbers are dialled, ``numbers`` is a map column from full numbers to their region.
+    """
+
+    regions: tuple[Region, ...]
+    numbers: Column
+
+
+Plan = Sequence[Region] | KnownNumbers
+
+
+def _rows(plan: Plan) -> tuple[Region, ...]:
+    return plan.regions if isinstance(plan, KnownNumbers) else tuple(plan)
+
+
 def normalize_regions(regions: Column | str) -> Column:
     """Region codes: trimmed, upper-cased, blanks and ``ZZ`` dropped, distinct, in order."""
     cleaned = F.transform(as_column(regions), lambda r: F.upper(strip(r)))
@@ -89,13 +107,17 @@ def effective_regions(configured: Column | str, page_url: Column | str) -> Colum
     )
 
 
-def is_valid_number(digits: Column, plan: Sequence[Region] = NUMBERING_PLAN) -> Column:
+def is_valid_number(digits: Column, plan: Plan = NUMBERING_PLAN) -> Column:
     """True if the digits are a full international number that exists in the plan."""
+    if isinstance(plan, KnownNumbers):
+        return F.map_contains_key(plan.numbers, digits)
     return digits.rlike("^(?:" + "|".join(f"{r.calling_code}(?:{r.pattern})" for r in plan) + ")$")
 
 
-def number_region(digits: Column, plan: Sequence[Region] = NUMBERING_PLAN) -> Column:
+def number_region(digits: Column, plan: Plan = NUMBERING_PLAN) -> Column:
     """Region of a full international number given as digits; NULL if it is not a valid number."""
+    if isinstance(plan, KnownNumbers):
+        return F.try_element_at(plan.numbers, digits)
     by_code: dict[str, list[Region]] = {}
     for row in plan:
         by_code.setdefault(row.calling_code, []).append(row)
@@ -108,9 +130,9 @@ def number_region(digits: Column, plan: Sequence[Region] = NUMBERING_PLAN) -> Co
     return F.coalesce(*[of_code(code, rows) for code, rows in by_code.items()], F.lit(None).cast("string"))
 
 
-def _drop_inner_trunk(digits: Column, plan: Sequence[Region]) -> Column:
+def _drop_inner_trunk(digits: Column, plan: Plan) -> Column:
     """``44 0 20...`` -> ``44 20...``: the trunk prefix wrongly kept after the calling code."""
-    rules = "|".join(sorted({f"{r.calling_code}(?={r.trunk})" for r in plan if r.trunk}))
+    rules = "|".join(sorted({f"{r.calling_code}(?={r.trunk})" for r in _rows(plan) if r.trunk}))
     return F.regexp_replace(digits, f"^({rules}).", "$1") if rules else digits
 
 
@@ -137,19 +159,13 @@ def _plan_columns(plan: tuple[Region, ...]) -> tuple[dict[str, str], ...]:
     )
 
 
-def parse_phone(
-    raw: Column | str,
-    region: Column | None = None,
-    plan: Sequence[Region] = NUMBERING_PLAN,
-    in_text: bool = False,
-) -> Column:
-    """Calling code and national number, as digits, of a valid number; NULL otherwise.
+def phone_readings(raw: Column | str, region: Column | None = None, plan: Plan = NUMBERING_PLAN, in_text: bool = False) -> Column:
+    """What the digits of a number may mean, as full international digits, in the order tried; NULL or empty if nothing.
 
-    The possible readings are listed in order and the first valid one counts: with ``+`` the
-    number itself; else, dialled from ``region``, behind the international prefix, behind the
-    trunk prefix, as a bare national number, or with the calling code but no ``+``. ``in_text``
-    asks bare local numbers for the trunk prefix where the plan requires it. A NULL or empty
-    region reads only numbers with ``+``.
+    With ``+`` it is the number itself; else, dialled from ``region``, what stands behind the international
+    prefix, behind the trunk prefix, a bare national number, or the calling code without ``+``. ``in_text``
+    asks bare local numbers for the trunk prefix where the plan requires it. A NULL or empty region reads
+    only numbers with ``+``.
     """
     raw = as_column(raw)
 
@@ -160,7 +176,7 @@ def parse_phone(
         if region is None:
             return F.when(written_with_plus(raw), abroad(digits))
         code, idd, trunk, required = (
-            F.try_element_at(literal_map(column), region) for column in _plan_columns(tuple(plan))
+            F.try_element_at(literal_map(column), region) for column in _plan_columns(_rows(plan))
         )
         rest = F.substring(digits, F.lit(2), F.length(digits))
         behind_trunk = F.when((trunk != "") & F.contains(trunk, F.substring(digits, 1, 1)), F.concat(code, rest))
@@ -176,19 +192,24 @@ def parse_phone(
             code.isNotNull(), F.concat(dialled, local)
         )
 
-    found = bind(ascii_digits(raw), readings)
+    return bind(ascii_digits(raw), readings)
+
+
+def parse_phone(raw: Column | str, region: Column | None = None, plan: Plan = NUMBERING_PLAN, in_text: bool = False) -> Column:
+    """Calling code and national number, as digits, of a valid number: the first valid reading; NULL if none is."""
+    found = phone_readings(raw, region, plan, in_text)
     valid = F.filter(found, lambda d: F.coalesce(is_valid_number(d, plan), F.lit(False)))
     return F.try_element_at(valid, F.lit(1))
 
 
-def region_allowed(digits: Column, regions: Column, plan: Sequence[Region] = NUMBERING_PLAN) -> Column:
+def region_allowed(digits: Column, regions: Column, plan: Plan = NUMBERING_PLAN) -> Column:
     """True if no regions are given or the number's own region is one of them."""
     return (F.size(regions) <= 0) | F.coalesce(
         F.array_contains(regions, number_region(digits, plan)), F.lit(False)
     )
 
 
-def _keep(numbers: Column, regions: Column, plan: Sequence[Region]) -> Column:
+def _keep(numbers: Column, regions: Column, plan: Plan) -> Column:
     return F.filter(numbers, lambda d: d.isNotNull() & region_allowed(d, regions, plan))
 
 
@@ -240,20 +261,22 @@ def _placed(run: Column, pieces: Column) -> Column:
     )
 
 
-def _levels(run: Column) -> Column:
-    """The run as a whole, then its pieces under each way to cut it: array<array<struct<text, start, end>>>."""
-    usable = ~run.rlike(_DATE) & ~run.rlike(_TIMESTAMP)
-    whole = F.array(run)
-    cuts = [F.when(run.rlike(cut), F.split(run, cut)).otherwise(_none()) for cut in _CUTS]
-    levels = F.when(usable, F.array(whole, *cuts)).otherwise(F.array().cast("array<array<string>>"))
-    trimmed = F.transform(
-        levels,
-        lambda pieces: F.filter(
-            F.transform(pieces, lambda p: F.regexp_replace(p, f"{_LEADING_JUNK}|{_TRAILING_JUNK}", "")), lambda p: p != ""
-        ),
-    )
+def _usable(run: Column) -> Column:
+    return ~run.rlike(_DATE) & ~run.rlike(_TIMESTAMP)
 
-    return F.transform(trimmed, lambda pieces: _placed(run, pieces))
+
+def _pieces(run: Column, parts: Column) -> Column:
+    """The parts of a run without what can't belong to a number, those that can be numbers, with their spans."""
+    trimmed = F.transform(parts, lambda p: F.regexp_replace(p, f"{_LEADING_JUNK}|{_TRAILING_JUNK}", ""))
+    return _placed(run, F.filter(trimmed, lambda p: p != ""))
+
+
+def _cut(run: Column, way: Column) -> Column:
+    """The parts of a run under one way to cut it, none if it can't be cut so."""
+    parts = _none()
+    for number, cut in enumerate(_CUTS):
+        parts = F.when(way == number, F.when(run.rlike(cut), F.split(run, cut)).otherwise(_none())).otherwise(parts)
+    return parts
 
 
 def phones_of_text(
@@ -269,7 +292,7 @@ def phones_of_candidates(
     dialled: Column | str,
     tel: Column | str,
     regions: Column | str,
-    plan: Sequence[Region] = NUMBERING_PLAN,
+    plan: Plan = NUMBERING_PLAN,
 ) -> Column:
     """Distinct E.164 numbers of a page's candidates: digit runs, dialled numbers, tel links.
 
@@ -282,21 +305,24 @@ def phones_of_candidates(
     # The empty region stands for "international only" and comes last.
     points_of_view = F.concat(regions, F.array(F.lit("")))
 
-    def first_hit(levels: Column, region: Column) -> Column:
+    def read(pieces: Column, region: Column) -> Column:
         numbers = F.transform(
-            levels,
-            lambda pieces: F.filter(
-                F.transform(
-                    pieces,
-                    lambda p: F.struct(
-                        parse_phone(p["text"], region, plan, in_text=True).alias("digits"), p["start"].alias("start"), p["end"].alias("end")
-                    ),
-                ),
-                lambda n: n["digits"].isNotNull(),
-            ),
+            pieces,
+            lambda p: F.struct(parse_phone(p["text"], region, plan, in_text=True).alias("digits"), p["start"].alias("start"), p["end"].alias("end")),
         )
-        hit = F.try_element_at(F.filter(numbers, lambda n: F.size(n) > 0), F.lit(1))
-        return F.filter(F.coalesce(hit, nothing), lambda n: region_allowed(n["digits"], regions, plan))
+        return F.filter(numbers, lambda n: n["digits"].isNotNull())
+
+    def first_hit(run: Column, whole: Column, region: Column) -> Column:
+        """Numbers of the run as a whole, else of the first way to cut it that gives any; later ways aren't tried."""
+
+        def further(found: Column, way: Column) -> Column:
+            return F.when(F.size(found) > 0, found).otherwise(read(_pieces(run, _cut(run, way)), region))
+
+        ways = F.sequence(F.lit(0), F.lit(len(_CUTS) - 1))
+        hit = bind(read(whole, region), lambda found: F.when(F.size(found) > 0, found).otherwise(F.aggregate(ways, nothing, further)))
+        # Without a region only numbers with + are read, and cutting brings none.
+        readable = (region != "") | run.rlike(f"[{_PLUS}]")
+        return F.when(readable, F.filter(hit, lambda n: region_allowed(n["digits"], regions, plan))).otherwise(nothing)
 
     nothing = F.array().cast("array<struct<digits:string,start:int,end:int>>")
 
@@ -311,10 +337,10 @@ def phones_of_candidates(
             regional = F.aggregate(F.slice(views, F.lit(1), F.size(regions)), nothing, free)
             return F.transform(F.concat(regional, F.element_at(views, -1)), lambda n: n["digits"])
 
-        return bind(
-            _levels(run),
-            lambda levels: bind(F.transform(points_of_view, lambda r: first_hit(levels, r)), pick),
-        )
+        def views(whole: Column) -> Column:
+            return bind(F.transform(points_of_view, lambda r: first_hit(run, whole, r)), pick)
+
+        return F.when(_usable(run), bind(_pieces(run, F.array(run)), views)).otherwise(_none())
 
     def of_tel(number: Column) -> Column:
         read = F.transform(points_of_view, lambda r: parse_phone(number, r, plan))
@@ -327,6 +353,25 @@ def phones_of_candidates(
     return F.transform(numbers, format_e164)
 
 
+def readings_of_candidates(runs: Column | str, dialled: Column | str, tel: Column | str, regions: Column | str, plan: Plan) -> Column:
+    """Every full number that ``phones_of_candidates`` may ask about, valid or not, distinct."""
+    points_of_view = F.concat(as_column(regions), F.array(F.lit("")))
+
+    def seen(pieces: Column, in_text: bool) -> Column:
+        return F.flatten(F.transform(points_of_view, lambda r: F.flatten(F.transform(pieces, lambda p: F.coalesce(phone_readings(p, r, plan, in_text), _none())))))
+
+    def of_run(run: Column) -> Column:
+        ways = F.sequence(F.lit(0), F.lit(len(_CUTS) - 1))
+        parts = F.concat(F.array(run), F.flatten(F.transform(ways, lambda way: _cut(run, way))))
+        # Each part's span was only needed to tell overlaps; here its text is enough.
+        trimmed = F.transform(parts, lambda p: F.regexp_replace(F.regexp_replace(p, f"{_LEADING_JUNK}|{_TRAILING_JUNK}", ""), _EXTENSION, ""))
+        return F.when(_usable(run), seen(F.filter(trimmed, lambda p: p.rlike(_ENOUGH_DIGITS)), True)).otherwise(_none())
+
+    in_dialled = F.flatten(F.transform(as_column(dialled), lambda c: F.coalesce(phone_readings(c, None, plan), _none())))
+    found = F.concat(F.flatten(F.transform(as_column(runs), of_run)), in_dialled, seen(as_column(tel), False))
+    return F.array_distinct(F.filter(found, lambda d: d.isNotNull()))
+
+
 def idd_candidates(text: Column | str) -> Column:
     """Numbers written with ``00`` or ``011``, rewritten to start with ``+``."""
     found = F.regexp_extract_all(as_column(text), F.lit(_FIND_IDD), F.lit(0))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from reachmap.functions import html, phones
 from reachmap.functions.numbering import NUMBERING_PLAN, Region
 from reachmap.functions.urls import TLD_REGIONS
+from reachmap.operators import phone_plan
 
 
 def regions(*codes):
@@ -136,3 +137,36 @@ def test_spans(value):
 def test_own_plan(value):
     plan = (Region("XX", "999", r"[1-9]\d{3}", "0"),)
     assert value(phones.phones_of_text("x", regions("XX"), plan), ["0 1234 or +999 5678"]) == [["+9991234", "+9995678"]]
+
+
+def test_patterns_as_prefixes(spark):
+    """The prefix table accepts what the patterns accept, for every region, and nothing else."""
+    _, prefixes = phone_plan.plan_tables(spark, NUMBERING_PLAN)
+    rows = {}
+    for r in prefixes.collect():
+        rows.setdefault((r.region, r.n_digits), set()).add(r.prefix)
+    rng = random.Random(8)
+    for region in NUMBERING_PLAN:
+        sizes = [n for name, n in rows if name == region.region]
+        for _ in range(150):
+            n = rng.choice(sizes) + rng.choice([0, 0, 0, -1, 1])
+            start = rng.choice(sorted(rows[region.region, rng.choice(sizes)]))
+            digits = start[: rng.randint(len(region.calling_code), len(start))]
+            digits += "".join(rng.choice("0123456789") for _ in range(n - len(digits)))
+            found = any(digits.startswith(p) for p in rows.get((region.region, len(digits)), ()))
+            assert found == bool(re.fullmatch(f"{region.calling_code}(?:{region.pattern})", digits)), (region.region, digits)
+
+
+def test_plan_of_many_prefixes(spark):
+    """A hundred thousand prefixes, of which the longest that fits decides."""
+    dialling = spark.createDataFrame([("XX", "999", "0", False, "00", 0), ("YY", "999", "", False, "00", 1)], phone_plan.DIALLING)
+    many = spark.range(100_000).select(F.lit("XX").alias("region"), F.concat(F.lit("999"), F.format_string("%05d", "id")).alias("prefix"), F.lit(11).alias("n_digits"))
+    prefixes = many.unionByName(spark.createDataFrame([("YY", "999123456", 11), ("YY", "9997", 9)], phone_plan.PREFIXES))
+    pages = spark.createDataFrame(
+        [(1, "http://a.com/", "call +999 12345 999 or +999 12345 678, not +999 7 12345 67 8"), (2, "http://a.com/", "+999 70 12 34"), (3, "http://a.com/", None), (4, "http://a.com/", "none")],
+        "page_id long, final_url string, html string",
+    )
+    found = {r.page_id: sorted(r.phones) for r in phone_plan.page_phones(pages, dialling, prefixes).collect()}
+    assert found == {1: ["+99912345678", "+99912345999"], 2: ["+999701234"], 3: [], 4: []}
+    only = {r.page_id: r.phones for r in phone_plan.page_phones(pages, dialling, prefixes, ["YY"]).collect()}
+    assert only == {1: ["+99912345678"], 2: ["+999701234"], 3: [], 4: []}
