@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reachmap.functions import emails, html, masking, phones, scoring, urls
-from reachmap.operators import contacts, links, log, options, responses
+from reachmap.functions.numbering import NUMBERING_PLAN
+from reachmap.operators import contacts, links, log, options, phone_plan, responses
 from reachmap.plans import results
-from reachmap.plans.crawl import Crawl, crawl
+from reachmap.plans.crawl import Crawl, crawl, crawl_responses
 from reachmap.session import new_run_folder
 from reachmap.sources import tables
 from reachmap.sources.workspace import Workspace
@@ -87,6 +88,15 @@ def page_links(spark, sf_dir):
     return links.link_rows(contact_pages(spark, sf_dir)).select("page_id", "pos", "tag", "href")
 
 
+def page_comments(spark, sf_dir):
+    """Text and links behind comments that end abruptly."""
+    pages = views.view(spark, sf_dir, views.COMMENT_PAGES)
+    hrefs = F.transform(html.page_links("html"), lambda link: link["href"])
+    found = pages.select("page_id", html.visible_text("html").alias("text"), F.array_join(hrefs, "\n").alias("hrefs"))
+    own = F.filter(emails.valid_emails(emails.email_candidates("text")), lambda e: e.startswith("after"))
+    return found.select("page_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "hrefs", F.array_join(own, ",").alias("emails"))
+
+
 def _anchors(spark, sf_dir, scheme):
     found = contact_pages(spark, sf_dir).select("page_id", html.page_links("html").alias("links"))
     return found.select("page_id", F.explode(html.anchor_hrefs("links", scheme)).alias("href"))
@@ -151,6 +161,12 @@ def email_allowlist(spark, sf_dir):
     return rows.groupBy("contact").agg(F.count(F.lit(1)).alias("n_pages"))
 
 
+def allowlist_join(spark, sf_dir):
+    """Contacts of the document sites under lists of thousands of domains a site."""
+    rows = contacts.contacts_by_site(doc_pages(spark, sf_dir))
+    return contacts.allowed_contacts(rows, views.view(spark, sf_dir, views.ALLOWED))
+
+
 # --- Phones -----------------------------------------------------------------------------------
 
 
@@ -205,6 +221,14 @@ def phone_all(spark, sf_dir):
     return rows.where(F.col("kind") == contacts.PHONE).groupBy("contact").agg(F.count(F.lit(1)).alias("n_pages"))
 
 
+def phone_plan_join(spark, sf_dir):
+    """The same numbers as ``phone_all``, the plan being a table of prefixes."""
+    pages = contact_pages(spark, sf_dir).withColumn("page_id", -F.col("page_id") - 1).unionByName(doc_pages(spark, sf_dir))
+    dialling, prefixes = phone_plan.plan_tables(spark, NUMBERING_PLAN)
+    found = phone_plan.page_phones(pages, dialling, Workspace(spark, "plan").write(prefixes, "prefixes"))
+    return found.select(F.explode("phones").alias("contact")).groupBy("contact").agg(F.count(F.lit(1)).alias("n_pages"))
+
+
 # --- Responses --------------------------------------------------------------------------------
 
 
@@ -235,6 +259,30 @@ def contacts_found(spark, sf_dir):
     return contacts.contacts_found(contacts.contacts_by_site(pages))
 
 
+def contacts_estimated(spark, sf_dir):
+    """Sketches of eight parts of the pages, merged, beside the exact numbers and the sketch of the whole."""
+    pages = contact_pages(spark, sf_dir).unionByName(doc_pages(spark, sf_dir))
+    keyed = pages.withColumn("site_key", urls.normalized_site_key(urls.normalize_url("url")))
+    rows = Workspace(spark, "sketches").write(contacts.contact_rows(contacts.page_contacts(keyed)), "rows")
+    parts = [contacts.contact_sketches(rows.where(F.col("page_id") % 8 == part)) for part in range(8)]
+    merged = parts[0]
+    for part in parts[1:]:
+        merged = merged.unionByName(part)
+    merged = contacts.contacts_estimated(contacts.merge_sketches(merged))
+    whole = contacts.contacts_estimated(contacts.contact_sketches(rows))
+    exact = contacts.contacts_found(rows.select("site_key", "kind", "contact").distinct())
+    beside = exact.join(merged.select("site_key", F.col("n_emails").alias("e"), F.col("n_phones").alias("p")), "site_key")
+    beside = beside.join(whole.select("site_key", F.col("n_emails").alias("we"), F.col("n_phones").alias("wp")), "site_key")
+
+    def near(estimate: str, number: str) -> Column:
+        return F.abs(F.col(estimate) - F.col(number)) <= F.ceil(F.col(number) * 0.05)  # three standard errors of 4,096 registers
+
+    return beside.select(
+        "site_key", "n_emails", "n_phones", (near("e", "n_emails") & near("p", "n_phones")).alias("within"),
+        ((F.col("e") == F.col("we")) & (F.col("p") == F.col("wp"))).alias("merged_as_whole"),
+    )
+
+
 def site_lists(spark, sf_dir):
     pages = contact_pages(spark, sf_dir).unionByName(doc_pages(spark, sf_dir))
     lists = contacts.site_contact_lists(pages)
@@ -306,6 +354,35 @@ def site_results_whole(spark, sf_dir):
     return rows.select("site_id", "url", "part", F.array_join("emails", ",").alias("emails"), F.array_join("phones", ",").alias("phones"))
 
 
+def responses_results(spark, sf_dir):
+    """Stored responses in several charsets, some sites with a small budget for bodies, crawled to their contacts."""
+    pages = linked_pages(spark, sf_dir)
+    kind = F.when((F.col("page_id") % 4 == 2) & F.col("html").rlike(r"[^\x00-\x7f\xa0-\xff]"), F.lit(0)).otherwise(F.col("page_id") % 4)
+    charset = F.when(kind == 2, F.lit("ISO-8859-1")).when(kind == 3, F.lit("UTF-16BE")).otherwise(F.lit("utf-8"))
+    body = F.when(kind == 2, F.encode("html", "ISO-8859-1")).when(kind == 3, F.encode("html", "UTF-16BE")).otherwise(F.encode("html", "UTF-8"))
+    stored = pages.select(
+        "page_id", "url", "final_url", F.when(F.col("reason") == "ok", 200).otherwise(404).alias("status"),
+        F.concat(F.lit("text/html; charset="), charset).alias("content_type"), body.alias("body"), F.lit(None).cast("string").alias("error"),
+    )
+    asked = site_requests(spark, sf_dir)
+    small = F.create_map(F.lit("max_body_bytes"), F.lit("1500"))
+    asked = asked.withColumn("options", F.when(F.col("site_id") % 4 == 2, F.map_concat("options", small)).otherwise(F.col("options")))
+    work = Workspace(spark, "stored")
+    done = crawl_responses(work.write(stored, "responses"), options.site_options(work.write(asked, "asked")))
+    rows = results.result_rows(done)
+    return rows.select("site_id", "url", "part", F.array_join("emails", ",").alias("emails"), F.array_join("phones", ",").alias("phones"))
+
+
+def result_json(spark, sf_dir):
+    """Results as stored: a run of all sites, one more of half of them, one that never commits."""
+    rows = results.result_rows(_crawl(spark, sf_dir))
+    folder = new_run_folder(spark, "results")
+    tables.commit_results(rows, folder)
+    tables.commit_results(rows.where(F.col("site_id") % 2 == 0), folder)
+    tables.stage_results(rows.withColumn("url", F.lit("broken")), folder)
+    return tables.read_results(spark, folder)
+
+
 def site_diagnostics(spark, sf_dir):
     found = results.site_diagnostics(_crawl(spark, sf_dir))
     return found.select(
@@ -466,6 +543,45 @@ def stream_site_contacts(spark, sf_dir):
     return state.select("site_key", "kind", "contact")
 
 
+def _arriving(spark, sf_dir, frame: DataFrame) -> str:
+    """A folder with twelve files of rows, written one after the other in the order they arrive."""
+    timed = frame.join(views.view(spark, sf_dir, views.ARRIVALS), "page_id").withColumn("crawled_at", F.timestamp_seconds("crawled_s"))
+    timed = Workspace(spark, "arriving").write(timed.drop("crawled_s"), "rows")
+    folder = new_run_folder(spark, "stream-in")
+    for slot in range(12):
+        timed.where(F.col("slot") == slot).drop("slot").coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
+def _contacts_in_batches(spark, sf_dir):
+    pages = streams.stream_pages(spark, _arriving(spark, sf_dir, contact_pages(spark, sf_dir)), files_per_batch=1)
+    return streams.contacts_stream(pages)
+
+
+def stream_batches(spark, sf_dir):
+    """Distinct contacts of each site over twelve micro-batches, known ones kept as state."""
+    state = streams.run_site_contacts(_contacts_in_batches(spark, sf_dir), new_run_folder(spark, "stream-state"))
+    return state.select("site_key", "kind", "contact")
+
+
+def stream_contact_counts(spark, sf_dir):
+    """Pages that show each contact, and when it was first and last seen, over twelve micro-batches."""
+    counted = streams.contact_counts(_contacts_in_batches(spark, sf_dir))
+    stored = streams.run_counts(counted, ["site_key", "kind", "contact"], new_run_folder(spark, "stream-out"))
+    times = [F.unix_timestamp(c).alias(c) for c in ("first_seen", "last_seen")]
+    return stored.select("site_key", "kind", "contact", "n_pages", *times)
+
+
+def stream_late(spark, sf_dir):
+    """Responses by hour and reason over twelve micro-batches: those in time, and those past the mark."""
+    folder = _arriving(spark, sf_dir, _responses(spark, sf_dir))
+    split = streams.run_split_late(streams.stream_responses(spark, folder, files_per_batch=1), new_run_folder(spark, "stream-out"))
+    rows = split.kept.withColumn("late", F.lit(False)).unionByName(split.late.withColumn("late", F.lit(True)))
+    hour = (F.unix_timestamp("crawled_at") - F.unix_timestamp("crawled_at") % 3600).alias("hour")
+    counted = responses.classify_responses(rows).groupBy(hour, "reason")
+    return counted.agg(F.count_if(~F.col("late")).alias("n_kept"), F.count_if("late").alias("n_late"))
+
+
 def stream_failures(spark, sf_dir):
     folder = new_run_folder(spark, "stream-in")
     answers = _responses(spark, sf_dir).withColumn(
@@ -481,12 +597,12 @@ QUERIES = {
     f.__name__: f
     for f in (
         url_normalize, url_site_key, url_origin, url_region, url_resolve, url_score, href_filter,
-        response_reason, body_truncate, page_text, doc_text, page_links, anchor_mailto, anchor_tel,
-        html_unescape, email_text, email_mailto, email_cloaked, email_valid, email_allowlist, email_all,
-        phone_intl, phone_idd, phone_tel, phone_regional, phone_region_filter, phone_all,
-        site_contacts, contacts_found, site_lists, crawl_frontier, crawl_cap, crawl_reach, crawl_whole, crawl_counters,
-        failure_reasons, site_results, site_results_whole, site_diagnostics, options_validate, options_typed, options_merge,
+        response_reason, body_truncate, page_text, doc_text, page_links, page_comments, anchor_mailto, anchor_tel,
+        html_unescape, email_text, email_mailto, email_cloaked, email_valid, email_allowlist, email_all, allowlist_join,
+        phone_intl, phone_idd, phone_tel, phone_regional, phone_region_filter, phone_all, phone_plan_join,
+        site_contacts, contacts_found, contacts_estimated, site_lists, crawl_frontier, crawl_cap, crawl_reach, crawl_whole, crawl_counters,
+        failure_reasons, site_results, site_results_whole, responses_results, result_json, site_diagnostics, options_validate, options_typed, options_merge,
         mask_map, mask_types, option_lists, scan_reasons, body_decode, log_tail, log_latest, stream_pages_dedupe, stream_contacts, stream_site_contacts,
-        stream_failures,
+        stream_batches, stream_contact_counts, stream_late, stream_failures,
     )
 }

@@ -6,11 +6,11 @@ from reachmap.functions.numbering import NUMBERING_PLAN
 from reachmap.functions.scoring import EXTENSION_WEIGHTS, KEYWORD_WEIGHTS
 from reachmap.functions.urls import TLD_REGIONS
 
-from .views import CONTACT_PAGES, CRAWL_LOG, DOC_PAGES, LINKED_PAGES, REQUESTS, RESPONSES, inline
+from .views import ALLOWED, ARRIVALS, COMMENT_PAGES, CONTACT_PAGES, CRAWL_LOG, DOC_PAGES, LINKED_PAGES, REQUESTS, RESPONSES, inline
 
 _WITH = {
     "contact_pages": CONTACT_PAGES, "doc_pages": DOC_PAGES, "linked_pages": LINKED_PAGES,
-    "responses": RESPONSES, "requests": REQUESTS, "crawl_log": CRAWL_LOG,
+    "responses": RESPONSES, "requests": REQUESTS, "crawl_log": CRAWL_LOG, "comment_pages": COMMENT_PAGES, "arrivals": ARRIVALS, "lists_given": ALLOWED,
 }
 
 
@@ -25,7 +25,7 @@ _ALL_PAGES = "SELECT page_id, url, final_url, html FROM contact_pages UNION ALL
 # --- expressions --------------------------------------------------------------------------------
 
 _SPACE = r"[\s\p{Z}]"
-_HIDDEN = r"<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
+_HIDDEN = r"<!---?>|<!--.*?(?:--!?>|\z)|<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z)"
 
 
 def _strip(x: str) -> str:
@@ -39,13 +39,13 @@ def _unescape(x: str) -> str:
 
 
 def _text(html: str) -> str:
-    marked = f"regexp_replace({html}, '(?is){_HIDDEN}|<[!/?a-zA-Z][^>]*>', chr(64976), 'g')"
+    marked = f"regexp_replace({html}, '(?is){_HIDDEN}|<[!/?a-zA-Z][^>]*(?:>|\\z)', chr(64976), 'g')"
     nodes = f"list_transform(string_split({_unescape(marked)}, chr(64976)), lambda x: {_strip('x')})"
     return f"array_to_string(list_filter({nodes}, lambda x: x <> ''), ' ')"
 
 
 def _tags(html: str) -> str:
-    return f"regexp_extract_all(regexp_replace({html}, '(?is){_HIDDEN}', '', 'g'), '(?is)<a(?:rea)?\\s[^>]*href=\"[^\"]*\"', 0)"
+    return f"regexp_extract_all(regexp_replace({html}, '(?is){_HIDDEN}', '', 'g'), '(?is)<a(?:rea)?\\s[^>]*href=\"[^\"]*\"[^>]*>', 0)"
 
 
 def _link_rows(pages: str, columns: str = "page_id, final_url") -> str:
@@ -353,6 +353,19 @@ WHERE p.reason = 'ok' AND e.pos < 200 AND {_key('e.dst')} = r.base_key"""
     return _with("linked_pages", "requests", **ctes).replace("WITH", "WITH RECURSIVE", 1) + out
 
 
+# Pages cut at the budget of their site: 1,500 bytes, in the charset the page is stored in.
+_CUT_PAGES = f"""
+SELECT page_id, url, final_url, reason, CASE WHEN page_id % 20 % 4 <> 2 THEN html WHEN kind = 3 THEN html[1:750] WHEN kind = 2 THEN html[1:1500]
+  ELSE list_filter(list_transform(range(400, 1501), lambda k: html[1:k]), lambda s: octet_length(encode(s)) <= 1500)[-1] END AS html
+FROM (SELECT *, CASE WHEN page_id % 4 = 2 AND regexp_matches(html, '[^\\x00-\\x7f\\x{{a0}}-\\x{{ff}}]') THEN 0 ELSE page_id % 4 END AS kind
+      FROM ({inline(LINKED_PAGES)}) AS l) AS k"""
+
+
+def _cut_results(out: str) -> str:
+    ctes = {"linked_pages": _CUT_PAGES, "requests": inline(REQUESTS), **_crawl_contact_ctes()}
+    return _with(**ctes) + out
+
+
 _SITE_LISTS = "SELECT s.site_id, regexp_extract(s.effective_start, '^(https?://[^/]+)', 1) AS url, CAST(0 AS INTEGER) AS part, coalesce(l.emails, '') AS emails, coalesce(l.phones, '') AS phones FROM sites AS s LEFT JOIN lists AS l ON l.site_id = s.site_id"
 
 _ERRORS = r"""
@@ -377,6 +390,8 @@ _STREAM_CONTACTS = _with(
     rows="SELECT page_id, url, 'email' AS kind, contact FROM email_rows UNION ALL SELECT p.page_id, t.url, 'phone', p.phone FROM phone_rows AS p JOIN texts AS t ON p.page_id = t.page_id",
 ) + f"SELECT DISTINCT {_key('url')} AS site_key, kind, contact FROM rows"
 
+_ROWS_AND_TIMES = _STREAM_CONTACTS.rsplit("SELECT DISTINCT", 1)[0] + f", arrivals AS ({inline(ARRIVALS)}) "
+
 _REASON = """CASE page_id % 11 WHEN 1 THEN 'http_status' WHEN 2 THEN 'http_status' WHEN 3 THEN 'content_type' WHEN 6 THEN 'request_error'
  WHEN 7 THEN 'url_normalize' WHEN 8 THEN 'future_exception' ELSE 'ok' END"""
 
@@ -398,6 +413,10 @@ FROM (SELECT page_id, html, list_filter(list_transform(range(500, 2001), lambda
     "page_text": _with("contact_pages") + f"SELECT page_id, {_text('html')} AS text FROM contact_pages",
     "doc_text": f"SELECT doc_id AS page_id, md5({_strip('text')}) AS text_md5 FROM documents",
     "page_links": _with("contact_pages") + f"SELECT page_id, pos, tag, href FROM ({_link_rows('contact_pages')}) AS l",
+    "page_comments": _with("comment_pages") + f"""
+SELECT page_id, md5({_text('html')}) AS text_md5, 'after' || page_id || '@mail.example.org' AS emails,
+       (SELECT string_agg(href, chr(10) ORDER BY pos) FROM ({_link_rows('comment_pages')}) AS l WHERE l.page_id = comment_pages.page_id AND href <> '') AS hrefs
+FROM comment_pages""",
     "anchor_mailto": _with("contact_pages") + f"SELECT page_id, href FROM ({_link_rows('contact_pages')}) AS l WHERE tag = 'a' AND lower(href) LIKE 'mailto:%'",
     "anchor_tel": _with("contact_pages") + f"SELECT page_id, href FROM ({_link_rows('contact_pages')}) AS l WHERE tag = 'a' AND lower(href) LIKE 'tel:%'",
     "html_unescape": _with("contact_pages") + """
@@ -409,14 +428,23 @@ FROM (SELECT page_id, regexp_extract(html, '<script>(document[.]get[^<]*)</scrip
     "email_cloaked": _with("contact_pages") + f"SELECT page_id, candidate AS email FROM ({_CLOAKED}) AS c",
     "email_all": _with("contact_pages", "doc_pages", texts=_TEXTS_ALL, email_rows=_EMAILS_ALL) + "SELECT contact, count(*) AS n_pages FROM email_rows GROUP BY 1",
     "email_allowlist": _with("contact_pages", "doc_pages", texts=_TEXTS_ALL, email_rows=_EMAILS_ALL) + f"SELECT contact, count(*) AS n_pages FROM email_rows WHERE {_ALLOWED} GROUP BY 1",
+    "allowlist_join": _with("contact_pages", "doc_pages", "lists_given", **_site_contact_ctes()).replace(_TEXTS_ALL, f"SELECT 'd' || page_id AS page_id, url, {_text('html')} AS text FROM doc_pages") + """
+, listed AS (SELECT DISTINCT site_key, regexp_replace(lower(trim(suffix)), '^@?[.]?', '') AS suffix FROM lists_given),
+tried AS (SELECT *, string_split(split_part(contact, '@', 2), '.') AS labels FROM site_contacts WHERE site_key LIKE 'src%' AND kind = 'email'),
+ways AS (SELECT t.site_key, t.contact, array_to_string(labels[i:], '.') AS suffix FROM tried AS t, unnest(range(1, len(labels) + 1)) AS u(i))
+SELECT site_key, kind, contact, n_pages FROM site_contacts AS c WHERE site_key LIKE 'src%'
+  AND (kind = 'phone' OR site_key NOT IN (SELECT site_key FROM listed)
+       OR EXISTS (SELECT 1 FROM ways AS w JOIN listed AS l ON l.site_key = w.site_key AND l.suffix = w.suffix WHERE w.site_key = c.site_key AND w.contact = c.contact))""",
     "phone_intl": _phones_in_text(_TEXTS_DOC, _views_of("texts"), "SELECT page_id, phone FROM numbers", _RUNS),
     "phone_idd": _with("contact_pages", "doc_pages", texts=_TEXTS_ALL, **_phone_ctes(_IDD, _views_of("texts"))) + "SELECT CAST(page_id[2:] AS BIGINT) AS page_id, phone FROM numbers",
     "phone_tel": _with("contact_pages", **_phone_ctes(_TEL, _views_of("contact_pages", "RU", "US"), in_text=False)) + "SELECT page_id, phone FROM numbers",
     "phone_regional": _phones_in_text(_TEXTS_CONTACT, _views_of("texts", "RU", "US"), "SELECT page_id, phone FROM numbers"),
     "phone_region_filter": _phones_in_text(_TEXTS_ALL, _INFERRED, _PER_PHONE),
     "phone_all": _with("contact_pages", "doc_pages", texts=_TEXTS_ALL, **_all_phone_rows()) + "SELECT phone AS contact, count(*) AS n_pages FROM phone_rows GROUP BY 1",
+    "phone_plan_join": _with("contact_pages", "doc_pages", texts=_TEXTS_ALL, **_all_phone_rows()) + "SELECT phone AS contact, count(*) AS n_pages FROM phone_rows GROUP BY 1",
     "site_contacts": _with("contact_pages", "doc_pages", **_site_contact_ctes()).replace(_TEXTS_ALL, f"SELECT 'd' || page_id AS page_id, url, {_text('html')} AS text FROM doc_pages") + "SELECT * FROM site_contacts WHERE site_key LIKE 'src%'",
     "contacts_found": _with("contact_pages", "doc_pages", **_site_contact_ctes()) + "SELECT site_key, count(*) FILTER (kind = 'email') AS n_emails, count(*) FILTER (kind = 'phone') AS n_phones FROM site_contacts GROUP BY 1",
+    "contacts_estimated": _with("contact_pages", "doc_pages", **_site_contact_ctes()) + "SELECT site_key, count(*) FILTER (kind = 'email') AS n_emails, count(*) FILTER (kind = 'phone') AS n_phones, true AS within, true AS merged_as_whole FROM site_contacts GROUP BY 1",
     "site_lists": _with("contact_pages", "doc_pages", **_site_contact_ctes())
     + "SELECT site_key, CAST(0 AS INTEGER) AS part, coalesce(string_agg(contact, ',' ORDER BY contact) FILTER (kind = 'email'), '') AS emails, coalesce(string_agg(contact, ',' ORDER BY contact) FILTER (kind = 'phone'), '') AS phones FROM site_contacts GROUP BY 1",
     "crawl_reach": _crawl("SELECT site_id, depth, fetch_rank, url, page_id, reason FROM done"),
@@ -433,6 +461,12 @@ SELECT site_id, count(*) AS scheduled_pages, count(*) FILTER (reason = 'ok') AS
     "site_results": _crawl_contacts(
         "SELECT s.site_id, regexp_extract(s.effective_start, '^(https?://[^/]+)', 1) AS url, CAST(0 AS INTEGER) AS part, coalesce(l.emails, '') AS emails, coalesce(l.phones, '') AS phones FROM sites AS s LEFT JOIN lists AS l ON l.site_id = s.site_id"
     ),
+    "responses_results": _cut_results(_SITE_LISTS),
+    "result_json": _crawl_contacts("""
+SELECT s.site_id, '{"site_id":' || s.site_id || ',"url":"' || regexp_extract(s.effective_start, '^(https?://[^/]+)', 1) || '","part":0,"parts":1,"emails":['
+         || CASE WHEN coalesce(l.emails, '') = '' THEN '' ELSE '"' || replace(l.emails, ',', '","') || '"' END || '],"phones":['
+         || CASE WHEN coalesce(l.phones, '') = '' THEN '' ELSE '"' || replace(l.phones, ',', '","') || '"' END || ']}' AS value
+FROM sites AS s LEFT JOIN lists AS l ON l.site_id = s.site_id"""),
     "site_diagnostics": _crawl_contacts("""
 SELECT s.site_id, CASE WHEN s.site_id IN (SELECT site_id FROM capped) THEN 'max_pages' ELSE 'completed' END AS stop_reason,
        c.fetched_pages, CAST(s.budget AS INTEGER) AS max_pages, coalesce(f.failure_reasons, '') AS failure_reasons,
@@ -462,5 +496,13 @@ SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'RU,DE' ELSE 'BY,DE' END AS regio
     "stream_pages_dedupe": _with("contact_pages") + f"SELECT min(page_id) AS page_id, {_normal('url', True)} AS url, {_key('url')} AS site_key FROM contact_pages GROUP BY 2, 3",
     "stream_contacts": _STREAM_CONTACTS,
     "stream_site_contacts": _STREAM_CONTACTS,
+    "stream_batches": _STREAM_CONTACTS,
+    "stream_contact_counts": _ROWS_AND_TIMES + f"""
+SELECT {_key('url')} AS site_key, kind, contact, count(*) AS n_pages, min(crawled_s) AS first_seen, max(crawled_s) AS last_seen
+FROM rows JOIN arrivals AS a ON a.page_id = rows.page_id GROUP BY 1, 2, 3""",
+    "stream_late": _with("arrivals") + f"""
+, newest AS (SELECT slot, max(max(crawled_s)) OVER (ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM arrivals GROUP BY slot),
+timed AS (SELECT a.page_id, crawled_s, coalesce(crawled_s < newest - 7200, false) AS late FROM arrivals AS a JOIN newest AS n ON n.slot = a.slot)
+SELECT crawled_s - crawled_s % 3600 AS hour, {_REASON} AS reason, count(*) FILTER (NOT late) AS n_kept, count(*) FILTER (late) AS n_late FROM timed GROUP BY 1, 2""",
     "stream_failures": f"SELECT CAST(1704067200 + (page_id // 60) * 3600 AS BIGINT) AS window_start, {_REASON} AS reason, count(*) AS n_pages FROM pages WHERE {_REASON} <> 'ok' GROUP BY 1, 2",
 }

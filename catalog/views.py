@@ -87,6 +87,28 @@ SELECT site_id, 'http://site' || CAST(site_id AS STRING) || '.example.com' || {_
 FROM (SELECT page_id % 20 AS site_id, min(page_id) AS first_page FROM {{pages}} GROUP BY page_id % 20) AS firsts
 """
 
+# Comments that end abruptly, or open and close in one, with markup after them.
+COMMENT_PAGES = f"""
+SELECT page_id, url, final_url,
+       html || CASE page_id % 4 WHEN 0 THEN '<!-->' WHEN 1 THEN '<!--->' WHEN 2 THEN '<!-- <a href="/no">no@example.org</a> --!>' ELSE '<!---->' END
+         || '<p>After' || CAST(page_id AS STRING) || '@mail.example.org</p><a href="/after-' || CAST(page_id AS STRING) || '">x</a>' AS html
+FROM ({CONTACT_PAGES}) AS contact_pages
+"""
+
+# When each page was crawled and in which of twelve files it comes; every 13th comes some hours late.
+ARRIVALS = """
+SELECT page_id, page_id % 12 AS slot,
+       1704067200 + (page_id % 12) * 3600 + (page_id % 60) * 60 - CASE WHEN page_id % 13 = 5 THEN 18000 ELSE 0 END AS crawled_s
+FROM {pages}
+"""
+
+# Thousands of listed domains for every site but one in five; some are those of real addresses.
+ALLOWED = f"""
+SELECT s.site_key, CASE d.n % 3 WHEN 0 THEN ' @Mail' WHEN 1 THEN '.mail' ELSE 'shop' END || CAST(d.n AS STRING) || '.example.' || CASE d.n % 2 WHEN 0 THEN 'com' ELSE 'ORG' END AS suffix
+FROM (SELECT source || '.example.com' AS site_key, min(doc_id) AS first_id FROM {{documents}} GROUP BY source) AS s
+JOIN (SELECT DISTINCT doc_id % 5000 AS n FROM {{documents}}) AS d ON s.first_id % 5 <> 4
+"""
+
 CRAWL_LOG = """
 SELECT event_id AS id, ts, CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'DEBUG' ELSE 'INFO' END AS level,
        'crawler.' || event_type AS logger, props AS message
