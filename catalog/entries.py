@@ -73,6 +73,12 @@ def url_score(spark, sf_dir):
     return pages.select("page_id", scoring.url_priority_score("url").alias("score"))
 
 
+def url_score_all(spark, sf_dir):
+    """Scores of URLs with every weighted word and extension, with and without queries."""
+    scored = views.view(spark, sf_dir, views.SCORED_URLS)
+    return scored.select("page_id", "url", scoring.url_priority_score("url").alias("score"))
+
+
 # --- HTML -------------------------------------------------------------------------------------
 
 
@@ -221,6 +227,13 @@ def phone_all(spark, sf_dir):
     return rows.where(F.col("kind") == contacts.PHONE).groupBy("contact").agg(F.count(F.lit(1)).alias("n_pages"))
 
 
+def phone_odd(spark, sf_dir):
+    """Several regions in one run, letters, extensions, and what spoils a number."""
+    pages = views.view(spark, sf_dir, views.ODD_PHONES).withColumn("final_url", F.col("url"))
+    rows = contacts.contact_rows(contacts.page_contacts(pages.drop("d"), phone_regions=["RU", "US"]))
+    return rows.where(F.col("kind") == contacts.PHONE).select("page_id", F.col("contact").alias("phone"))
+
+
 def phone_plan_join(spark, sf_dir):
     """The same numbers as ``phone_all``, the plan being a table of prefixes."""
     pages = contact_pages(spark, sf_dir).withColumn("page_id", -F.col("page_id") - 1).unionByName(doc_pages(spark, sf_dir))
@@ -326,6 +339,18 @@ def crawl_whole(spark, sf_dir):
     return _crawl(spark, sf_dir, whole=True).visited.select("site_id", "url", "page_id", "reason")
 
 
+def crawl_odd(spark, sf_dir):
+    """Requests that can't be followed, sites that moved, link limits that bind, pages without HTML."""
+    asked = views.view(spark, sf_dir, views.ODD_REQUESTS)
+    names = {"max_pages": "max_pages", "focused": "focused_crawling", "max_links": "max_links_per_page"}
+    given = F.create_map(*[x for column, name in names.items() for x in (F.lit(name), F.col(column))], F.lit("max_depth"), F.lit("2"))
+    asked = Workspace(spark, "requests").write(asked.select("site_id", "start_url", given.alias("options")), "asked")
+    done = crawl(views.view(spark, sf_dir, views.ODD_PAGES), options.site_options(asked))
+    visited = done.visited.select("site_id", "depth", "url", "page_id", "reason", "processed", "links_examined")
+    refused = done.rejected.select("site_id", F.col("start_url").alias("url"), F.lit("rejected").alias("reason"))
+    return visited.unionByName(refused, allowMissingColumns=True)
+
+
 def crawl_frontier(spark, sf_dir):
     visited = _crawl(spark, sf_dir).visited
     return visited.groupBy("site_id", "depth").agg(F.count(F.lit(1)).alias("n_urls"), F.sum("links_examined").alias("links_examined"))
@@ -438,6 +463,24 @@ def options_merge(spark, sf_dir):
     )
 
 
+def options_file(spark, sf_dir):
+    """Options from a JSON file, weaker than those of the requests."""
+    pages = views.table(spark, sf_dir, "pages")
+    content = F.to_json(
+        F.struct(
+            F.least(F.count(F.lit(1)), F.lit(5000)).alias("max_pages"), F.lit(False).alias("focused_crawling"),
+            F.array_distinct(F.flatten(F.array(F.array(F.lit(" ru ")), F.array(F.lit("by"), F.lit("ZZ"))))).alias("phone_regions"), F.lit(1).alias("colour"),
+        )
+    )
+    folder = new_run_folder(spark, "options")
+    pages.agg(content.alias("value")).coalesce(1).write.text(folder)
+    own = F.when(F.col("page_id") % 2 == 0, F.create_map(F.lit("max_depth"), (F.col("page_id") % 50).cast("string"), F.lit("focused_crawling"), F.lit("yes")))
+    given = F.broadcast(tables.read_option_file(spark, folder).withColumnRenamed("options", "file"))  # one row
+    asked = pages.crossJoin(given).select("page_id", options.merge_options("file", own).alias("options"))
+    typed = options.site_options(asked)
+    return typed.select("page_id", "max_pages", "max_depth", "focused_crawling", F.array_join("phone_regions", ",").alias("regions"))
+
+
 def mask_map(spark, sf_dir):
     documents = views.table(spark, sf_dir, "documents")
     data = documents.select(
@@ -596,12 +639,12 @@ def stream_failures(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        url_normalize, url_site_key, url_origin, url_region, url_resolve, url_score, href_filter,
+        url_normalize, url_site_key, url_origin, url_region, url_resolve, url_score, url_score_all, href_filter,
         response_reason, body_truncate, page_text, doc_text, page_links, page_comments, anchor_mailto, anchor_tel,
         html_unescape, email_text, email_mailto, email_cloaked, email_valid, email_allowlist, email_all, allowlist_join,
-        phone_intl, phone_idd, phone_tel, phone_regional, phone_region_filter, phone_all, phone_plan_join,
-        site_contacts, contacts_found, contacts_estimated, site_lists, crawl_frontier, crawl_cap, crawl_reach, crawl_whole, crawl_counters,
-        failure_reasons, site_results, site_results_whole, responses_results, result_json, site_diagnostics, options_validate, options_typed, options_merge,
+        phone_intl, phone_idd, phone_tel, phone_regional, phone_region_filter, phone_all, phone_odd, phone_plan_join,
+        site_contacts, contacts_found, contacts_estimated, site_lists, crawl_frontier, crawl_cap, crawl_odd, crawl_reach, crawl_whole, crawl_counters,
+        failure_reasons, site_results, site_results_whole, responses_results, result_json, site_diagnostics, options_validate, options_typed, options_merge, options_file,
         mask_map, mask_types, option_lists, scan_reasons, body_decode, log_tail, log_latest, stream_pages_dedupe, stream_contacts, stream_site_contacts,
         stream_batches, stream_contact_counts, stream_late, stream_failures,
     )

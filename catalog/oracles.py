@@ -6,7 +6,7 @@ from reachmap.functions.numbering import NUMBERING_PLAN
 from reachmap.functions.scoring import EXTENSION_WEIGHTS, KEYWORD_WEIGHTS
 from reachmap.functions.urls import TLD_REGIONS
 
-from .views import ALLOWED, ARRIVALS, COMMENT_PAGES, CONTACT_PAGES, CRAWL_LOG, DOC_PAGES, LINKED_PAGES, REQUESTS, RESPONSES, inline
+from .views import ALLOWED, ARRIVALS, COMMENT_PAGES, CONTACT_PAGES, CRAWL_LOG, DOC_PAGES, LINKED_PAGES, ODD_PAGES, ODD_PHONES, ODD_REQUESTS, REQUESTS, RESPONSES, SCORED_URLS, inline
 
 _WITH = {
     "contact_pages": CONTACT_PAGES, "doc_pages": DOC_PAGES, "linked_pages": LINKED_PAGES,
@@ -270,16 +270,16 @@ def _site_contact_ctes() -> dict[str, str]:
 # --- crawl --------------------------------------------------------------------------------------
 
 
-def _crawl_ctes(depth: int = 2) -> dict[str, str]:
+def _crawl_ctes(depth: int = 2, links: str = "200", seed: str = "r.start_url") -> dict[str, str]:
     score = f"CASE WHEN focused = 'yes' THEN {_score('dst')} ELSE 0 END"
     ctes = {
         "hrefs": _link_rows("linked_pages", "page_id, url, final_url"),
         "edges": f"SELECT page_id, pos, {_resolve('final_url', 'href', False)} AS dst FROM hrefs WHERE {_is_page('href')}",
         "sites": f"""
 SELECT r.*, CAST(r.max_pages AS BIGINT) AS budget, p.page_id AS seed_id, coalesce(p.reason, 'not_in_table') AS seed_reason,
-       CASE WHEN p.reason = 'ok' THEN p.final_url ELSE r.start_url END AS effective_start
-FROM requests AS r LEFT JOIN linked_pages AS p ON p.url = r.start_url""",
-        "wave0": "SELECT site_id, 0 AS depth, start_url AS url, seed_id AS page_id, seed_reason AS reason, CAST(1 AS BIGINT) AS fetch_rank, focused, budget, "
+       CASE WHEN p.reason = 'ok' THEN p.final_url ELSE {seed} END AS effective_start
+FROM requests AS r LEFT JOIN linked_pages AS p ON p.url = {seed}""",
+        "wave0": f"SELECT site_id, 0 AS depth, {seed.replace('r.', '')} AS url, seed_id AS page_id, seed_reason AS reason, CAST(1 AS BIGINT) AS fetch_rank, focused, budget, "
         f"{_key('effective_start')} AS base_key, CAST(1 AS BIGINT) AS discovered FROM sites",
     }
     for d in range(1, depth + 1):
@@ -287,7 +287,7 @@ FROM requests AS r LEFT JOIN linked_pages AS p ON p.url = r.start_url""",
         ctes[f"cand{d}"] = f"""
 SELECT * FROM (SELECT w.site_id, e.dst, w.fetch_rank AS parent, {score} AS score, e.pos, w.focused, w.budget, w.base_key, w.discovered
 FROM wave{d - 1} AS w JOIN edges AS e ON e.page_id = w.page_id
-WHERE w.reason = 'ok' AND e.pos < 200 AND {_key('e.dst')} = w.base_key) AS c
+WHERE w.reason = 'ok' AND e.pos < {links} AND {_key('e.dst')} = w.base_key) AS c
 WHERE NOT EXISTS (SELECT 1 FROM ({seen}) AS s WHERE s.site_id = c.site_id AND s.url = c.dst)
 QUALIFY row_number() OVER (PARTITION BY site_id, dst ORDER BY parent, score, pos) = 1"""
         ctes[f"adm{d}"] = f"SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY parent, score, pos) AS admission FROM cand{d}"
@@ -300,7 +300,7 @@ FROM adm{d} AS a LEFT JOIN linked_pages AS p ON p.url = a.dst WHERE a.admission
     ctes["capped"] = " UNION ".join(f"SELECT site_id FROM adm{d} WHERE admission > budget - discovered" for d in range(1, depth + 1))
     ctes["n_hrefs"] = "SELECT page_id, count(*) AS n_links FROM hrefs GROUP BY page_id"
     ctes["done"] = f"""
-SELECT v.*, CASE WHEN v.reason = 'ok' AND v.depth < {depth} THEN least(h.n_links, 200) ELSE 0 END AS links_examined
+SELECT v.*, CASE WHEN v.reason = 'ok' AND v.depth < {depth} AND h.n_links > 0 THEN least(h.n_links, {links.replace('w.', 'v.')}) ELSE 0 END AS links_examined
 FROM visited AS v LEFT JOIN n_hrefs AS h ON h.page_id = v.page_id"""
     return ctes
 
@@ -338,6 +338,55 @@ def _crawl_contacts(out: str) -> str:
     return _with("linked_pages", "requests", **_crawl_contact_ctes()) + out
 
 
+# How many links of a page count for the site of a row ``w``.
+_MAX_LINKS = "(SELECT CAST(max_links AS BIGINT) FROM sites AS s WHERE s.site_id = w.site_id)"
+
+
+def _crawl_odd() -> str:
+    """Seeds as callers write them: with a port and a fragment, or not to be followed."""
+    usable = "regexp_matches(start_url, '(?i)^ *https?://')"
+    ctes = {
+        "linked_pages": inline(ODD_PAGES), "asked": inline(ODD_REQUESTS),
+        "requests": f"SELECT *, {_normal('trim(start_url)')} AS seed_url FROM asked WHERE {usable}",
+        **_crawl_ctes(links=_MAX_LINKS, seed="r.seed_url"),
+    }
+    return _with(**ctes) + f"""
+SELECT d.site_id, CAST(d.depth AS INTEGER) AS depth, d.url, d.page_id, d.reason, d.reason = 'ok' AND p.html IS NOT NULL AS processed, links_examined
+FROM done AS d LEFT JOIN linked_pages AS p ON p.page_id = d.page_id
+UNION ALL SELECT site_id, NULL, start_url, NULL, 'rejected', NULL, NULL FROM asked WHERE NOT {usable}"""
+
+
+# Weights as they must be, apart from those the library holds.
+_WORD_WEIGHTS = {
+    -50: "contact contacts impressum", -40: "support", -25: "help", -20: "about legal privacy", -15: "policy terms", -10: "faq feedback", -5: "company team",
+    40: "docs rfc", 30: "spec archive", 20: "doc blog news press media", 10: "release releases changelog events jobs careers",
+}
+_FILE_WEIGHTS = {
+    300: "zip 7z rar tar gz bz2 xz exe msi dmg iso", 250: "pdf", 200: "png jpg jpeg gif webp", 100: "svg ico css js", 80: "json xml rss", 50: "txt md",
+}
+
+
+def _score_all() -> str:
+    def weight(value: str, table: dict[int, str]) -> str:
+        return "CASE " + " ".join(f"WHEN {value} IN ({', '.join(repr(w) for w in words.split())}) THEN {n}" for n, words in table.items()) + " ELSE 0 END"
+
+    return f"""
+WITH scored AS ({inline(SCORED_URLS)}),
+parts AS (SELECT *, lower(regexp_extract(url, '^https?://[^/]*([^?]*)', 1)) AS path, lower(regexp_extract(url, '[?](.+)$', 1)) AS query FROM scored),
+words AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(path || ' ' || query, '[a-z0-9]+')) AS word FROM parts),
+sums AS (SELECT page_id, sum({weight('word', _WORD_WEIGHTS)}) AS total FROM words GROUP BY page_id)
+SELECT p.page_id, p.url, CAST(total + len(string_split(path, '/')) - 1 + {weight("regexp_extract(path, '[.]([^.]*)$', 1)", _FILE_WEIGHTS)}
+  + CASE WHEN query <> '' THEN 10 ELSE 0 END AS INTEGER) AS score
+FROM parts AS p JOIN sums USING (page_id)"""
+
+
+# The first region that accepts a number decides: 415 is an area code of both.
+_ODD_PHONES = f"""
+WITH odd AS ({inline(ODD_PHONES)})
+SELECT page_id, unnest(CASE page_id % 6 WHEN 0 THEN ['+7953640' || d, '+1212555' || d] WHEN 1 THEN ['+1212555' || d, '+7953640' || d] WHEN 2 THEN ['+1800356' || d]
+  WHEN 3 THEN ['+1415555' || d, '+1415556' || d] WHEN 4 THEN ['+7415555' || d, '+7953640' || d] ELSE ['+7953640' || d] END) AS phone FROM odd"""
+
+
 def _crawl_whole(out: str) -> str:
     """The same without bounds: all that links lead to, as a recursive set."""
     reach = f"""
@@ -404,6 +453,7 @@ ORACLES = {
     "url_resolve": _with("contact_pages", l=_link_rows("contact_pages"), r=f"SELECT page_id, pos, final_url, {_resolve('final_url', 'href')} AS dst_url FROM l WHERE {_is_page('href')}")
     + f"SELECT page_id, pos, dst_url, {_key('dst_url')} = {_key('final_url')} AS same_site FROM r",
     "url_score": _with("linked_pages") + f"SELECT page_id, {_score('url')} AS score FROM linked_pages",
+    "url_score_all": _score_all(),
     "response_reason": _with("responses") + f"SELECT {_REASON} AS reason, count(*) AS n_pages FROM responses GROUP BY 1",
     "body_truncate": _with("responses") + f"""
 SELECT page_id, md5(CASE WHEN octet_length(encode(html)) <= 2000 THEN html
@@ -441,6 +491,7 @@ SELECT site_key, kind, contact, n_pages FROM site_contacts AS c WHERE site_key L
     "phone_regional": _phones_in_text(_TEXTS_CONTACT, _views_of("texts", "RU", "US"), "SELECT page_id, phone FROM numbers"),
     "phone_region_filter": _phones_in_text(_TEXTS_ALL, _INFERRED, _PER_PHONE),
     "phone_all": _with("contact_pages", "doc_pages", texts=_TEXTS_ALL, **_all_phone_rows()) + "SELECT phone AS contact, count(*) AS n_pages FROM phone_rows GROUP BY 1",
+    "phone_odd": _ODD_PHONES,
     "phone_plan_join": _with("contact_pages", "doc_pages", texts=_TEXTS_ALL, **_all_phone_rows()) + "SELECT phone AS contact, count(*) AS n_pages FROM phone_rows GROUP BY 1",
     "site_contacts": _with("contact_pages", "doc_pages", **_site_contact_ctes()).replace(_TEXTS_ALL, f"SELECT 'd' || page_id AS page_id, url, {_text('html')} AS text FROM doc_pages") + "SELECT * FROM site_contacts WHERE site_key LIKE 'src%'",
     "contacts_found": _with("contact_pages", "doc_pages", **_site_contact_ctes()) + "SELECT site_key, count(*) FILTER (kind = 'email') AS n_emails, count(*) FILTER (kind = 'phone') AS n_phones FROM site_contacts GROUP BY 1",
@@ -448,6 +499,7 @@ SELECT site_key, kind, contact, n_pages FROM site_contacts AS c WHERE site_key L
     "site_lists": _with("contact_pages", "doc_pages", **_site_contact_ctes())
     + "SELECT site_key, CAST(0 AS INTEGER) AS part, coalesce(string_agg(contact, ',' ORDER BY contact) FILTER (kind = 'email'), '') AS emails, coalesce(string_agg(contact, ',' ORDER BY contact) FILTER (kind = 'phone'), '') AS phones FROM site_contacts GROUP BY 1",
     "crawl_reach": _crawl("SELECT site_id, depth, fetch_rank, url, page_id, reason FROM done"),
+    "crawl_odd": _crawl_odd(),
     "crawl_whole": _crawl_whole("SELECT site_id, url, page_id, reason FROM arrived"),
     "site_results_whole": _crawl_whole(_SITE_LISTS),
     "crawl_frontier": _crawl("SELECT site_id, depth, count(*) AS n_urls, CAST(sum(links_examined) AS BIGINT) AS links_examined FROM done GROUP BY 1, 2"),
@@ -479,6 +531,9 @@ LEFT JOIN lists AS l ON l.site_id = s.site_id"""),
     "options_merge": """
 SELECT page_id, 'focused_crawling,' || CASE WHEN page_id % 5 = 3 THEN '' ELSE 'log_level,' END || 'max_depth,max_pages,phone_regions,retry_total' AS names,
        CAST(page_id AS VARCHAR) AS max_pages, '4' AS retry_total FROM pages""",
+    "options_file": """
+SELECT page_id, CAST(least(count(*) OVER (), 5000) AS INTEGER) AS max_pages, CAST(CASE WHEN page_id % 2 = 0 THEN page_id % 50 ELSE 0 END AS INTEGER) AS max_depth,
+       page_id % 2 = 0 AS focused_crawling, 'RU,BY' AS regions FROM pages""",
     "mask_map": f"SELECT doc_id, {_masked('text')} AS api_key, {_masked('lang')} AS token, source FROM documents",
     "scan_reasons": """
 SELECT reason, count(*) AS n_pages, count(*) AS n_final

@@ -87,6 +87,61 @@ SELECT site_id, 'http://site' || CAST(site_id AS STRING) || '.example.com' || {_
 FROM (SELECT page_id % 20 AS site_id, min(page_id) AS first_page FROM {{pages}} GROUP BY page_id % 20) AS firsts
 """
 
+# The linked sites once more, in odd circumstances: the links to stored pages stand first; pages without HTML;
+# every fifth site has moved to another host, of which only its first page knows the old name.
+_MOVED = "CASE WHEN site_id % 5 = 1 THEN 'moved' || CAST(site_id AS STRING) || '.example.org' ELSE host END"
+ODD_PAGES = f"""
+SELECT page_id, 'http://' || CASE WHEN page_id < 40 THEN host ELSE {_MOVED} END || {_linked_path('page_id')} AS url,
+       'http://' || {_MOVED} || {_linked_path('page_id')} AS final_url,
+       CASE WHEN page_id % 17 = 9 THEN 'http_status' ELSE 'ok' END AS reason,
+       CASE WHEN page_id % 23 <> 7 THEN '<ul><li><a href="' || {_linked_path('left_id')} || '">l</a></li><li><a href="' || {_linked_path('right_id')}
+         || '">r</a></li><li><a href="http://' || host || {_linked_path('up_id')} || '#top">u</a></li></ul>' || html END AS html
+FROM (SELECT page_id, html, page_id % 20 AS site_id, 'site' || CAST(page_id % 20 AS STRING) || '.example.com' AS host,
+             2 * page_id + 20 - page_id % 20 AS left_id, 2 * page_id + 40 - page_id % 20 AS right_id,
+             CAST(floor(floor(page_id / 20) / 2) AS BIGINT) * 20 + page_id % 20 AS up_id
+      FROM {{pages}}) AS ids
+"""
+
+# Requests for them: some can't be URLs, some follow two links a page only.
+ODD_REQUESTS = f"""
+SELECT site_id, CASE site_id % 6 WHEN 5 THEN 'no url' WHEN 4 THEN 'ftp://site' || CAST(site_id AS STRING) || '.example.com/'
+         ELSE ' HTTP://site' || CAST(site_id AS STRING) || '.example.com:80' || {_linked_path('first_page')} || '#x' END AS start_url,
+       '200' AS max_pages, 'off' AS focused, CASE WHEN site_id % 4 = 3 THEN '1' WHEN site_id % 4 = 2 THEN '2' ELSE '200' END AS max_links
+FROM (SELECT page_id % 20 AS site_id, min(page_id) AS first_page FROM {{pages}} GROUP BY page_id % 20) AS firsts
+"""
+
+# URLs of all words and extensions that have a weight, and of some that have none, in path and query.
+SCORED_WORDS = (
+    "contact contacts support help about impressum legal privacy policy terms faq feedback company team docs doc spec rfc archive blog news press "
+    "media release releases changelog events jobs careers Contact products x1"
+)
+SCORED_EXTENSIONS = (
+    "pdf zip 7z rar tar gz bz2 xz exe msi dmg iso png jpg jpeg gif webp svg ico css js json xml txt md rss html PDF php"
+)
+
+
+def _choice(words: str, number: str) -> str:
+    return f"CASE ({number}) % {len(words.split())} " + " ".join(f"WHEN {k} THEN '{w}'" for k, w in enumerate(words.split())) + " END"
+
+
+SCORED_URLS = f"""
+SELECT page_id, n, 'http://a.example.com/' || {_choice(SCORED_WORDS, 'n')} || CASE WHEN n % 2 = 0 THEN '/in' ELSE '' END || '/' || {_choice(SCORED_WORDS, 'n * 7 + 3')}
+         || '.' || {_choice(SCORED_EXTENSIONS, 'n')} || CASE WHEN n % 3 = 0 THEN '' WHEN n % 3 = 1 THEN '?q=' || {_choice(SCORED_WORDS, 'n * 5 + 1')} ELSE '?' END AS url
+FROM (SELECT page_id, page_id + floor(page_id / 31) AS n FROM {{pages}}) AS numbered
+"""
+
+# Numbers of two regions in one run, spelled-out numbers and extensions.
+ODD_PHONES = """
+SELECT page_id, url, d, CASE page_id % 6
+  WHEN 0 THEN '<p>8 (953) 640-' || substr(d, 1, 2) || '-' || substr(d, 3, 2) || ' / (212) 555-' || d || '</p>'
+  WHEN 1 THEN '<p>Call (212) 555-' || d || ', 8 (953) 640-' || substr(d, 1, 2) || '-' || substr(d, 3, 2) || '!</p>'
+  WHEN 2 THEN '<a href="tel:1-800-FLO-' || d || '">a</a><a href="tel:1-8-FLOWER-' || d || '">too long</a>'
+  WHEN 3 THEN '<a href="tel:+1-415-555-' || d || 'x123">a</a><p>+1 415 556 ' || d || ' ext. 77</p>'
+  WHEN 4 THEN '<p>(415) 555-' || d || ' (953) 640-' || d || '</p>'
+  ELSE '<a href="tel:+7%20953%20640%20' || d || '%20ext%2E%209">a</a><p>A9536401234 and 2125551234%</p>' END AS html
+FROM (SELECT page_id, url, lpad(CAST(page_id % 10000 AS STRING), 4, '0') AS d FROM {pages}) AS numbered
+"""
+
 # Comments that end abruptly, or open and close in one, with markup after them.
 COMMENT_PAGES = f"""
 SELECT page_id, url, final_url,
