@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from reachmap.llm import bpe, decontaminate, exact, neardup, quality
 from reachmap.sources.workspace import Workspace
 
+BPE_BLOCK_BYTES = 2 << 20
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -34,8 +35,12 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with the digests of the ids and of what they decode to."""
-    return bpe.encoding_report(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=True)
+    """Token ids of every document, with the digests of the ids and of what they decode to.
+
+    Smaller blocks than the operator's own: an executor that has run the stages before has less memory to spare.
+    """
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.encoding_report(docs, path, public_tokenizers.PATTERN, ids=True, block_bytes=BPE_BLOCK_BYTES)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -257,7 +257,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return encode_blocks(docs, Vocabulary(path), pattern, docs.columns, f"named_struct({columns}, '{ids}', {found})", arrays=True)
 
 
-def encoding_report(docs: DataFrame, path: str, pattern: str, ids: bool = False) -> DataFrame:
+def encoding_report(docs: DataFrame, path: str, pattern: str, ids: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: doc_id, n_tokens, the digests of its ids and of what they decode to.
 
     On request also the ids, as little-endian unsigned 32-bit integers.
@@ -270,4 +270,4 @@ def encoding_report(docs: DataFrame, path: str, pattern: str, ids: bool = False)
       'ids_sha256', sha2(numbers, 256),
       'decoded_sha256', sha2(unhex(array_join(transform(d._codes, c -> known[c].pieces), '')), 256)))[0]
     """
-    return encode_blocks(docs, Vocabulary(path), pattern, ["doc_id"], report)
+    return encode_blocks(docs, Vocabulary(path), pattern, ["doc_id"], report, block_bytes)
