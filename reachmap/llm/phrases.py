@@ -43,6 +43,7 @@ from ..sources.workspace import Workspace
 from .words import byte_view, find_words, give_back, mix, slices, word_table
 
 LONGEST, MIN_COUNT, TOP = 5, 100, 2000
+PARTS = 64  # over which the phrases of one lang are ranked first
 SLOTS = 1 << 24
 SLICE = 1 << 20
 UNKNOWN_LANG = "und"
@@ -304,7 +305,10 @@ def collocations(docs: DataFrame, least: int = MIN_COUNT, top: int = TOP, slots:
     cuts = cuts.withColumn("above", (wide["a"] * wide["n"]).cast("decimal(34,0)") * F.lit(1000).cast("decimal(4,0)"))
     cuts = cuts.withColumn("below", wide["l"] * wide["r"]).withColumn("score", F.expr("above div below"))
     best = cuts.groupBy("lang", "words", "a", "n").agg(F.min(F.struct("score", "cut", "l", "r")).alias("best"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    order = (F.desc("score"), F.desc("a"), "phrase")
     scored = best.select("lang", F.col("words").alias("phrase"), "a", "best.l", "best.r", "n", "best.score")
-    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    # A lang's phrases are dealt over parts; each passes on its first ones, so the task that ranks a lang gets PARTS * top at most.
+    part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS)).alias("part")
+    heads = scored.select("*", part).withColumn("head", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("head") <= top)
+    ranked = heads.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
