@@ -64,3 +64,21 @@ def dropped_lines(rows, min_words=9):
         if words and any(near(words, other) for _, _, other in lines[:i]):
             out[d].append(k)
     return out
+
+
+def contaminated(docs, items, size=13):
+    """Ids of the documents with a twentieth or more of their words inside benchmark windows. docs, items: (id, text)."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = set()
+    for _, text in items:
+        w = words(text)
+        n = min(size, len(w))
+        windows |= {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if n else set()
+    sizes = sorted({len(w) for w in windows})
+    out = set()
+    for doc_id, text in docs:
+        w = words(text)
+        hit = {k for n in sizes for i in range(len(w) - n + 1) if tuple(w[i : i + n]) in windows for k in range(i, i + n)}
+        if hit and 20 * len(hit) >= len(w):
+            out.add(doc_id)
+    return out
