@@ -198,12 +198,16 @@ def _grams(texts: DataFrame, shared: Broadcast, slots: int) -> DataFrame:
     return texts.mapInArrow(read, "lang string, words string, n long").groupBy("lang", "words").agg(F.sum("n").alias("n"))
 
 
+def _last(words: Column) -> Column:
+    return F.substring_index(words, " ", -1)
+
+
 def _without_last(words: Column) -> Column:
-    return F.regexp_extract(words, r"^(.*) [^ ]*$", 1)
+    return F.substring(words, F.lit(1), F.length(words) - F.length(_last(words)) - 1)
 
 
 def _without_first(words: Column) -> Column:
-    return F.regexp_extract(words, r"^[^ ]* (.*)$", 1)
+    return F.substring(words, F.length(F.substring_index(words, " ", 1)) + 2, F.length(words))
 
 
 def phrase_graph(docs: DataFrame, least: int = MIN_COUNT, longest: int = LONGEST, slots: int = SLOTS) -> tuple[Workspace, DataFrame, DataFrame]:
@@ -269,8 +273,8 @@ def maximal_phrases(docs: DataFrame, least: int = MIN_COUNT) -> DataFrame:
     """The compacted paths: lang, phrase (of any length), n, its number of occurrences along the whole path."""
     work, _, grams = phrase_graph(docs, least)
     edges = unary_paths(work, grams)
-    last = F.regexp_extract("words", r"([^ ]*)$", 1)
-    paths = edges.groupBy("lang", "head", "n").agg(F.sort_array(F.collect_list(F.struct("place", last.alias("word")))).alias("steps"))
+    step = F.struct("place", _last(F.col("words")).alias("word"))
+    paths = edges.groupBy("lang", "head", "n").agg(F.sort_array(F.collect_list(step)).alias("steps"))
     return paths.select("lang", F.concat_ws(" ", "head", F.slice(F.col("steps.word"), 2, 1 << 30)).alias("phrase"), "n")
 
 

@@ -5,7 +5,8 @@ round counts, for every hub, how many of its documents are in each shard, joins
 the documents, and lets each wish for the shard of most neighbours (its own vote included; ties
 fall the same way for all documents of a hub). Wishes are granted within quotas: from each shard to
 each other, as many as find room below an equal share of all rows. Which ones is decided by a hash
-of the hub, so documents of a hub move together. Rounds end when no wish is granted.
+of the hub, so documents of a hub move together. Rounds end when no wish is granted, or after ``ROUNDS``;
+groups still apart then stay so, the law holds either way.
 
 Then counts are made even exactly: documents are ranked within their shard, linked ones first, and
 what exceeds a shard's share fills the others. Unlinked documents can go anywhere at no cost, so

@@ -38,7 +38,7 @@ def made_rows():
     rows = [(None, None), ("en", ""), ("en", " \t\n.,"), ("xx", "one word")]
     refrain = "we the undersigned do hereby agree to all of the terms above and below"
     for _ in range(300):
-        words = [draw.choice(["a", "b", "c", "the", "The", "é", "漢"]) for _ in range(draw.randint(1, 30))]
+        words = [draw.choice(["a", "b", "c", "the", "The", "é", "漢", "x\x85", "\u2028", "nul\x00"]) for _ in range(draw.randint(1, 30))]
         text = "".join(w + draw.choice([" ", " ", "  ", "\t", ". ", ",", "\n"]) for w in words)
         rows.append((draw.choice(["en", "en", "de", None, "und"]), text + (refrain if draw.random() < 0.5 else "")))
     return rows + [("en", "na " * 500), ("loop", "p q r s t u " * 200)]
