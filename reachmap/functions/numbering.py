@@ -2,7 +2,9 @@
 
 Rows approximate the public national numbering plans: in detail for the regions a top-level
 domain suggests, by leading digits and length for the others. Callers can pass their own, fuller rows
-to the phone expressions; the list is code-sized configuration, never data that grows.
+to the phone expressions; the list is code-sized configuration, never data that grows. The detailed
+rows must accept what the public phone metadata of libphonenumber (Apache License 2.0) accepts, and are
+fixed values for that reason; the others are coarser.
 """
 
 from __future__ import annotations
