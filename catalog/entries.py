@@ -152,8 +152,7 @@ ALLOWLIST = ["@mail.example.com", ".example.ORG", "mail3.example.com"]
 
 def _email_rows(spark, sf_dir, **given):
     pages = contact_pages(spark, sf_dir).unionByName(doc_pages(spark, sf_dir))
-    found = contacts.contact_rows(contacts.page_contacts(pages, **given))
-    return found.where(F.col("kind") == contacts.EMAIL)
+    return contacts.contact_rows(contacts.page_contacts(pages, **given), [contacts.EMAIL])
 
 
 def email_all(spark, sf_dir):
@@ -223,15 +222,15 @@ def phone_region_filter(spark, sf_dir):
 
 def phone_all(spark, sf_dir):
     pages = contact_pages(spark, sf_dir).unionByName(doc_pages(spark, sf_dir))
-    rows = contacts.contact_rows(contacts.page_contacts(pages))
-    return rows.where(F.col("kind") == contacts.PHONE).groupBy("contact").agg(F.count(F.lit(1)).alias("n_pages"))
+    rows = contacts.contact_rows(contacts.page_contacts(pages), [contacts.PHONE])
+    return rows.groupBy("contact").agg(F.count(F.lit(1)).alias("n_pages"))
 
 
 def phone_odd(spark, sf_dir):
     """Several regions in one run, letters, extensions, and what spoils a number."""
     pages = views.view(spark, sf_dir, views.ODD_PHONES).withColumn("final_url", F.col("url"))
-    rows = contacts.contact_rows(contacts.page_contacts(pages.drop("d"), phone_regions=["RU", "US"]))
-    return rows.where(F.col("kind") == contacts.PHONE).select("page_id", F.col("contact").alias("phone"))
+    rows = contacts.contact_rows(contacts.page_contacts(pages.drop("d"), phone_regions=["RU", "US"]), [contacts.PHONE])
+    return rows.select("page_id", F.col("contact").alias("phone"))
 
 
 def phone_plan_join(spark, sf_dir):

@@ -94,15 +94,18 @@ def page_contacts(
     return read_candidates(staged, plan=plan).drop("phone_regions", "email_domain_allowlist", "parsed")
 
 
-def contact_rows(contacts: DataFrame) -> DataFrame:
-    """One row a contact: the ``emails`` and ``phones`` arrays exploded in one step."""
+def contact_rows(contacts: DataFrame, kinds: Sequence[str] = (EMAIL, PHONE)) -> DataFrame:
+    """One row a contact: the ``emails`` and ``phones`` arrays exploded in one step.
+
+    Where only one of the ``kinds`` is asked for, the optimizer drops all that the other would have needed.
+    """
 
     def tagged(column: str, kind: str) -> Column:
         return F.transform(column, lambda c: F.struct(F.lit(kind).alias("kind"), c.alias("contact")))
 
     kept = [F.col(c) for c in contacts.columns if c not in ("emails", "phones")]
-    both = F.concat(tagged("emails", EMAIL), tagged("phones", PHONE))
-    return contacts.select(*kept, F.explode(both).alias("c")).select(*kept, "c.kind", "c.contact")
+    found = F.concat(*[tagged(column, kind) for column, kind in (("emails", EMAIL), ("phones", PHONE)) if kind in kinds])
+    return contacts.select(*kept, F.explode(found).alias("c")).select(*kept, "c.kind", "c.contact")
 
 
 def site_contacts(rows: DataFrame, key: str = "site_key") -> DataFrame:

@@ -109,3 +109,14 @@ def test_scan_of_pages(spark, tmp_path, pages):
     pages.withColumn("reason", F.lit("http_404")).write.parquet(str(tmp_path / "r"))
     assert tables.scan_pages(spark, str(tmp_path / "r")).where("reason = 'http_404'").count() == pages.count()
     assert options.SETTINGS["max_pages"].default == "200"
+
+
+def test_one_kind_of_contact_reads_nothing_for_the_other(spark):
+    pages = spark.createDataFrame([(1, "http://a.ru/", "x@y.org 8 (800) 555-35-35")], "page_id long, final_url string, html string")
+    found = contacts.page_contacts(pages)
+    signs = {contacts.EMAIL: "@[a-z", contacts.PHONE: "33622"}  # of the patterns
+    for kind, value in ((contacts.EMAIL, "x@y.org"), (contacts.PHONE, "+78005553535")):
+        rows = contacts.contact_rows(found, [kind])
+        assert [(r.kind, r.contact) for r in rows.collect()] == [(kind, value)]
+        plan = rows._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert [k for k, sign in signs.items() if sign in plan] == [kind]
