@@ -119,11 +119,15 @@ def _scanner(phrases, names: list[str], name: str):
 
 def _hashed(phrases: list[tuple[bytes, int, tuple[str, ...]]], table) -> tuple[dict, dict]:
     """By window size: hash -> (phrase, items), and a bit table of the hashes' top 16 bits."""
-    known: dict[int, dict[int, list]] = {}
+    by_size: dict[int, list] = {}
     for phrase, n, items in phrases:
-        raw = np.frombuffer(phrase, dtype=np.uint8)
-        words = find_words(raw, np.array([0, len(raw)]), table)
-        known.setdefault(n, {}).setdefault(int(words.windows(n)[1][0]), []).append((phrase, items))
+        by_size.setdefault(n, []).append((phrase, items))
+    known: dict[int, dict[int, list]] = {}
+    for n, group in by_size.items():  # all phrases of a size at once: each is one window
+        offsets = np.cumsum([0, *(len(phrase) for phrase, _ in group)])
+        hashes = find_words(np.frombuffer(b"".join(phrase for phrase, _ in group), dtype=np.uint8), offsets, table).windows(n)[1]
+        for key, entry in zip(hashes.tolist(), group, strict=True):
+            known.setdefault(n, {}).setdefault(key, []).append(entry)
     filters = {}
     for n, hashes in known.items():
         bits = np.zeros(1 << 22, dtype=bool)
