@@ -2,10 +2,18 @@
 
 Words are numbered once for each block of documents (about ``BLOCK_BYTES`` of text, all within one
 task), so that each distinct word of a block is split off and merged once. ``aggregate`` folds over
-a word's byte array: it looks up the ranks of adjacent pairs in a literal rank map, joins the pair
+a word's byte array: it looks up the ranks of adjacent pairs in the block's rank map, joins the pair
 of least rank, leftmost first, and stops changing when no pair has a rank. Documents are rows of
-word numbers; decoding concatenates the ids' binary pieces. There is no shuffle, and memory is
-bounded by a block and the vocabulary.
+word numbers; decoding concatenates the ids' binary pieces. Texts aren't shuffled, and memory is
+bounded by a block, the vocabulary and the common words.
+
+Most words of a block are in most other blocks too. The ``COMMON_WORDS`` most frequent words of a
+bounded sample (about ``SAMPLE_BYTES`` of text) are therefore folded first and once, and reach the
+tasks with their ids; blocks fold only the others. The sample decides where a word is folded, never
+how: ids are the same with any sample, or none.
+
+The rank file is read by the tasks: a block carries its rank map, pieces and numbers as columns, so
+plans hold the file's path only.
 
 A piece's rank is its id, so the map goes from a pair of ids to the id of their concatenation.
 Vocabularies may have up to ``MAX_IDS`` pieces. A word of more than ``FOLD_BYTES`` bytes (a run
@@ -20,13 +28,15 @@ from __future__ import annotations
 
 import base64
 import heapq
-import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +47,11 @@ FOLD_BYTES = 64
 MAX_IDS = 65_000
 BUCKETS = 1 << 16
 PIECE = 1 << 20
+SAMPLE_BYTES = 48 << 20
+SAMPLE_CHARS = 1 << 16  # of one text
+COMMON_WORDS = 1 << 18
+FOLD_TASKS = 16  # that fold the common words
+COMMON_TIMES = 2  # a common word stands at least as often in the sample
 CODES = "_codes"  # of a document: its word numbers
 
 # Letters and numbers newer than Unicode 16, which the tokenizer's pattern doesn't know as such.
@@ -91,8 +106,38 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in piece if p is not None]
 
 
+def _one_list(values: pa.Array) -> pa.Array:
+    """A column of one row, the list of all values."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+@lru_cache(maxsize=1)
+def _tables(path: str) -> list[pa.Array]:
+    ranks = read_ranks(path)
+    found = [
+        (ranks[piece[:cut]], ranks[piece[cut:]], rank)
+        for piece, rank in ranks.items()
+        for cut in range(1, len(piece))
+        if piece[:cut] in ranks and piece[cut:] in ranks
+    ]
+    a, b, rank = np.array(found, dtype=np.int64).reshape(-1, 3).T
+    a, b = a + PIECE, b + PIECE
+    bucket, key = (a << 4 ^ b) % BUCKETS, ((a << 16 ^ b) % (1 << 32)).astype(np.uint32).view(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    at = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+    maps = pa.MapArray.from_arrays(pa.array(at, pa.int32()), pa.array(key[order]), pa.array(rank[order], pa.int32()))
+    size = max(ranks.values()) + 1
+    pieces = [""] * size
+    for piece, number in ranks.items():
+        pieces[number] = piece.hex()
+    numbers = [i.to_bytes(4, "little").hex() for i in range(size)]
+    return [_one_list(x) for x in (maps, pa.array(pieces), pa.array(numbers))]
+
+
 class Vocabulary:
-    """The rank file as SQL literals."""
+    """The rank file, read where it is used; ``tables`` gives it as columns of one value each."""
+
+    FIELDS = "ranks array<map<int, int>>, pieces array<string>, numbers array<string>"
 
     def __init__(self, path: str) -> None:
         self.path = path
@@ -101,34 +146,17 @@ class Vocabulary:
         if size > MAX_IDS or any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError(f"a vocabulary of all bytes and of at most {MAX_IDS} pieces is needed")
         self.none = size  # stands before the first and after the last piece of a word
-        pieces = [b""] * size
-        for piece, rank in ranks.items():
-            pieces[rank] = piece
-        self.pieces = [p.hex() for p in pieces]
-        self.pairs: list[list[list[int]]] = [[] for _ in range(BUCKETS)]
-        for piece, rank in ranks.items():
-            for cut in range(1, len(piece)):
-                a, b = ranks.get(piece[:cut]), ranks.get(piece[cut:])
-                if a is not None and b is not None:
-                    a, b = a + PIECE, b + PIECE
-                    self.pairs[(a << 4 ^ b) % BUCKETS].append([(a << 16 ^ b) % (1 << 32), rank])
-
-    def rank_maps(self) -> str:
-        """SQL of the rank map: by bucket, pair of ids -> rank."""
-        text = json.dumps([[{"k": k - (1 << 32) if k >> 31 else k, "r": r} for k, r in bucket] for bucket in self.pairs], separators=(",", ":"))
-        return f"transform(from_json('{text}', 'array<array<struct<k: int, r: int>>>'), bucket -> map_from_entries(bucket))"
-
-    def piece_texts(self) -> str:
-        """SQL of the array of pieces by id, in hexadecimal."""
-        return f"split('{','.join(self.pieces)}', ',')"
-
-    def number_texts(self) -> str:
-        """SQL of the array of ids as little-endian unsigned 32-bit integers, in hexadecimal."""
-        return f"split('{','.join(i.to_bytes(4, 'little').hex() for i in range(len(self.pieces)))}', ',')"
+
+    def tables(self) -> list[pa.Array]:
+        """A column of one row for each of FIELDS: rank map (by bucket, pair of ids -> rank), pieces and ids by id.
+
+        Ids are little-endian unsigned 32-bit integers; they and the pieces are in hexadecimal.
+        """
+        return _tables(self.path)
 
     def decode(self, ids: Column) -> Column:
         """The bytes of an array of ids: their binary pieces put together."""
-        pieces = F.expr(self.piece_texts())
+        pieces = F.split(F.lit(",".join(self.tables()[1].values.to_pylist())), ",")
         return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
 
     def fold(self) -> str:
@@ -158,61 +186,166 @@ class Vocabulary:
         """
 
 
-def _number_words(path: str, pattern: str, names: list[str], text: str, codes_name: str, block_bytes: int):
-    """Rows become blocks: each document's word numbers, and the block's distinct words."""
-
-    def block(rows: pa.Table, split: regex.Pattern, ranks: dict[bytes, int]) -> pa.RecordBatch:
-        columns = [rows.column(n).combine_chunks() for n in names]
-        columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
-        data, offsets = byte_view(rows.column(text).cast(pa.large_string()))
-        starts, numbered = split_pieces(data, offsets)
-        # Only distinct pieces are split by the pattern; then a document is the words of its pieces.
-        found = [split.findall(piece) for piece in numbered.dictionary.to_pylist()]
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        words = pa.array([w for piece in found for w in piece], pa.large_string()).dictionary_encode()
-        firsts, flat = np.cumsum(sizes) - sizes, words.indices.to_numpy(zero_copy_only=False)
-        pieces = numbered.indices.to_numpy(zero_copy_only=False)
-        lengths = sizes[pieces] if len(pieces) else np.empty(0, dtype=np.int64)
-        ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-        codes = flat[np.arange(ends[-1]) - np.repeat(ends[:-1] - firsts[pieces], lengths)] if len(pieces) else flat
-        code_lists = pa.ListArray.from_arrays(pa.array(ends[np.searchsorted(starts, offsets)], pa.int32()), pa.array(codes, pa.int32()))
-        docs = pa.StructArray.from_arrays([*columns, code_lists], [*names, codes_name])
-
-        raw, at = byte_view(words.dictionary)
-        id_of_byte = np.array([ranks[bytes([b])] + PIECE for b in range(256)], dtype=np.int32)
-        long = np.flatnonzero(np.diff(at) > FOLD_BYTES)
-        ready: list[list[int] | None] = [None] * (len(at) - 1)
-        for i in long.tolist():
-            ready[i] = merge_long(raw[at[i] : at[i + 1]].tobytes(), ranks)
-        byte_ids = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(id_of_byte[raw], pa.int32()))
-        table = pa.StructArray.from_arrays([byte_ids, pa.array(ready, pa.list_(pa.int32()))], ["bytes", "ids"])
-        one = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (docs, table)]
-        return pa.RecordBatch.from_arrays(one, ["docs", "words"])
+_WORD = T.StructType(
+    [
+        T.StructField("bytes", T.ArrayType(T.IntegerType())),
+        T.StructField("ids", T.ArrayType(T.IntegerType())),
+        T.StructField("numbers", T.StringType()),
+        T.StructField("pieces", T.StringType()),
+    ]
+)
+
+
+def _words_of(texts: pa.ChunkedArray, split: regex.Pattern) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
+    """(distinct words, numbers of the words of all texts one after the other, where each text's begin and the last's end)."""
+    data, offsets = byte_view(texts.cast(pa.large_string()))
+    starts, numbered = split_pieces(data, offsets)
+    # Only distinct pieces are split by the pattern; then a document is the words of its pieces.
+    found = [split.findall(piece) for piece in numbered.dictionary.to_pylist()]
+    sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+    words = pa.array([w for piece in found for w in piece], pa.large_string()).dictionary_encode()
+    firsts, flat = np.cumsum(sizes) - sizes, words.indices.to_numpy(zero_copy_only=False)
+    pieces = numbered.indices.to_numpy(zero_copy_only=False)
+    lengths = sizes[pieces] if len(pieces) else np.empty(0, dtype=np.int64)
+    ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    codes = flat[np.arange(ends[-1]) - np.repeat(ends[:-1] - firsts[pieces], lengths)] if len(pieces) else flat
+    return words.dictionary, codes, ends[np.searchsorted(starts, offsets)]
+
+
+def _word_table(words: pa.Array, ranks: dict[bytes, int], common: pa.Table | None) -> pa.StructArray:
+    """Rows of ``_WORD``: the ids of a word's bytes, to be folded; or what is known of common and of long words."""
+    known = np.full(len(words), -1, dtype=np.int64)
+    if common is not None and len(words):
+        known = pc.fill_null(pc.index_in(words, value_set=common.column("word")), -1).to_numpy(zero_copy_only=False)
+    fresh = known < 0
+    raw, at = byte_view(words)
+    id_of_byte = np.array([ranks[bytes([b])] + PIECE for b in range(256)], dtype=np.int32)
+    sizes = np.diff(at) * fresh
+    folded = raw[np.repeat(fresh, np.diff(at))]
+    byte_ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(id_of_byte[folded], pa.int32()))
+    long = np.flatnonzero(fresh & (np.diff(at) > FOLD_BYTES))
+    if common is not None:
+        rows = pa.array(known, pa.int64(), mask=fresh)
+        ids, numbers, pieces = (common.column(c).take(rows).combine_chunks() for c in ("ids", "numbers", "pieces"))
+    else:
+        ids, numbers, pieces = (pa.nulls(len(words), kind) for kind in (pa.list_(pa.int32()), pa.string(), pa.string()))
+    if len(long):
+        made = [merge_long(raw[at[i] : at[i + 1]].tobytes(), ranks) for i in long.tolist()]
+        place = np.arange(len(words))
+        place[long] = len(words) + np.arange(len(long))
+        ids = pa.concat_arrays([ids, pa.array(made, ids.type)]).take(pa.array(place))
+    return pa.StructArray.from_arrays([byte_ids, ids, numbers, pieces], _WORD.names)
+
+
+def _with_texts(common: pa.Table, tables: list[pa.Array]) -> pa.Table:
+    """Common words with the numbers and the pieces of their ids put together."""
+    for name, table in zip(("pieces", "numbers"), tables[1:], strict=True):
+        ids = common.column("ids").combine_chunks()
+        texts = pa.ListArray.from_arrays(ids.offsets, table.values.take(ids.values))
+        common = common.append_column(name, pc.binary_join(texts, ""))
+    return common
+
+
+def _batched(batches: Iterator[pa.RecordBatch], text: str, block_bytes: int) -> Iterator[pa.Table]:
+    """The rows again, in tables of about ``block_bytes`` of text."""
+    waiting: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        _, offsets = byte_view(batch.column(text))
+        row = 0
+        while row < len(batch):
+            end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + block_bytes - size, side="right")) - 1)
+            end = min(end, len(batch))
+            waiting.append(batch.slice(row, end - row))
+            size += int(offsets[end] - offsets[row])
+            row = end
+            if size >= block_bytes or row < len(batch):
+                yield pa.Table.from_batches(waiting)
+                waiting, size = [], 0
+                give_back()
+    if waiting:
+        yield pa.Table.from_batches(waiting)
+
+
+def _number_words(vocabulary: Vocabulary, pattern: str, names: list[str], text: str, codes_name: str, block_bytes: int, common: Broadcast | None):
+    """Rows become blocks: each document's word numbers, the block's distinct words, and the vocabulary's tables."""
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
-        split, ranks = word_pattern(pattern), read_ranks(path)
-        waiting: list[pa.RecordBatch] = []
-        size = 0
-        for batch in batches:
-            _, offsets = byte_view(batch.column(text))
-            row = 0
-            while row < len(batch):
-                end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + block_bytes - size, side="right")) - 1)
-                end = min(end, len(batch))
-                waiting.append(batch.slice(row, end - row))
-                size += int(offsets[end] - offsets[row])
-                row = end
-                if size >= block_bytes or row < len(batch):
-                    yield block(pa.Table.from_batches(waiting), split, ranks)
-                    waiting, size = [], 0
-                    give_back()
-        if waiting:
-            yield block(pa.Table.from_batches(waiting), split, ranks)
+        split, ranks, tables = word_pattern(pattern), read_ranks(vocabulary.path), vocabulary.tables()
+        known = _with_texts(pa.ipc.open_stream(common.value).read_all(), tables) if common else None
+        for rows in _batched(batches, text, block_bytes):
+            columns = [rows.column(n).combine_chunks() for n in names]
+            columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
+            words, codes, ends = _words_of(rows.column(text), split)
+            code_lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(codes, pa.int32()))
+            docs = pa.StructArray.from_arrays([*columns, code_lists], [*names, codes_name])
+            table = _word_table(words, ranks, known)
+            yield pa.RecordBatch.from_arrays([_one_list(docs), _one_list(table), *tables], ["docs", "words", "ranks", "pieces", "numbers"])
 
     return number
 
 
+def _folded(vocabulary: Vocabulary, arrays: bool) -> str:
+    """SQL of what is known of each of ``words``: the ``numbers`` of its ids and their ``pieces``; with ``arrays`` also ``ids``."""
+    # transform(array(x), name -> ...)[0] names a value, so that it is made once.
+    made = f"""
+    transform(array(coalesce(w.ids, {vocabulary.fold()})), ids -> named_struct({"'ids', ids," if arrays else ""}
+      'numbers', array_join(transform(ids, i -> numbers[i]), ''),
+      'pieces', array_join(transform(ids, i -> pieces[i]), '')))[0]
+    """
+    ready = f"named_struct({"'ids', w.ids," if arrays else ""} 'numbers', w.numbers, 'pieces', w.pieces)"
+    return f"transform(words, w -> if(w.numbers is not null, {ready}, {made}))"
+
+
+def _sampled_words(pattern: str):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        split = word_pattern(pattern)
+        for rows in _batched(batches, "text", BLOCK_BYTES):
+            words, codes, _ = _words_of(rows.column("text"), split)
+            times = np.bincount(codes, minlength=len(words))
+            short = np.flatnonzero(np.diff(byte_view(words)[1]) <= FOLD_BYTES)
+            yield pa.RecordBatch.from_arrays([words.take(pa.array(short)).cast(pa.string()), pa.array(times[short], pa.int64())], ["word", "n"])
+
+    return count
+
+
+def common_words(docs: DataFrame, vocabulary: Vocabulary, pattern: str) -> pa.Table | None:
+    """The most frequent words of a bounded sample of the texts, folded: word, ids."""
+    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    share = -(-total // SAMPLE_BYTES)
+    if share > 1:  # by the rows' places, as many copies of one text would all go by its hash
+        texts = texts.withColumn("place", F.monotonically_increasing_id()).where(F.pmod(F.xxhash64("place"), F.lit(share)) == 0)
+    texts = texts.select(F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    counted = texts.mapInArrow(_sampled_words(pattern), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    chosen = counted.where(F.col("n") >= COMMON_TIMES).orderBy(F.desc("n"), "word").limit(COMMON_WORDS).select("word")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks, tables = read_ranks(vocabulary.path), vocabulary.tables()
+        for batch in batches:
+            words = batch.column(0)
+            table = _word_table(words.cast(pa.large_string()), ranks, None)
+            yield pa.RecordBatch.from_arrays([_one_list(words), _one_list(table), *tables], ["keys", "words", "ranks", "pieces", "numbers"])
+
+    schema = f"keys array<string>, words array<{_WORD.simpleString()}>, {Vocabulary.FIELDS}"
+    rows = chosen.repartition(FOLD_TASKS, "word").mapInArrow(pack, schema)
+    folded = F.expr(f"explode(zip_with(keys, {_folded(vocabulary, True)}, (word, known) -> named_struct('word', word, 'ids', known.ids)))")
+    # At most COMMON_WORDS short rows reach the driver, whatever the table's size.
+    found = rows.select(folded.alias("w")).select("w.*").toArrow().combine_chunks()
+    return found.set_column(0, "word", found.column("word").cast(pa.large_string())) if len(found) else None
+
+
+def _broadcast(spark: SparkSession, table: pa.Table | None) -> Broadcast | None:
+    if table is None:
+        return None
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
+
+
 def encode_blocks(docs: DataFrame, vocabulary: Vocabulary, pattern: str, names: list[str], per_document: str, block_bytes: int = BLOCK_BYTES, arrays: bool = False) -> DataFrame:
     """One row per document: the struct that SQL ``per_document`` makes of d (columns ``names``) and of ``known``.
 
@@ -221,31 +354,15 @@ def encode_blocks(docs: DataFrame, vocabulary: Vocabulary, pattern: str, names:
     """
     text, codes = free_name(names, "_text"), free_name(names, CODES)
     rows = docs.select(*names, F.coalesce(F.col("text").cast("string"), F.lit("")).alias(text))
-    schema = T.StructType(
-        [
-            T.StructField("docs", T.ArrayType(T.StructType([*docs.select(*names).schema.fields, T.StructField(codes, T.ArrayType(T.IntegerType()))]))),
-            T.StructField("words", T.ArrayType(T.StructType([T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("bytes", "ids")]))),
-        ]
-    )
-    blocks = rows.mapInArrow(_number_words(vocabulary.path, pattern, names, text, codes, block_bytes), schema)
-    # transform(array(x), name -> ...)[0] names a value, so that it is made once for a block.
-    word = f"""
-    named_struct({"'ids', ids," if arrays else ""}
-      'numbers', array_join(transform(ids, i -> numbers[i]), ''),
-      'pieces', array_join(transform(ids, i -> pieces[i]), ''))
-    """
-    done = f"""
-    transform(array({vocabulary.rank_maps()}), ranks ->
-      transform(array({vocabulary.piece_texts()}), pieces ->
-        transform(array({vocabulary.number_texts()}), numbers ->
-          transform(array(transform(words, w -> transform(array(coalesce(w.ids, {vocabulary.fold()})), ids -> {word})[0])), known ->
-            transform(docs, d -> {per_document})
-          )[0])[0])[0])[0]
-    """
+    document = T.StructType([*docs.select(*names).schema.fields, T.StructField(codes, T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([T.StructField("docs", T.ArrayType(document)), T.StructField("words", T.ArrayType(_WORD)), *T.StructType.fromDDL(Vocabulary.FIELDS).fields])
+    common = _broadcast(docs.sparkSession, common_words(docs, vocabulary, pattern))
+    give_back()
+    blocks = rows.mapInArrow(_number_words(vocabulary, pattern, names, text, codes, block_bytes, common), schema)
+    done = f"transform(array({_folded(vocabulary, arrays)}), known -> transform(docs, d -> {per_document}))[0]"
     return blocks.select(F.explode(F.expr(done)).alias("d")).select("d.*")
 
 
-
 _IDS = f"flatten(transform(d.{CODES}, c -> known[c].ids))"
 
 

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -79,3 +80,22 @@ def test_columns_of_the_same_names(docs, library):
     made = bpe.encode(table, RANKS, public_tokenizers.PATTERN)
     assert made.columns == [*table.columns, "ids_"]
     assert {r.doc_id: list(r.ids_) for r in made.collect()} == {1: library.encode_ordinary("some words"), 2: []}
+
+
+def test_plans_hold_no_vocabulary(docs, capsys):
+    bpe.encoding_report(docs([(1, "some words")]), RANKS, public_tokenizers.PATTERN).explain(True)
+    assert len(capsys.readouterr().out) < 100_000
+
+
+def test_common_words_are_folded_once(docs, library):
+    """Words of the sample come to the blocks with their ids; the others are folded there."""
+    rows = [(i, f"walking through forests {'again ' * (i % 3)}rare{i * 7919}word") for i in range(50)]
+    common = bpe.common_words(docs(rows), bpe.Vocabulary(RANKS), public_tokenizers.PATTERN)
+    known = dict(zip(common.column("word").to_pylist(), common.column("ids").to_pylist(), strict=True))
+    assert " forests" in known and "word" in known and all(ids == library.encode_ordinary(w) for w, ids in known.items())
+    words = pa.array([" forests", "unseenwordx", "word", "y" * 100], pa.large_string())
+    table = bpe._word_table(words, bpe.read_ranks(RANKS), common.append_column("numbers", common.column("word").cast("string")).append_column("pieces", common.column("word").cast("string")))
+    assert [len(w["bytes"]) for w in table.to_pylist()] == [0, 11, 0, 100]
+    assert [w["ids"] for w in table.to_pylist()] == [known[" forests"], None, known["word"], library.encode_ordinary("y" * 100)]
+    found = bpe.encode(docs(rows), RANKS, public_tokenizers.PATTERN).collect()
+    assert {r.doc_id: list(r.ids_) for r in found} == {i: library.encode_ordinary(t) for i, t in rows}
