@@ -176,6 +176,13 @@ def components(links: DataFrame, work: Workspace, label: str) -> DataFrame:
         pairs = work.write(oriented(small.union(least.select("a", F.col("m").alias("b")))), f"{label}-{turn}")
 
 
+def _joined_up(found: DataFrame, links: DataFrame, work: Workspace, label: str) -> DataFrame:
+    """The components after further links; as they were, without another plan, if there are none."""
+    if links.isEmpty():
+        return found
+    return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links), work, label)
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
@@ -200,15 +207,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, rows
     pairs = _apart(spokes.select(F.col("id").alias("a"), F.col("centre").alias("b")), found).join(tested, ["a", "b"], "left_anti")
     pairs = work.write(pairs, "round-2")
     tested = tested.union(pairs)
-    links = links.union(work.write(confirm(pairs, texts, size, percent), "links-2"))
-    found = components(links, work, "components-2")
+    found = _joined_up(found, work.write(confirm(pairs, texts, size, percent), "links-2"), work, "components-2")
 
     mixed = _mixed_ids(filed, found, work)
     mixed_texts = texts.join(mixed.select("id").distinct(), "id", "left_semi")
     pairs = _prefix_pairs(mixed_texts, mixed, size, percent).join(tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
     pairs = work.write(pairs, "round-3")
-    links = links.union(work.write(confirm(pairs, texts, size, percent), "links-3"))
-    found = work.write(components(links, work, "components-3"), "components")
+    found = _joined_up(found, work.write(confirm(pairs, texts, size, percent), "links-3"), work, "components-3")
+    found = work.write(found, "components")
 
     home = classes.join(found, "id", "left").select("fingerprint", F.coalesce("component", "id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "fingerprint").join(home, "fingerprint", "left")
@@ -250,8 +256,10 @@ def _prefix_pairs(texts: DataFrame, mixed: DataFrame, size: int, percent: int) -
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["slot", "n"])
 
     counts = np.zeros(SLOTS, dtype=np.int64)
-    for row in texts.mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # SLOTS rows at most
-        counts[row.slot] = row.n
+    found = texts.mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
+    counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    del found
+    give_back()
     common = texts.sparkSession.sparkContext.broadcast(counts)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

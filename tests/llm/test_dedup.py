@@ -1,5 +1,6 @@
 """Exact and near copies, against plain versions."""
 
+import pathlib
 import random
 import re
 
@@ -73,6 +74,17 @@ def test_near_removal(odd, docs):
     assert neardup.keep_one(docs([])).count() == 0
 
 
+def test_rounds_without_links_plan_no_components(docs):
+    """Two copies link in the first round; the later ones find nothing and write no further tables of stars."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:-1], "other"])), (3, "quite another text of its own")]
+    made = neardup.near_duplicates(docs(rows), 4)
+    assert {r.doc_id: r.component_id for r in made.collect()} == {1: 1, 2: 1, 3: 3}
+    folder = re.sub("^file:/*", "/", made.inputFiles()[0]).rsplit("/", 2)[0]
+    written = {p.name for p in pathlib.Path(folder).iterdir()}
+    assert "components-1-0" in written and "links-3" in written and not any(n.startswith(("components-2", "components-3")) for n in written)
+
+
 def test_signature_is_an_estimate():
     import numpy as np
 
