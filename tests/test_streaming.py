@@ -5,6 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import entries
 from reachmap.operators.contacts import contact_rows, page_contacts
 from reachmap.session import new_run_folder
 from reachmap.streaming import tables as streams
@@ -117,3 +118,20 @@ def test_failure_counts(spark):
     found = streams.run_counts(counted, ["window_start", "reason"], new_run_folder(spark, "test-out"))
     rows = found.select(F.date_format("window_start", "HH:mm"), "reason", "n_pages").collect()
     assert sorted(map(tuple, rows)) == [("00:00", "http_status", 2), ("01:00", "http_status", 1)]
+
+
+def test_arrivals_in_any_number_of_files(spark):
+    """A slot of rows may be many files, written by many tasks, and is one micro-batch all the same."""
+    rows = spark.range(0, 600, 1, 6).select(F.col("id").alias("page_id"), F.lit("http://a.com/").alias("url"))
+    folder = new_run_folder(spark, "test-data")
+    rows.write.parquet(f"{folder}/pages.parquet")
+    seen = []
+    with_setting = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        for path in entries._arriving(spark, folder, rows):
+            seen.append((len(spark.read.parquet(path).inputFiles()), spark.read.parquet(path).count()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", with_setting)
+    assert [n for _, n in seen] == [50 * (k + 1) for k in range(12)]
+    assert seen[-1][0] > 12
