@@ -2,23 +2,30 @@
 
 Words are numbered once for each block of documents (about ``BLOCK_BYTES`` of text, all within one
 task), so that each distinct word of a block is split off and merged once. ``aggregate`` folds over
-a word's byte array: it looks up the ranks of adjacent pairs in the block's rank map, joins the pair
-of least rank, leftmost first, and stops changing when no pair has a rank. Documents are rows of
-word numbers; decoding concatenates the ids' binary pieces. Texts aren't shuffled, and memory is
-bounded by a block, the vocabulary and the common words.
+a word's possible merges, by rank, leftmost first. Its state is one number, a bit for each place
+between two bytes where pieces still meet; a merge is done if its two pieces are whole just then,
+and clears the bit between them. Documents are rows of word numbers; decoding concatenates the ids'
+binary pieces. Texts aren't shuffled, and memory is bounded by a block, the vocabulary and the
+common words.
+
+One pass over the merges by rank gives what choosing the pair of least rank again and again gives:
+two pieces that meet have come about from their own bytes alone, as they do where these bytes are all
+of the text. So a piece of the vocabulary is only ever joined from the two that are left last when
+it is merged by itself (``Merges.cut``). If its rank is above those of these two, no merge makes a
+pair of lower rank possible. Words that hold a piece for which that isn't so (``Merges.late``, none in a
+vocabulary as training leaves it) are merged with a heap.
 
 Most words of a block are in most other blocks too. The ``COMMON_WORDS`` most frequent words of a
 bounded sample (about ``SAMPLE_BYTES`` of text) are therefore folded first and once, and reach the
 tasks with their ids; blocks fold only the others. The sample decides where a word is folded, never
 how: ids are the same with any sample, or none.
 
-The rank file is read by the tasks: a block carries its rank map, pieces and numbers as columns, so
-plans hold the file's path only.
+The rank file is read by the tasks: a block carries its pieces and numbers as columns, so plans hold
+the file's path only.
 
-A piece's rank is its id, so the map goes from a pair of ids to the id of their concatenation.
-Vocabularies may have up to ``MAX_IDS`` pieces. A word of more than ``FOLD_BYTES`` bytes (a run
-without spaces) would take the fold quadratic time; such words are merged exactly with a heap while
-the words are numbered.
+A piece's rank is its id. Vocabularies may have up to ``MAX_IDS`` pieces. A word of more than
+``FOLD_BYTES`` bytes (a run without spaces) has more places than a number has bits; such words are
+merged exactly with a heap while the words are numbered.
 
 Defined results: null and empty texts have no ids and decode to nothing; repeated rows are encoded
 alike; extra columns pass through ``encode`` untouched, a clashing ``ids`` gives way to ``ids_``.
@@ -29,9 +36,10 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -43,10 +51,8 @@ from pyspark.sql import types as T
 from .words import byte_view, free_name, give_back, split_pieces
 
 BLOCK_BYTES = 4 << 20
-FOLD_BYTES = 64
+FOLD_BYTES = 64  # as many places as a long has bits
 MAX_IDS = 65_000
-BUCKETS = 1 << 16
-PIECE = 1 << 20
 SAMPLE_BYTES = 48 << 20
 SAMPLE_CHARS = 1 << 16  # of one text
 COMMON_WORDS = 1 << 18
@@ -79,13 +85,24 @@ def word_pattern(pattern: str) -> regex.Pattern:
     return regex.compile(rf"[^\s{known[chr(92) + 'p{L}']}{known[chr(92) + 'p{N}']}]".join(parts), regex.V1)
 
 
-def read_ranks(path: str) -> dict[bytes, int]:
+class Ranks(dict[bytes, int]):
+    """Piece -> rank, which is also its id."""
+
+    @cached_property
+    def merges(self) -> Merges:
+        return Merges(self)
+
+
+@lru_cache(maxsize=1)
+def read_ranks(path: str) -> Ranks:
     with open(path, "rb") as lines:
-        return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
+        return Ranks({base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())})
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one long word: ranked merges with a heap over a linked list of pieces."""
+    """Ids of one long word: ranked merges with a heap over a linked list of pieces. A piece itself isn't merged."""
+    if word in ranks:
+        return [ranks[word]]
     piece: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
     before, after = list(range(-1, len(word) - 1)), [*range(1, len(word)), -1]
     heap = [(ranks[word[i : i + 2]], i, word[i : i + 2]) for i in range(len(word) - 1) if word[i : i + 2] in ranks]
@@ -106,6 +123,59 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in piece if p is not None]
 
 
+def _last_cut(piece: bytes, ranks: dict[bytes, int]) -> int:
+    """Where the last two parts meet when a piece is merged by itself; 0 if more than two are left."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while len(parts) > 2:
+        rank, i = min((ranks.get(a + b, MAX_IDS), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+        if rank == MAX_IDS:
+            return 0
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return len(parts[0])
+
+
+class Merges:
+    """For each id the merge that makes it, and a trie of the pieces."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        size = max(ranks.values()) + 1
+        self.length, self.cut = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
+        self.late = np.zeros(size, dtype=bool)  # whether one of its two parts comes after it, or it is never joined
+        self.id_of_byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+        node = {bytes([b]): b for b in range(256)}
+        steps = []
+        for piece, rank in ranks.items():
+            if not 2 <= len(piece) <= FOLD_BYTES:
+                continue
+            cut = _last_cut(piece, ranks)
+            self.length[rank], self.cut[rank] = len(piece), cut
+            self.late[rank] = not cut or any(len(part) > 1 and ranks[part] > rank for part in (piece[:cut], piece[cut:]))
+            for end in range(2, len(piece) + 1):
+                if piece[:end] not in node:
+                    node[piece[:end]] = len(node)
+                    steps.append((node[piece[: end - 1]] << 8 | piece[end - 1], node[piece[:end]]))
+        keys, self.child = np.array(steps, dtype=np.int64).reshape(-1, 2).T
+        self.step = pd.Index(keys)
+        self.id_of_node = np.array([ranks.get(prefix, -1) for prefix in node], dtype=np.int64)
+
+    def find(self, data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The possible merges in words of ``sizes`` bytes one after the other, sorted: word, id, first byte in one number."""
+        ends = np.cumsum(sizes)
+        word = np.repeat(np.arange(len(sizes)), sizes)
+        first = np.arange(len(data)) - (ends - sizes)[word]
+        at, node, length = np.arange(len(data)), data.astype(np.int64), 1
+        found = [np.empty(0, dtype=np.int64)]
+        while len(at):
+            inside = at + length < ends[word[at]]
+            at, node = at[inside], node[inside]
+            step = self.step.get_indexer(node << 8 | data[at + length])
+            at, node, length = at[step >= 0], self.child[step[step >= 0]], length + 1
+            ids = self.id_of_node[node]
+            made = ids >= 0
+            found.append(word[at[made]] << 22 | ids[made] << 6 | first[at[made]])
+        return np.sort(np.concatenate(found))
+
+
 def _one_list(values: pa.Array) -> pa.Array:
     """A column of one row, the list of all values."""
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
@@ -114,30 +184,18 @@ def _one_list(values: pa.Array) -> pa.Array:
 @lru_cache(maxsize=1)
 def _tables(path: str) -> list[pa.Array]:
     ranks = read_ranks(path)
-    found = [
-        (ranks[piece[:cut]], ranks[piece[cut:]], rank)
-        for piece, rank in ranks.items()
-        for cut in range(1, len(piece))
-        if piece[:cut] in ranks and piece[cut:] in ranks
-    ]
-    a, b, rank = np.array(found, dtype=np.int64).reshape(-1, 3).T
-    a, b = a + PIECE, b + PIECE
-    bucket, key = (a << 4 ^ b) % BUCKETS, ((a << 16 ^ b) % (1 << 32)).astype(np.uint32).view(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    at = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
-    maps = pa.MapArray.from_arrays(pa.array(at, pa.int32()), pa.array(key[order]), pa.array(rank[order], pa.int32()))
     size = max(ranks.values()) + 1
     pieces = [""] * size
     for piece, number in ranks.items():
         pieces[number] = piece.hex()
     numbers = [i.to_bytes(4, "little").hex() for i in range(size)]
-    return [_one_list(x) for x in (maps, pa.array(pieces), pa.array(numbers))]
+    return [_one_list(pa.array(x)) for x in (pieces, numbers)]
 
 
 class Vocabulary:
     """The rank file, read where it is used; ``tables`` gives it as columns of one value each."""
 
-    FIELDS = "ranks array<map<int, int>>, pieces array<string>, numbers array<string>"
+    FIELDS = "pieces array<string>, numbers array<string>"
 
     def __init__(self, path: str) -> None:
         self.path = path
@@ -145,10 +203,9 @@ class Vocabulary:
         size = max(ranks.values()) + 1
         if size > MAX_IDS or any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError(f"a vocabulary of all bytes and of at most {MAX_IDS} pieces is needed")
-        self.none = size  # stands before the first and after the last piece of a word
 
     def tables(self) -> list[pa.Array]:
-        """A column of one row for each of FIELDS: rank map (by bucket, pair of ids -> rank), pieces and ids by id.
+        """A column of one row for each of FIELDS: pieces and ids by id.
 
         Ids are little-endian unsigned 32-bit integers; they and the pieces are in hexadecimal.
         """
@@ -156,39 +213,27 @@ class Vocabulary:
 
     def decode(self, ids: Column) -> Column:
         """The bytes of an array of ids: their binary pieces put together."""
-        pieces = F.split(F.lit(",".join(self.tables()[1].values.to_pylist())), ",")
+        pieces = F.split(F.lit(",".join(self.tables()[0].values.to_pylist())), ",")
         return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
 
     def fold(self) -> str:
-        """SQL of the ids of the word ``w``, whose bytes are given as their ids in ``w.bytes``."""
-
-        def rank(a: str, b: str) -> str:
-            return f"element_at(ranks[(shiftleft({a}, 4) ^ {b}) & {BUCKETS - 1}], shiftleft({a}, 16) ^ {b})"
-
-        # z has pieces and ranks by turns: piece, rank of the pair, piece, ... with ``none`` at both ends. Pieces are
-        # their ids plus PIECE, more than any rank, and a pair without rank is null; so the least of z is the next merge,
-        # and the rank of a pair is the id it becomes.
-        step = f"""
-        transform(array(array_min(z)), m -> if(m >= {PIECE}, z,
-          transform(array(int(array_position(z, m))), k -> concat(
-            slice(z, 1, k - 3),
-            array({rank("z[k - 4]", f"(m + {PIECE})")}, m + {PIECE}, {rank(f"(m + {PIECE})", "z[k + 2]")}),
-            slice(z, k + 3, size(z))))[0]))[0]
-        """
-        none = self.none + PIECE
-        pairs = f"zip_with(w.bytes, slice(w.bytes, 2, size(w.bytes)), (a, b) -> array(a, {rank('a', 'b')}))"
-        return f"""
-        aggregate(
-          sequence(2, size(w.bytes)),
-          concat(array({none}, null), flatten({pairs}), array({none})),
-          (z, turn) -> {step},
-          z -> transform(filter(slice(z, 3, size(z) - 4), v -> v >= {PIECE}), v -> v - {PIECE}))
+        """SQL of the ids of the word ``w``."""
+        # Bit i of s says that a piece ends after byte i; bits from the word's last byte on stay set. A merge is done if of
+        # the places in its ``span`` only those of its ``parts`` have a bit, and leaves those of the ``whole``.
+        return """
+        aggregate(w.merges, -1L, (s, m) -> if((s & m.span) = m.parts, s ^ m.parts ^ m.whole, s), s -> transform(
+          sort_array(concat(
+            filter(w.bytes, (b, i) -> (shiftright(s & (shiftleft(s, 1) | 1), i) & 1) = 1),
+            transform(filter(w.merges, m -> (s & m.span) = m.whole), m -> m.token))),
+          token -> token & 65535))
         """
 
 
+_MERGE = T.StructType([*(T.StructField(n, T.LongType()) for n in ("span", "parts", "whole")), T.StructField("token", T.IntegerType())])
 _WORD = T.StructType(
     [
         T.StructField("bytes", T.ArrayType(T.IntegerType())),
+        T.StructField("merges", T.ArrayType(_MERGE)),
         T.StructField("ids", T.ArrayType(T.IntegerType())),
         T.StructField("numbers", T.StringType()),
         T.StructField("pieces", T.StringType()),
@@ -212,18 +257,40 @@ def _words_of(texts: pa.ChunkedArray, split: regex.Pattern) -> tuple[pa.Dictiona
     return words.dictionary, codes, ends[np.searchsorted(starts, offsets)]
 
 
-def _word_table(words: pa.Array, ranks: dict[bytes, int], common: pa.Table | None) -> pa.StructArray:
-    """Rows of ``_WORD``: the ids of a word's bytes, to be folded; or what is known of common and of long words."""
+def _merge_rows(merges: Merges, found: np.ndarray) -> pa.StructArray:
+    """Rows of ``_MERGE``: the places where the merge's parts begin, meet and end, and its first byte with its id."""
+    ids, first = found >> 6 & 0xFFFF, found & 0x3F
+
+    def bit(place: np.ndarray) -> np.ndarray:  # the place before byte 0 has none
+        return np.where(place > 0, np.uint64(1) << (np.maximum(place, 1) - 1).astype(np.uint64), np.uint64(0))
+
+    begin, cut, end = bit(first), bit(first + merges.cut[ids]), bit(first + merges.length[ids])
+    span = end + (end - np.uint64(1)) - np.where(begin > 0, begin - np.uint64(1), begin)
+    places = [pa.array(x.view(np.int64)) for x in (span, begin | cut | end, begin | end)]
+    return pa.StructArray.from_arrays([*places, pa.array((first << 16 | ids).astype(np.int32))], _MERGE.names)
+
+
+def _word_table(words: pa.Array, ranks: Ranks, common: pa.Table | None) -> pa.StructArray:
+    """Rows of ``_WORD``: a word's bytes and possible merges, to be folded; or what is known of common and of long words."""
+    merges = ranks.merges
     known = np.full(len(words), -1, dtype=np.int64)
     if common is not None and len(words):
         known = pc.fill_null(pc.index_in(words, value_set=common.column("word")), -1).to_numpy(zero_copy_only=False)
     fresh = known < 0
     raw, at = byte_view(words)
-    id_of_byte = np.array([ranks[bytes([b])] + PIECE for b in range(256)], dtype=np.int32)
-    sizes = np.diff(at) * fresh
-    folded = raw[np.repeat(fresh, np.diff(at))]
-    byte_ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(id_of_byte[folded], pa.int32()))
-    long = np.flatnonzero(fresh & (np.diff(at) > FOLD_BYTES))
+    lengths = np.diff(at)
+    sizes = lengths * fresh
+    folded = raw[np.repeat(fresh, lengths)]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    place = np.minimum(np.arange(len(folded)) - np.repeat(ends[:-1], sizes), FOLD_BYTES)
+    byte_ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((place << 16 | merges.id_of_byte[folded]).astype(np.int32)))
+    long = fresh & (lengths > FOLD_BYTES)
+    found = merges.find(folded[np.repeat(~long, sizes)], np.where(long, 0, sizes))
+    owner = found >> 22
+    long[owner[merges.late[found >> 6 & 0xFFFF]]] = True
+    merge_ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))])
+    merge_lists = pa.ListArray.from_arrays(pa.array(merge_ends, pa.int32()), _merge_rows(merges, found))
+    long = np.flatnonzero(long)
     if common is not None:
         rows = pa.array(known, pa.int64(), mask=fresh)
         ids, numbers, pieces = (common.column(c).take(rows).combine_chunks() for c in ("ids", "numbers", "pieces"))
@@ -234,12 +301,12 @@ def _word_table(words: pa.Array, ranks: dict[bytes, int], common: pa.Table | Non
         place = np.arange(len(words))
         place[long] = len(words) + np.arange(len(long))
         ids = pa.concat_arrays([ids, pa.array(made, ids.type)]).take(pa.array(place))
-    return pa.StructArray.from_arrays([byte_ids, ids, numbers, pieces], _WORD.names)
+    return pa.StructArray.from_arrays([byte_ids, merge_lists, ids, numbers, pieces], _WORD.names)
 
 
 def _with_texts(common: pa.Table, tables: list[pa.Array]) -> pa.Table:
     """Common words with the numbers and the pieces of their ids put together."""
-    for name, table in zip(("pieces", "numbers"), tables[1:], strict=True):
+    for name, table in zip(("pieces", "numbers"), tables, strict=True):
         ids = common.column("ids").combine_chunks()
         texts = pa.ListArray.from_arrays(ids.offsets, table.values.take(ids.values))
         common = common.append_column(name, pc.binary_join(texts, ""))
@@ -281,7 +348,7 @@ def _number_words(vocabulary: Vocabulary, pattern: str, names: list[str], text:
             code_lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(codes, pa.int32()))
             docs = pa.StructArray.from_arrays([*columns, code_lists], [*names, codes_name])
             table = _word_table(words, ranks, known)
-            yield pa.RecordBatch.from_arrays([_one_list(docs), _one_list(table), *tables], ["docs", "words", "ranks", "pieces", "numbers"])
+            yield pa.RecordBatch.from_arrays([_one_list(docs), _one_list(table), *tables], ["docs", "words", "pieces", "numbers"])
 
     return number
 
@@ -327,7 +394,7 @@ def common_words(docs: DataFrame, vocabulary: Vocabulary, pattern: str) -> pa.Ta
         for batch in batches:
             words = batch.column(0)
             table = _word_table(words.cast(pa.large_string()), ranks, None)
-            yield pa.RecordBatch.from_arrays([_one_list(words), _one_list(table), *tables], ["keys", "words", "ranks", "pieces", "numbers"])
+            yield pa.RecordBatch.from_arrays([_one_list(words), _one_list(table), *tables], ["keys", "words", "pieces", "numbers"])
 
     schema = f"keys array<string>, words array<{_WORD.simpleString()}>, {Vocabulary.FIELDS}"
     rows = chosen.repartition(FOLD_TASKS, "word").mapInArrow(pack, schema)

@@ -1,6 +1,8 @@
 """Token ids of both writers against the tokenizer libraries."""
 
+import base64
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -99,3 +101,36 @@ def test_common_words_are_folded_once(docs, library):
     assert [w["ids"] for w in table.to_pylist()] == [known[" forests"], None, known["word"], library.encode_ordinary("y" * 100)]
     found = bpe.encode(docs(rows), RANKS, public_tokenizers.PATTERN).collect()
     assert {r.doc_id: list(r.ids_) for r in found} == {i: library.encode_ordinary(t) for i, t in rows}
+
+
+def test_merges_in_any_order_of_ranks(docs, tmp_path):
+    """Pieces that come before their parts, or that no merges make, as a trained vocabulary has none."""
+    some = random.Random(7)
+    made = sorted({"".join(some.choices("abc", k=some.randint(2, 5))) for _ in range(60)} | {"xyz"})
+    some.shuffle(made)
+    ranks = {bytes([b]): b for b in range(256)} | {piece.encode(): 256 + i for i, piece in enumerate(made)}
+    path = tmp_path / "ranks"
+    path.write_bytes(b"".join(base64.b64encode(piece) + f" {rank}\n".encode() for piece, rank in ranks.items()))
+    merges = bpe.read_ranks(str(path)).merges
+    assert merges.late.any() and merges.cut[ranks[b"xyz"]] == 0
+    small = tiktoken.Encoding("small", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    words = ["".join(some.choices("abcd", [4, 4, 4, 1], k=some.randint(1, 64))) for _ in range(400)]
+    rows = list(enumerate([*words, "xyz", "xyzx xyz", "y" * 64, "ab" * 32]))
+    found = bpe.encode(docs(rows), str(path), public_tokenizers.PATTERN).collect()
+    assert {r.doc_id: list(r.ids_) for r in found} == {i: small.encode_ordinary(t) for i, t in rows}
+
+
+def test_fold_takes_one_step_a_possible_merge(docs, library):
+    """A rare word costs a step for each piece it holds, sorted by rank, not arrays rebuilt for each byte."""
+    ranks = bpe.read_ranks(RANKS)
+    assert not ranks.merges.late.any()
+    some = random.Random(5)
+    words = ["".join(some.choices("etaoinshrdluéß", k=some.randint(1, 31))) for _ in range(2000)]
+    table = bpe._word_table(pa.array(words, pa.large_string()), ranks, None).to_pylist()
+    for word, row in zip(words[:200], table, strict=False):
+        raw = word.encode()
+        held = sorted((ranks[raw[i:j]], i) for i in range(len(raw)) for j in range(i + 2, len(raw) + 1) if raw[i:j] in ranks)
+        assert [(m["token"] & 0xFFFF, m["token"] >> 16) for m in row["merges"]] == held and row["ids"] is None
+    rows = list(enumerate(words))
+    found = bpe.encode(docs(rows), RANKS, public_tokenizers.PATTERN).collect()
+    assert {r.doc_id: list(r.ids_) for r in found} == {i: library.encode_ordinary(t) for i, t in rows}
