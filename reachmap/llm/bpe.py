@@ -58,6 +58,7 @@ SAMPLE_CHARS = 1 << 16  # of one text
 COMMON_WORDS = 1 << 18
 FOLD_TASKS = 16  # that fold the common words
 COMMON_TIMES = 2  # a common word stands at least as often in the sample
+_ASCII_LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
 CODES = "_codes"  # of a document: its word numbers
 
 # Letters and numbers newer than Unicode 16, which the tokenizer's pattern doesn't know as such.
@@ -241,15 +242,36 @@ _WORD = T.StructType(
 )
 
 
+def _are_words(pieces: pa.Array) -> np.ndarray:
+    """Whether a piece surely is one word: letters of ASCII or Latin-1, a space before them or none."""
+    data, at = byte_view(pieces)
+    odd = ~_ASCII_LETTER[data]
+    if len(data):
+        latin = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        odd[:-1] &= ~latin
+        odd[1:] &= ~latin
+    begins = at[:-1][np.diff(at) > 1]
+    odd[begins[data[begins] == 0x20]] = False
+    counts = np.concatenate([[0], np.cumsum(odd)])
+    return (counts[at[1:]] == counts[at[:-1]]) & (np.diff(at) > 0)
+
+
 def _words_of(texts: pa.ChunkedArray, split: regex.Pattern) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
     """(distinct words, numbers of the words of all texts one after the other, where each text's begin and the last's end)."""
     data, offsets = byte_view(texts.cast(pa.large_string()))
     starts, numbered = split_pieces(data, offsets)
-    # Only distinct pieces are split by the pattern; then a document is the words of its pieces.
-    found = [split.findall(piece) for piece in numbered.dictionary.to_pylist()]
-    sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-    words = pa.array([w for piece in found for w in piece], pa.large_string()).dictionary_encode()
-    firsts, flat = np.cumsum(sizes) - sizes, words.indices.to_numpy(zero_copy_only=False)
+    # Only distinct pieces are split, and by the pattern only those that aren't words already; then a document is the
+    # words of its pieces.
+    whole = _are_words(numbered.dictionary)
+    found = [split.findall(piece) for piece in numbered.dictionary.filter(pa.array(~whole)).to_pylist()]
+    sizes = np.ones(len(whole), dtype=np.int64)
+    sizes[~whole] = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+    order = np.argsort(~whole, kind="stable")
+    firsts = np.empty(len(whole), dtype=np.int64)
+    firsts[order] = np.cumsum(sizes[order]) - sizes[order]
+    others = pa.array([w for piece in found for w in piece], pa.large_string())
+    words = pa.concat_arrays([numbered.dictionary.filter(pa.array(whole)), others]).dictionary_encode()
+    flat = words.indices.to_numpy(zero_copy_only=False)
     pieces = numbered.indices.to_numpy(zero_copy_only=False)
     lengths = sizes[pieces] if len(pieces) else np.empty(0, dtype=np.int64)
     ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
@@ -293,9 +315,13 @@ def _word_table(words: pa.Array, ranks: Ranks, common: pa.Table | None) -> pa.St
     long = np.flatnonzero(long)
     if common is not None:
         rows = pa.array(known, pa.int64(), mask=fresh)
-        ids, numbers, pieces = (common.column(c).take(rows).combine_chunks() for c in ("ids", "numbers", "pieces"))
+        numbers, pieces = (common.column(c).take(rows).combine_chunks() for c in ("numbers", "pieces"))
+    else:
+        numbers, pieces = (pa.nulls(len(words), pa.string()) for _ in range(2))
+    if common is not None and "ids" in common.column_names:
+        ids = common.column("ids").take(rows).combine_chunks()
     else:
-        ids, numbers, pieces = (pa.nulls(len(words), kind) for kind in (pa.list_(pa.int32()), pa.string(), pa.string()))
+        ids = pa.nulls(len(words), pa.list_(pa.int32()))
     if len(long):
         made = [merge_long(raw[at[i] : at[i + 1]].tobytes(), ranks) for i in long.tolist()]
         place = np.arange(len(words))
@@ -334,13 +360,14 @@ def _batched(batches: Iterator[pa.RecordBatch], text: str, block_bytes: int) ->
         yield pa.Table.from_batches(waiting)
 
 
-def _number_words(vocabulary: Vocabulary, pattern: str, names: list[str], text: str, codes_name: str, block_bytes: int, common: Broadcast | None):
+def _number_words(vocabulary: Vocabulary, pattern: str, names: list[str], text: str, codes_name: str, block_bytes: int, common: Broadcast | None, arrays: bool):
     """Rows become blocks: each document's word numbers, the block's distinct words, and the vocabulary's tables."""
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
         split, ranks, tables = word_pattern(pattern), read_ranks(vocabulary.path), vocabulary.tables()
         known = _with_texts(pa.ipc.open_stream(common.value).read_all(), tables) if common else None
+        known = known.drop_columns("ids") if common and not arrays else known
         for rows in _batched(batches, text, block_bytes):
             columns = [rows.column(n).combine_chunks() for n in names]
             columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
@@ -425,7 +452,7 @@ def encode_blocks(docs: DataFrame, vocabulary: Vocabulary, pattern: str, names:
     schema = T.StructType([T.StructField("docs", T.ArrayType(document)), T.StructField("words", T.ArrayType(_WORD)), *T.StructType.fromDDL(Vocabulary.FIELDS).fields])
     common = _broadcast(docs.sparkSession, common_words(docs, vocabulary, pattern))
     give_back()
-    blocks = rows.mapInArrow(_number_words(vocabulary, pattern, names, text, codes, block_bytes, common), schema)
+    blocks = rows.mapInArrow(_number_words(vocabulary, pattern, names, text, codes, block_bytes, common, arrays), schema)
     done = f"transform(array({_folded(vocabulary, arrays)}), known -> transform(docs, d -> {per_document}))[0]"
     return blocks.select(F.explode(F.expr(done)).alias("d")).select("d.*")
 

@@ -134,3 +134,23 @@ def test_fold_takes_one_step_a_possible_merge(docs, library):
     rows = list(enumerate(words))
     found = bpe.encode(docs(rows), RANKS, public_tokenizers.PATTERN).collect()
     assert {r.doc_id: list(r.ids_) for r in found} == {i: library.encode_ordinary(t) for i, t in rows}
+
+
+def test_pieces_that_are_words_need_no_pattern():
+    split = bpe.word_pattern(public_tokenizers.PATTERN)
+    some = random.Random(3)
+    pieces = ["", " ", "  ", " a", "×", " ÷", "Ã", "aÃ", " a's", "a b", *("".join(some.choices("abZéÿ×÷ '9.\n漢Ã", k=some.randint(1, 5))) for _ in range(5000))]
+    sure = bpe._are_words(pa.array(pieces, pa.large_string()))
+    assert all(split.findall(p) == [p] for p, s in zip(pieces, sure, strict=True) if s) and {" a", "Ã", "aÃ"} <= {p for p, s in zip(pieces, sure, strict=True) if s}
+
+    class Counted:
+        asked: list[str] = []
+
+        def findall(self, piece):
+            self.asked.append(piece)
+            return split.findall(piece)
+
+    text = "Ordinary words über años, it's 12 o'clock"
+    words, codes, ends = bpe._words_of(pa.chunked_array([pa.array([text, "", "words"])]), Counted())
+    assert words.take(pa.array(codes)).to_pylist() == [*split.findall(text), "words"] and ends.tolist() == [0, len(codes) - 1, len(codes) - 1, len(codes)]
+    assert not {"Ordinary", " words", " über", "words"} & set(Counted.asked) and len(Counted.asked) == 4
